@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokenfiles
+from . import bpe, neardup, tokenfiles
 from .scratch import Scratch
 
 
@@ -27,6 +27,10 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op4").path("tokens")
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json").decode(), _pattern(), end_id=2)
@@ -38,6 +42,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_superminhash": op2_superminhash,
     "op4_token_files": op4_token_files,
     "op7_byte_bpe": op7_byte_bpe,
 }
