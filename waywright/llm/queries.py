@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, tokenfiles, toxicity
+from . import bpe, neardup, secrets, tokenfiles, toxicity
 from .scratch import Scratch
 
 
@@ -28,6 +28,11 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.calibrate(docs))
+
+
 def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -50,6 +55,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_superminhash": op2_superminhash,
     "op4_token_files": op4_token_files,
     "op7_byte_bpe": op7_byte_bpe,
