@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, secrets, tokenfiles, toxicity
+from . import bpe, kdshard, neardup, secrets, tokenfiles, toxicity
 from .scratch import Scratch
 
 
@@ -54,12 +54,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "worst_start", "worst_end", "worst_score")
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kdshard.kd_shards(table(spark, sf_dir, "documents"), ("lang", "source", "n_chars"), shards=8)
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_superminhash": op2_superminhash,
     "op4_token_files": op4_token_files,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_kd_shards": op10_kd_shards,
 }
 
 ORACLES: dict[str, str] = {}
