@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder, without_collector
+from .chunks import PieceEncoder, without_collector
 
 SLICE = 256
 READ_TOKENS = 4_000_000
@@ -25,14 +26,18 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^(?:file:/*)?/", "file:///", folder))
 
 
-def _encoder(tokenizer_json: str, pattern: str, end_id: int | None, width: str) -> Callable[[list[str | None]], list[bytes]]:
-    """Texts to the bytes of their ids: the library's model encodes each distinct pre-token of a batch once."""
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def _encoder(tokenizer_json: str, pattern: str, width: str) -> PieceEncoder:
+    """Texts to the bytes of their ids, through the library's model; one in each worker process."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_str(tokenizer_json).model
-    end = b"" if end_id is None else np.array([end_id], width).tobytes()
-    inner = ChunkEncoder(pattern, lambda parts: [[t.id for t in model.tokenize(p)] for p in parts], "H" if width == "<u2" else "I")
-    return lambda texts: [x + end for x in inner(texts)]
+    key = hashlib.sha256((tokenizer_json + pattern + width).encode()).hexdigest()
+    if key not in _encoders:
+        tokenize = Tokenizer.from_str(tokenizer_json).model.tokenize
+        _encoders[key] = PieceEncoder(pattern, lambda piece: [t.id for t in tokenize(piece)], "H" if width == "<u2" else "I")
+    return _encoders[key]
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, pattern: str, end_id: int | None = None) -> list[dict]:
@@ -58,7 +63,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, pattern
     schema = "part long, name string, width string, n_docs long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(content.value, pattern, end_id, width)
+        encode = _encoder(content.value, pattern, width)
+        end = b"" if end_id is None else np.array([end_id], width).tobytes()
         task, fs, root = TaskContext.get(), *_open(folder)
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         size, n_docs, n_tokens = np.dtype(width).itemsize, 0, 0
@@ -69,7 +75,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, pattern
                 for at in range(0, batch.num_rows, SLICE):
                     part = batch.slice(at, SLICE)
                     with without_collector():
-                        coded = encode(part.column(1).to_pylist())
+                        coded = [x + end for x in encode(part.column(1).to_pylist())]
                     ends = n_tokens + np.cumsum([len(x) // size for x in coded])
                     ids.write(b"".join(coded))
                     off.write(ends.astype("<i8").tobytes())
