@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdshard, neardup, secrets, tokenfiles, toxicity
+from . import bpe, kdshard, mixing, neardup, secrets, tokenfiles, topk, toxicity
 from .scratch import Scratch
 
 
@@ -37,12 +37,34 @@ def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op4").path("tokens")
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json").decode(), _pattern(), end_id=2)
     return tokenfiles.read_token_files(spark, folder).drop("part")
 
 
+def mixing_levels() -> dict[str, Column]:
+    """The query's tree: domains are the source number's remainder by 3, then language, then source."""
+    number = F.regexp_extract(F.col("source"), "([0-9]{1,9})$", 1)
+    domain = F.coalesce(F.when(number != "", F.element_at(F.array(F.lit("web"), F.lit("books"), F.lit("code")), (number.cast("int") % 3 + 1))), F.lit("other"))
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mixing_weights() -> dict[str, Column]:
+    return {"domain": F.when(F.col("domain") == "web", 5).when(F.col("domain") == "books", 3).otherwise(2), "lang": F.when(F.col("lang") == "en", 4).otherwise(2)}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaves = mixing.plan(docs, mixing_levels(), mixing_weights(), share=(7, 10), max_epochs=2, seed=11)
+    taken = mixing.apply_plan(docs, leaves, mixing_levels(), seed=11)
+    return taken.select("doc_id", mixing_levels()["domain"].alias("domain"), "lang", "source", mixing.tokens_of().alias("n_tokens"), "mix_epochs")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern(), ids=False)
 
@@ -62,10 +84,54 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_superminhash": op2_superminhash,
+    "op3_voronoi_topk": op3_voronoi_topk,
     "op4_token_files": op4_token_files,
+    "op5_mixing": op5_mixing,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_kd_shards": op10_kd_shards,
 }
 
-ORACLES: dict[str, str] = {}
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 5
+"""
+
+
+def _sharing_sql(name: str, parent: list[str], own: str, weight: str, down: str) -> str:
+    """One level of capped sharing: ``name`` from ``leaves`` and the budgets of the level above in ``down``."""
+    path = ", ".join([*parent, own])
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    source = f"JOIN {down} USING ({', '.join(parent)})" if parent else f"CROSS JOIN {down}"
+    upto = f"({by} ORDER BY room / w, {own} ROWS UNBOUNDED PRECEDING)"
+    return f"""
+  {name}_a AS (SELECT {path}, CAST(sum(2 * tokens) AS BIGINT) AS room, CAST({weight} AS BIGINT) AS w FROM leaves GROUP BY {path}),
+  {name}_b AS (SELECT a.*, parent_budget, sum(room) OVER {upto} - room AS before, sum(w) OVER ({by}) - sum(w) OVER {upto} + w AS frm FROM {name}_a a {source} WHERE w > 0),
+  {name}_c AS (SELECT *, room * frm <= (parent_budget - before) * w AS ok FROM {name}_b),
+  {name}_d AS (SELECT *, greatest(0, parent_budget - coalesce(sum(CASE WHEN ok THEN room END) OVER ({by}), 0)) AS rest, CASE WHEN ok THEN 0 ELSE w END AS loose FROM {name}_c),
+  {name}_e AS (SELECT *, sum(loose) OVER ({by}) AS all_loose, sum(loose) OVER {upto} AS run FROM {name}_d),
+  {name} AS (SELECT {path}, CAST(CASE WHEN ok THEN room ELSE (rest * run) // all_loose - (rest * (run - loose)) // all_loose END AS BIGINT) AS parent_budget FROM {name}_e)"""
+
+
+OP5_SQL = f"""
+WITH rows_ AS (
+  SELECT doc_id, coalesce(CAST(ceil(octet_length(encode(text)) / 4) AS BIGINT), 0) AS tokens, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    coalesce(CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) <> '' THEN ['web', 'books', 'code'][CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 3 + 1] END, 'other') AS domain FROM documents
+), leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows_ GROUP BY ALL),
+  root AS (SELECT CAST(coalesce(sum(tokens), 0) AS BIGINT) * 7 // 10 AS parent_budget FROM leaves),
+  {_sharing_sql("l1", [], "domain", "CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 ELSE 2 END", "root")},
+  {_sharing_sql("l2", ["domain"], "lang", "CASE lang WHEN 'en' THEN 4 ELSE 2 END", "l1")},
+  {_sharing_sql("l3", ["domain", "lang"], "source", "1", "l2")},
+  p AS (SELECT domain, lang, source, parent_budget // tokens AS whole, parent_budget - (parent_budget // tokens) * tokens AS more FROM l3 JOIN leaves USING (domain, lang, source) WHERE tokens > 0),
+  k AS (SELECT *, md5('11:' || whole || ':' || doc_id) AS key FROM rows_ JOIN p USING (domain, lang, source)),
+  c AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS before FROM k)
+SELECT doc_id, domain, lang, source, tokens AS n_tokens, CAST(whole + CASE WHEN before < more THEN 1 ELSE 0 END AS BIGINT) AS mix_epochs FROM c WHERE whole > 0 OR before < more
+"""
+
+ORACLES: dict[str, str] = {"op3_voronoi_topk": OP3_SQL, "op5_mixing": OP5_SQL}
