@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdshard, mixing, neardup, secrets, tokenfiles, topk, toxicity
+from . import bpe, chat, chroma, kdshard, mixing, neardup, secrets, tokenfiles, topk, toxicity
 from .scratch import Scratch
 
 
@@ -15,14 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> bytes:
+def vocabulary(name: str) -> bytes:
     import public_tokenizers
 
     with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
 
 
-def _pattern() -> str:
+def pattern() -> str:
     import public_tokenizers
 
     return public_tokenizers.PATTERN
@@ -43,7 +43,7 @@ def op3_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "op4").path("tokens")
-    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json").decode(), _pattern(), end_id=2)
+    tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json").decode(), pattern(), end_id=2)
     return tokenfiles.read_token_files(spark, folder).drop("part")
 
 
@@ -65,8 +65,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", mixing_levels()["domain"].alias("domain"), "lang", "source", mixing.tokens_of().alias("n_tokens"), "mix_epochs")
 
 
+def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.repair_roles(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "place", "turn", "role", "label", "action", "inserted", "cost", F.octet_length("piece").cast("long").alias("piece_bytes"), F.md5("piece").alias("piece_md5"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern(), ids=False)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern(), ids=False)
+
+
+def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordings = chroma.sonify(table(spark, sf_dir, "embeddings"))
+    return chroma.align(chroma.fingerprints(recordings, chroma.RATE))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_voronoi_topk": op3_voronoi_topk,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
+    "op6_role_repair": op6_role_repair,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_chroma": op8_chroma,
     "op9_toxicity": op9_toxicity,
     "op10_kd_shards": op10_kd_shards,
 }
