@@ -3,9 +3,10 @@
 How it scales: a document is sketched where it is read.  Documents with the same
 shingle set share one vertex from then on, so copies, however many, cost one row each.
 A band's bucket names a hub (its smallest vertex); each vertex is verified against its
-smallest hub, which settles large groups with one comparison a member.  Only vertices
-of a bucket that still lie in different components are compared further, by signature,
-in blocks; what passes is verified on full sets.
+smallest hub, which settles large groups with one comparison a member.  Where a bucket's
+vertices still lie in different components, those that agree by signature make clusters,
+and a cluster's components are compared on full sets, in blocks, with union-find in each
+block: what a block returns is a forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -109,8 +110,9 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(key).view(np.int64)
 
 
-def _long(digest: bytes) -> int:
-    return int.from_bytes(digest, "little", signed=True)
+def vertex_of(shingles: np.ndarray) -> int:
+    """The identity of a set: 64 bits of a hash of its sorted members."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -132,7 +134,7 @@ def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
                 vertex: list = [None] * len(sets)
                 for n, i in enumerate(full):
                     own_keys[i], own_sig[i] = keys[n], low[n].tobytes()
-                    vertex[i] = _long(hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest())
+                    vertex[i] = vertex_of(sets[i])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(vertex, pa.int64()), pa.array(own_keys, pa.list_(pa.int64())), pa.array(own_sig, pa.binary())],
                     names=["doc_id", "n_shingles", "vertex", "keys", "sig"],
@@ -142,7 +144,7 @@ def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """vertex, members (the full shingle set) of each row's text."""
+    """vertex, members (the full shingle set) of each row whose text has this set (an id may stand for several texts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +152,9 @@ def _full_sets(texts: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(at, SLICE)
                 with without_collector():
                     sets = [shingle_set(t, width).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vertex", "members"])
+                own = [v == vertex_of(s) for v, s in zip(part.column(0).to_pylist(), sets, strict=True)]
+                rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vertex", "members"])
+                yield rows.filter(pa.array(own, pa.bool_()))
 
     return texts.select("vertex", "text").mapInArrow(run, "vertex long, members array<long>")
 
@@ -163,49 +167,94 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def _agreeing(blocks: DataFrame, slots: int, percent: int) -> DataFrame:
-    """Pairs of each block's left and right rows whose sizes and signatures allow the threshold.
+def _find(parent: dict[int, int], x: int) -> int:
+    while (up := parent.get(x, x)) != x:
+        parent[x] = parent.get(up, up)
+        x = parent[x]
+    return x
 
-    ``blocks``: block (the bucket, left and right block numbers), side, vertex, root, n_shingles, sig;
-    a block holds at most a few thousand rows and arrives as one run of sorted rows.
+
+def _joined(rows: pa.Table, slots: int, percent: int, exact: bool) -> list[tuple[int, int]]:
+    """A forest of links between the roots of one block's left and right rows.
+
+    A pair counts if its sizes and signatures allow the threshold and, if ``exact``, its full
+    sets reach it.  Pairs whose roots the forest already joins are passed over.
     """
     p = percent / 100
     least = slots * p - DEVIATIONS * (slots * p * (1 - p)) ** 0.5
-    names = ["key", "i", "j", "side", "vertex", "root", "n_shingles", "sig"]
-
-    def compare(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        side = rows["side"].to_numpy()
-        v, root, n = (rows[c].to_numpy() for c in ("vertex", "root", "n_shingles"))
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(-1, slots)
-        lefts, rights = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found: list[np.ndarray] = []
-        for x in lefts.tolist():
-            y = rights[(root[rights] != root[x]) & (v[rights] != v[x])]
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= least] if len(y) else y
-            found.append(np.stack([np.full(len(y), x), y]))
-        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
-        return np.minimum(v[x], v[y]), np.maximum(v[x], v[y])
+    right_side = rows["side"].to_numpy() == 1
+    vertex, n, root = (rows[c].to_numpy() for c in ("vertex", "n_shingles", "root"))
+    sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), "<u2").reshape(-1, slots)
+    main = rows["main"].to_numpy(zero_copy_only=False)
+    sets: dict[int, frozenset] = {}
+
+    def members(i: int) -> frozenset:
+        if i not in sets:
+            sets[i] = frozenset(rows["members"][i].as_py())
+        return sets[i]
+
+    parent: dict[int, int] = {}
+    out = []
+    right = np.flatnonzero(right_side)
+    for x in np.flatnonzero(~right_side).tolist():
+        # Of two rows outside the main component, the smaller is the left one, once.
+        y = right[(root[right] != root[x]) & (main[right] | (vertex[right] > vertex[x]))]
+        y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+        same = (sig[y] == sig[x]).sum(axis=1)
+        order = np.argsort(-same, kind="stable")
+        for k in order[: int((same >= least).sum())].tolist():
+            i = int(y[k])
+            a, b = _find(parent, int(root[x])), _find(parent, int(root[i]))
+            if a == b:
+                continue
+            if exact:
+                shared = len(members(x) & members(i))
+                if 100 * shared < percent * (int(n[x]) + int(n[i]) - shared):
+                    continue
+            parent[max(a, b)] = min(a, b)
+            out.append((int(root[x]), int(root[i])))
+    return out
+
+
+def _forests(placed: DataFrame, group: str, slots: int, percent: int, scratch: Scratch, faces: DataFrame, exact: bool) -> DataFrame:
+    """Links (a, b) between roots of the same group.
+
+    ``placed``: the group column, vertex, root.  The root with most of a group's rows is its
+    main one; its rows are compared with the others', not with one another.  A group is dealt
+    out in blocks of about BLOCK left rows (outside the main root) and BLOCK right ones (all).
+    """
+    shares = placed.groupBy(group, "root").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy(group).agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("n_roots"))
+    mixed = mixed.filter("n_roots > 1").select(group, F.col("main.root").alias("main_root"), F.ceil((F.col("total") - F.col("main.n")) / BLOCK).cast("int").alias("n_left"), F.ceil(F.col("total") / BLOCK).cast("int").alias("n_right"))
+    mixed = scratch.cut(mixed, f"mixed-{group}")
+    rest = scratch.cut(placed.join(mixed, group), f"rest-{group}").join(faces, "vertex")
+    rest = rest.withColumn("main", F.col("root") == F.col("main_root"))
+    spread = F.xxhash64("vertex")
+    right = rest.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("i"), F.pmod(spread, F.col("n_right")).cast("int").alias("j"))
+    left = rest.filter("not main").select("*", F.lit(0).alias("side"), F.pmod(spread, F.col("n_left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("j"))
+    names = [group, "i", "j", "side", "vertex", "root", "main", "n_shingles", "sig", *["members"] * exact]
+    blocks = left.select(names).unionByName(right.select(names)).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
-        def runs(table: pa.Table, last: bool) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
-            ident = np.stack([table[c].to_numpy() for c in ("key", "i", "j")])
+        def runs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+            ident = np.stack([table[c].to_numpy() for c in (group, "i", "j")])
             cuts = [0, *(np.flatnonzero((ident[:, 1:] != ident[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
             whole = cuts if last else cuts[:-1]
-            out = [compare(table.slice(a, b - a)) for a, b in zip(whole, whole[1:], strict=False)]
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-            return [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])], table.slice(whole[-1]).to_batches()
+            with without_collector():
+                found = [link for a, b in zip(whole, whole[1:], strict=False) for link in _joined(table.slice(a, b - a), slots, percent, exact)]
+            links = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays(links, names=["a", "b"]), table.slice(whole[-1]).to_batches()
 
         for batch in batches:
-            if batch.num_rows:
-                done, kept = runs(pa.Table.from_batches([*kept, batch]), False)
-                yield from done
+            for at in range(0, batch.num_rows, 4 * BLOCK):
+                done, kept = runs(pa.Table.from_batches([*kept, batch.slice(at, 4 * BLOCK)]), False)
+                yield done
         if kept:
-            yield from runs(pa.Table.from_batches(kept), True)[0]
+            yield runs(pa.Table.from_batches(kept), True)[0]
 
-    return blocks.select(names).mapInArrow(run, "a long, b long")
+    return scratch.cut(blocks.mapInArrow(run, "a long, b long"), f"forest-{group}")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -234,34 +283,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     first = linked.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
     one = scratch.cut(active.join(first, "vertex"), "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.cut(_full_sets(texts.join(one, "doc_id"), width).dropDuplicates(["vertex"]), "sets")
+    # A merge join at every size: what it moves then grows in proportion.
+    sets = scratch.cut(_full_sets(texts.join(one.hint("merge"), "doc_id"), width), "sets")
 
     # Each vertex against its smallest hub.
     to_hub = members.groupBy(F.col("vertex").alias("a")).agg(F.min("hub").alias("b")).filter("a != b")
-    links = scratch.cut(_verified(to_hub, sets, percent), "links-hub")
-    roots = components(links, scratch, "hubs")
+    roots = components(scratch.cut(_verified(to_hub, sets, percent), "links-hub"), scratch, "hubs")
 
-    # Members of a bucket that lie in different components still.  The component with the
-    # largest share of a bucket is compared with the others only, never within itself.
+    # Buckets whose vertices lie in different components still: clusters of what agrees by signature.
     placed = scratch.cut(members.select("vertex", "key").join(roots, members.vertex == roots.node, "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root")), "placed")
-    shares = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.count("*").alias("n_roots"))
-    mixed = scratch.cut(mixed.filter("n_roots > 1").select("key", F.col("main.root").alias("main_root"), F.ceil((F.col("total") - F.col("main.n")) / BLOCK).alias("n_left"), F.ceil(F.col("total") / BLOCK).alias("n_right")), "mixed")
     faces = scratch.cut(linked.join(active, "vertex", "left_semi").groupBy("vertex").agg(F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "faces")
-    rest = scratch.cut(placed.join(mixed, "key"), "rest").join(faces, "vertex")
-    spread = F.xxhash64("vertex")
-    right = rest.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("n_left").cast("int") - 1)).alias("i"), F.pmod(spread, F.col("n_right")).cast("int").alias("j"))
-    left = rest.filter("root != main_root").select("*", F.lit(0).alias("side"), F.pmod(spread, F.col("n_left")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_right").cast("int") - 1)).alias("j"))
-    blocks = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = _agreeing(blocks, slots, percent).distinct()
-    more = scratch.cut(_verified(pairs, sets, percent), "links-rest")
-    scratch.drop("sets", "faces", "placed", "rest", "members", "buckets")
-
-    # Links between components join these; a vertex that no link names is its own root.
-    named = more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    tops = components(named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch, "all")
-    seen = roots.union(more.select("a", "a")).union(more.select("b", "b")).groupBy("node").agg(F.min("root").alias("root"))
-    final = scratch.cut(seen.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "final")
+    clusters = components(_forests(placed, "key", slots, percent, scratch, faces, False), scratch, "clusters")
+
+    # A cluster's components, on full sets.
+    near = placed.select("vertex", "root").distinct().join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root")
+    near = scratch.cut(near.select("cluster", "vertex", "root"), "near")
+    tops = components(_forests(near, "cluster", slots, percent, scratch, faces.join(sets, "vertex"), True), scratch, "tops")
+    scratch.drop("sets", "faces", "placed", "members", "buckets", "near")
+
+    tops = tops.select(F.col("node").alias("at"), F.col("root").alias("top"))
+    first_roots = roots.join(tops, roots.root == tops["at"], "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = tops.join(roots, tops["at"] == roots.node, "left_anti").select(F.col("at").alias("node"), F.col("top").alias("root"))
+    final = scratch.cut(first_roots.union(alone), "final")
 
     mine = own.select("doc_id", "n_shingles", "vertex")
     ends = scratch.cut(mine.join(final, mine.vertex == final.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "vertex").alias("root")), "ends")
