@@ -2,5 +2,206 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..functions.geo import milli
+from ..operators import ghost, matching, movement, ranking, routes, sessions, timing
+from ..sources import traces
+from . import oracles
+from .analysis import Analysis
+
+_kept: dict[tuple[str, str], Analysis] = {}
+
+
+def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    """The analysis of a folder's tables; its staged tables are shared by the queries of one application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        samples = traces.synthetic_samples(spark, sf_dir)
+        _kept[key] = Analysis(samples, traces.synthetic_courses(spark, sf_dir), traces.synthetic_attempts(samples))
+    return _kept[key]
+
+
+def _raw_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with the faults that cleaning must find, at some events."""
+    s = traces.synthetic_samples(spark, sf_dir)
+    n = F.col("id").cast("long")
+    return s.withColumns({
+        "latitude": F.when(n % 13 == 0, F.lit(91.0)).when(n % 17 == 0, F.lit(float("nan"))).otherwise(F.col("latitude")),
+        "accuracy": F.when(n % 7 == 0, -1.0).otherwise(F.col("accuracy")), "heading": F.when(n % 5 == 0, 361.0).otherwise(F.lit(90.0)),
+        "recorded_at_ms": F.when(n % 19 == 0, 0).otherwise(F.col("recorded_at_ms")),
+    })
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session for each customer; many have no samples."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"))
+    return c.select(
+        F.col("k").cast("string").alias("id"), (F.lit(traces.BASE_MS) + F.col("k") * 1000).alias("started_at_ms"), (F.col("k") % 7 == 0).alias("is_active"),
+        F.when(F.col("k") % 3 == 0, "attempt").otherwise("route_creation").alias("purpose"), F.when(F.col("k") % 2 == 0, "finished").otherwise("interrupted").alias("capture_outcome"), F.when(F.col("k") % 5 == 0, "saved").otherwise("pending").alias("review_disposition"),
+    )
+
+
+def q_clean_fixes(spark, d):
+    return traces.clean_fixes(_raw_fixes(spark, d)).select("attempt_id", "id", "recorded_at_ms", milli(F.col("accuracy")).alias("accuracy"), milli(F.col("speed")).alias("speed"), milli(F.col("heading")).alias("heading"))
+
+
+def q_session_last_fix(spark, d):
+    return sessions.with_last_sample(_sessions(spark, d), traces.synthetic_samples(spark, d)).select("id", "started_at_ms", "last_sample_at_ms")
+
+
+def q_active_topk(spark, d):
+    s = _sessions(spark, d)
+    tops = {"active": sessions.active_session(s), "latest": sessions.latest_session(s), "pending": sessions.pending_route_creation(s)}
+    out = None
+    for kind, top in tops.items():
+        row = top.select(F.lit(kind).alias("kind"), "id", "started_at_ms")
+        out = row if out is None else out.union(row)
+    return out
+
+
+def q_session_samples(spark, d):
+    s = traces.synthetic_samples(spark, d)
+    return sessions.samples_of(s, "3").select("id", "recorded_at_ms", milli(F.col("latitude")).alias("latitude"))
+
+
+def q_path_length(spark, d):
+    return traces.synthetic_courses(spark, d).select("route_id", milli(F.col("finish_p")).alias("length_mm"))
+
+
+def _points(spark, d):
+    s = traces.synthetic_samples(spark, d)
+    return s.select("route_id", F.concat_ws(":", "attempt_id", "id").alias("id"), "latitude", (F.col("longitude") + (F.col("id").cast("long") % 7) * 0.0001).alias("longitude"))
+
+
+def q_project_nearest(spark, d):
+    p = matching.nearest_projection(_points(spark, d), traces.synthetic_courses(spark, d))
+    return p.select("id", milli(F.col("progress_m")).alias("progress_mm"), milli(F.col("snap_m")).alias("snap_mm"))
+
+
+def q_points_at(spark, d):
+    c = traces.synthetic_courses(spark, d)
+    marks = c.select("route_id", F.explode(F.sequence(F.lit(-20), F.lit(340), F.lit(15))).alias("id")).withColumn("progress_m", F.col("id").cast("double"))
+    return matching.points_at(marks, c).select("route_id", "id", F.floor(F.col("latitude") * 1e7 + 0.5).cast("long").alias("lat_e7"))
+
+
+def q_bounds(spark, d):
+    e7 = lambda c: F.floor(F.col(c) * 1e7 + 0.5).cast("long").alias(c)
+    return matching.bounds(traces.synthetic_courses(spark, d)).select("route_id", *map(e7, ("south", "north", "west", "east")))
+
+
+def q_match(spark, d):
+    return analysis(spark, d).matched.select("attempt_id", "seq", "quality", milli(F.col("progress_m")).alias("progress_mm"), milli(F.col("snap_m")).alias("snap_mm"))
+
+
+def q_attempt_status(spark, d):
+    a = analysis(spark, d)
+    replayed = a.runs.select("attempt_id", F.col("lifecycle").alias("replayed"), "validity")
+    return a.status.join(replayed, "attempt_id").select("attempt_id", "route_id", "replayed", "validity", "eligible", "reason", milli(F.col("started_at")).alias("started_us"), milli(F.col("finished_at")).alias("finished_us"))
+
+
+def q_start_zone(spark, d):
+    a = analysis(spark, d)
+    return timing.start_zone_status(a.matched, a.courses)
+
+
+def q_crossings(spark, d):
+    return analysis(spark, d).crossings.select("attempt_id", "checkpoint_id", milli(F.col("crossed_at")).alias("crossed_us"))
+
+
+def q_rank_pb(spark, d):
+    return analysis(spark, d).ranked.select("route_id", "attempt_id", milli(F.col("official_ms")).alias("official_us"), "rank", "is_pb", "target_id", milli(F.col("delta_pb_ms")).alias("delta_pb_us"), milli(F.col("delta_previous_ms")).alias("delta_previous_us"), "pb_before_id")
+
+
+def q_route_summary(spark, d):
+    a = analysis(spark, d)
+    return ranking.route_summary(a.status, a.courses, a.segments).select("route_id", F.col("ranked").cast("long").alias("ranked"), "pb_id", milli(F.col("pb_ms")).alias("pb_us"), "last_id", milli(F.col("sum_of_best_ms")).alias("sum_of_best_us"))
+
+
+def q_segments(spark, d):
+    return analysis(spark, d).segments.select("attempt_id", "seg", "segment_id", milli(F.col("duration_ms")).alias("duration_us"))
+
+
+def q_segment_deltas(spark, d):
+    a = analysis(spark, d)
+    return ranking.segment_deltas(a.segments, a.ranked).select("attempt_id", "seg", milli(F.col("delta_ms")).alias("delta_us"), "is_new_gold")
+
+
+def q_history(spark, d):
+    a = analysis(spark, d)
+    return ranking.history(a.status, a.ranked).select("route_id", "attempt_id", "place", "rank", "is_pb", "eligible", "reason")
+
+
+def q_move_intervals(spark, d):
+    return analysis(spark, d).intervals.select("attempt_id", "n", "label", milli(F.col("end_ms") - F.col("start_ms")).alias("duration_us"))
+
+
+def q_move_breakdown(spark, d):
+    return analysis(spark, d).breakdown.select("attempt_id", *[milli(F.col(f"{c}_ms")).alias(f"{c}_us") for c in ("official", "moving", "waiting", "unknown")], "trust")
+
+
+def q_wait_events(spark, d):
+    return analysis(spark, d).waits.select("attempt_id", milli(F.col("start_ms")).alias("start_us"), milli(F.col("end_ms")).alias("end_us"), milli(F.col("duration_ms")).alias("duration_us"), milli(F.col("progress_m")).alias("progress_mm"), "located")
+
+
+def q_nearest_wait(spark, d):
+    a = analysis(spark, d)
+    taps = a.waits.filter("located").groupBy("attempt_id").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude")).withColumn("point_id", F.lit("middle"))
+    return movement.nearest_wait(a.waits, taps)
+
+
+def q_wait_clusters(spark, d):
+    return analysis(spark, d).clusters
+
+
+def q_wait_comparison(spark, d):
+    return analysis(spark, d).comparison
+
+
+def q_ghost_knots(spark, d):
+    return analysis(spark, d).knots.select("attempt_id", "n", "kind", milli(F.col("elapsed_ms")).alias("elapsed_us"), milli(F.col("progress_m")).alias("progress_mm"))
+
+
+def q_stall_runs(spark, d):
+    return ghost.stalls(analysis(spark, d).legs).select("attempt_id", milli(F.col("e0")).alias("start_us"), milli(F.col("e1")).alias("end_us"), milli(F.col("lo")).alias("low_mm"), milli(F.col("hi")).alias("high_mm"))
+
+
+def q_ghost_delta(spark, d):
+    return analysis(spark, d).ghosts
+
+
+def q_painted_finish(spark, d):
+    a = analysis(spark, d)
+    return ghost.painted_finish(a.knots, a.legs, a.ranked, a.courses)
+
+
+def q_route_geometry(spark, d):
+    r = routes.derive_routes(traces.synthetic_samples(spark, d))
+    return r.select("session_id", "saveable", "reason", F.size("path").alias("points"), milli(F.col("distance_m")).alias("distance_mm"))
+
+
+def q_layouts(spark, d):
+    c = traces.synthetic_courses(spark, d)
+    return routes.layout_problem(c).join(routes.layout_identity(c), "route_id")
+
+
+def q_course_geojson(spark, d):
+    return traces.course_geojson(traces.synthetic_courses(spark, d))
+
+
+def q_sample_lines(spark, d):
+    return traces.sample_line(traces.synthetic_samples(spark, d))
+
+
+def q_format(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"))
+    k = F.col("k")
+    return o.select("k", text.elapsed(k * 997 - 5000).alias("elapsed"), text.signed_delta((k % 9000 - 4500) * 1000).alias("delta"), text.ordinal(k).alias("ordinal"), text.percent((k % 1500) / 1000.0).alias("share"), text.wait_duration(k * 10).alias("wait"), text.wait_delta((k % 5000 - 2500) * 7).alias("wait_delta"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for n, f in list(globals().items()) if n.startswith("q_")}
+ORACLES: dict[str, str] = oracles.ORACLES
