@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Pivots: all that reaches every executor, whatever the number of vectors.
-PIVOTS = 256
-#: Sizes of the blocks of queries and data that meet in one task group.
-QUERY_BLOCK, DATA_BLOCK = 256, 4_096
+#: Pivots, at most: all that reaches every executor, whatever the number of vectors; and queries a pivot, about.
+PIVOTS, QUERIES_A_PIVOT = 256, 512
+#: Sizes of the blocks of queries and data that meet in one task group, and rows that are worked on at a time.
+QUERY_BLOCK, DATA_BLOCK, SLICE = 1_024, 8_192, 512
 
 
 def usable(vector: str) -> Column:
@@ -68,14 +68,16 @@ def _same_length(rows: DataFrame, k: int, every: int, pivots: int, scratch: Scra
     queries = rows.filter(F.col("vec_id") % every == 0)
     # Pivots are a hash-ordered sample of a fixed size; a distinct vector is taken once.
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * pivots).collect()
-    chosen = list({tuple(r.v): r for r in drawn}.values())[:pivots]
+    # Every group of queries costs each data vector a copy unless the bounds rule it out, so groups aren't made small.
+    wanted = min(pivots, max(1, queries.count() // QUERIES_A_PIVOT))
+    chosen = list({tuple(r.v): r for r in drawn}.values())[:wanted]
     centres = np.array([r.v for r in chosen], float).reshape(len(chosen), dim)
     shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in drawn]), np.array([r.v for r in drawn], float).reshape(len(drawn), dim), centres))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query's cell, and the k-th best score that it is sure of: among the sampled rows, its own id left out."""
         ids, sample, centres = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             q, x = batch.column(0).to_numpy(), _rows(batch.column(1))
             near = ((centres**2).sum(1)[None] - 2 * x @ centres.T).argmin(1)
             scores = np.where(ids[None] == q[:, None], -np.inf, x @ sample.T)
@@ -108,7 +110,7 @@ def _same_length(rows: DataFrame, k: int, every: int, pivots: int, scratch: Scra
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A data vector for each query group whose sure score it could reach, once for each of its blocks of queries."""
         cells, middle, radius, sure, blocks = bounds.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             x = _rows(batch.column(1))
             most = x @ middle.T + np.sqrt((x**2).sum(1))[:, None] * radius[None]
             row, group = np.nonzero(most >= sure[None] - 1e-6 * np.abs(sure[None]) - 1e-6)
@@ -134,9 +136,8 @@ def _same_length(rows: DataFrame, k: int, every: int, pivots: int, scratch: Scra
             x, y = _rows(asked["v"].combine_chunks()), _rows(data["v"].combine_chunks())
             order = np.argsort(d, kind="stable")
             d, y = d[order], y[order]
-            scores = x @ y.T
             for i in range(len(q)):
-                s = scores[i]
+                s = y @ x[i]
                 own = d != q[i]
                 live = np.flatnonzero(own)
                 if len(live) > k:  # everything that the k-th best score reaches, then ties by id
