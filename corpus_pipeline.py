@@ -17,9 +17,8 @@ from waywright.llm.scratch import Scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-or model, trained on the labelled ones among them, predicts toxic go."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = tuple(c for c in docs.columns if c != "predicted")
-    scored = toxicity.score(docs, model, keep=columns)
-    return scored.filter("predicted = 0").select(docs.columns)
+    packed = docs.select(F.struct("*").alias("row"), "text")  # whatever the columns are named
+    return toxicity.score(packed, model, keep=("row",)).filter("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
