@@ -125,5 +125,6 @@ def encode_documents(docs: DataFrame, vocabulary: bytes, pattern: str, keep: tup
                 if ids:
                     columns.append(pa.array(coded, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        codec.encode.kept = {}  # the worker process lives on, beside other operators' memory
 
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, T.StructType(fields))

@@ -17,7 +17,7 @@ import regex
 
 _CUT = re.compile(r" (?<=\S )(?=\S)")
 LONGEST_KEPT = 64
-MOST_KEPT = 600_000
+MOST_KEPT = 300_000
 
 # The bytes that byte-level vocabularies show as themselves; the others,
 # in ascending order, are shown as the characters from 256 on.

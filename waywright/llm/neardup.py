@@ -175,7 +175,7 @@ def _find(parent: dict[int, int], x: int) -> int:
 
 
 def _joined(rows: pa.Table, slots: int, percent: int, exact: bool) -> list[tuple[int, int]]:
-    """A forest of links between the roots of one block's left and right rows.
+    """Links that join the roots of one block's left and right rows, each to the smallest of those it is joined with.
 
     A pair counts if its sizes and signatures allow the threshold and, if ``exact``, its full
     sets reach it.  Pairs whose roots the forest already joins are passed over.
@@ -194,7 +194,6 @@ def _joined(rows: pa.Table, slots: int, percent: int, exact: bool) -> list[tuple
         return sets[i]
 
     parent: dict[int, int] = {}
-    out = []
     right = np.flatnonzero(right_side)
     for x in np.flatnonzero(~right_side).tolist():
         # Of two rows outside the main component, the smaller is the left one, once.
@@ -212,8 +211,7 @@ def _joined(rows: pa.Table, slots: int, percent: int, exact: bool) -> list[tuple
                 if 100 * shared < percent * (int(n[x]) + int(n[i]) - shared):
                     continue
             parent[max(a, b)] = min(a, b)
-            out.append((int(root[x]), int(root[i])))
-    return out
+    return [(r, _find(parent, r)) for r in parent if _find(parent, r) != r]
 
 
 def _forests(placed: DataFrame, group: str, slots: int, percent: int, scratch: Scratch, faces: DataFrame, exact: bool) -> DataFrame:
@@ -280,11 +278,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     # Full sets of the vertices that share a bucket, from one text each.
     active = members.select("vertex").distinct()
-    first = linked.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"))
-    one = scratch.cut(active.join(first, "vertex"), "active")
+    first = linked.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    one = scratch.cut(first.join(active, "vertex"), "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # A merge join at every size: what it moves then grows in proportion.
-    sets = scratch.cut(_full_sets(texts.join(one.hint("merge"), "doc_id"), width), "sets")
+    sets = scratch.cut(_full_sets(texts.join(one.select("doc_id", "vertex").hint("merge"), "doc_id"), width), "sets")
 
     # Each vertex against its smallest hub.
     to_hub = members.groupBy(F.col("vertex").alias("a")).agg(F.min("hub").alias("b")).filter("a != b")
@@ -292,14 +290,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     # Buckets whose vertices lie in different components still: clusters of what agrees by signature.
     placed = scratch.cut(members.select("vertex", "key").join(roots, members.vertex == roots.node, "left").select("key", "vertex", F.coalesce("root", "vertex").alias("root")), "placed")
-    faces = scratch.cut(linked.join(active, "vertex", "left_semi").groupBy("vertex").agg(F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig")), "faces")
+    faces = one.select("vertex", "n_shingles", "sig")
     clusters = components(_forests(placed, "key", slots, percent, scratch, faces, False), scratch, "clusters")
 
     # A cluster's components, on full sets.
     near = placed.select("vertex", "root").distinct().join(clusters.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root")
     near = scratch.cut(near.select("cluster", "vertex", "root"), "near")
     tops = components(_forests(near, "cluster", slots, percent, scratch, faces.join(sets, "vertex"), True), scratch, "tops")
-    scratch.drop("sets", "faces", "placed", "members", "buckets", "near")
+    scratch.drop("sets", "active", "placed", "members", "buckets", "near")
 
     tops = tops.select(F.col("node").alias("at"), F.col("root").alias("top"))
     first_roots = roots.join(tops, roots.root == tops["at"], "left").select("node", F.coalesce("top", "root").alias("root"))

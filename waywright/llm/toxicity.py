@@ -30,7 +30,8 @@ MOST_FEATURES = 4_096
 LEAST_DOCS = 4
 LEAST_G = 20.0
 SLICE = 256
-MOST_WORDS = 500_000
+MOST_WORDS = 100_000
+MOST_COUNTED = 100_000
 
 
 @dataclass
@@ -66,18 +67,21 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, scratch: Scratch) ->
 def _counted(sample: DataFrame) -> DataFrame:
     """feature, documents that have it, toxic ones among them."""
 
+    def rows(count: list[Counter]) -> pa.RecordBatch:
+        every = list(count[0].keys() | count[1].keys())
+        toxic = [count[1][f] for f in every]
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([count[0][f] + n for f, n in zip(every, toxic, strict=True)], pa.int64()), pa.array(toxic, pa.int64())], names=["feature", "docs", "toxic"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = [Counter(), Counter()]
         for batch in batches:
-            with without_collector():
-                for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = set(WORD.findall((text or "").lower()))
-                    count[toxic].update({f for w in words for f in features(w)})
-        every = list(count[0].keys() | count[1].keys())
-        for at in range(0, len(every), 50_000):
-            part = every[at : at + 50_000]
-            toxic = [count[1][f] for f in part]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([count[0][f] + n for f, n in zip(part, toxic, strict=True)], pa.int64()), pa.array(toxic, pa.int64())], names=["feature", "docs", "toxic"])
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = set(WORD.findall((text or "").lower()))
+                count[toxic].update({f for w in words for f in features(w)})
+                if len(count[0]) + len(count[1]) > MOST_COUNTED:
+                    yield rows(count)
+                    count = [Counter(), Counter()]
+        yield rows(count)
 
     found = sample.select("text", "toxic").mapInArrow(run, "feature string, docs long, toxic long")
     return found.groupBy("feature").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
