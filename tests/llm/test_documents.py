@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import random
 import re
 import string
@@ -70,6 +71,24 @@ def test_token_files_equal_the_library(spark):
     assert sum(p["n_tokens"] for p in parts) == start
 
 
+@pytest.mark.parametrize("changed", [{}, {"lstrip": True, "rstrip": True}, {"single_word": True}])
+def test_token_files_take_added_tokens_as_the_library_does(spark, changed):
+    texts = ["end <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext|", "plain words", None, *(t for t in odd_texts(400) if "<|endoftext|>" in t)]
+    with open(P.path("byte_bpe_50k.json")) as f:
+        spec = json.loads(f.read())
+    spec["added_tokens"] = [t | changed for t in spec["added_tokens"]] + [spec["added_tokens"][0] | {"id": 70_000, "content": "b<|endo"}] * bool(changed)
+    spec = json.dumps(spec)
+    library = Tokenizer.from_str(spec)
+    folder = Scratch(spark, "t").path("added")
+    tokenfiles.write_token_files(docs(spark, list(enumerate(texts))).repartition(3), folder, spec, P.PATTERN, end_id=2)
+    rows = {r.doc_id: r for r in tokenfiles.read_token_files(spark, folder).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
+
+
 def test_token_files_hard_cases(spark):
     with open(P.path("byte_bpe_50k.json")) as f:
         spec = f.read()

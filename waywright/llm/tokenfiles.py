@@ -26,17 +26,38 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^(?:file:/*)?/", "file:///", folder))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
-def _encoder(tokenizer_json: str, pattern: str, width: str) -> PieceEncoder:
-    """Texts to the bytes of their ids, through the library's model; one in each worker process."""
-    from tokenizers import Tokenizer
+class TextEncoder:
+    """Texts to the bytes of their ids, through the library's model; texts with an added token in them through its ``encode``."""
 
+    def __init__(self, tokenizer_json: str, pattern: str, width: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(tokenizer_json)
+        self.library.no_truncation()
+        self.library.no_padding()
+        tokenize = self.library.model.tokenize
+        self.width = width
+        self.pieces = PieceEncoder(pattern, lambda piece: [t.id for t in tokenize(piece)], "H" if width == "<u2" else "I")
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        found = {i for i, t in enumerate(texts) if t and self.added and self.added.search(t)}
+        plain = iter(self.pieces(t for i, t in enumerate(texts) if i not in found))
+        return [self._whole(t) if i in found else next(plain) for i, t in enumerate(texts)]
+
+
+def _encoder(tokenizer_json: str, pattern: str, width: str) -> TextEncoder:
+    """One in each worker process."""
     key = hashlib.sha256((tokenizer_json + pattern + width).encode()).hexdigest()
     if key not in _encoders:
-        tokenize = Tokenizer.from_str(tokenizer_json).model.tokenize
-        _encoders[key] = PieceEncoder(pattern, lambda piece: [t.id for t in tokenize(piece)], "H" if width == "<u2" else "I")
+        _encoders[key] = TextEncoder(tokenizer_json, pattern, width)
     return _encoders[key]
 
 
@@ -52,8 +73,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, pattern
     the counts that tasks return, one row a partition.
 
     The vocabulary is a byte-level BPE without normaliser whose pre-tokenizer splits by
-    ``pattern``; special tokens written out in a text are ordinary text.  A null text
-    counts as empty; an empty table gives an empty manifest.
+    ``pattern``; added tokens written out in a text get their ids, as the library's
+    ``encode(add_special_tokens=False)`` gives them.  A null text counts as empty; an empty
+    table gives an empty manifest.
     """
     spec = json.loads(tokenizer_json)
     top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", [])), end_id or 0])
