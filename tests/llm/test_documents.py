@@ -193,6 +193,27 @@ def test_secrets_battery_finds_random_tokens_only(spark):
     assert hits >= 0.9 * len(planted) and sum(x.n_random for x in found.values()) <= hits + 4
 
 
+def test_secrets_battery_tests_lower_case_keys(spark):
+    """Keys of a to z, some with a capital first, among long words; many long words don't hide other random tokens."""
+    r = random.Random(11)
+    parts = ["the", "ing", "ou", "re", "st", "and", "er", "ti"]
+    words = ["".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    long = ["".join(r.choice(parts) for _ in range(16)) for _ in range(3000)]
+    planted = {i: "".join(r.choices(string.ascii_lowercase, k=40)) for i in range(0, 1500, 10)}
+    planted |= {i: t.capitalize() for i, t in planted.items() if i % 20 == 0} | {i: "".join(r.choices(string.ascii_letters + string.digits, k=40)) for i in range(5, 1500, 100)}
+    rows = [(i, " ".join([*r.choices(words, k=80), planted.get(i, ""), *r.choices(long, k=2), *r.choices(words, k=60)])) for i in range(1500)]
+    d = docs(spark, rows)
+    limits = secrets.calibrate(d)
+    found = {x.doc_id: x for x in secrets.scan(d, limits).collect()}
+    hits = {i for i, t in planted.items() if f"random:{rows[i][1].index(t)}:{rows[i][1].index(t) + 40}" in found[i].spans}
+    for kind in (0, 5, 10):  # with a capital, letters and digits, lower case
+        own = [i for i in planted if (5 if i % 2 else i % 20) == kind]
+        assert sum(i in hits for i in own) >= 0.9 * len(own), kind
+    assert sum(x.n_random for x in found.values()) <= 1.1 * len(hits)
+    clean = {x.doc_id: x.text for x in secrets.redact(d, limits).collect()}
+    assert all(planted[i] not in clean[i] for i in hits)
+
+
 def test_secrets_hard_cases_and_redaction(spark):
     d = hard(spark)
     limits = secrets.calibrate(d)

@@ -4,8 +4,9 @@ The battery asks of every long token whether its characters look drawn at random
 encoding that it seems to use: a chi-squared test of uniformity, a runs test around the
 alphabet's middle and a serial-correlation test, joined by Fisher's method into one p value.
 How often ordinary text reaches such a value depends on its length, so tokens are judged in
-strata of length against ordinary text of that length, long words and joined words of every
-document, and a stratum's findings are limited by the Benjamini-Hochberg rule.
+strata of length against ordinary text of that length, joined words of every document, and a
+stratum's findings are limited by the Benjamini-Hochberg rule.  Tokens that may be words,
+letters in one case, have strata of their own, so that many long words don't hide other tokens.
 """
 
 from __future__ import annotations
@@ -53,9 +54,11 @@ DISCOVERY = 0.05
 #: Lengths of joined words that each document gives, one a stratum, and how much ordinary text a stratum needs of its own.
 JOINED = (16, 23, 32, 46, 64, 91, 128)
 LEAST_ORDINARY = 200
+TOKEN_KINDS = ("other", "word")  # by whether a token may be a word
 SLICE = 256
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
+Stratum = tuple[int, bool]  # of length, and whether its tokens may be words
 
 
 def base_spans(text: str) -> list[Span]:
@@ -129,6 +132,12 @@ def _is_word(token: str) -> bool:
     return token.isalpha() and token[1:].islower()
 
 
+def judged(token: str) -> tuple[Stratum, int]:
+    """A token's stratum and level; a capital at the start of letters in lower case doesn't count."""
+    word = _is_word(token.rstrip("="))
+    return (stratum(len(token)), word), level(token.lower() if word else token)
+
+
 def _tokens(text: str, spans: list[Span]) -> Iterator[re.Match]:
     """Long tokens that overlap no base span."""
     k = 0
@@ -151,12 +160,12 @@ def joined_words(text: str) -> list[str]:
     return [letters[:n] for n in JOINED if n <= len(letters)]
 
 
-def calibrate(docs: DataFrame, discovery: float = DISCOVERY) -> dict[int, int]:
-    """For each length stratum with findings, the largest level that counts as random.
+def calibrate(docs: DataFrame, discovery: float = DISCOVERY) -> dict[Stratum, int]:
+    """For each stratum with findings, the largest level that counts as random.
 
-    One pass over all whole texts counts ordinary text and other tokens by stratum and level;
+    One pass over all whole texts counts ordinary text and tokens by stratum and level;
     the driver gets these counts, whose number doesn't grow with the rows.  A level's p value
-    is the share of the stratum's ordinary text that reaches it (each count plus one; strata
+    is the share of ordinary text of that length that reaches it (each count plus one; lengths
     with little take in shorter ones); it is accepted if it is at most ``discovery`` times
     the share of the stratum's tokens that reach it.  No texts, or no tokens, give no limits.
     """
@@ -167,46 +176,51 @@ def calibrate(docs: DataFrame, discovery: float = DISCOVERY) -> dict[int, int]:
             for text in batch.column(0).to_pylist():
                 if text:
                     for m in _tokens(text, base_spans(text)):
-                        t = m.group()
-                        count[stratum(len(t)), _is_word(t), level(t)] += 1
+                        (s, word), lev = judged(m.group())
+                        count[s, TOKEN_KINDS[word], lev] += 1
                     for t in joined_words(text):
-                        count[stratum(len(t)), True, level(t)] += 1
+                        count[stratum(len(t)), "ordinary", level(t)] += 1
         keys = list(count)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())],
-            names=["stratum", "ordinary", "level", "n"],
+            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())],
+            names=["stratum", "kind", "level", "n"],
         )
 
-    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "stratum int, ordinary boolean, level int, n long")
-    return limits_of([tuple(r) for r in seen.groupBy("stratum", "ordinary", "level").agg(F.sum("n").alias("n")).collect()], discovery)
+    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "stratum int, kind string, level int, n long")
+    return limits_of([tuple(r) for r in seen.groupBy("stratum", "kind", "level").agg(F.sum("n").alias("n")).collect()], discovery)
 
 
-def limits_of(counts: list[tuple[int, bool, int, int]], discovery: float) -> dict[int, int]:
-    """The Benjamini-Hochberg limit of each stratum, from (stratum, ordinary, level, n) counts."""
-    table: dict[tuple[int, bool], Counter] = {}
-    for s, ordinary, lev, n in counts:
-        table.setdefault((s, ordinary), Counter())[lev] += n
+def limits_of(counts: list[tuple[int, str, int, int]], discovery: float) -> dict[Stratum, int]:
+    """The Benjamini-Hochberg limit of each stratum, from (stratum of length, kind, level, n) counts."""
+    table: dict[tuple[int, str], Counter] = {}
+    for s, kind, lev, n in counts:
+        table.setdefault((s, kind), Counter())[lev] += n
     limits = {}
-    for s in sorted(s for s, ordinary in table if not ordinary):
-        tokens, null = table[s, False], Counter()
-        for t in sorted((t for t, ordinary in table if ordinary and t <= s), reverse=True):
-            null += table[t, True]
+    for s, kind in sorted(k for k in table if k[1] in TOKEN_KINDS):
+        tokens, null = table[s, kind], Counter()
+        for t in sorted((t for t, other in table if other == "ordinary" and t <= s), reverse=True):
+            null += table[t, "ordinary"]
             if null.total() >= LEAST_ORDINARY:
                 break
         reached = of_null = 0
         for b in range(MOST_BIN + 1):
             reached, of_null = reached + tokens[b], of_null + null[b]
             if (1 + of_null) / (1 + null.total()) <= discovery * reached / tokens.total():
-                limits[s] = b
+                limits[s, kind == TOKEN_KINDS[True]] = b
     return limits
 
 
-def find(text: str | None, limits: dict[int, int]) -> list[Span]:
+def _accepted(token: str, limits: dict[Stratum, int]) -> bool:
+    where = stratum(len(token)), _is_word(token.rstrip("="))
+    return where in limits and judged(token)[1] <= limits[where]
+
+
+def find(text: str | None, limits: dict[Stratum, int]) -> list[Span]:
     """All spans of a text, by start and then kind: the base scan's, and tokens that their stratum's limit accepts."""
     if not text:
         return []
     spans = base_spans(text)
-    more = [(m.start(), 3, m.end()) for m in _tokens(text, spans) if stratum(len(m.group())) in limits and not _is_word(m.group()) and level(m.group()) <= limits[stratum(len(m.group()))]]
+    more = [(m.start(), 3, m.end()) for m in _tokens(text, spans) if _accepted(m.group(), limits)]
     return sorted(spans + more)
 
 
@@ -214,7 +228,7 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, limits: dict[int, int], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def scan(docs: DataFrame, limits: dict[Stratum, int], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_assign, n_access, n_hex, n_random, base_sha256 and spans of each whole text, without a shuffle.
 
     Spans are code points with exclusive ends, ``kind:start:end``, by start and then kind,
@@ -238,7 +252,7 @@ def scan(docs: DataFrame, limits: dict[int, int], keep: tuple[str, ...] = ("doc_
     return docs.select(*keep, F.col("text").cast("string").alias("_text_to_scan")).mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, limits: dict[int, int], mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, limits: dict[Stratum, int], mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, with each stretch of overlapping spans in ``text`` replaced by ``mark``."""
 
     def clean(text: str | None) -> str | None:
