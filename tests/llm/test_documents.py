@@ -214,6 +214,37 @@ def test_secrets_battery_tests_lower_case_keys(spark):
     assert all(planted[i] not in clean[i] for i in hits)
 
 
+def test_secrets_levels_of_ordinary_text():
+    r = random.Random(12)
+    for n in secrets.JOINED:
+        texts = ["".join(r.choices(string.ascii_lowercase[: r.choice([8, 26])], k=n)) for _ in range(200)] + ["a" * n, "z" * n]
+        texts = [t for t in texts if secrets.encoding_of(t)[0] == "lower"]
+        assert secrets.levels(np.array([list(t.encode()) for t in texts], np.uint8) - 97).tolist() == [secrets.level(t) for t in texts]
+    assert bytes(secrets.joined_words("Some words, (not) these2 BUT a ..these. éa\n" + "x" * 20) + 97) == b"somewordsthese"
+
+
+def test_secrets_copies_of_a_text_are_one_evidence(spark):
+    """A text whose words look random holds a third of the rows."""
+    r = random.Random(13)
+    words = ["".join(r.choice(["the", "ing", "ou", "re", "st", "and", "er", "ti"]) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    odd = " ".join("".join(r.choices(string.ascii_lowercase, k=8)) for _ in range(200))
+    planted = {i: "".join(r.choices(string.ascii_letters + string.digits, k=40)) for i in range(0, 600, 10)}
+    rows = [(i, " ".join([*r.choices(words, k=80), planted.get(i, ""), *r.choices(words, k=60)])) for i in range(600)]
+    d = docs(spark, rows + [(i, odd) for i in range(600, 900)]).repartition(5)
+    found = {x.doc_id: x.n_random for x in secrets.scan(d, secrets.calibrate(d)).collect()}
+    assert sum(found[i] for i in planted) >= 0.9 * len(planted) and sum(found.values()) <= len(planted) + 4
+
+
+def test_secrets_few_long_documents_are_evidence_enough(spark):
+    r = random.Random(14)
+    words = ["".join(r.choice(["the", "ing", "ou", "re", "st", "and", "er", "ti"]) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    rows = [(i, " ".join(w for n in [22, 40] * 20 for w in (*r.choices(words, k=100), "".join(r.choices(string.ascii_letters + string.digits, k=n))))) for i in range(6)]
+    d = docs(spark, rows)
+    spans = ",".join(x.spans for x in secrets.scan(d, secrets.calibrate(d)).collect()).split(",")
+    sizes = [int(b) - int(a) for kind, a, b in (s.split(":") for s in spans if s) if kind == "random"]
+    assert sizes.count(40) >= 0.8 * 120 and sizes.count(22) > 0
+
+
 def test_secrets_hard_cases_and_redaction(spark):
     d = hard(spark)
     limits = secrets.calibrate(d)

@@ -11,14 +11,15 @@ letters in one case, have strata of their own, so that many long words don't hid
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from string import ascii_letters, ascii_lowercase, ascii_uppercase, digits
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +52,14 @@ ENCODINGS = (
 _SETS = tuple((name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS)
 BINS_A_DECADE, MOST_BIN = 8, 255
 DISCOVERY = 0.05
-#: Lengths of joined words that each document gives, one a stratum, and how much ordinary text a stratum needs of its own.
+#: Lengths of the pieces of joined words, one a stratum, and how much ordinary text a stratum needs of its own.
 JOINED = (16, 23, 32, 46, 64, 91, 128)
 LEAST_ORDINARY = 200
-TOKEN_KINDS = ("other", "word")  # by whether a token may be a word
+#: Counts of a text: kinds are tokens (0, or 1 if they may be words) and ordinary text.
+ORDINARY = 2
+COUNTS = np.dtype([("stratum", "u1"), ("kind", "u1"), ("level", "u1"), ("n", "<u4")])
+WORD = re.compile(r"(?<!\S)[.,;:!?]*([A-Za-z][a-z]{1,18})[.,;:!?]*(?!\S)")
+BLOCK = 1 << 20  # letters at a time
 SLICE = 256
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -152,61 +157,118 @@ def _tokens(text: str, spans: list[Span]) -> Iterator[re.Match]:
             yield m
 
 
-def joined_words(text: str) -> list[str]:
-    """Ordinary text of each length in JOINED, if there is enough: short words from a place that the text's checksum gives."""
-    at = zlib.crc32(text.encode()) % len(text)
-    words = (w.strip(".,;:!?") for w in text[at : at + 4 * JOINED[-1]].split())
-    letters = "".join(w for w in words if len(w) < 20 and w.isascii() and _is_word(w)).lower()
-    return [letters[:n] for n in JOINED if n <= len(letters)]
+def joined_words(text: str) -> np.ndarray:
+    """The letters of a text's short words, joined, from 0 for a."""
+    return np.frombuffer("".join(WORD.findall(text)).lower().encode(), np.uint8) - ord("a")
+
+
+@functools.cache
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the p values of n letters: of uniformity by the sum of squared counts, of runs by how many are high and change."""
+    z = (np.arange(n * n + 1) * 26 / n - n - 25) / math.sqrt(50 * (n - 1) / n)
+    even = np.log([max(1e-300, math.erfc(x / math.sqrt(2)) / 2) for x in z.tolist()])
+    runs = np.full((n + 1, n), math.log(2.0 ** (1 - n)))
+    for ones in range(1, n):
+        mean = 1 + 2 * ones * (n - ones) / n
+        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+        runs[ones] = [math.log(max(1e-300, _two_sided((1 + x - mean) / spread))) for x in range(n)]
+    return even, runs
+
+
+def levels(at: np.ndarray) -> np.ndarray:
+    """``level`` of each row of a matrix of lower-case letters, from 0 for a."""
+    k, n = at.shape
+    even, runs = _tables(n)
+    counts = np.bincount((at + np.arange(k, dtype=np.int32)[:, None] * 26).ravel(), minlength=26 * k).reshape(k, 26).astype(np.int32)
+    high = at >= 13
+    x = even[np.einsum("ij,ij->i", counts, counts)] + runs[high.sum(1), (high[:, 1:] != high[:, :-1]).sum(1)]
+    wide = at.astype(np.float32)  # sums of integers under 2 ** 24 are exact
+    total, own, next_ = wide.sum(1).astype(float), np.einsum("ij,ij->i", wide, wide).astype(float), np.einsum("ij,ij->i", wide[:, 1:], wide[:, :-1]).astype(float)
+    middle, power = total / n, own - total * total / n
+    lag = next_ - middle * (2 * total - at[:, 0] - at[:, -1]) + (n - 1) * middle * middle
+    lag = np.where(n * own > total * total, lag / np.where(power > 0, power, 1), 1.0)
+    z = np.abs(lag + 1 / n) * math.sqrt(n / 2)
+    x = -(x + np.log([max(1e-300, math.erfc(v)) for v in z.tolist()]))
+    p = np.minimum(1.0, np.exp(-x) * (1 + x + x * x / 2))
+    return np.where(p > 0, np.minimum(MOST_BIN, -BINS_A_DECADE * np.log10(np.maximum(p, 1e-320))), MOST_BIN).astype(np.int64)
+
+
+def ordinary(texts: list[np.ndarray]) -> Iterator[tuple[int, Counter]]:
+    """For each length in JOINED, how many pieces of that length of each text's joined words have each level: the key is the text's place and the level."""
+    for n in JOINED:
+        seen: Counter = Counter()
+        cut = [x[: len(x) // n * n].reshape(-1, n) for x in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in cut])
+        rows = np.concatenate(cut) if cut else np.zeros((0, n), np.uint8)
+        for a in range(0, len(rows), max(1, BLOCK // n)):
+            b = a + max(1, BLOCK // n)
+            keys, found = np.unique(owner[a:b] * (MOST_BIN + 1) + levels(rows[a:b]), return_counts=True)
+            for key, k in zip(keys.tolist(), found.tolist(), strict=True):
+                seen[key] += k
+        yield n, seen
 
 
 def calibrate(docs: DataFrame, discovery: float = DISCOVERY) -> dict[Stratum, int]:
     """For each stratum with findings, the largest level that counts as random.
 
-    One pass over all whole texts counts ordinary text and tokens by stratum and level;
-    the driver gets these counts, whose number doesn't grow with the rows.  A level's p value
-    is the share of ordinary text of that length that reaches it (each count plus one; lengths
-    with little take in shorter ones); it is accepted if it is at most ``discovery`` times
-    the share of the stratum's tokens that reach it.  No texts, or no tokens, give no limits.
+    One pass over all whole texts counts ordinary text and tokens by stratum and level.  Each
+    text gives one row of counts, and copies of a text count once: they are no evidence of
+    their own.  The driver gets the sums, whose number doesn't grow with the rows.  A level's p
+    value is the share of ordinary text of that length that reaches it (each count plus one;
+    lengths with little take in shorter ones); it is accepted if it is at most ``discovery``
+    times the share of the stratum's tokens that reach it.  No texts, or no tokens, give no limits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                texts = [t for t in dict.fromkeys(batch.column(0).slice(at, SLICE).to_pylist()) if t]
+                counts: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+                for text, own in zip(texts, counts, strict=True):
+                    count = Counter(judged(m.group()) for m in _tokens(text, base_spans(text)))
+                    own += [(s, int(word), lev, k) for ((s, word), lev), k in count.items()]
+                for n, seen in ordinary([joined_words(t) for t in texts]):
+                    for key, k in seen.items():
+                        counts[key // (MOST_BIN + 1)].append((stratum(n), ORDINARY, key % (MOST_BIN + 1), k))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()), pa.array([np.array(own, COUNTS).tobytes() for own in counts], pa.binary())],
+                    names=["text", "counts"],
+                )
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    for m in _tokens(text, base_spans(text)):
-                        (s, word), lev = judged(m.group())
-                        count[s, TOKEN_KINDS[word], lev] += 1
-                    for t in joined_words(text):
-                        count[stratum(len(t)), "ordinary", level(t)] += 1
+            for s, kind, lev, n in np.frombuffer(b"".join(batch.column(0).to_pylist()), COUNTS).tolist():
+                count[s, kind, lev] += n
         keys = list(count)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())],
+            [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([count[k] for k in keys], pa.int64())],
             names=["stratum", "kind", "level", "n"],
         )
 
-    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "stratum int, kind string, level int, n long")
-    return limits_of([tuple(r) for r in seen.groupBy("stratum", "kind", "level").agg(F.sum("n").alias("n")).collect()], discovery)
+    seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text binary, counts binary")
+    once = seen.groupBy("text").agg(F.first("counts").alias("counts")).select("counts")  # equal for equal texts
+    sums = once.mapInArrow(unpack, "stratum int, kind int, level int, n long").groupBy("stratum", "kind", "level").agg(F.sum("n").alias("n"))
+    return limits_of([tuple(r) for r in sums.collect()], discovery)
 
 
-def limits_of(counts: list[tuple[int, str, int, int]], discovery: float) -> dict[Stratum, int]:
+def limits_of(counts: list[tuple[int, int, int, int]], discovery: float) -> dict[Stratum, int]:
     """The Benjamini-Hochberg limit of each stratum, from (stratum of length, kind, level, n) counts."""
-    table: dict[tuple[int, str], Counter] = {}
+    table: dict[tuple[int, int], Counter] = {}
     for s, kind, lev, n in counts:
         table.setdefault((s, kind), Counter())[lev] += n
     limits = {}
-    for s, kind in sorted(k for k in table if k[1] in TOKEN_KINDS):
+    for s, kind in sorted(k for k in table if k[1] != ORDINARY):
         tokens, null = table[s, kind], Counter()
-        for t in sorted((t for t, other in table if other == "ordinary" and t <= s), reverse=True):
-            null += table[t, "ordinary"]
+        for t in sorted((t for t, other in table if other == ORDINARY and t <= s), reverse=True):
+            null += table[t, ORDINARY]
             if null.total() >= LEAST_ORDINARY:
                 break
         reached = of_null = 0
         for b in range(MOST_BIN + 1):
             reached, of_null = reached + tokens[b], of_null + null[b]
             if (1 + of_null) / (1 + null.total()) <= discovery * reached / tokens.total():
-                limits[s, kind == TOKEN_KINDS[True]] = b
+                limits[s, bool(kind)] = b
     return limits
 
 
