@@ -24,29 +24,64 @@ def test_query_equals_sql(spark, name):
     assert sorted(repr(tuple(r[c] for c in names)) for r in rows.collect()) == sorted(repr(tuple(r[columns.index(c)] for c in names)) for r in found.fetchall())
 
 
+VECTORS = "vec_id long, embedding array<float>"
+
+
 def brute_top(rows, k=5):
-    out = set()
-    ok = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    for i, v in ok:
-        if i % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in ok if j != i and len(w) == len(v))[:k]
-            out |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(best)}
-    return out
+    """Sorted (query_id, rank, vec_id, score) by plain means: a query for each distinct id and vector, against all rows of other ids."""
+    out = []
+    ok = [(i, tuple(int(np.floor(256 * float(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for i, v in {(i, v) for i, v in ok if i % 50 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in ok if j != i and len(w) == len(v))[:k]
+        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def found_top(rows):
+    return sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in rows.collect())
 
 
 def test_top_products_with_ties_and_bad_vectors(spark):
     r = np.random.default_rng(0)
     rows = [(i, [float(np.float32(x)) for x in r.choice([-0.5, 0.25, 0.1, 0.3], 4)]) for i in range(700)]
     rows += [(1000, None), (1001, [0.1, None, 0.2, 0.3]), (1002, [float("nan"), 0.0, 0.0, 0.0]), (1050, [float("inf"), 0.0, 0.0, 0.0]), (None, [0.1] * 4), (1100, [0.5, 0.5]), (1101, [0.25, 0.5]), (1150, [])]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "dim", "cell", "rank")})
-    got = {(x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_products(d).collect()}
-    assert got == brute_top(rows)
+    d = spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit(1) for c in ("v", "dim", "cell", "rank", "side", "block", "group", "sure", "which")})
+    assert found_top(topk.top_products(d)) == brute_top(rows)
+
+
+def test_top_products_of_repeated_rows(spark):
+    """Query rows that repeat are one query, those of one id with other vectors are their own; repeated candidates count each time."""
+    r = np.random.default_rng(5)
+    vector = lambda: [float(np.float32(x)) for x in r.normal(0, 0.3, 6)]
+    rows = [(i, vector()) for i in range(200)]
+    rows += [rows[50], rows[50], (100, vector()), rows[11], rows[11], (-50, vector()), (0, vector())]
+    assert found_top(topk.top_products(spark.createDataFrame(rows, VECTORS).repartition(3))) == brute_top(rows)
 
 
 def test_top_products_of_one_vector_many_times(spark):
     rows = [(i, [0.5, -0.25, 0.125]) for i in range(300)] + [(300 + i, [0.001 * i, 0.5, -0.5]) for i in range(100)]
-    got = {(x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), pivots=4).collect()}
-    assert got == brute_top([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
+    got = topk.top_products(spark.createDataFrame(rows, VECTORS), pivots=4, query_block=3)
+    assert found_top(got) == brute_top([(i, [float(np.float32(x)) for x in v]) for i, v in rows])
+
+
+@pytest.mark.parametrize(("pivots", "most"), [(2, 1.0), (40, 0.35), (512, 0.25)])
+def test_top_products_prune_by_cells(spark, pivots, most):
+    """Clustered vectors of two lengths over many pivots and query groups: exact, and most pairs are never multiplied."""
+    r = np.random.default_rng(6)
+    centres = {8: r.normal(0, 1, (40, 8)), 5: r.normal(0, 1, (40, 5))}
+    rows = [(i, (centres[8 if i % 5 else 5][r.integers(40)] + r.normal(0, 0.01, 8 if i % 5 else 5)).astype(np.float32).tolist()) for i in range(1, 4000)]
+    rows += [(50 * i + 50, (centres[8][r.integers(40)] + r.normal(0, 0.01, 8)).astype(np.float32).tolist()) for i in range(100, 180)]
+    d = spark.createDataFrame(rows, VECTORS)
+    got = topk.top_products(d, pivots=pivots, counted=True, query_block=16).cache()
+    assert found_top(got) == brute_top(rows)
+    queries, scored = got.filter("rank = 1").agg(F.count("*"), F.sum("scored")).first()
+    assert scored < most * queries * len(rows)
+
+
+def test_top_products_of_more_lengths_than_pivots(spark):
+    r = np.random.default_rng(7)
+    rows = [(i, r.normal(0, 1, 1 + i % 40).astype(np.float32).tolist()) for i in range(4100)]
+    assert found_top(topk.top_products(spark.createDataFrame(rows, VECTORS), pivots=3, query_block=2)) == brute_top(rows)
 
 
 def test_top_products_of_nothing(spark):
