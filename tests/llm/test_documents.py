@@ -317,6 +317,54 @@ def test_kd_shards_cut_a_text_that_outweighs_a_shard(spark):
     assert share.max() < 1.15 and share.min() > 0.85
 
 
+def places_by_hand(values, sizes):
+    """The share of all bytes at smaller values, nulls lowest, in 2^20ths."""
+    order = sorted({v for v in values}, key=lambda v: (v is not None, v if v is not None else 0))
+    weight = {v: 0 for v in order}
+    for v, s in zip(values, sizes, strict=True):
+        weight[v] += s
+    before, out = 0, {}
+    for v in order:
+        out[v] = int(before / sum(sizes) * ((1 << 20) - 1))
+        before += weight[v]
+    return [out[v] for v in values]
+
+
+@pytest.mark.parametrize("shards", [8, 13])
+def test_kd_shards_are_a_tree_of_medians_along_the_widest_dimension(spark, shards):
+    """Sources that share long prefixes count as different; every node is cut near its weighted median on its widest dimension."""
+    r = random.Random(8)
+    rows = [(i, f"{i} " + "t" * r.randint(0, 400), r.choice(["en", "de", "fr", None]), f"https://example.org/source_{r.randrange(30)}", r.choice([None, *range(50)])) for i in range(2500)]
+    got = {x.doc_id: x for x in kdshard.kd_shards(docs(spark, rows), ("lang", "source", "n_chars"), shards=shards).collect()}
+    size = [len(t) + 1 for _, t, *_ in rows]
+    place = list(zip(*(places_by_hand([row[k] for row in rows], size) for k in (2, 3, 4)), strict=True))
+    assert len({p[1] for p in place}) == 30
+    used = set()
+
+    def check(own, first, n):
+        if n == 1:
+            assert all(got[i].shard == first for i in own)
+            return
+        width = [max(place[i][d] for i in own) - min(place[i][d] for i in own) for d in range(3)]
+        d = width.index(max(width))
+        used.add(d)
+        left, right = [i for i in own if got[i].shard < first + n // 2], [i for i in own if got[i].shard >= first + n // 2]
+        assert max(place[i][d] for i in left) <= min(place[i][d] for i in right)
+        total = sum(size[i] for i in own)
+        assert abs(sum(size[i] for i in left) - total * (n // 2) / n) <= 450 + 1e-3 * total
+        check(left, first, n // 2)
+        check(right, first + n // 2, n - n // 2)
+
+    check(list(range(len(rows))), 0, shards)
+    assert len(used) > 1
+
+
+def test_kd_shards_of_many_leaves(spark):
+    rows = [(i, f"{i}", "en", f"s{i % 50}", i % 977) for i in range(6000)]
+    got = kdshard.kd_shards(docs(spark, rows), ("source", "n_chars"), shards=260).toPandas()
+    assert got.groupby("shard")["size"].sum().max() < 3 * got["size"].sum() / 260 and got.shard.nunique() > 255
+
+
 def test_kd_shards_hard_cases(spark):
     got = kdshard.kd_shards(hard(spark), ("lang", "source", "n_chars"), target_bytes=50_000).toPandas()
     assert len(got) == 10 and got.shard.between(0, 3).all() and (got[got.doc_id == 2]["size"] == 1).all()
