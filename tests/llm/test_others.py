@@ -130,14 +130,24 @@ def test_role_repair_costs_least(spark, n):
 def test_role_repair_in_parts_equals_whole(spark):
     """A conversation over many parts, one crowded turn included, costs what one fold over it costs."""
     r = random.Random(2)
-    rows = [(1, t, r.choice(["system", "user", "assistant", "other", None]), f"text {t}") for t in range(1500)] + [(1, 700, r.choice(["user", "assistant"]), f"crowd {i}") for i in range(6000)]
-    got = chat.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("place").collect()
-    assert [x.place for x in got] == list(range(len(rows))) and [x.turn for x in got] == sorted(x.turn for x in got)
-    total = None
-    for x in got:
-        m = chat.matrix((x.role or "").lower())
-        total = m if total is None else chat.product(total, m)
-    assert sum(x.cost for x in got) == int((total[chat.START] + chat.END).min())
+    role = lambda: r.choice(["system", "user", "assistant", "other", None])
+    rows = [(1, t, role(), f"text {t}") for t in range(-40, 1500)] + [(1, 700, r.choice(["user", "assistant"]), f"crowd {i}") for i in range(6000)]
+    rows += [(2, 1000 * t, role(), "x") for t in range(400)] + [(2, -(2**63), "user", "least"), (2, 2**63 - 1, "user", "most"), (2, None, "user", "none")]
+    rows += [(None, None, "user", f"text {i % 3}") for i in range(9000)] + [(3, None, None, "c")]
+    every = chat.repair_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(every) == len(rows)
+    for conv in (1, 2, 3, None):
+        got = sorted((x for x in every if x.conv_id == conv), key=lambda x: x.place)
+        assert [x.place for x in got] == list(range(sum(x[0] == conv for x in rows)))
+        turns = [-(2**64) if x.turn is None else x.turn for x in got]
+        assert turns == sorted(turns)
+        total = None
+        for x in got:
+            m = chat.matrix((x.role or "").lower())
+            total = m if total is None else chat.product(total, m)
+        assert sum(x.cost for x in got) == int((total[chat.START] + chat.END).min())
+        text = "".join(x.piece for x in got)
+        assert legal(tuple(chat.ROLES.index(x.split("|>")[0]) + 1 for x in text.split("<|")[1:] if not x.startswith("end")))
 
 
 def test_role_repair_hard_cases(spark):
