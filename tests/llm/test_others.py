@@ -158,6 +158,52 @@ def test_role_repair_hard_cases(spark):
     assert chat.repair_roles(d.limit(0)).count() == 0
 
 
+def packed_by_hand(samples, rate):
+    """The same integers by sums over plain loops: no integral image, no grouping of recordings."""
+    frames = []
+    for at in range(0, len(samples) - chroma.FRAME + 1, chroma.HOP):
+        power = np.abs(np.fft.rfft(samples[at : at + chroma.FRAME] * np.hanning(chroma.FRAME))) ** 2
+        row = np.zeros(12)
+        for i, hz in enumerate(np.fft.rfftfreq(chroma.FRAME, 1 / rate)):
+            if chroma.LOWEST <= hz <= chroma.HIGHEST:
+                row[round(12 * np.log2(hz / 440.0)) % 12] += power[i]
+        frames.append(row / np.sqrt((row**2).sum()) if row.any() else row)
+    out, near = [], []
+    for at in range(len(frames) - chroma.LOOK + 1):
+        value, close = 0, False
+        for kind, width, low, height in chroma.FILTERS:
+            t = at + (chroma.LOOK - width) // 2
+            a = b = 0.0
+            for dt in range(width):
+                for dc in range(2 * height):
+                    first, lower = dt < width // 2, dc < height
+                    inner = max(1, width // 4) <= dt < width - max(1, width // 4)
+                    x = frames[t + dt][(low + dc) % 12]
+                    if {0: first, 1: lower, 2: first == lower, 3: inner}[kind]:
+                        a += x
+                    else:
+                        b += x
+            ratio = np.log1p(a) - np.log1p(b)
+            value = value << 2 | (0, 1, 3, 2)[sum(ratio > s for s in chroma.STEPS)]
+            close |= 0 < min(abs(ratio - s) for s in chroma.STEPS) < 1e-4
+        out.append(value)
+        near.append(close)
+    return np.array(out, np.uint32), np.array(near)
+
+
+def test_chroma_fingerprints_equal_plain_sums():
+    r = np.random.default_rng(8)
+    tone = lambda hz, n: 6000 * np.sin(2 * np.pi * hz * np.arange(n) / 4000)
+    audio = [np.concatenate([tone(hz, 1500) for hz in r.choice([220, 262, 330, 415, 523, 698], 5)]) + r.normal(0, 30, 7500) for _ in range(3)] + [np.zeros(7500), tone(440, 6000), tone(440, 900)]
+    raw = [a.astype("<i2").tobytes() for a in audio] + [None, b"", b"x"]
+    together = chroma._prints(raw, 4000)
+    assert together == [chroma._prints([a], 4000)[0] for a in raw] and together[5:] == [b""] * 4
+    for n, (a, got) in enumerate(zip(raw[:5], together, strict=False)):
+        want, near = packed_by_hand(np.frombuffer(a, "<i2").astype(float), 4000)
+        got = np.frombuffer(got, "<u4")
+        assert len(got) == len(want) and (got == want)[~near].all() and (near.mean() < 0.5 or n > 2)
+
+
 def test_chroma_aligns_late_noisy_takes(spark):
     r = np.random.default_rng(3)
     v = spark.createDataFrame([(i, r.normal(0, 0.12, 64).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
@@ -175,6 +221,13 @@ def test_chroma_alignment_equals_brute_force(spark):
     assert got == {(0, 2001, -7, 1), (0, 0, 0, 2), (0, 2003, 20, 1)}
 
 
+def test_chroma_matches_takes_of_a_steady_sound(spark):
+    steady = {0: [7] * 60, 1: [9] * 3 + [7] * 70, 50: [3] * 30, 51: [3] * 31, 100: [5] * 20 + [6] * 20 + [5] * 20}
+    rows = [(i, bytearray(np.array(p, "<u4").tobytes()), i) for i, p in steady.items()]
+    got = {(x.query_id, x.match_id, x.offset_frames, x.frames, x.bit_errors) for x in chroma.align(spark.createDataFrame(rows, "rec_id long, print binary, same long"), most_errors=0.01).collect()}
+    assert got == {(0, 1, -3, 60, 0)}  # 30 frames alike are too few hits
+
+
 def test_chroma_hard_cases(spark):
     rows = [(0, None), (50, bytearray(b"")), (100, bytearray(b"\x01\x02\x03")), (None, bytearray(np.zeros(9000, "<i2").tobytes())), (150, bytearray(np.zeros(9000, "<i2").tobytes())), (151, bytearray(np.zeros(9000, "<i2").tobytes()))]
     d = spark.createDataFrame(rows, "rec_id long, audio binary").withColumn("print", F.lit(1))

@@ -26,40 +26,56 @@ FILTERS = tuple((kind, (4, 8, 12, 16)[i % 4], (i * 5) % 12, (1, 2, 3, 4)[i // 4]
 STEPS = (-0.4, 0.0, 0.4)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 SLICE = 64
+#: Samples that are worked on together.
+TOGETHER = 500_000
 
 
-def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Frames of energy by pitch class, each of unit length; fewer samples than a frame give none."""
-    n = max(0, 1 + (len(samples) - FRAME) // HOP)
-    if not n:
-        return np.zeros((0, 12))
-    window = np.hanning(FRAME)
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float64), FRAME)[:: HOP][:n] * window
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+def _by_class(rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spectrum's bins in use, ordered by pitch class; where each class that has bins begins; and those classes."""
     hz = np.fft.rfftfreq(FRAME, 1 / rate)
     use = np.flatnonzero((hz >= LOWEST) & (hz <= HIGHEST))
     pitch = np.round(12 * np.log2(hz[use] / 440.0)).astype(int) % 12
-    out = np.zeros((n, 12))
-    for p in range(12):
-        out[:, p] = power[:, use[pitch == p]].sum(axis=1)
-    size = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    order = np.argsort(pitch, kind="stable")
+    classes, starts = np.unique(pitch[order], return_index=True)
+    return use[order], starts, classes
+
+
+def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
+    """Frames of energy by pitch class, each of unit length; fewer samples than a frame give none.
+
+    ``samples``: recordings of one length, a row each.  A row's frames don't depend on the rows beside it.
+    """
+    m, length = samples.shape
+    n = max(0, 1 + (length - FRAME) // HOP)
+    out = np.zeros((m, n, 12))
+    if not n or not m:
+        return out
+    window = np.hanning(FRAME).astype(np.float32)
+    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME, axis=1)[:, ::HOP][:, :n] * window
+    spectrum = np.fft.rfft(frames, axis=2)
+    bins, starts, classes = _by_class(rate)
+    spectrum = spectrum[:, :, bins]
+    power = spectrum.real**2 + spectrum.imag**2
+    out[:, :, classes] = np.add.reduceat(power, starts, axis=2)
+    size = np.sqrt((out**2).sum(axis=2, keepdims=True))
     return np.divide(out, size, out=np.zeros_like(out), where=size > 1e-9)
 
 
 def packed(frames: np.ndarray) -> np.ndarray:
-    """A 32-bit integer for each run of LOOK frames: two bits a filter, from the log ratio of two areas of the integral image."""
-    n = len(frames) - LOOK + 1
-    if n <= 0:
-        return np.zeros(0, np.uint32)
-    twice = np.concatenate([frames, frames], axis=1)  # pitch classes wrap around
-    total = np.zeros((len(frames) + 1, 25))
-    total[1:, 1:] = twice.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+    """A 32-bit integer for each run of LOOK frames: two bits a filter, from the log ratio of two areas of the integral image.  A row for each recording, all of one length."""
+    m, length, _ = frames.shape
+    n = length - LOOK + 1
+    if n <= 0 or not m:
+        return np.zeros((m, 0), np.uint32)
+    twice = np.concatenate([frames, frames], axis=2)  # pitch classes wrap around
+    total = np.zeros((25, m, length + 1))
+    total[1:, :, 1:] = twice.cumsum(axis=1).cumsum(axis=2).transpose(2, 0, 1)
 
     def area(t0: int, t1: int, c0: int, c1: int) -> np.ndarray:
-        return total[at + t1, c1] - total[at + t0, c1] - total[at + t1, c0] + total[at + t0, c0]
+        late, early = slice(t1, t1 + n), slice(t0, t0 + n)
+        return total[c1, :, late] - total[c1, :, early] - total[c0, :, late] + total[c0, :, early]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((m, n), np.uint32)
     for kind, width, low, height in FILTERS:
         t, h = (LOOK - width) // 2, width // 2
         if kind == 0:  # earlier against later
@@ -73,7 +89,23 @@ def packed(frames: np.ndarray) -> np.ndarray:
             q = max(1, width // 4)
             a = area(t + q, t + width - q, low, low + 2 * height)
             b = area(t, t + q, low, low + 2 * height) + area(t + width - q, t + width, low, low + 2 * height)
-        out = (out << np.uint32(2)) | GRAY[np.searchsorted(STEPS, np.log1p(a) - np.log1p(b))]
+        ratio = np.log((1 + a) / (1 + b))
+        out = (out << np.uint32(2)) | GRAY[(ratio > STEPS[0]).astype(np.int8) + (ratio > STEPS[1]) + (ratio > STEPS[2])]
+    return out
+
+
+def _prints(audio: list[bytes | None], rate: int) -> list[bytes]:
+    """The fingerprint of each recording; those of one length are worked on together, a bounded number at a time."""
+    sizes = [len(a or b"") // 2 for a in audio]
+    out = [b""] * len(audio)
+    for size in set(sizes):
+        own = [i for i, s in enumerate(sizes) if s == size]
+        step = max(1, TOGETHER // max(1, size))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            found = packed(chroma(np.stack([np.frombuffer(audio[i] or b"", "<i2", count=size) for i in part]), rate)).astype("<u4")
+            for i, row in zip(part, found, strict=True):
+                out[i] = row.tobytes()
     return out
 
 
@@ -87,7 +119,7 @@ def fingerprints(recordings: DataFrame, rate: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                prints = [packed(chroma(np.frombuffer(a or b"", "<i2", count=len(a or b"") // 2), rate)).astype("<u4").tobytes() for a in part.column(1).to_pylist()]
+                prints = _prints(part.column(1).to_pylist(), rate)
                 same = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in prints]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(same, pa.int64())], names=["rec_id", "print", "same"])
 
@@ -106,11 +138,11 @@ def align(prints: DataFrame, every: int = 50, least_hits: int = 4, most_errors:
 
     Returns query_id, match_id (the smallest id of a class of equal fingerprints, the query's
     own class included if it has others), copies (rows in that class), offset_frames (by how
-    much the match starts later), hits, frames and bit_errors.  A pair is a match if at least
-    ``least_hits`` integers, each where a run of equal ones begins, agree at one offset, at
-    least ``least_frames`` frames overlap there and at most ``most_errors`` of their bits differ;
-    of several offsets the one with most hits counts, then the one nearest to zero, then the
-    smaller.  Empty fingerprints and null ids match nothing.  An empty table gives no rows.
+    much the match starts later), hits, frames and bit_errors.  Runs of equal integers that begin
+    alike give hits at an offset: one, and one more for each LOOK frames that both last.  A pair
+    is a match at an offset with ``least_hits`` hits or more if at least ``least_frames`` frames
+    overlap there and at most ``most_errors`` of their bits differ; of several such offsets the
+    one with most hits counts, then the one nearest to zero, then the smaller.  Empty fingerprints and null ids match nothing.  An empty table gives no rows.
     """
     scratch = Scratch(prints.sparkSession, "chroma")
     prints = scratch.cut(prints, "prints")
@@ -119,27 +151,27 @@ def align(prints: DataFrame, every: int = 50, least_hits: int = 4, most_errors:
     reps = scratch.cut(full.join(classes, (full.same == classes.same) & (full.rec_id == classes.rep)).select(full.same, "rec_id", "copies", "asked", "print").dropDuplicates(["same"]), "reps")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each packed integer with its first place in every run of equal ones."""
+        """Each run of equal packed integers: its value, its first place and how long it is."""
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                same, asked, value, place = [], [], [], []
-                for s, q, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    v = np.frombuffer(raw, "<u4")
-                    new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-                    same.append(np.full(len(new), s))
-                    asked.append(np.full(len(new), q))
-                    value.append(v[new].astype(np.int64))
-                    place.append(new)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((same, np.int64), (asked, np.int32), (value, np.int64), (place, np.int32))], names=["same", "asked", "value", "place"])
-
-    posts = scratch.cut(reps.select("same", "asked", "print").mapInArrow(post, "same long, asked int, value long, place int"), "posts")
-    q = posts.filter("asked = 1").select(F.col("same").alias("q"), "value", F.col("place").alias("q_place"))
-    d = posts.select(F.col("same").alias("d"), "value", F.col("place").alias("d_place"))
-    hits = q.join(d, "value").filter("q <> d").groupBy("q", "d", (F.col("q_place") - F.col("d_place")).alias("offset")).agg(F.count("*").alias("hits"))
-    best = hits.filter(F.col("hits") >= least_hits).groupBy("q", "d").agg(F.max(F.struct("hits", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("sign"))).alias("b"))
-    best = best.select("q", "d", (-F.col("b.sign")).alias("offset"), F.col("b.hits").alias("hits"))
-    pairs = best.join(reps.select(F.col("same").alias("q"), F.col("print").alias("q_print")), "q").join(reps.select(F.col("same").alias("d"), F.col("print").alias("d_print")), "d")
+                prints = [np.frombuffer(raw, "<u4") for raw in part.column(2).to_pylist()]
+                v = np.concatenate([*prints, np.zeros(0, "<u4")])
+                starts = np.cumsum([0, *map(len, prints)])
+                new = np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]])
+                new[starts[:-1]] = True  # no print is empty
+                new = np.flatnonzero(new)
+                owner = np.searchsorted(starts, new, "right") - 1
+                length = np.diff(np.append(new, len(v)))
+                columns = [part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], v[new].astype(np.int64), (new - starts[owner]).astype(np.int32), length.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["same", "asked", "value", "place", "length"])
+
+    posts = scratch.cut(reps.select("same", "asked", "print").mapInArrow(post, "same long, asked int, value long, place int, length int"), "posts")
+    q = posts.filter("asked = 1").select(F.col("same").alias("q"), "value", F.col("place").alias("q_place"), F.col("length").alias("q_length"))
+    d = posts.select(F.col("same").alias("d"), "value", F.col("place").alias("d_place"), F.col("length").alias("d_length"))
+    weight = 1 + F.floor(F.least("q_length", "d_length") / LOOK)
+    hits = q.join(d, "value").filter("q <> d").groupBy("q", "d", (F.col("q_place") - F.col("d_place")).alias("offset")).agg(F.sum(weight).alias("hits")).filter(F.col("hits") >= least_hits)
+    pairs = hits.join(reps.select(F.col("same").alias("q"), F.col("print").alias("q_print")), "q").join(reps.select(F.col("same").alias("d"), F.col("print").alias("d_print")), "d")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,6 +180,8 @@ def align(prints: DataFrame, every: int = 50, least_hits: int = 4, most_errors:
 
     compared = pairs.select("q", "d", "offset", "hits", "q_print", "d_print").mapInArrow(compare, "q long, d long, offset int, hits long, frames long, bit_errors long")
     compared = compared.filter((F.col("frames") >= least_frames) & (F.col("bit_errors") <= most_errors * 32 * F.col("frames")))
+    best = F.max(F.struct("hits", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("sign"), "frames", "bit_errors")).alias("b")
+    compared = compared.groupBy("q", "d").agg(best).select("q", "d", (-F.col("b.sign")).alias("offset"), "b.hits", "b.frames", "b.bit_errors")
     own = reps.filter("asked = 1 and copies > 1").select(F.col("same").alias("q"), F.col("same").alias("d"), F.lit(0).alias("offset"), (F.length("print") / 4).cast("long").alias("hits"), (F.length("print") / 4).cast("long").alias("frames"), F.lit(0).cast("long").alias("bit_errors"))
     matched = scratch.cut(compared.union(own), "matched").join(reps.select(F.col("same").alias("d"), F.col("rec_id").alias("match_id"), "copies"), "d")
     asking = full.filter(F.col("rec_id") % every == 0).select(F.col("same").alias("q"), F.col("rec_id").alias("query_id"))
