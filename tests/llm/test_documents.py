@@ -1,10 +1,13 @@
 import base64
+import dataclasses
 import hashlib
 import json
+import math
 import random
 import re
 import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,9 +127,9 @@ def shingles(text, width):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-@pytest.mark.parametrize("width", [4, 5])
-def test_near_duplicates_equal_brute_force(spark, width):
-    """Groups around the threshold: edits of one to eight words of forty, chains, copies, short texts."""
+@pytest.mark.parametrize(("width", "bits"), [(4, 64), (5, 64), (4, 4)])
+def test_near_duplicates_equal_brute_force(spark, width, bits):
+    """Groups around the threshold: edits of one to eight words of forty, chains, copies, short texts; with ``bits`` of 4 most sets share an identity at first."""
     r = random.Random(width)
     words = ["".join(r.choices(string.ascii_lowercase, k=4)) for _ in range(400)]
     rows = []
@@ -140,7 +143,7 @@ def test_near_duplicates_equal_brute_force(spark, width):
             base = new if r.random() < 0.3 else base
     rows += [(len(rows), rows[0][1].upper()), (len(rows) + 1, ""), (len(rows) + 2, None), (len(rows) + 3, " ")]
     want = brute_groups({i: shingles(t, width) for i, t in rows})
-    got = {x.doc_id: x for x in neardup.near_duplicates(docs(spark, rows), width=width).collect()}
+    got = {x.doc_id: x for x in neardup.near_duplicates(docs(spark, rows), width=width, identity_bits=bits).collect()}
     assert {i: x.component_id for i, x in got.items()} == want and len(set(want.values())) < len(rows) * 0.8
     assert all(got[i].n_shingles == len(shingles(t, width)) and got[i].kept == (want[i] == i) for i, t in rows)
 
@@ -154,6 +157,22 @@ def test_near_duplicates_hard_cases(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    a, b = ("".join(f"{c}{i} " for i in range(40)) for c in "ab")
+    rows = [(7, a), (7, b), (3, b + "more"), (9, a), (7, a)]
+    got = neardup.near_duplicates(docs(spark, rows), tag=F.xxhash64("text")).collect()
+    sets = {r.tag: r for r in got}
+    assert len(sets) == 3 and sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), (9, 7, False)]
+
+
+def test_superminhash_misses_next_to_nothing():
+    """The chance that a pair at the threshold shares no band, or agrees in too few slots to be compared, by the binomial law of plain MinHash."""
+    n, p = neardup.SLOTS, 0.8
+    assert (1 - p**neardup.ROWS) ** neardup.BANDS < 1e-6
+    least = n * p - neardup.DEVIATIONS * (n * p * (1 - p)) ** 0.5
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(math.ceil(least))) < 2e-9
+
+
 def test_superminhash_estimates():
     r = np.random.default_rng(1)
     for n in (5, 60, 900):
@@ -182,6 +201,31 @@ def test_secrets_base_scan():
         assert secrets.base_spans(t) == base_secrets(t), t
 
 
+def test_secrets_battery_by_plain_formulas():
+    """Chi-squared around its mean and spread, runs around the middle, correlation at lag one, joined by Fisher's method."""
+    r = random.Random(15)
+    for name, alphabet in secrets.ENCODINGS:
+        for n in (20, 33, 64):
+            token = "".join(r.choices(alphabet, k=n))
+            found, place = secrets.encoding_of(token)
+            if found != name:
+                continue
+            x = np.array([place[c] for c in token], float)
+            size, expected = len(alphabet), n / len(alphabet)
+            chi = sum((token.count(c) - expected) ** 2 / expected for c in alphabet)
+            p = [0.5 * math.erfc((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (1 - 1 / n)) / math.sqrt(2))]
+            high = x >= size / 2
+            n1, n0 = high.sum(), (~high).sum()
+            mean = 2 * n1 * n0 / n + 1
+            variance = 2 * n1 * n0 * (2 * n1 * n0 - n) / (n * n * (n - 1))
+            p.append(math.erfc(abs(1 + (np.diff(x >= size / 2) != 0).sum() - mean) / math.sqrt(variance) / math.sqrt(2)))
+            d = x - x.mean()
+            p.append(math.erfc(abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * math.sqrt(n) / math.sqrt(2)))
+            fisher = -2 * sum(map(math.log, p))
+            want = math.exp(-fisher / 2) * sum((fisher / 2) ** k / math.factorial(k) for k in range(3))
+            assert abs(secrets.randomness(token) - want) < 1e-9, (name, token)
+
+
 def test_secrets_battery_finds_random_tokens_only(spark):
     r = random.Random(4)
     words = ["".join(r.choice(["the", "ing", "ou", "re", "st", "and", "er", "ti"]) for _ in range(r.randint(1, 4))) for _ in range(3000)]
@@ -291,6 +335,52 @@ def test_toxicity_learns_nothing_from_held_out_rows(spark):
     assert a == b
 
 
+def log_likelihood(model, found, toxic):
+    """Of labels under the noisy-or, less the penalty, by plain loops; found: each document's sentences as lists of features."""
+    total = -toxicity.L2 / 2 * (sum(w * w for w in model.weights.values()) + model.bias**2)
+    for sentences, y in zip(found, toxic, strict=True):
+        none = 1 - model.leak
+        for s in sentences:
+            none *= 1 - 1 / (1 + math.exp(-model.bias - sum(model.weights[f] for f in s)))
+        total += math.log(1 - none if y else none)
+    return total
+
+
+def test_toxicity_fit_is_where_the_likelihood_is_greatest():
+    r = random.Random(9)
+    found, toxic = [], []
+    for _ in range(300):
+        found.append([sorted(r.sample(range(5), r.randint(1, 3))) for _ in range(r.randint(0, 4))])
+        found[-1] += found[-1][:1] * r.randint(0, 2)  # sentences of one kind
+        toxic.append(int(any(0 in s or {1, 2} <= set(s) for s in found[-1]) or r.random() < 0.1))
+    kinds = [sorted(Counter(map(tuple, s)).items()) for s in found]
+    w, bias, leak = toxicity.fit([[k for k, _ in s] for s in kinds], [[n for _, n in s] for s in kinds], toxic, 5, steps=1500)
+    best = toxicity.Model(dict(enumerate(w.tolist())), bias, leak)
+    top = log_likelihood(best, found, toxic)
+    for step in (-0.02, 0.02):
+        others = [dataclasses.replace(best, weights=best.weights | {f: best.weights[f] + step}) for f in range(5)]
+        others += [dataclasses.replace(best, bias=bias + step), dataclasses.replace(best, leak=leak * (1 + step))]
+        assert all(log_likelihood(x, found, toxic) < top + 1e-3 for x in others)
+
+
+def test_toxicity_scores_are_the_noisy_or_of_sentences():
+    model = toxicity.Model({"bad": 2.0, "ba*": 0.5, "worse*": 3.0, "nasty*": 1.5, "nas*": -0.5}, -1.5, 0.03)
+    p = lambda w: 1 / (1 + math.exp(1.5 - w))
+    got = toxicity.Scorer(model)("A BAD one, bad! Nothing here.\nWorsening and nasty; bad. Nasty.")
+    assert abs(got[0] - (1 - 0.97 * (1 - p(2.0)) * (1 - p(3.0 + 2.0 + 1.0)) * (1 - p(1.0)))) < 1e-12
+    assert got[1:3] == (30, 55) and abs(got[3] - p(6.0)) < 1e-12
+    assert toxicity.Scorer(model)("")[0] == toxicity.Scorer(model)(None)[0] == 0.03
+
+
+def test_toxicity_of_documents_held_out(spark):
+    """Learnt from the labelled documents of the small tables, the held-out ones are told apart."""
+    sf = "/root/testdata/sf0.1"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(d, toxicity.train(d, labels)).filter(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
+    toxic, clean = ([x.predicted for x in got if x.toxic == k] for k in (1, 0))
+    assert len(toxic) > 10 and sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.05 * len(clean), (len(toxic), sum(toxic), len(clean), sum(clean))
+
+
 def test_toxicity_hard_cases(spark):
     labels = spark.createDataFrame([(1, 0, 1), (4, 0, 0), (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.train(hard(spark), labels)
@@ -393,7 +483,9 @@ def test_mixing_gives_shortages_to_siblings_first(spark):
 
 def test_mixing_hard_cases(spark):
     levels = queries.mixing_levels()
-    leaves = mixing.plan(hard(spark).drop("domain"), levels, queries.mixing_weights(), (1, 1), 1)
-    assert mixing.apply_plan(hard(spark).drop("domain"), leaves, levels).count() >= 7
+    d = hard(spark).withColumn("mix_epochs", F.lit("x"))
+    leaves = mixing.plan(d, levels, queries.mixing_weights(), (1, 1), 1)
+    taken = mixing.apply_plan(d, leaves, levels)
+    assert taken.count() >= 7 and taken.columns.count("mix_epochs") == 1 and taken.agg(F.max("mix_epochs")).first()[0] == 1
     none = mixing.plan(empty(spark), levels, {}, (1, 2))
     assert none.count() == 0 and mixing.apply_plan(empty(spark), none, levels).count() == 0

@@ -69,7 +69,9 @@ def plan(docs: DataFrame, levels: dict[str, Column], weights: dict[str, Column],
     ``levels`` names the tree's levels and gives their columns from documents, root first; a
     null is an empty name.  ``weights`` are whole numbers by level, in terms of the path's
     columns, 1 if not given; weight 0 takes nothing.  Prefix sums run over groups of the order's first digits,
-    and document by document only inside the group where a leaf's prefix ends.
+    and document by document only inside the group where a leaf's prefix ends.  A null text
+    holds no tokens, repeated rows count each, other columns are ignored, and an empty table
+    gives a plan without rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     names = list(levels)
@@ -103,7 +105,9 @@ def apply_plan(docs: DataFrame, leaves: DataFrame, levels: dict[str, Column], se
     """Documents that the plan takes, with all their columns and ``mix_epochs``, how often each is taken.
 
     The documents aren't shuffled.  Empty texts hold no tokens and are taken with the prefix
-    that passes them.  Repeated rows lie together in the order and are taken together.
+    that passes them.  Repeated rows lie together in the order and are taken together.  A column
+    mix_epochs of the documents' own is replaced; other names may clash with the levels'.  An
+    empty table, or an empty plan, gives no rows.
     """
     names = list(levels)
     keyed = docs.withColumns({f"_mix_{n}": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()})
@@ -111,5 +115,5 @@ def apply_plan(docs: DataFrame, leaves: DataFrame, levels: dict[str, Column], se
     joined = keyed.join(small, [f"_mix_{n}" for n in names])
     own = F.struct(order_key(seed, F.col("_mix_whole"), F.col("doc_id").cast("long")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
     inside = F.coalesce(own <= F.struct("_mix_key", "_mix_id"), F.lit(False)) & F.col("_mix_key").isNotNull()
-    taken = joined.withColumn("mix_epochs", (F.col("_mix_whole") + inside.cast("int")).cast("long")).filter("mix_epochs > 0")
-    return taken.select(*docs.columns, "mix_epochs")
+    taken = joined.drop("mix_epochs").withColumn("mix_epochs", (F.col("_mix_whole") + inside.cast("int")).cast("long")).filter("mix_epochs > 0")
+    return taken.select(*[c for c in docs.columns if c != "mix_epochs"], "mix_epochs")

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import without_collector
@@ -110,14 +110,15 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return _mix(key).view(np.int64)
 
 
-def vertex_of(shingles: np.ndarray) -> int:
-    """The identity of a set: 64 bits of a hash of its sorted members."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def identity_of(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The identity of a set, 128 bits of a hash of its sorted members, as two whole numbers; only ``bits`` of the first are used."""
+    first, second = np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), "<i8").tolist()
+    return first >> (64 - bits), second
 
 
-def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, vertex (identity of the shingle set; null for an empty one), keys (one a band), sig (16 bits a slot)."""
-    schema = "doc_id long, n_shingles long, vertex long, keys array<long>, sig binary"
+def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS, tag: Column | None = None, identity_bits: int = 64) -> DataFrame:
+    """doc_id, tag, n_shingles, vertex and proof (identity of the shingle set; null for an empty one), keys (one a band), sig (16 bits a slot)."""
+    schema = "doc_id long, tag long, n_shingles long, vertex long, proof long, keys array<long>, sig binary"
     slots = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,22 +126,35 @@ def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) ->
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 with without_collector():
-                    sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+                    sets = [shingle_set(t, width) for t in part.column(2).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = superminhash([sets[i] for i in full], slots)
                 keys, low = band_keys(sig, bands, rows), (_mix(sig) & np.uint64(0xFFFF)).astype("<u2")
                 own_keys: list = [None] * len(sets)
                 own_sig: list = [None] * len(sets)
                 vertex: list = [None] * len(sets)
+                proof: list = [None] * len(sets)
                 for n, i in enumerate(full):
                     own_keys[i], own_sig[i] = keys[n], low[n].tobytes()
-                    vertex[i] = vertex_of(sets[i])
+                    vertex[i], proof[i] = identity_of(sets[i], identity_bits)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(vertex, pa.int64()), pa.array(own_keys, pa.list_(pa.int64())), pa.array(own_sig, pa.binary())],
-                    names=["doc_id", "n_shingles", "vertex", "keys", "sig"],
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(vertex, pa.int64()), pa.array(proof, pa.int64()), pa.array(own_keys, pa.list_(pa.int64())), pa.array(own_sig, pa.binary())],
+                    names=["doc_id", "tag", "n_shingles", "vertex", "proof", "keys", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    tag = F.lit(None) if tag is None else tag
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _told_apart(own: DataFrame, scratch: Scratch) -> DataFrame:
+    """Vertices that stand for several sets get the rest of the identity mixed in; at 64 bits next to none do."""
+    proofs = own.filter("vertex is not null").groupBy("vertex").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi"))
+    shared = scratch.cut(proofs.filter("lo <> hi").select("vertex", F.lit(True).alias("shared")), "shared")
+    if not shared.limit(1).count():
+        return own
+    names = own.columns
+    mixed = F.when(F.col("shared"), F.xxhash64("vertex", "proof")).otherwise(F.col("vertex")).alias("vertex")
+    return scratch.cut(own.join(shared, "vertex", "left").select(*[mixed if c == "vertex" else c for c in names]), "told-apart")
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -151,12 +165,12 @@ def _full_sets(texts: DataFrame, width: int) -> DataFrame:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 with without_collector():
-                    sets = [shingle_set(t, width).view(np.int64) for t in part.column(1).to_pylist()]
-                own = [v == vertex_of(s) for v, s in zip(part.column(0).to_pylist(), sets, strict=True)]
+                    sets = [shingle_set(t, width).view(np.int64) for t in part.column(2).to_pylist()]
+                own = [p == identity_of(s)[1] for p, s in zip(part.column(1).to_pylist(), sets, strict=True)]
                 rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["vertex", "members"])
                 yield rows.filter(pa.array(own, pa.bool_()))
 
-    return texts.select("vertex", "text").mapInArrow(run, "vertex long, members array<long>")
+    return texts.select("vertex", "proof", "text").mapInArrow(run, "vertex long, members array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,20 +269,22 @@ def _forests(placed: DataFrame, group: str, slots: int, percent: int, scratch: S
     return scratch.cut(blocks.mapInArrow(run, "a long, b long"), f"forest-{group}")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, tag: Column | None = None, identity_bits: int = 64) -> DataFrame:
     """Groups documents whose word-shingle sets have 100 * intersection >= percent * union, and chains of such.
 
     Returns, for each row: doc_id, n_shingles (size of its set), component_id (the smallest
-    doc_id reachable, itself included) and kept (doc_id = component_id).
+    doc_id reachable, itself included) and kept (doc_id = component_id); with ``tag``, a column
+    made of the documents' own, also vertex (which set it is) and tag.
 
     A text without words, or null, has an empty set, is linked with nothing and is kept; so
     is a row whose doc_id is null (its component_id is null).  Repeated rows are copies of
-    one another and each gets a row.  An empty table gives an empty result.  Other columns,
-    whatever their names, are ignored.  Sets are compared as sets of 64-bit hashes.
+    one another and each gets a row; rows of one id with different texts are documents of
+    their own.  An empty table gives an empty result.  Other columns, whatever their names, are
+    ignored.  Sets are compared as sets of 64-bit hashes, and equal if 128 bits of a hash are.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     slots = bands * rows
-    own = scratch.cut(sketch(docs, width, bands, rows), "sketch")
+    own = _told_apart(scratch.cut(sketch(docs, width, bands, rows, tag, identity_bits), "sketch"), scratch)
     linked = own.filter("vertex is not null and doc_id is not null")
 
     # Buckets with two vertices or more; copies of one set count once.
@@ -278,11 +294,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     # Full sets of the vertices that share a bucket, from one text each.
     active = members.select("vertex").distinct()
-    first = linked.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    first = linked.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.min("proof").alias("proof"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     one = scratch.cut(first.join(active, "vertex"), "active")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # A merge join at every size: what it moves then grows in proportion.
-    sets = scratch.cut(_full_sets(texts.join(one.select("doc_id", "vertex").hint("merge"), "doc_id"), width), "sets")
+    sets = scratch.cut(_full_sets(texts.join(one.select("doc_id", "vertex", "proof").hint("merge"), "doc_id"), width), "sets")
 
     # Each vertex against its smallest hub.
     to_hub = members.groupBy(F.col("vertex").alias("a")).agg(F.min("hub").alias("b")).filter("a != b")
@@ -304,8 +320,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     alone = tops.join(roots, tops["at"] == roots.node, "left_anti").select(F.col("at").alias("node"), F.col("top").alias("root"))
     final = scratch.cut(first_roots.union(alone), "final")
 
-    mine = own.select("doc_id", "n_shingles", "vertex")
-    ends = scratch.cut(mine.join(final, mine.vertex == final.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "vertex").alias("root")), "ends")
+    extra = ["vertex", "tag"] if tag is not None else []
+    mine = own.select("doc_id", "n_shingles", "vertex", "tag")
+    ends = scratch.cut(mine.join(final, mine.vertex == final.node, "left").select("doc_id", "n_shingles", F.coalesce("root", "vertex").alias("root"), *extra), "ends")
     least = scratch.cut(ends.filter("root is not null and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
     out = ends.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNotNull() & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), *extra)

@@ -315,7 +315,11 @@ def scan(docs: DataFrame, limits: dict[Stratum, int], keep: tuple[str, ...] = ("
 
 
 def redact(docs: DataFrame, limits: dict[Stratum, int], mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns, with each stretch of overlapping spans in ``text`` replaced by ``mark``."""
+    """The same rows and columns, with each stretch of overlapping spans in ``text`` replaced by ``mark``.
+
+    Null and empty texts stay as they are, as do all other columns and repeated rows; an empty
+    table gives an empty result.
+    """
 
     def clean(text: str | None) -> str | None:
         spans = find(text, limits)

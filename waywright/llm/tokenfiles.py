@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .chunks import PieceEncoder, without_collector
 
 SLICE = 256
-READ_TOKENS = 4_000_000
+#: Documents, and ids beyond one document's, that are read together.
+READ_DOCS, READ_TOKENS = 10_000, 4_000_000
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -75,7 +76,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, pattern
     The vocabulary is a byte-level BPE without normaliser whose pre-tokenizer splits by
     ``pattern``; added tokens written out in a text get their ids, as the library's
     ``encode(add_special_tokens=False)`` gives them.  A null text counts as empty; an empty
-    table gives an empty manifest.
+    table gives an empty manifest; repeated rows are written each; other columns, whatever
+    their names, are ignored.
     """
     spec = json.loads(tokenizer_json)
     top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", [])), end_id or 0])
@@ -122,12 +124,26 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, pattern
     return parts
 
 
-def _ints(fs: pafs.FileSystem, path: str, width: str) -> np.ndarray:
-    """A whole file of integers: memory-mapped if it is mounted here, else read."""
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, width, "r") if fs.get_file_info(path).size else np.zeros(0, width)
-    with fs.open_input_stream(path) as f:
-        return np.frombuffer(f.read(), width)
+class Ints:
+    """A file of integers, sliced like an array: memory-mapped if it is mounted here, else read a range at a time."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, width: str):
+        self.type = np.dtype(width)
+        self.size = fs.get_file_info(path).size // self.type.itemsize
+        self.mapped = None
+        if isinstance(fs, pafs.LocalFileSystem):
+            self.mapped = np.memmap(path, width, "r") if self.size else np.zeros(0, width)
+        else:
+            self.file = fs.open_input_file(path)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        start, stop, _ = at.indices(self.size)
+        if self.mapped is not None:
+            return np.asarray(self.mapped[start:stop])
+        return np.frombuffer(self.file.read_at(max(0, stop - start) * self.type.itemsize, start * self.type.itemsize), self.type)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,23 +162,21 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
         fs, root = _open(folder)
         for row in (r for b in batches for r in b.to_pylist()):
             stem = f"{root}/{row['name']}"
-            ids, off, doc, nul = (_ints(fs, stem + end, w) for end, w in ((".ids", row["width"]), (".off", "<i8"), (".doc", "<i8"), (".nul", "u1")))
+            ids, off, doc, nul = (Ints(fs, stem + end, w) for end, w in ((".ids", row["width"]), (".off", "<i8"), (".doc", "<i8"), (".nul", "u1")))
             at = 0
             while at < len(doc):
-                to = max(at + 1, min(at + 10_000, int(np.searchsorted(off, off[at] + READ_TOKENS, "right")) - 1))
-                lo, own = int(off[at]), np.asarray(ids[off[at] : off[to]]).astype("<u4")
-                crc = [zlib.crc32(own[a - lo : b - lo].tobytes()) for a, b in zip(off[at:to].tolist(), off[at + 1 : to + 1].tolist(), strict=True)]
+                ends = off[at : at + READ_DOCS + 1]
+                n = max(1, int(np.searchsorted(ends, ends[0] + READ_TOKENS, "right")) - 1)  # documents whose ids are read together
+                ends = ends[: n + 1]
+                own = ids[int(ends[0]) : int(ends[-1])].astype("<u4")
+                inside = (ends - ends[0]).tolist()
+                crc = [zlib.crc32(own[a:b].tobytes()) for a, b in zip(inside, inside[1:], strict=False)]
+                n = len(crc)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.asarray(doc[at:to]), pa.int64(), mask=np.asarray(nul[at:to]) > 0),
-                        pa.array(row["base"] + np.asarray(off[at:to]), pa.int64()),
-                        pa.array(np.diff(off[at : to + 1]), pa.int64()),
-                        pa.array(crc, pa.int64()),
-                        pa.array([row["part"]] * (to - at), pa.int64()),
-                    ],
+                    [pa.array(doc[at : at + n], pa.int64(), mask=nul[at : at + n] > 0), pa.array(row["base"] + ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64()), pa.array([row["part"]] * n, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "part"],
-                )
-                at = to
+                )
+                at += n
 
     table = spark.createDataFrame([(p["name"], p["width"], p["base"], p["part"]) for p in parts], "name string, width string, base long, part long")
     return table.repartition(len(parts)).mapInArrow(run, schema)

@@ -26,9 +26,9 @@ WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 STEMS = range(3, 7)
 SAMPLE_ROWS = 8_000
-MOST_FEATURES = 4_096
 LEAST_DOCS = 4
 LEAST_G = 20.0
+L2 = 0.02
 SLICE = 256
 MOST_WORDS = 100_000
 MOST_COUNTED = 100_000
@@ -36,7 +36,7 @@ MOST_COUNTED = 100_000
 
 @dataclass
 class Model:
-    """Weights of at most MOST_FEATURES features, a bias, and the leak's probability."""
+    """Weights of features, a bias, and the leak's probability."""
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
@@ -88,7 +88,7 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 
 def _chosen(counts: DataFrame, n: int, n_toxic: int) -> list[str]:
-    """Features that toxic documents have more often, by the G test of their counts."""
+    """All features that toxic documents have more often, by the G test of their counts; the sample bounds their number."""
     p, d, t = n_toxic / n, F.col("docs"), F.col("toxic")
 
     def term(seen, expected):
@@ -96,28 +96,36 @@ def _chosen(counts: DataFrame, n: int, n_toxic: int) -> list[str]:
 
     g = 2 * (term(t, d * p) + term(d - t, d * (1 - p)) + term(n_toxic - t, n_toxic - d * p) + term((n - n_toxic) - (d - t), (n - n_toxic) - d * (1 - p)))
     rows = counts.filter((d >= LEAST_DOCS) & (t > d * p)).withColumn("g", g).filter(F.col("g") >= LEAST_G)
-    return [r.feature for r in rows.orderBy(F.desc("g"), "feature").limit(MOST_FEATURES).collect()]
+    return sorted(r.feature for r in rows.select("feature").collect())
 
 
 def _evidence(sample: DataFrame, chosen: list[str]) -> DataFrame:
-    """doc_id, toxic and, for each sentence with evidence, the places of its features in ``chosen``."""
+    """doc_id, toxic, found (for each kind of sentence with evidence, the places of its features in ``chosen``) and times (how many sentences are of that kind)."""
     place = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            found, times = [], []
             for text in batch.column(1).to_pylist():
-                found = ({place.value[f] for w in WORD.findall(s) for f in features(w) if f in place.value} for s in SENTENCE.findall((text or "").lower()))
-                out.append([sorted(x) for x in found if x])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "found"])
+                kinds = Counter(tuple(sorted({place.value[f] for w in WORD.findall(s) for f in features(w) if f in place.value})) for s in SENTENCE.findall((text or "").lower()))
+                kinds.pop((), None)
+                kinds = sorted(kinds.items())
+                found.append([k for k, _ in kinds])
+                times.append([n for _, n in kinds])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array(times, pa.list_(pa.int64()))], names=["doc_id", "toxic", "found", "times"])
 
-    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, found array<array<int>>")
+    return sample.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, found array<array<int>>, times array<long>")
 
 
-def fit(found: list[list[list[int]]], toxic: list[int], n_features: int, steps: int = 400, rate: float = 0.1, l2: float = 0.02) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak that maximise the noisy-or likelihood of the labels, less a quadratic penalty."""
+def fit(found: list[list[list[int]]], times: list[list[int]], toxic: list[int], n_features: int, steps: int = 400, rate: float = 0.1, l2: float = L2) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak that maximise the noisy-or likelihood of the labels, less a quadratic penalty.
+
+    A document's label is 0 with the probability that no sentence and no leak makes it 1: the
+    product of 1 - sigmoid(bias + sum of weights) over sentences, times 1 - leak.
+    """
     y = np.array(toxic, float)
     of_doc = np.array([d for d, s in enumerate(found) for _ in s], np.int64)
+    often = np.array([n for t in times for n in t], float)
     of_sent = np.array([i for i, s in enumerate(x for f in found for x in f) for _ in s], np.int64)
     of_feat = np.array([f for s in found for x in s for f in x], np.int64)
     theta = np.concatenate([np.full(n_features, 0.5), [-1.0, math.log((y.mean() * 0.1 + 1e-3) / (1 - y.mean() * 0.1))]])
@@ -127,13 +135,14 @@ def fit(found: list[list[list[int]]], toxic: list[int], n_features: int, steps:
         z = bias + np.bincount(of_sent, w[of_feat], minlength=len(of_doc))
         log_not = -np.logaddexp(0, z)
         log_not_leak = -np.logaddexp(0, leak)
-        none = np.exp(np.bincount(of_doc, log_not, minlength=len(y)) + log_not_leak)
+        none = np.exp(np.bincount(of_doc, often * log_not, minlength=len(y)) + log_not_leak)
         pull = np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0)
-        slope = pull[of_doc] * -np.expm1(log_not)
+        slope = often * pull[of_doc] * -np.expm1(log_not)
         grad = np.concatenate([np.bincount(of_feat, slope[of_sent], minlength=n_features), [slope.sum(), pull.sum() * -np.expm1(log_not_leak)]])
         grad[:-1] += l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        # Steps get shorter, so that the last ones settle.
+        theta = theta - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta[:-2], float(theta[-2]), float(1 / (1 + math.exp(-theta[-1])))
 
 
@@ -143,6 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     Counting features and finding evidence run on Spark; the driver gets the evidence of
     the sample only, whose size the parameter bounds.  With no labelled rows the model
     scores 0; with labels of one kind only, it scores their share.
+
+    A null text counts as empty.  An id labelled more than once is toxic if any of its labels
+    says so; labels and ids that are null teach nothing.  Documents that repeat an id are all
+    read.  Other columns of either table, whatever their names, are ignored.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = _sample(docs, labels, rows, scratch)
@@ -151,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return Model(leak=n_toxic / n if n else 0.0)
     chosen = _chosen(_counted(sample), n, n_toxic)
     seen = sorted(_evidence(sample, chosen).collect())
-    weights, bias, leak = fit([r.found for r in seen], [r.toxic for r in seen], len(chosen))
+    weights, bias, leak = fit([r.found for r in seen], [r.times for r in seen], [r.toxic for r in seen], len(chosen))
     scratch.drop("sample")
     return Model(dict(zip(chosen, weights.tolist(), strict=True)), bias, leak)
 
@@ -196,8 +209,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str
 
     Returns ``keep`` columns, score (0 to 1), predicted (1 if score >= threshold), worst_start,
     worst_end (code points of the worst sentence) and worst_score; the last three are null
-    where no sentence has evidence.  A null or empty text has the leak's score.  Columns
-    other than text are only passed on, never read.
+    where no sentence has evidence.  A null or empty text has the leak's score, repeated rows
+    are each scored, and an empty table gives an empty result.  Columns other than text are
+    only passed on, never read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
