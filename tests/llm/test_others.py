@@ -196,8 +196,8 @@ def test_chroma_fingerprints_equal_plain_sums():
     tone = lambda hz, n: 6000 * np.sin(2 * np.pi * hz * np.arange(n) / 4000)
     audio = [np.concatenate([tone(hz, 1500) for hz in r.choice([220, 262, 330, 415, 523, 698], 5)]) + r.normal(0, 30, 7500) for _ in range(3)] + [np.zeros(7500), tone(440, 6000), tone(440, 900)]
     raw = [a.astype("<i2").tobytes() for a in audio] + [None, b"", b"x"]
-    together = chroma._prints(raw, 4000)
-    assert together == [chroma._prints([a], 4000)[0] for a in raw] and together[5:] == [b""] * 4
+    together = chroma.prints_of([chroma.pcm(a) for a in raw], 4000)
+    assert together == [chroma.prints_of([chroma.pcm(a)], 4000)[0] for a in raw] and together[5:] == [b""] * 4
     for n, (a, got) in enumerate(zip(raw[:5], together, strict=False)):
         want, near = packed_by_hand(np.frombuffer(a, "<i2").astype(float), 4000)
         got = np.frombuffer(got, "<u4")
@@ -207,7 +207,7 @@ def test_chroma_fingerprints_equal_plain_sums():
 def test_chroma_aligns_late_noisy_takes(spark):
     r = np.random.default_rng(3)
     v = spark.createDataFrame([(i, r.normal(0, 0.12, 64).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
-    got = chroma.align(chroma.fingerprints(chroma.sonify(v), chroma.RATE)).collect()
+    got = chroma.align(chroma.fingerprints(chroma.melodies(v), chroma.RATE, chroma.play)).collect()
     assert {(x.query_id, x.match_id) for x in got} == {(i, i + 1) for i in range(0, 300, 50)} and all(x.offset_frames == -8 for x in got)
 
 

@@ -1,6 +1,6 @@
 """Chroma audio fingerprints: pitch-class frames, integral-image filters, packed integers, alignment.
 
-Recordings are a binary column of 16-bit mono samples.  Fingerprints are made where the
+Recordings are a media column: 16-bit mono samples, or whatever a decoder reads.  Fingerprints are made where the
 recording is read.  Recordings with the same fingerprint form a class and are compared
 once; candidates share packed integers, an offset histogram picks how two recordings lie
 to each other, and bit errors over their whole overlap decide.
@@ -9,7 +9,9 @@ to each other, and bit errors over their whole overlap decide.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +54,10 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
         return out
     window = np.hanning(FRAME).astype(np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME, axis=1)[:, ::HOP][:, :n] * window
-    spectrum = np.fft.rfft(frames, axis=2)
+    squares = np.fft.rfft(frames, axis=2).view(np.float32)
+    squares *= squares
     bins, starts, classes = _by_class(rate)
-    spectrum = spectrum[:, :, bins]
-    power = spectrum.real**2 + spectrum.imag**2
-    out[:, :, classes] = np.add.reduceat(power, starts, axis=2)
+    out[:, :, classes] = np.add.reduceat((squares[:, :, ::2] + squares[:, :, 1::2])[:, :, bins], starts, axis=2)
     size = np.sqrt((out**2).sum(axis=2, keepdims=True))
     return np.divide(out, size, out=np.zeros_like(out), where=size > 1e-9)
 
@@ -94,32 +95,40 @@ def packed(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def _prints(audio: list[bytes | None], rate: int) -> list[bytes]:
+def pcm(audio: bytes | None) -> np.ndarray:
+    """Samples of 16-bit mono audio; null is none, and an odd last byte is ignored."""
+    return np.frombuffer(audio or b"", "<i2", count=len(audio or b"") // 2)
+
+
+def prints_of(recordings: list[np.ndarray], rate: int) -> list[bytes]:
     """The fingerprint of each recording; those of one length are worked on together, a bounded number at a time."""
-    sizes = [len(a or b"") // 2 for a in audio]
-    out = [b""] * len(audio)
-    for size in set(sizes):
-        own = [i for i, s in enumerate(sizes) if s == size]
+    out = [b""] * len(recordings)
+    by_size: dict[int, list[int]] = {}
+    for i, x in enumerate(recordings):
+        by_size.setdefault(len(x), []).append(i)
+    for size, own in by_size.items():
         step = max(1, TOGETHER // max(1, size))
         for at in range(0, len(own), step):
             part = own[at : at + step]
-            found = packed(chroma(np.stack([np.frombuffer(audio[i] or b"", "<i2", count=size) for i in part]), rate)).astype("<u4")
-            for i, row in zip(part, found, strict=True):
+            for i, row in zip(part, packed(chroma(np.stack([recordings[i] for i in part]), rate)).astype("<u4"), strict=True):
                 out[i] = row.tobytes()
     return out
 
 
-def fingerprints(recordings: DataFrame, rate: int) -> DataFrame:
+def fingerprints(recordings: DataFrame, rate: int, decode: Callable[[Any], np.ndarray] = pcm) -> DataFrame:
     """rec_id, print (little-endian 32-bit integers) and same (a hash of it), from (rec_id, audio).
 
-    A null or too short recording has an empty print; an odd last byte is ignored.
+    ``decode`` turns a value of the audio column, of whatever type, into 16-bit mono samples;
+    it runs where the recording is read, so that decoded audio moves nowhere.  A null or too
+    short recording has an empty print; repeated rows give repeated rows; other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                prints = _prints(part.column(1).to_pylist(), rate)
+                prints = prints_of([decode(a) for a in part.column(1).to_pylist()], rate)
                 same = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) for p in prints]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(same, pa.int64())], names=["rec_id", "print", "same"])
 
@@ -191,37 +200,37 @@ def align(prints: DataFrame, every: int = 50, least_hits: int = 4, most_errors:
 RATE, NOTE, LATE = 4000, 640, 2_000
 
 
-def sonify(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", covers: int = 10) -> DataFrame:
-    """(rec_id, audio): recordings for tables that hold no media, a melody of each vector, a note a component.
+def melodies(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", covers: int = 10) -> DataFrame:
+    """(rec_id, audio): recordings for tables that hold no media; audio is a score, which ``play`` decodes.
 
-    A row whose id leaves 1 when divided by ``covers`` is a late, noisy take of the melody of
-    the row before it, if there is one.  Null and non-finite components are rests; a null
-    vector gives a null recording.
+    Each vector is a melody, a note a component.  A row whose id leaves 1 when divided by
+    ``covers`` is a late, noisy take of the melody of the row before it, if there is one.
+    Null and non-finite components are rests; a null vector gives a null recording.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("rec_id"), F.col(vector).cast("array<double>").alias("v"))
     before = rows.filter(F.col("rec_id") % covers == 0).select((F.col("rec_id") + 1).alias("rec_id"), F.col("v").alias("cover"))
     rows = rows.join(before.dropDuplicates(["rec_id"]), "rec_id", "left")
-
-    def melody(v: list, tones: np.ndarray) -> np.ndarray:
-        x = np.array([np.nan if c is None else c for c in v], float)
-        ok = np.isfinite(x)
-        pitch = np.floor(np.where(ok, np.clip(x, -1e6, 1e6), 0) * 64).astype(int) % 24
-        return (tones[pitch] * (ok * 8000)[:, None]).ravel()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = np.arange(NOTE) / RATE
-        shape = np.sin(np.pi * np.arange(NOTE) / NOTE)
-        tones = np.stack([shape * np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in range(24)])
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                out = []
-                for i, v, cover in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if v is None or cover is None:
-                        out.append(None if v is None else melody(v, tones).astype("<i2").tobytes())
-                    else:
-                        x = np.concatenate([np.zeros(LATE), melody(cover, tones)])
-                        out.append((x + np.random.default_rng(abs(i)).normal(0, 200, len(x))).astype("<i2").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["rec_id", "audio"])
-
-    return rows.select("rec_id", "v", "cover").mapInArrow(run, "rec_id long, audio binary")
+    late = F.col("cover").isNotNull()
+    score = F.struct(F.when(late, F.col("cover")).otherwise(F.col("v")).alias("notes"), F.when(late, F.abs("rec_id")).alias("take"))
+    return rows.select("rec_id", F.when(F.col("v").isNotNull(), score).alias("audio"))
+
+
+@cache
+def _tones() -> np.ndarray:
+    t = np.arange(NOTE) / RATE
+    shape = np.sin(np.pi * np.arange(NOTE) / NOTE)
+    return np.stack([8000 * shape * np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in range(24)] + [np.zeros(NOTE)])
+
+
+def play(score: dict | None) -> np.ndarray:
+    """Samples of a score of ``melodies``: its notes and, for a take, when it starts and its noise."""
+    if score is None:
+        return pcm(None)
+    x = np.array([np.nan if c is None else c for c in score["notes"]], float)
+    ok = np.isfinite(x)
+    pitch = np.floor(np.where(ok, np.clip(x, -1e6, 1e6), 0) * 64).astype(int) % 24
+    sound = _tones()[np.where(ok, pitch, 24)].ravel()
+    if score["take"] is not None:
+        sound = np.concatenate([np.zeros(LATE), sound])
+        sound += np.random.default_rng(score["take"]).normal(0, 200, len(sound))
+    return sound.astype("<i2")

@@ -75,8 +75,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recordings = chroma.sonify(table(spark, sf_dir, "embeddings"))
-    return chroma.align(chroma.fingerprints(recordings, chroma.RATE))
+    recordings = chroma.melodies(table(spark, sf_dir, "embeddings"))
+    return chroma.align(chroma.fingerprints(recordings, chroma.RATE, chroma.play))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
