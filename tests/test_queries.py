@@ -38,3 +38,21 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_traces_reach_every_branch(spark):
+    """The made traces hold every outcome that the queries tell apart."""
+    a = catalog.analysis(spark, "/root/testdata/sf0.01")
+    assert {(r[0], r[1]) for r in a.runs.select("lifecycle", "validity").distinct().collect()} == {("completed", "valid"), ("completed", "unranked"), ("abandoned", "unranked"), ("armed", "pending"), ("active", "pending")}
+    assert {r[0] for r in a.status.select("reason").distinct().collect()} == {None, "not_valid", "replay_incomplete", "missing_start_coverage"}
+    assert {r[0] for r in a.matched.select("quality").distinct().collect()} == {"accepted", "off_course", "poor_accuracy"}
+    assert {r[0] for r in a.comparison.select("reason").distinct().collect()} >= {None, "current_not_eligible", "missing_comparison_target"}
+    assert {r[0] for r in a.intervals.select("label").distinct().collect()} == {"moving", "waiting", "unknown"}
+
+
+def test_changed_tables_are_analysed_anew(spark, tmp_path):
+    for t in ("events", "region"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    n = catalog.QUERIES["q_match"](spark, str(tmp_path)).count()
+    spark.read.parquet(f"{DATA}/events.parquet").filter("event_id % 2 = 0").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert 0 < catalog.QUERIES["q_match"](spark, str(tmp_path)).count() < n

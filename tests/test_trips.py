@@ -1,8 +1,13 @@
+import json
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.trips import LAT, LON, T0, course, samples, steady, trace
-from waywright.operators import comparing, ghost, matching, movement, ranking, routes, sessions, timing
+from waywright.operators import comparing, ghost, matching, movement, prefix, ranking, routes, sessions, timing
 from waywright.plans.analysis import Analysis
 from waywright.sources import traces as src
 
@@ -187,11 +192,105 @@ def test_upsert_and_cascade(spark):
 
 
 def test_samples_sink_and_lines(spark, tmp_path):
-    s = samples(spark, trace("a", steady(until=20)), trace("b", steady(until=20))).withColumn("heading", F.lit(None).cast("double"))
-    src.append_samples(s.drop("attempt_id", "route_id"), spark.createDataFrame([("a", True), ("b", False)], "id string, is_active boolean"), str(tmp_path / "s"))
-    back = src.read_samples(spark, str(tmp_path / "s"))
+    s = samples(spark, trace("a", steady(until=20)), trace("b", steady(until=20))).withColumn("heading", F.when(F.col("id") > "00000", 90.2)).drop("attempt_id", "route_id")
+    store, active = str(tmp_path / "s"), spark.createDataFrame([("a", True), ("b", False)], "id string, is_active boolean")
+    first = s.withColumn("speed", F.lit(4.0))
+    assert src.append_samples(first, active, store) == 5
+    back = src.read_samples(spark, store)
     assert {r.session_id for r in back.collect()} == {"a"}
-    assert src.sample_line(back).orderBy("line").first().line.startswith("2023-11-14T22:13:20.000Z 32.080000,34.780000 acc 5.0m spd n/a")
+    lines = [r.line for r in src.sample_line(back).orderBy("id").collect()]
+    assert lines[0] == "2023-11-14T22:13:20.000Z  32.080000, 34.780000  ±5.0m  4.0m/s  hdg n/a" and lines[1].endswith("  90°")
+    # Sent again, with another speed: it replaces what is there.
+    assert src.append_samples(s.filter("id = '00001'").withColumn("speed", F.lit(9.0)), active, store) == 1
+    assert {r.id: r.speed for r in src.read_samples(spark, store).collect()} == {"00000": 4.0, "00001": 9.0, "00002": 4.0, "00003": 4.0, "00004": 4.0}
+    assert src.append_samples(s, active.withColumn("is_active", F.lit(False)), store) == 0
+
+
+def test_texts(spark):
+    from waywright.functions import text
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(text.rank_among(F.lit(2), F.lit(9))) == "2nd fastest of 9" and one(text.mode_label(F.lit("skate"))) == "skate" and one(text.mode_icon(F.lit("skate"))) == ""
+    assert one(text.fix_age(F.lit(-5))) == "0s ago" and one(text.fix_age(F.lit(61_500))) == "1m 1s ago" and one(text.fix_health(F.lit(None).cast("long"))) == "waiting_for_first_fix"
+    assert one(text.attempt_stamp(F.lit(T0))) == "2023-11-14 22:13:20"
+    from waywright.functions.geo import plain
+
+    assert [one(plain(F.lit(x))) for x in (100.0, 0.5, 12345678.25, 0.0, 86400000.125)] == ["100", "0.5", "12345678.25", "0", "86400000.125"]
+    assert [one(sessions.tracking_status(F.lit(a), F.lit(o))) for a, o in ((True, "active"), (False, "active"), (True, "finished"), (False, "interrupted"))] == ["tracking", "idle", "idle", "interrupted"]
+
+
+def test_start_zone_of_latest_samples(spark):
+    """Off the course is outside, a poor fix and no fix are locating."""
+    c = course(spark)
+    s = samples(spark, trace("in", [(0, 5.0)]), trace("far", [(0, 5.0), (1, 5.0, 90.0)]), trace("on", [(i, 10.0 * i) for i in range(8)]), trace("poor", [(0, 5.0), (1, 5.0, 0.0, 60.0)]))
+    m = matching.match_samples(s, c)
+    attempts = s.select("attempt_id", "route_id").distinct().union(spark.createDataFrame([("none", "r")], "attempt_id string, route_id string"))
+    got = {r.attempt_id: r.status for r in timing.start_zone_status(attempts, m, c, timing.replay(m, c)).collect()}
+    assert got == {"in": "inside", "far": "outside", "on": "outside", "poor": "locating", "none": "locating"}
+
+
+def test_identity_and_geojson(spark):
+    c = course(spark, marks=[("b", 200), ("a", 200)])
+    assert routes.layout_identity(c).first().identity.endswith("|cp=[a:200.000,b:200.000]") and routes.layout_identity(c).first().identity.startswith("start=0.000|finish=799.")
+    waits = spark.createDataFrame([("r", "w1", LAT, LON), ("r", "w2", None, None)], "route_id string, wait_id string, latitude double, longitude double")
+    found = json.loads(src.course_geojson(c, waits, "w1").first().geojson)["features"]
+    assert [f["properties"]["kind"] for f in found] == ["path", "start-zone", "start", "finish-zone", "finish", "checkpoint", "checkpoint", "wait"]
+    assert found[-1]["properties"]["selected"] == "yes" and found[-1]["geometry"] == {"type": "Point", "coordinates": [LON, LAT]}
+    assert found[1]["geometry"]["coordinates"][0][0] == found[1]["geometry"]["coordinates"][0][-1]
+
+
+def test_saving_and_arming(spark):
+    derived = routes.derive_routes(samples(spark, trace("a", [(i, 8.0 * i) for i in range(40)]), trace("b", [(0, 0.0)])))
+    rows = [("a", False, "route_creation", "finished", "pending"), ("b", False, "route_creation", "finished", "pending")]
+    s = spark.createDataFrame(rows, "id string, is_active boolean, purpose string, capture_outcome string, review_disposition string").withColumn("started_at_ms", F.lit(1))
+    names = spark.createDataFrame([("a", "r1", "  Home ", "bike", 5), ("b", "r2", "Work", "bike", 5)], "session_id string, route_id string, name string, transportation_mode string, created_at_ms int")
+    saved = sessions.saved_routes(derived, s, names).collect()
+    assert [(r.route_id, r.name, r.source_recording_id) for r in saved] == [("r1", "Home", "a")] and saved[0].finish_p > 280
+    c, attempts = course(spark), spark.createDataFrame([("x", "completed")], "attempt_id string, lifecycle string")
+    why = lambda s, a: sessions.arming_problem(c, routes.layout_problem(c), s, a).first().reason
+    assert why(s.limit(0), attempts) is None and why(s, attempts) == "pending_route" and why(s.withColumn("is_active", F.lit(True)), attempts) == "recording"
+    assert why(s.limit(0), attempts.withColumn("lifecycle", F.lit("armed"))) == "open_attempt"
+    bad = course(spark, radius=5.0)
+    assert sessions.arming_problem(bad, routes.layout_problem(bad), s.limit(0), attempts).first().reason == "start_radius"
+
+
+def test_long_traces_are_matched_as_short_ones(spark, monkeypatch):
+    """Over many slices and segments, with a window of segments at a time, as with all of them at once."""
+    r = random.Random(1)
+    path = [(LAT + i * 12 / 111320, LON + (i % 7) * 3e-5) for i in range(700)]
+    steps = [(i, 0.9 * i + r.uniform(-8, 8), r.uniform(-30, 30)) for i in range(9000)]
+    c, s = course(spark, path=path), samples(spark, trace("a", steps))
+    got = [(x.quality, x.progress_m) for x in matching.match_samples(s, c).orderBy("seq").collect()]
+    rows = s.orderBy("recorded_at_ms").collect()
+    monkeypatch.setattr(matching, "MOST_CELLS", 10**9)
+    whole = matching._Follower(np.array([p[0] for p in path]), np.array([p[1] for p in path]), 0.0)
+    want = [x[:2] for x in whole(np.array([x.latitude for x in rows]), np.array([x.longitude for x in rows]), np.zeros(len(rows), bool))]
+    assert got == want and {q for q, _ in got} >= {"accepted"}
+
+
+def test_legs_meet_intervals_in_proportion_to_a_trip(spark):
+    """A trip ten times as long has about ten times the pairs, and what isn't in the same half minute never meets."""
+
+    def pairs(n):
+        k = spark.range(n + 1).select(F.lit("a").alias("attempt_id"), F.col("id").alias("n"), (F.col("id") * 1000.0).alias("elapsed_ms"), F.col("id").cast("double").alias("progress_m"), (F.col("id") * 1000.0).alias("at_ms"))
+        i = spark.range(n).select(F.lit("a").alias("attempt_id"), F.when(F.col("id") % 9 == 4, "unknown").otherwise("moving").alias("label"), (F.col("id") * 1000.0).alias("start_ms"), (F.col("id") * 1000.0 + 1000).alias("end_ms"))
+        found = ghost.legs(k, i)
+        assert found.filter("not good").count() == n // 9 + (n % 9 > 4)
+        plan = found._jdf.queryExecution()
+        found.write.format("noop").mode("overwrite").save()
+        return plan.toString()
+
+    assert "bucket" in pairs(900) and "bucket" in pairs(9000)
+
+
+def test_running_values_over_ranges_equal_windows(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k"), (F.col("id") * 7919 % 1009).alias("x"), "id", F.when(F.col("id") % 5 == 0, F.col("id") * 31 % 97).alias("v"))
+    order = [F.col("x").asc(), F.col("id").asc()]
+    got = prefix.with_earlier(prefix.dealt(rows, ["k"], order, "t"), ["k"], order, {"n": ("count", F.lit(1)), "least": ("min", F.col("v")), "most": ("max", F.col("v")), "was": ("last", F.struct("id"))})
+    w = Window.partitionBy("k").orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = rows.select("*", F.count("*").over(before).alias("n"), F.min("v").over(before).alias("least"), F.max("v").over(before).alias("most"), F.lag(F.struct("id")).over(w).alias("was"))
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
 
 
 def test_empty_inputs(spark):

@@ -33,3 +33,8 @@ CLUSTER_M, SHOWN_MS, SHOWN_ROWS = 40.0, 3_000.0, 5
 
 # Ghost comparison and freshness.
 GHOST_M, NEAR_M, STALE_MS = 0.05, 5.0, 120_000
+
+# What a map or a preview shows: padding of the box, the box of nothing (west, south, east, north), and sizes of zones in percent.
+PAD_SHARE, LEAST_PAD = 0.15, 0.001
+DEFAULT_BOX = (34.75, 32.05, 34.82, 32.12)
+LEAST_SPAN, DIAMETER_RANGE = 0.0001, (4.0, 80.0)

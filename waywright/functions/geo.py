@@ -15,35 +15,18 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
-def meters_east(lat0: Column, lon0: Column, lon: Column) -> Column:
-    return (lon - lon0) * (F.lit(METERS_PER_DEGREE) * F.cos(F.radians(lat0)))
-
-
-def meters_north(lat0: Column, lat: Column) -> Column:
-    return (lat - lat0) * METERS_PER_DEGREE
-
-
-def share_along(a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, lat: Column, lon: Column) -> Column:
-    """Where on a segment the nearest point to (lat, lon) lies, 0 to 1; 0 on a segment without length."""
-    ex, ey = meters_east(a_lat, a_lon, b_lon), meters_north(a_lat, b_lat)
-    px, py = meters_east(a_lat, a_lon, lon), meters_north(a_lat, lat)
-    square = ex * ex + ey * ey
-    return F.when(square > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (px * ex + py * ey) / square))).otherwise(F.lit(0.0))
-
-
-def point_on(a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column, share: Column) -> tuple[Column, Column]:
-    """Latitude and longitude at a share of a segment."""
-    return (
-        a_lat + meters_north(a_lat, b_lat) * share / METERS_PER_DEGREE,
-        a_lon + meters_east(a_lat, a_lon, b_lon) * share / (F.lit(METERS_PER_DEGREE) * F.cos(F.radians(a_lat))),
-    )
+def extent(lat: Column, lon: Column, radius: Column) -> Column:
+    """The northernmost, southernmost, easternmost and westernmost point of a zone."""
+    north = radius / METERS_PER_DEGREE
+    east = radius / F.greatest(F.lit(1e-6), F.lit(METERS_PER_DEGREE) * F.cos(F.radians(lat)))
+    return F.array(*[F.struct((lat + a * north).alias("latitude"), (lon + b * east).alias("longitude")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
 
 
 def ring(lat: Column, lon: Column, radius: Column, corners: int = 32) -> Column:
     """A closed polygon around a point, as an array of (longitude, latitude) pairs; the first corner ends it too."""
     def corner(i: Column) -> Column:
-        angle = 2 * F.pi() * (i % corners) / corners
-        north, east = radius * F.cos(angle), radius * F.sin(angle)
+        angle = 2 * F.pi() * (i % corners) / corners  # from the east, against the clock
+        east, north = radius * F.cos(angle), radius * F.sin(angle)
         return F.array(lon + east / (F.lit(METERS_PER_DEGREE) * F.cos(F.radians(lat))), lat + north / METERS_PER_DEGREE)
 
     return F.transform(F.sequence(F.lit(0), F.lit(corners)), corner)
@@ -52,3 +35,8 @@ def ring(lat: Column, lon: Column, radius: Column, corners: int = 32) -> Column:
 def milli(x: Column) -> Column:
     """Thousandths as a whole number, halves upwards; what results are compared by."""
     return F.floor(x * 1000 + 0.5).cast("long")
+
+
+def plain(x: Column) -> Column:
+    """A number as text without exponent or needless zeros: 12, 0.5, 12345678.25."""
+    return F.regexp_replace(x.cast("double").cast("string").cast("decimal(38,15)").cast("string"), "\\.?0+$", "")

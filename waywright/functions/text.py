@@ -5,16 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Texts shown for reasons.
-UNRANKED = {
-    "not_completed": "Attempt was not completed.",
-    "missing_telemetry": "Telemetry is missing.",
-    "replay_incomplete": "The course could not be replayed.",
-    "not_valid": "The attempt left the course.",
-    "missing_start_coverage": "The start was not recorded.",
-}
-MODES = {"scooter": "Scooter", "bike": "Bike", "run": "Run", "walk": "Walk"}
-
+from . import constants as K
+from . import labels
 
 def elapsed(ms: Column) -> Column:
     """m:ss, or h:mm:ss from an hour on; negatives count as zero."""
@@ -57,20 +49,60 @@ def into_route(progress: Column) -> Column:
     return F.coalesce(F.concat(distance(progress), F.lit(" into route")), F.lit("Location unavailable"))
 
 
+def rank_among(rank: Column, total: Column) -> Column:
+    return F.concat(ordinal(rank), F.lit(" fastest of "), total.cast("string"))
+
+
 def time_of_day(ms: Column) -> Column:
-    """Hour (not padded) and minute in the session's zone."""
-    return F.date_format(F.timestamp_millis(ms.cast("long")), "H:mm")
+    """Hour (not padded), minute and second in the session's zone."""
+    return F.date_format(F.timestamp_millis(ms.cast("long")), "H:mm:ss")
+
+
+def attempt_stamp(ms: Column) -> Column:
+    """Date and time of day in the session's zone."""
+    return F.concat_ws(" ", F.date_format(F.timestamp_millis(ms.cast("long")), "yyyy-MM-dd"), time_of_day(ms))
+
+
+def named(code: Column, names: dict[str, str], other: Column | None = None) -> Column:
+    """The text that belongs to a code; for others ``other``, or null."""
+    found = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), code)
+    return found if other is None else F.coalesce(found, other)
+
+
+def mode_label(mode: Column) -> Column:
+    return named(mode, labels.MODES, mode)
 
 
-def named(code: Column, names: dict[str, str]) -> Column:
-    """The text that belongs to a code; null for others."""
-    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), code)
+def mode_icon(mode: Column) -> Column:
+    return named(mode, labels.MODE_ICONS, F.lit(""))
 
 
-def fix_health(age_ms: Column, stale_ms: int) -> Column:
-    return F.when(age_ms.isNull(), "none").when(age_ms >= stale_ms, "stale").otherwise("fresh")
+def endpoint_label(kind: Column, name: Column) -> Column:
+    """Start, Finish, or a checkpoint's name."""
+    return named(kind, labels.ENDPOINTS, name)
+
+
+def fix_age(ms: Column) -> Column:
+    """How old the last fix is: seconds, from a minute on minutes and seconds; negatives count as zero."""
+    s = F.greatest(F.lit(0), F.floor(ms / 1000)).cast("long")
+    short = F.concat(s.cast("string"), F.lit("s ago"))
+    return F.when(s < 60, short).otherwise(F.concat(F.floor(s / 60).cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s ago")))
+
+
+def fix_health(age_ms: Column, stale_ms: int = K.STALE_MS) -> Column:
+    return F.when(age_ms.isNull(), "waiting_for_first_fix").when(age_ms >= stale_ms, "stale").otherwise("healthy")
 
 
 def radius_input(text: Column) -> Column:
     """The number in a zone radius as typed, a comma allowed for the point; null for anything else."""
     return F.trim(F.regexp_replace(text, "^([^,]*),", "$1.")).try_cast("double")
+
+
+def unranked_warning(lifecycle: Column, validity: Column, analysed: Column) -> Column:
+    """Whether to warn that a completed attempt isn't ranked: only where no analysis of it is at hand."""
+    return (lifecycle == "completed") & (validity != "valid") & ~analysed
+
+
+def waiting_share(waiting_ms: Column, official_ms: Column) -> Column:
+    """Waiting as a share of official time, in percent."""
+    return percent(F.when(official_ms > 0, waiting_ms / official_ms).otherwise(0.0))

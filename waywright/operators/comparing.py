@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.geo import haversine, plain
+from .matching import points_at
 
 
 def _clusters(at: list[float], keys: list[str]) -> list[list[int]]:
     """Complete linkage along a line: the closest means first, as long as a cluster spans no more than the radius.
 
-    Equal distances go by the union's ends and then by its members' keys.  Members are sorted
-    by place, so a cluster that may grow only ever joins one that the radius reaches.
+    Equal distances go by the union's ends and then by its members' keys, in the members' order.
     """
     groups = [[i] for i in range(len(at))]
     while True:
@@ -24,7 +25,7 @@ def _clusters(at: list[float], keys: list[str]) -> list[list[int]]:
                 low, high = min(at[i] for i in union), max(at[i] for i in union)
                 if high - low <= K.CLUSTER_M:
                     gap = abs(sum(at[i] for i in groups[a]) / len(groups[a]) - sum(at[i] for i in groups[b]) / len(groups[b]))
-                    rank = (gap, low, high, ";".join(sorted(keys[i] for i in union)))
+                    rank = (gap, low, high, ";".join(keys[i] for i in sorted(union)))
                     if best is None or rank < best[0]:
                         best = (rank, a, b)
         if best is None:
@@ -34,50 +35,77 @@ def _clusters(at: list[float], keys: list[str]) -> list[list[int]]:
         groups = [g for i, g in enumerate(groups) if i not in (a, b)] + [union]
 
 
-def wait_clusters(waits: DataFrame, ranked: DataFrame) -> DataFrame:
-    """attempt_id, target_id, cluster, progress_m, current_ms, reference_ms, delta_ms, match_state, span_m, members, shown.
+def wait_clusters(waits: DataFrame, focus: DataFrame, courses: DataFrame) -> DataFrame:
+    """attempt_id, target_id, location_id, cluster, progress_m, latitude, longitude, current_ms, reference_ms, delta_ms, match_state, span_m, members, the waits' ids on either side, shown.
 
-    Located waits of each ranked attempt and of its target are clustered by place.  Waits of
-    one pair of attempts come together in one group; a trip's waits are few.
+    Located waits of each eligible attempt and of its target are clustered by place.  Waits
+    farther apart than the radius never share a cluster, so those between two such gaps are
+    clustered on their own; a place's waits in two trips are few.
     """
-    pairs = ranked.filter("target_id is not null").select("attempt_id", "target_id")
+    pairs = focus.filter("eligible and target_id is not null").select("attempt_id", "target_id", "route_id")
     w = waits.filter("located").select("attempt_id", "wait_id", "start_ms", "duration_ms", "progress_m")
     mine = pairs.join(w, "attempt_id").withColumn("side", F.lit(0))
     theirs = pairs.join(w.withColumnRenamed("attempt_id", "target_id"), "target_id").withColumn("side", F.lit(1))
-    members = mine.unionByName(theirs)
-    schema = "attempt_id string, target_id string, cluster int, progress_m double, current_ms double, reference_ms double, span_m double, members int"
+    members = mine.unionByName(theirs).withColumn("key", F.concat_ws("|", F.col("side").cast("string"), plain(F.col("start_ms")), "wait_id"))
+    line = Window.partitionBy("attempt_id").orderBy("progress_m", "key")
+    apart = F.coalesce(F.col("progress_m") - F.lag("progress_m").over(line) > K.CLUSTER_M, F.lit(False))
+    members = members.withColumn("apart", apart).withColumn("stretch", F.sum(F.col("apart").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    schema = "attempt_id string, target_id string, route_id string, location_id string, progress_m double, current_ms double, reference_ms double, span_m double, members int, current_ids array<string>, reference_ids array<string>"
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "start_ms", "wait_id"])
-        at, ms, side = (pdf[c].tolist() for c in ("progress_m", "duration_ms", "side"))
-        keys = [f"{s}|{t:020.3f}|{i}" for s, t, i in zip(side, pdf.start_ms, pdf.wait_id, strict=True)]
-        found = sorted(((sum(at[i] for i in g) / len(g), g) for g in _clusters(at, keys)), key=lambda x: (x[0], min(keys[i] for i in x[1])))
-        rows = [(p, *(sum((ms[i] for i in g if side[i] == s), 0.0) for s in (0, 1)), max(at[i] for i in g) - min(at[i] for i in g), len(g)) for p, g in found]
-        return pd.DataFrame([(pdf.attempt_id.iloc[0], pdf.target_id.iloc[0], n, *r) for n, r in enumerate(rows)], columns=[c.split()[0] for c in schema.split(", ")])
+        at, ms, side, ids, keys = (pdf[c].tolist() for c in ("progress_m", "duration_ms", "side", "wait_id", "key"))
+        rows = []
+        for g in _clusters(at, keys):
+            g = sorted(g)  # members in order of side, start and id
+            own = [[i for i in g if side[i] == s] for s in (0, 1)]
+            rows.append(("wait-cmp:" + ";".join(keys[i] for i in g), sum(at[i] for i in g) / len(g), *(sum((ms[i] for i in x), 0.0) for x in own), max(at[i] for i in g) - min(at[i] for i in g), len(g), *([ids[i] for i in x] for x in own)))
+        first = pdf.iloc[0]
+        return pd.DataFrame([(first.attempt_id, first.target_id, first.route_id, *r) for r in rows], columns=[c.split()[0] for c in schema.split(", ")])
 
-    c = members.groupBy("attempt_id", "target_id").applyInPandas(group, schema).withColumn("delta_ms", F.col("current_ms") - F.col("reference_ms"))
+    c = members.groupBy("attempt_id", "stretch").applyInPandas(group, schema).withColumn("delta_ms", F.col("current_ms") - F.col("reference_ms"))
     c = c.withColumn("match_state", F.when((F.col("current_ms") > 0) & (F.col("reference_ms") > 0), "matched").when(F.col("current_ms") > 0, "current-only").otherwise("reference-only"))
     big = F.abs("delta_ms") >= K.SHOWN_MS
-    order = Window.partitionBy("attempt_id", big).orderBy(F.desc(F.abs("delta_ms")), "progress_m", "cluster")
-    return c.withColumn("shown", big & (F.row_number().over(order) <= K.SHOWN_ROWS))
+    order = Window.partitionBy("attempt_id", big).orderBy(F.desc(F.abs("delta_ms")), "progress_m", "location_id")
+    c = c.withColumns({"shown": big & (F.row_number().over(order) <= K.SHOWN_ROWS), "cluster": F.row_number().over(Window.partitionBy("attempt_id").orderBy("progress_m", "location_id")) - 1})
+    marks = c.select("route_id", F.struct("attempt_id", "location_id").alias("id"), "progress_m")
+    at = points_at(marks, courses).select("id.attempt_id", "id.location_id", "latitude", "longitude")
+    return c.join(at, ["attempt_id", "location_id"], "left")
 
 
-def wait_comparison(clusters: DataFrame, waits: DataFrame, movement: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One row a ranked attempt: reason it can't be compared (null if it can), totals, delta, and where the delta lies."""
+def nearest_location(clusters: DataFrame, points: DataFrame, most_m: float = K.TAP_M) -> DataFrame:
+    """The nearest place of an attempt's comparison to each point (attempt_id, point_id, latitude, longitude), if within ``most_m``; the first along the course wins ties."""
+    p = points.select("attempt_id", "point_id", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon"))
+    d = clusters.filter("latitude is not null").join(p, "attempt_id").withColumn("m", haversine(F.col("latitude"), F.col("longitude"), F.col("p_lat"), F.col("p_lon"))).filter(F.col("m") <= most_m)
+    return d.groupBy("attempt_id", "point_id").agg(F.min(F.struct("m", "cluster", "location_id")).alias("b")).select("attempt_id", "point_id", "b.location_id", F.col("b.cluster").alias("cluster"), F.col("b.m").alias("meters"))
+
+
+def wait_comparison(clusters: DataFrame, waits: DataFrame, movement: DataFrame, focus: DataFrame) -> DataFrame:
+    """One row an attempt, eligible or not: reason it can't be compared (null if it can), totals, delta, and where the delta lies.
+
+    A comparison that can't be made holds the totals of waiting and nothing else: other figures are 0.
+    """
     events = waits.groupBy("attempt_id").agg(F.sum("duration_ms").alias("events"), F.sum(F.when(~F.col("located"), F.col("duration_ms")).otherwise(0.0)).alias("nowhere"))
     facts = movement.select("attempt_id", "waiting_ms", F.col("trust").isin("complete", "partial").alias("good")).join(events, "attempt_id", "left").withColumnRenamed("attempt_id", "member")
     # Both sides of each pair as rows, so that what is known of attempts is joined once.
-    sides = ranked.select("attempt_id", "target_id", F.posexplode(F.array("attempt_id", "target_id")).alias("side", "member"))
+    sides = focus.select("attempt_id", "target_id", "eligible", F.posexplode(F.array("attempt_id", "target_id")).alias("side", "member"))
     known = sides.join(facts, "member", "left")
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     names = ("waiting_ms", "good", "events", "nowhere")
-    r = known.groupBy("attempt_id", "target_id").agg(*[of(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in names])
+    r = known.groupBy("attempt_id", "target_id", "eligible").agg(*[of(k, c).alias(f"{c}_{k}") for k in (0, 1) for c in names])
     c = clusters.groupBy("attempt_id").agg(F.sum("current_ms").alias("placed_0"), F.sum("reference_ms").alias("placed_1"), F.sum(F.when(F.col("shown"), F.col("delta_ms")).otherwise(0.0)).alias("shown"), F.sum(F.when(~F.col("shown"), F.col("delta_ms")).otherwise(0.0)).alias("hidden"))
-    r = r.join(c, "attempt_id", "left").fillna(0.0, ["events_0", "nowhere_0", "events_1", "nowhere_1", "placed_0", "placed_1", "shown", "hidden"])
-    reason = F.when(F.col("target_id").isNull(), "missing_comparison_target").when(~F.col("good_0"), "current_movement_not_displayable").when(~F.coalesce("good_1", F.lit(False)), "reference_movement_not_displayable")
+    r = r.join(c, "attempt_id", "left").fillna(0.0, ["waiting_ms_0", "waiting_ms_1", "events_0", "nowhere_0", "events_1", "nowhere_1", "placed_0", "placed_1", "shown", "hidden"])
+    here, there = F.col("good_0").isNotNull(), F.col("good_1").isNotNull()
+    reason = (
+        F.when(~F.col("eligible") | ~here, "current_not_eligible").when(F.col("target_id").isNull(), "missing_comparison_target").when(~there, "reference_not_eligible")
+        .when(~F.col("good_0"), "current_movement_not_displayable").when(~F.col("good_1"), "reference_movement_not_displayable")
+    )
+    r = r.withColumn("reason", reason)
+    made = lambda x: F.when(F.col("reason").isNull(), x).otherwise(0.0)
     short = lambda k: F.greatest(F.lit(0.0), F.col(f"waiting_ms_{k}") - F.col(f"events_{k}"))
+    theirs = F.when(F.coalesce(F.col("reason") == "missing_comparison_target", F.lit(False)), 0.0).otherwise(F.col("waiting_ms_1"))
     return r.select(
-        "attempt_id", "target_id", reason.alias("reason"), F.col("waiting_ms_0").alias("waiting_ms"), F.col("waiting_ms_1").alias("reference_ms"), F.when(reason.isNull(), F.col("waiting_ms_0") - F.col("waiting_ms_1")).alias("delta_ms"),
-        F.col("placed_0").alias("placed_ms"), F.col("placed_1").alias("reference_placed_ms"), F.col("nowhere_0").alias("unlocated_ms"), F.col("nowhere_1").alias("reference_unlocated_ms"),
-        short(0).alias("short_ms"), F.coalesce(short(1), F.lit(0.0)).alias("reference_short_ms"), F.col("shown").alias("shown_delta_ms"), F.col("hidden").alias("hidden_delta_ms"),
+        "attempt_id", "target_id", "reason", F.col("waiting_ms_0").alias("waiting_ms"), theirs.alias("reference_ms"), made(F.col("waiting_ms_0") - F.col("waiting_ms_1")).alias("delta_ms"),
+        made(F.col("placed_0")).alias("placed_ms"), made(F.col("placed_1")).alias("reference_placed_ms"), made(F.col("nowhere_0")).alias("unlocated_ms"), made(F.col("nowhere_1")).alias("reference_unlocated_ms"),
+        made(short(0)).alias("short_ms"), made(short(1)).alias("reference_short_ms"), made(F.col("shown")).alias("shown_delta_ms"), made(F.col("hidden")).alias("hidden_delta_ms"),
     )

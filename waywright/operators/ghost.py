@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .matching import points_at
 from .timing import course_numbers, crossing_time
 
-BUCKET_M = 50.0
+#: Widths of the buckets of progress and of time in which what may meet is joined.
+BUCKET_M, BUCKET_MS = 50.0, 30_000.0
 
 
 def knots(matched: DataFrame, ranked: DataFrame, courses: DataFrame) -> DataFrame:
@@ -40,8 +42,10 @@ def legs(knots_of: DataFrame, labelled: DataFrame) -> DataFrame:
     order = Window.partitionBy("attempt_id").orderBy("n")
     nxt = {f"{c}1": F.lead(c).over(order) for c in ("elapsed_ms", "progress_m", "at_ms")}
     rows = knots_of.withColumns(nxt).filter("at_ms1 is not null").select("attempt_id", "n", F.col("elapsed_ms").alias("e0"), F.col("elapsed_ms1").alias("e1"), F.col("progress_m").alias("p0"), F.col("progress_m1").alias("p1"), F.col("at_ms").alias("t0"), F.col("at_ms1").alias("t1"))
-    i = labelled.select("attempt_id", "label", "start_ms", "end_ms")
-    over = rows.select("attempt_id", "n", "t0", "t1").join(i, "attempt_id").filter((F.col("end_ms") > F.col("t0")) & (F.col("start_ms") < F.col("t1")))
+    # Legs meet intervals in buckets of time; a pair may meet in several, which the aggregate below doesn't mind.
+    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET_MS), F.floor(F.greatest(a, b) / BUCKET_MS))).alias("bucket")
+    i = labelled.select("attempt_id", "label", "start_ms", "end_ms", bucket("start_ms", "end_ms"))
+    over = rows.select("attempt_id", "n", "t0", "t1", bucket("t0", "t1")).join(i, ["attempt_id", "bucket"]).filter((F.col("end_ms") > F.col("t0")) & (F.col("start_ms") < F.col("t1")))
     seen = over.groupBy("attempt_id", "n").agg(F.min(F.col("label") != "unknown").alias("clear"), F.min(F.col("label") == "waiting").alias("waits"))
     moment = F.col("t1") <= F.col("t0")
     rows = rows.join(seen, ["attempt_id", "n"], "left")
@@ -126,7 +130,8 @@ def compare(knots_of: DataFrame, legs_of: DataFrame, ranked: DataFrame) -> DataF
     pieces = _pieces(legs_of, runs)
     inside = (F.col("elapsed_ms") >= F.col("s0")) & (F.col("elapsed_ms") <= F.col("s1")) & (F.col("progress_m") + K.GHOST_M >= F.col("lo")) & (F.col("progress_m") - K.GHOST_M <= F.col("hi"))
     inner = knots_of.filter("kind = 'sample'").select("attempt_id", "n", "progress_m", "elapsed_ms")
-    stalled = inner.join(runs.select("attempt_id", F.col("e0").alias("s0"), F.col("e1").alias("s1"), "lo", "hi"), "attempt_id").filter(inside).select("attempt_id", "n").distinct().withColumn("in_stall", F.lit(True))
+    held = runs.select("attempt_id", F.col("e0").alias("s0"), F.col("e1").alias("s1"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("e0") / BUCKET_MS), F.floor(F.col("e1") / BUCKET_MS))).alias("bucket"))
+    stalled = inner.withColumn("bucket", F.floor(F.col("elapsed_ms") / BUCKET_MS)).join(held, ["attempt_id", "bucket"]).filter(inside).select("attempt_id", "n").distinct().withColumn("in_stall", F.lit(True))
     inner = inner.join(stalled, ["attempt_id", "n"], "left").withColumn("in_stall", F.coalesce("in_stall", F.lit(False)))
     pairs = ranked.filter("target_id is not null").select("attempt_id", "target_id", "official_ms")
     mine = pairs.join(inner, "attempt_id").select("attempt_id", F.col("target_id").alias("owner"), F.lit("current").alias("source"), "n", "progress_m", "elapsed_ms", "in_stall")
@@ -139,7 +144,18 @@ def compare(knots_of: DataFrame, legs_of: DataFrame, ranked: DataFrame) -> DataF
     other = ends.select(F.col("attempt_id").alias("target_id"), "kind", F.col("elapsed_ms").alias("reference_ms"))
     ends = pairs.select("attempt_id", "target_id").join(ends, "attempt_id").join(other, ["target_id", "kind"]).select("attempt_id", "target_id", F.col("kind").alias("source"), "progress_m", F.col("elapsed_ms").alias("current_ms"), "reference_ms", F.lit(True).alias("good"))
     every = rows.unionByName(ends).withColumn("delta_ms", F.when(F.col("good"), F.col("current_ms") - F.col("reference_ms")))
-    return every.dropDuplicates(["attempt_id", "source", "progress_m", "current_ms", "reference_ms", "good"])
+    # Knots that agree to a millimetre, and in their times, count once: the first of them.
+    alike = ["attempt_id", "target_id", "source", "current_ms", "reference_ms", "good", "delta_ms"]
+    return every.groupBy(*alike, F.round("progress_m", 3).alias("mm")).agg(F.min("progress_m").alias("progress_m")).drop("mm")
+
+
+def ordered(compared: DataFrame, courses: DataFrame, ranked: DataFrame) -> DataFrame:
+    """compare()'s knots with place (from 1: by current time, unknown last, progress, reference time, source) and where on the course they lie."""
+    far = F.lit(float(2**53 - 1))
+    order = Window.partitionBy("attempt_id").orderBy(F.coalesce("current_ms", far), "progress_m", F.coalesce("reference_ms", far), "source")
+    rows = compared.withColumn("place", F.row_number().over(order)).join(ranked.select("attempt_id", "route_id"), "attempt_id")
+    at = points_at(rows.select("route_id", F.struct("attempt_id", "place").alias("id"), "progress_m"), courses).select("id.attempt_id", "id.place", "latitude", "longitude")
+    return rows.join(at, ["attempt_id", "place"], "left").drop("route_id")
 
 
 def near_progress(compared: DataFrame, progress_m: float, radius_m: float = K.NEAR_M) -> DataFrame:
@@ -147,7 +163,19 @@ def near_progress(compared: DataFrame, progress_m: float, radius_m: float = K.NE
     return compared.filter(F.abs(F.col("progress_m") - progress_m) <= radius_m)
 
 
-def unavailable(ranked: DataFrame, status: DataFrame) -> DataFrame:
-    """attempt_id, reason that no comparison is made, null where one is."""
-    r = status.select("attempt_id", "eligible").join(ranked.select("attempt_id", "target_id"), "attempt_id", "left")
-    return r.select("attempt_id", F.when(~F.col("eligible"), "current_not_eligible").when(F.col("target_id").isNull(), "missing_comparison_target").alias("reason"))
+def availability(focus: DataFrame, painted: DataFrame) -> DataFrame:
+    """One row an attempt, eligible or not: target_id, reason that no comparison is made (null where one is), deltas at the start and the trigger, and both painted finishes.
+
+    A run's polyline is at hand where it has a start, a finish not before it and an official time.
+    """
+    line = F.col("started_at").isNotNull() & (F.col("finished_at") >= F.col("started_at")) & (F.col("official_ms") >= 0)
+    own = focus.select("attempt_id", "target_id", "eligible", "official_ms", F.coalesce(line, F.lit(False)).alias("line"))
+    other = own.select(F.col("attempt_id").alias("target_id"), F.col("eligible").alias("their_eligible"), F.col("official_ms").alias("their_ms"), F.col("line").alias("their_line"))
+    j = own.join(other, "target_id", "left").join(painted, "attempt_id", "left").join(painted.select(F.col("attempt_id").alias("target_id"), F.col("painted_ms").alias("their_painted_ms")), "target_id", "left")
+    reason = (
+        F.when(~F.col("eligible") | F.col("official_ms").isNull(), "current_not_eligible").when(~F.col("line"), "current_polyline_unavailable").when(F.col("target_id").isNull(), "missing_comparison_target")
+        .when(~F.coalesce("their_eligible", F.lit(False)) | F.col("their_ms").isNull(), "reference_not_eligible").when(~F.col("their_line"), "reference_polyline_unavailable")
+    )
+    j = j.withColumn("reason", reason)
+    made = F.col("reason").isNull()
+    return j.select("attempt_id", "target_id", "reason", F.when(made, 0.0).alias("start_delta_ms"), F.when(made, F.col("official_ms") - F.col("their_ms")).alias("trigger_delta_ms"), "painted_ms", F.when(made, F.col("their_painted_ms")).alias("reference_painted_ms"))

@@ -3,24 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.geo import haversine, point_on, share_along
+from ..functions.geo import extent, haversine
+from .streams import in_order
 
-
-def course_segments(courses: DataFrame) -> DataFrame:
-    """route_id, seg (from 0), ends, length and the progress at both ends, summed in order."""
-    legs = F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(i.alias("seg"), F.col("path")[i].alias("a"), F.col("path")[i + 1].alias("b")))
-    rows = courses.filter(F.size("path") >= 2).select("route_id", F.explode(legs).alias("x")).select("route_id", "x.seg", F.col("x.a.latitude").alias("a_lat"), F.col("x.a.longitude").alias("a_lon"), F.col("x.b.latitude").alias("b_lat"), F.col("x.b.longitude").alias("b_lon"))
-    rows = rows.withColumn("length", haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")))
-    order = Window.partitionBy("route_id").orderBy("seg")
-    return rows.withColumn("s1", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("s0", F.coalesce(F.lag("s1").over(order), F.lit(0.0)))
+#: Samples times segments that are projected at a time, and samples where a course has many segments.
+MOST_CELLS, FEW = 200_000, 32
+#: Places in which a course meets its points.
+SALTS = 16
 
 
 def with_length(courses: DataFrame, name: str = "length_m") -> DataFrame:
@@ -30,19 +27,73 @@ def with_length(courses: DataFrame, name: str = "length_m") -> DataFrame:
     return courses.withColumn(name, F.aggregate(F.transform(steps, leg), F.lit(0.0), lambda a, x: a + x))
 
 
+def with_default_progress(courses: DataFrame) -> DataFrame:
+    """Courses that start at the beginning of their path and finish at its end."""
+    return with_length(courses.withColumn("start_p", F.lit(0.0)), "finish_p")
+
+
+def _on_course(points: DataFrame, courses: DataFrame, needs: list[str], work: Callable[[_Geometry, dict[str, np.ndarray]], list[np.ndarray]], out: str) -> DataFrame:
+    """route_id, id and ``out`` of each point: ``work`` on its course's geometry and the points' ``needs``, by numpy, a bounded number at a time.
+
+    A course and its points meet in SALTS places, whatever the number of points; courses without
+    points, and points without a course or whose course has no path, give nothing.
+    """
+    nothing = lambda c: F.lit(None).cast(points.schema[c].dataType).alias(c)
+    lat, lon = (F.expr(f"transform(path, p -> p.{c})") for c in ("latitude", "longitude"))
+    there = courses.filter(F.size("path") > 0).join(points.select("route_id").distinct(), "route_id", "left_semi")
+    heads = there.select("route_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("side"), lat.alias("lats"), lon.alias("lons"), *map(nothing, ["id", *needs]))
+    none = F.lit(None).cast("array<double>")
+    rows = points.select("route_id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("side"), none.alias("lats"), none.alias("lons"), "id", *needs)
+    names = ["route_id", "id", *(c.split()[0] for c in out.split(", "))]
+
+    def each(key: tuple, slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        geometry = None
+        for part in slices:
+            if part.column("side")[0].as_py() == 0:
+                geometry = _Geometry(*(np.array(part.column(c)[0].as_py(), float) for c in ("lats", "lons")))
+                part = part.slice(1)
+            if geometry is None:
+                continue
+            step = max(1, MOST_CELLS // max(1, len(geometry.s0)))
+            for at in range(0, part.num_rows, step):
+                some = part.slice(at, step)
+                found = work(geometry, {c: some.column(c).to_numpy(zero_copy_only=False).astype(float) for c in needs})
+                yield pa.RecordBatch.from_arrays([some.column("route_id"), some.column("id"), *(pa.array(x, from_pandas=True) for x in found)], names=names)
+
+    return in_order(heads.unionByName(rows), ["route_id", "salt"], ["side"], each, f"route_id string, id {points.schema['id'].dataType.simpleString()}, {out}")
+
+
 def nearest_projection(points: DataFrame, courses: DataFrame) -> DataFrame:
     """Points (route_id, id, latitude, longitude) on their course: progress_m, snap_m and the snapped place.
 
     The nearest segment wins; of all within half a metre of it, the earliest along the course.
     """
-    s = points.join(course_segments(courses), "route_id")
-    ends = [F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")]
-    s = s.withColumn("share", share_along(*ends, F.col("latitude"), F.col("longitude")))
-    lat, lon = point_on(*ends, F.col("share"))
-    s = s.withColumns({"snap_lat": lat, "snap_lon": lon}).withColumns({"progress_m": F.col("s0") + F.col("share") * F.col("length"), "snap_m": haversine(F.col("snap_lat"), F.col("snap_lon"), F.col("latitude"), F.col("longitude"))})
-    best = s.withColumn("least", F.min("snap_m").over(Window.partitionBy("route_id", "id"))).filter(F.col("snap_m") <= F.col("least") + K.TIE_M)
-    won = best.groupBy("route_id", "id").agg(F.min(F.struct("progress_m", "snap_m", "snap_lat", "snap_lon")).alias("w"))
-    return won.select("route_id", "id", "w.*")
+
+    def nearest(g: _Geometry, x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        progress, snap, lat, lon = g.project(x["latitude"], x["longitude"])
+        tied = snap <= snap.min(axis=1, keepdims=True) + K.TIE_M
+        at = np.arange(len(snap)), np.where(tied, progress, np.inf).argmin(axis=1)
+        return [progress[at], snap[at], lat[at], lon[at]]
+
+    return _on_course(points, courses, ["latitude", "longitude"], nearest, "progress_m double, snap_m double, snap_lat double, snap_lon double")
+
+
+def projection_near(points: DataFrame, courses: DataFrame) -> DataFrame:
+    """Points (route_id, id, latitude, longitude, centre, ahead, behind) on the course near a progress: progress_m and snap_m, null where no segment lies in the window.
+
+    Nearness counts progress apart from the centre, more so backwards; ties go to the later place.
+    """
+
+    def near(g: _Geometry, x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        progress, snap, _, _ = g.project(x["latitude"], x["longitude"])
+        centre = x["centre"][:, None]
+        inside = (g.s1[None] >= centre - x["behind"][:, None]) & (g.s0[None] <= centre + x["ahead"][:, None])
+        cost = np.where(inside, snap + K.PROGRESS_COST * np.abs(progress - centre) + K.BACKWARD_COST_M * (progress < centre), np.inf)
+        best = np.where(cost == cost.min(axis=1, keepdims=True), progress, -np.inf).argmax(axis=1)
+        at = np.arange(len(snap)), best
+        return [np.where(inside[at], v[at], np.nan) for v in (progress, snap)]
+
+    return _on_course(points, courses, ["latitude", "longitude", "centre", "ahead", "behind"], near, "progress_m double, snap_m double")
 
 
 def snap_taps(points: DataFrame, courses: DataFrame) -> DataFrame:
@@ -51,21 +102,62 @@ def snap_taps(points: DataFrame, courses: DataFrame) -> DataFrame:
 
 
 def points_at(marks: DataFrame, courses: DataFrame) -> DataFrame:
-    """Marks (route_id, id, progress_m) as places: latitude, longitude.  Before the start is the start, beyond the end the end."""
-    segs = course_segments(courses)
-    last = segs.groupBy("route_id").agg(F.max("seg").alias("last_seg"))
-    m, p = marks.join(segs, "route_id").join(last, "route_id"), F.col("progress_m")
-    here = ((p > F.col("s0")) | (F.col("seg") == 0)) & ((p <= F.col("s1")) | (F.col("seg") == F.col("last_seg")))
-    share = F.when(F.col("length") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (p - F.col("s0")) / F.col("length")))).otherwise(0.0)
-    lat, lon = point_on(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"), share)
-    return m.filter(here).select("route_id", "id", "progress_m", lat.alias("latitude"), lon.alias("longitude"))
+    """Marks (route_id, id, progress_m) as places: progress_m, latitude, longitude.  Before the start is the start, beyond the end the end."""
+
+    def place(g: _Geometry, x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        p = x["progress_m"]
+        on = np.minimum(np.searchsorted(g.s1, p), len(g.s1) - 1)
+        share = np.clip(np.divide(p - g.s0[on], g.length[on], out=np.zeros(len(p)), where=g.length[on] > 0), 0.0, 1.0)
+        return [p, *g.point(on, share)]
+
+    return _on_course(marks.filter("progress_m is not null"), courses, ["progress_m"], place, "progress_m double, latitude double, longitude double")
+
+
+def checkpoint_points(courses: DataFrame) -> DataFrame:
+    """route_id, place (from 1, by progress and then id), checkpoint_id, name, latitude, longitude of each checkpoint."""
+    marks = courses.select("route_id", F.explode("checkpoints").alias("c"))
+    at = points_at(marks.select("route_id", F.col("c").alias("id"), F.col("c.progress_m").alias("progress_m")), courses)
+    order = Window.partitionBy("route_id").orderBy("progress_m", "id.id")
+    return at.select("route_id", F.row_number().over(order).alias("place"), F.col("id.id").alias("checkpoint_id"), F.col("id.name").alias("name"), "latitude", "longitude")
+
+
+def framed(courses: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """route_id, kind, latitude, longitude of everything a course shows: path, centres of the zones, their extents, checkpoints, and ``more``."""
+    path = courses.select("route_id", F.lit("path").alias("kind"), F.explode("path").alias("p"))
+    ends = [(F.col("path")[0], "start"), (F.element_at("path", -1), "finish")]
+    zones = F.concat(*[F.array(F.struct(F.lit(k).alias("kind"), p["latitude"].alias("latitude"), p["longitude"].alias("longitude"))) for p, k in ends])
+    named = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x["latitude"].alias("latitude"), x["longitude"].alias("longitude"))
+    reach = F.concat(*[F.transform(extent(p["latitude"], p["longitude"], F.col(f"{k}_r")), named(f"{k}-extent")) for p, k in ends])
+    around = courses.filter(F.size("path") > 0).select("route_id", F.explode(F.concat(zones, reach)).alias("x")).select("route_id", "x.*")
+    rows = path.select("route_id", "kind", "p.latitude", "p.longitude").unionByName(around)
+    rows = rows.unionByName(checkpoint_points(courses).select("route_id", F.lit("checkpoint").alias("kind"), "latitude", "longitude"))
+    return rows if more is None else rows.unionByName(more.select("route_id", "kind", "latitude", "longitude"))
+
+
+def _box(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("route_id").agg(F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.min("longitude").alias("west"), F.max("longitude").alias("east"))
 
 
 def bounds(courses: DataFrame) -> DataFrame:
-    """The box around each path, padded by 15 % of its size or a thousandth of a degree."""
-    p = courses.select("route_id", F.explode("path").alias("p")).groupBy("route_id").agg(F.min("p.latitude").alias("south"), F.max("p.latitude").alias("north"), F.min("p.longitude").alias("west"), F.max("p.longitude").alias("east"))
-    tall, wide = F.greatest((F.col("north") - F.col("south")) * 0.15, F.lit(0.001)), F.greatest((F.col("east") - F.col("west")) * 0.15, F.lit(0.001))
-    return p.select("route_id", (F.col("south") - tall).alias("south"), (F.col("north") + tall).alias("north"), (F.col("west") - wide).alias("west"), (F.col("east") + wide).alias("east"))
+    """The box around each course's path, zones and checkpoints, padded by 15 % of its size or a thousandth of a degree; a fixed box for a course with nothing to show."""
+    p = courses.select("route_id").join(_box(framed(courses)), "route_id", "left")
+    pad = lambda low, high: F.greatest((F.col(high) - F.col(low)) * K.PAD_SHARE, F.lit(K.LEAST_PAD))
+    tall, wide = pad("south", "north"), pad("west", "east")
+    west, south, east, north = K.DEFAULT_BOX
+    return p.select("route_id", F.coalesce(F.col("south") - tall, F.lit(south)).alias("south"), F.coalesce(F.col("north") + tall, F.lit(north)).alias("north"), F.coalesce(F.col("west") - wide, F.lit(west)).alias("west"), F.coalesce(F.col("east") + wide, F.lit(east)).alias("east"))
+
+
+def preview(courses: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """framed() with x and y in percent of a preview, eastwards and downwards within the box; for the centre of a zone also its diameter in percent."""
+    rows = framed(courses, more)
+    span = lambda low, high: F.greatest(F.col(high) - F.col(low), F.lit(K.LEAST_SPAN))
+    j = rows.join(_box(rows), "route_id").join(courses.select("route_id", "start_r", "finish_r"), "route_id")
+    x = (F.col("longitude") - F.col("west")) / span("west", "east") * 100
+    y = (1 - (F.col("latitude") - F.col("south")) / span("south", "north")) * 100
+    radius = F.when(F.col("kind") == "start", F.col("start_r")).when(F.col("kind") == "finish", F.col("finish_r"))
+    low, high = K.DIAMETER_RANGE
+    wide = F.when(radius.isNull(), None).when(F.isnan(radius) | (radius <= 0), 0.0).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), radius / K.METERS_PER_DEGREE * 2 / span("south", "north") * 100)))
+    return j.select("route_id", "kind", "latitude", "longitude", x.alias("x"), y.alias("y"), wide.alias("diameter"))
 
 
 def _meters(lat1, lon1, lat2, lon2) -> np.ndarray:
@@ -73,76 +165,114 @@ def _meters(lat1, lon1, lat2, lon2) -> np.ndarray:
     return 2 * K.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
-def _follow(progress: np.ndarray, snap: np.ndarray, s0: np.ndarray, s1: np.ndarray, skip: np.ndarray, start: float) -> list[tuple[str, float | None, float | None]]:
-    """Quality, progress and distance of each sample in turn; ``progress`` and ``snap`` hold a row a sample, a column a segment."""
-    out: list[tuple[str, float | None, float | None]] = []
-    last = math.nan
-    for i in range(len(progress)):
-        if skip[i]:
-            out.append(("poor_accuracy", None, None))
-            continue
-        first = math.isnan(last)
-        centre = start if first else last
-        ahead, behind = (K.FIRST_AHEAD_M, K.FIRST_BEHIND_M) if first else (K.AHEAD_M, K.BEHIND_M)
-        near = np.flatnonzero((s1 >= centre - behind) & (s0 <= centre + ahead))
-        if not len(near):
-            out.append(("out_of_window", None, None))
-            continue
-        p, d = progress[i, near], snap[i, near]
-        cost = d + K.PROGRESS_COST * np.abs(p - centre) + K.BACKWARD_COST_M * (p < centre)
-        w = max(np.flatnonzero(cost == cost.min()).tolist(), key=lambda j: p[j])
-        if d[w] > K.CORRIDOR_M:
-            out.append(("off_course", float(p[w]), float(d[w])))
-        else:
-            last = float(p[w])
-            out.append(("accepted", last, float(d[w])))
-    return out
+class _Geometry:
+    """A path's segments: their ends, lengths, and progress at both ends."""
 
+    def __init__(self, lat: np.ndarray, lon: np.ndarray):
+        if len(lat) == 1:  # a point is a segment without length
+            lat, lon = np.repeat(lat, 2), np.repeat(lon, 2)
+        self.ends = lat[:-1], lon[:-1], lat[1:], lon[1:]
+        self.length = _meters(*self.ends)
+        self.s1 = np.cumsum(self.length)
+        self.s0 = np.concatenate([[0.0], self.s1[:-1]]) if len(self.s1) else self.s1
 
-def match_samples(samples: DataFrame, courses: DataFrame) -> DataFrame:
-    """Each attempt's samples, in order of time and id, matched to its course one after another.
-
-    Where a sample may lie depends on the last one accepted, so a trace is gone through in
-    order, by numpy, in one row; everything after this step works on columns.  Returns
-    attempt_id, route_id, seq (from 0), t, latitude, longitude, accuracy, speed, progress_m,
-    snap_m, quality.  An attempt whose course has no segment gets quality out_of_window.
-    """
-    s = samples.select("attempt_id", "route_id", F.struct(F.col("recorded_at_ms").alias("t"), "id", "latitude", "longitude", "accuracy", "speed").alias("s"))
-    traces = s.groupBy("attempt_id", "route_id").agg(F.sort_array(F.collect_list("s")).alias("trace"))
-    path = courses.select("route_id", F.transform("path", lambda p: p["latitude"]).alias("lat"), F.transform("path", lambda p: p["longitude"]).alias("lon"), "start_p")
-    rows = traces.join(path, "route_id").select("attempt_id", "route_id", "trace", "lat", "lon", "start_p")
-    schema = "attempt_id string, route_id string, seq int, t long, latitude double, longitude double, accuracy double, speed double, progress_m double, snap_m double, quality string"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def one(attempt: str, route: str, trace: pa.Array, lat: np.ndarray, lon: np.ndarray, start: float) -> pa.RecordBatch:
-        part = {f.name: trace.field(i) for i, f in enumerate(trace.type)}
-        y, x = (part[c].to_numpy(zero_copy_only=False) for c in ("latitude", "longitude"))
-        a_lat, a_lon, b_lat, b_lon = lat[:-1], lon[:-1], lat[1:], lon[1:]
-        length = _meters(a_lat, a_lon, b_lat, b_lon)
-        s1 = np.cumsum(length)
-        s0 = np.concatenate([[0.0], s1[:-1]]) if len(s1) else s1
+    def project(self, y: np.ndarray, x: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, ...]:
+        """Progress, distance, latitude and longitude of points on the segments from ``lo`` to ``hi``; a row a point."""
+        a_lat, a_lon, b_lat, b_lon = (e[lo:hi] for e in self.ends)
         east = K.METERS_PER_DEGREE * np.cos(np.radians(a_lat))
         ex, ey = (b_lon - a_lon) * east, (b_lat - a_lat) * K.METERS_PER_DEGREE
         px, py = (x[:, None] - a_lon) * east, (y[:, None] - a_lat) * K.METERS_PER_DEGREE
         square = ex * ex + ey * ey
         share = np.clip(np.divide(px * ex + py * ey, square, out=np.zeros_like(px), where=square > 0), 0.0, 1.0)
-        snap = _meters(a_lat + ey * share / K.METERS_PER_DEGREE, a_lon + ex * share / east, y[:, None], x[:, None])
-        acc = part["accuracy"].to_numpy(zero_copy_only=False)
-        found = _follow(s0 + share * length, snap, s0, s1, np.nan_to_num(acc, nan=0.0) > K.MAX_ACCURACY_M, start)
-        quality, progress, far = zip(*found, strict=True)
-        n = len(trace)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([attempt] * n, pa.string()), pa.array([route] * n, pa.string()), pa.array(range(n), pa.int32()), part["t"], part["latitude"], part["longitude"], part["accuracy"], part["speed"], pa.array(progress, pa.float64()), pa.array(far, pa.float64()), pa.array(quality, pa.string())], names=names
-        )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            for i in range(b.num_rows):
-                lat, lon = (np.array(col[c][i].as_py() or [], float) for c in ("lat", "lon"))
-                yield one(col["attempt_id"][i].as_py(), col["route_id"][i].as_py(), col["trace"][i].values, lat, lon, col["start_p"][i].as_py())
-
-    return rows.mapInArrow(run, schema)
+        lat, lon = a_lat + ey * share / K.METERS_PER_DEGREE, a_lon + ex * share / east
+        return self.s0[lo:hi] + share * self.length[lo:hi], _meters(lat, lon, y[:, None], x[:, None]), lat, lon
+
+    def point(self, on: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Latitude and longitude at shares of segments."""
+        a_lat, a_lon, b_lat, b_lon = (e[on] for e in self.ends)
+        east = K.METERS_PER_DEGREE * np.cos(np.radians(a_lat))
+        return a_lat + (b_lat - a_lat) * K.METERS_PER_DEGREE * share / K.METERS_PER_DEGREE, a_lon + (b_lon - a_lon) * east * share / east
+
+
+class _Follower(_Geometry):
+    """One trace on its course: remembers the last accepted progress."""
+
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, start: float):
+        super().__init__(lat, lon)
+        self.start, self.last = start, math.nan
+        self.everywhere = len(lat) == 1
+        self.most = float(self.length.max()) if len(self.length) else 0.0
+
+    def __call__(self, y: np.ndarray, x: np.ndarray, skip: np.ndarray) -> list[tuple[str, float | None, float | None, bool]]:
+        out = []
+        step = len(y) if len(y) * len(self.s0) <= MOST_CELLS else FEW
+        for at in range(0, len(y), max(1, step)):
+            part = slice(at, at + step)
+            n = len(y[part])
+            # Each sample moves the window by no more than it reaches, so only so many segments can matter to the next few.
+            centre = self.start if math.isnan(self.last) else self.last
+            reach = (K.AHEAD_M + self.most) * (n + 1)
+            lo, hi = int(np.searchsorted(self.s1, centre - reach)), int(np.searchsorted(self.s0, centre + reach, "right"))
+            out += self._walk(*self.project(y[part], x[part], lo, hi)[:2], self.s0[lo:hi], self.s1[lo:hi], skip[part])
+        return out
+
+    def _walk(self, progress: np.ndarray, snap: np.ndarray, s0: np.ndarray, s1: np.ndarray, skip: np.ndarray) -> Iterator[tuple[str, float | None, float | None, bool]]:
+        for i in range(len(progress)):
+            if skip[i]:
+                yield "poor_accuracy", None, None, False
+                continue
+            first = math.isnan(self.last)
+            centre = self.start if first else self.last
+            ahead, behind = (K.FIRST_AHEAD_M, K.FIRST_BEHIND_M) if first else (K.AHEAD_M, K.BEHIND_M)
+            near = np.arange(len(s0)) if self.everywhere else np.flatnonzero((s1 >= centre - behind) & (s0 <= centre + ahead))
+            if not len(near):
+                yield "out_of_window", None, None, False
+                continue
+            p, d = progress[i, near], snap[i, near]
+            cost = d + K.PROGRESS_COST * np.abs(p - centre) + K.BACKWARD_COST_M * (p < centre)
+            w = max(np.flatnonzero(cost == cost.min()).tolist(), key=lambda j: p[j])
+            if d[w] > K.CORRIDOR_M:
+                yield "off_course", float(p[w]), float(d[w]), False
+            else:
+                yield "accepted", float(p[w]), float(d[w]), first or bool(p[w] >= self.last - K.BEHIND_M)
+                self.last = float(p[w])
+
+
+def match_samples(samples: DataFrame, courses: DataFrame) -> DataFrame:
+    """Each attempt's samples, in order of time and id, matched to its course one after another.
+
+    Where a sample may lie depends on the last one accepted, so a trace is gone through in
+    order, by numpy; it streams through its task in slices, after a row that holds its course,
+    and only the last accepted progress is remembered.  Returns attempt_id, route_id, seq
+    (from 0), t, latitude, longitude, accuracy, speed, progress_m, snap_m, quality, advancing.
+    An attempt whose course has no point gets quality out_of_window.
+    """
+    nothing = lambda t: F.lit(None).cast(t)
+    path = courses.select("route_id", F.transform("path", lambda p: p["latitude"]).alias("lats"), F.transform("path", lambda p: p["longitude"]).alias("lons"), "start_p")
+    heads = samples.select("attempt_id", "route_id").distinct().join(path, "route_id")
+    names = ["attempt_id", "route_id", "side", "t", "id", "latitude", "longitude", "accuracy", "speed", "lats", "lons", "start_p"]
+    heads = heads.withColumns({"side": F.lit(0), "t": nothing("long"), "id": nothing("string"), **{c: nothing("double") for c in ("latitude", "longitude", "accuracy", "speed")}}).select(names)
+    rows = samples.withColumns({"side": F.lit(1), "t": F.col("recorded_at_ms"), "lats": nothing("array<double>"), "lons": nothing("array<double>"), "start_p": nothing("double")}).select(names)
+    schema = "attempt_id string, route_id string, seq int, t long, latitude double, longitude double, accuracy double, speed double, progress_m double, snap_m double, quality string, advancing boolean"
+    out_names = [c.split()[0] for c in schema.split(", ")]
+
+    def follow(key: tuple, slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        follower, seq = None, 0
+        for part in slices:
+            if part.column("side")[0].as_py() == 0:
+                follower = _Follower(*(np.array(part.column(c)[0].as_py() or [], float) for c in ("lats", "lons")), part.column("start_p")[0].as_py())
+                part = part.slice(1)
+            if follower is None or not part.num_rows:
+                continue  # no course
+            y, x, acc = (part.column(c).to_numpy(zero_copy_only=False) for c in ("latitude", "longitude", "accuracy"))
+            quality, progress, far, on = zip(*follower(y, x, np.nan_to_num(acc.astype(float), nan=0.0) > K.MAX_ACCURACY_M), strict=True)
+            n = part.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(range(seq, seq + n), pa.int32()), *(part.column(c) for c in ("t", "latitude", "longitude", "accuracy", "speed")), pa.array(progress, pa.float64()), pa.array(far, pa.float64()), pa.array(quality, pa.string()), pa.array(on)], names=out_names
+            )
+            seq += n
+
+    return in_order(heads.unionByName(rows), ["attempt_id", "route_id"], ["side", "t", "id"], follow, schema)
 
 
 def usable_samples(samples: DataFrame) -> DataFrame:

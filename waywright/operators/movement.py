@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.geo import haversine
+from ..functions.geo import haversine, plain
 from .matching import points_at
+from .streams import in_order
 
 FIX = ("latitude", "longitude", "accuracy", "speed", "progress_m", "matched")
 
@@ -91,36 +95,45 @@ def breakdown(labelled: DataFrame, runs: DataFrame) -> DataFrame:
     return r.withColumn("trust", F.when(enough & (F.col("unknown_ms") <= K.TOTAL_TOLERANCE_MS), "complete").when(enough, "partial").otherwise("unavailable"))
 
 
-def _mean(total: Column, n: Column) -> Column:
-    return F.when(n > 0, total / n)
+def reconciles(movement: DataFrame, tolerance_ms: float = K.TOTAL_TOLERANCE_MS) -> DataFrame:
+    """attempt_id, whether its parts add up to its official time, and whether they may be shown."""
+    gap = F.col("moving_ms") + F.col("waiting_ms") + F.col("unknown_ms") - F.col("official_ms")
+    return movement.select("attempt_id", (F.abs(gap) <= tolerance_ms).alias("reconciles"), F.col("trust").isin("complete", "partial").alias("displayable"))
 
 
 def wait_events(labelled: DataFrame, runs: DataFrame, courses: DataFrame) -> DataFrame:
     """attempt_id, wait_id, start_ms, end_ms (since the start), duration_ms, progress_m, latitude, longitude of each wait of three seconds or more.
 
     Waiting intervals join the wait before them if little time lies between and both are
-    at about the same place, the mean of all places so far: a fold over one attempt's waits.
+    at about the same place, the mean of all places so far.  An attempt's intervals stream
+    past in order; only the open wait is remembered.
     """
-    w = labelled.filter("label = 'waiting'")
-    known = F.filter(F.array("start_p", "end_p"), lambda x: x.isNotNull())
-    one = F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), (F.col("end_ms") - F.col("start_ms")).alias("d"), F.aggregate(known, F.lit(0.0), lambda a, x: a + x).alias("p"), F.size(known).alias("k"))
-    kind = "struct<s:double,e:double,d:double,p:double,k:int>"
-    zero = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("open"))
-
-    def step(acc: Column, x: Column) -> Column:
-        o = acc["open"]
-        a, b = _mean(o["p"], o["k"]), _mean(x["p"], x["k"])
-        near = (a.isNull() & b.isNull()) | F.coalesce(F.abs(b - a) <= K.MERGE_PROGRESS_M, F.lit(False))
-        joins = o.isNotNull() & (x["s"] - o["e"]).between(0, K.MERGE_GAP_MS) & near
-        merged = F.struct(o["s"].alias("s"), x["e"].alias("e"), (o["d"] + x["d"]).alias("d"), (o["p"] + x["p"]).alias("p"), (o["k"] + x["k"]).alias("k"))
-        return F.when(joins, F.struct(acc["done"].alias("done"), merged.alias("open"))).otherwise(F.struct(F.when(o.isNotNull(), F.concat(acc["done"], F.array(o))).otherwise(acc["done"]).alias("done"), x.alias("open")))
-
-    folded = w.groupBy("attempt_id").agg(F.sort_array(F.collect_list(one)).alias("all")).withColumn("f", F.aggregate("all", zero, step))
-    rows = folded.select("attempt_id", F.explode(F.concat("f.done", F.array("f.open"))).alias("w")).filter(F.col("w.d") >= K.VISIBLE_MS)
+
+    def fold(key: tuple, slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list | None = None  # start, end, duration, sum and number of known places
+        for part in slices:
+            done = []
+            for s, e, p, q in zip(*(part.column(c).to_pylist() for c in ("start_ms", "end_ms", "start_p", "end_p")), strict=True):
+                known = [x for x in (p, q) if x is not None]
+                if now is not None and 0 <= s - now[1] <= K.MERGE_GAP_MS and (now[4] == 0 and not known or now[4] > 0 and bool(known) and abs(sum(known) / len(known) - now[3] / now[4]) <= K.MERGE_PROGRESS_M):
+                    now = [now[0], e, now[2] + (e - s), now[3] + sum(known), now[4] + len(known)]
+                else:
+                    done += [now] if now else []
+                    now = [s, e, e - s, sum(known, 0.0), len(known)]
+            yield out(key[0], done)
+        yield out(key[0], [now] if now else [])
+
+    def out(attempt: str, waits: list[list]) -> pa.RecordBatch:
+        columns = list(zip(*waits, strict=True)) if waits else [[]] * 5
+        place = [p / k if k else None for p, k in zip(columns[3], columns[4], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([attempt] * len(waits), pa.string()), *(pa.array(c, pa.float64()) for c in (*columns[:3], place))], names=["attempt_id", "s", "e", "d", "progress_m"])
+
+    waiting = labelled.filter("label = 'waiting'").select("attempt_id", "n", "start_ms", "end_ms", "start_p", "end_p")
+    rows = in_order(waiting, ["attempt_id"], ["n"], fold, "attempt_id string, s double, e double, d double, progress_m double").filter(F.col("d") >= K.VISIBLE_MS)
     rows = rows.join(runs.select("attempt_id", "route_id", "started_at"), "attempt_id")
-    start = F.greatest(F.lit(0.0), F.col("w.s") - F.col("started_at"))
-    rows = rows.select("attempt_id", "route_id", start.alias("start_ms"), F.greatest(start, F.col("w.e") - F.col("started_at")).alias("end_ms"), F.col("w.d").alias("duration_ms"), _mean(F.col("w.p"), F.col("w.k")).alias("progress_m"))
-    rows = rows.withColumn("wait_id", F.concat_ws(":", F.lit("wait"), "start_ms", "end_ms"))
+    start = F.greatest(F.lit(0.0), F.col("s") - F.col("started_at"))
+    rows = rows.select("attempt_id", "route_id", start.alias("start_ms"), F.greatest(start, F.col("e") - F.col("started_at")).alias("end_ms"), F.col("d").alias("duration_ms"), "progress_m")
+    rows = rows.withColumn("wait_id", F.concat_ws(":", F.lit("wait"), plain(F.col("start_ms")), plain(F.col("end_ms"))))
     marks = rows.filter("progress_m is not null").select("route_id", F.struct("attempt_id", "wait_id").alias("id"), "progress_m")
     at = points_at(marks, courses).select("id.attempt_id", "id.wait_id", "latitude", "longitude")
     return rows.join(at, ["attempt_id", "wait_id"], "left").withColumn("located", F.col("latitude").isNotNull())

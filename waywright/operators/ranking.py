@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .prefix import dealt, with_earlier
 from .timing import interior_checkpoints
 
 SHOWN_REASONS = ("missing_start_coverage", "replay_incomplete", "missing_telemetry", "not_valid")
@@ -25,21 +26,34 @@ def attempt_status(attempts: DataFrame, runs: DataFrame, courses: DataFrame) ->
     return a.select("attempt_id", "route_id", "armed_at_ms", "recorded_finished_at_ms", "lifecycle", ok.alias("eligible"), "reason", F.when(ok, F.col("started_at")).alias("started_at"), F.when(ok, F.col("finished_at")).alias("finished_at"), F.when(ok, F.greatest(F.lit(0.0), F.col("finished_at") - F.col("started_at"))).alias("official_ms"))
 
 
-def ranked(status: DataFrame) -> DataFrame:
-    """Eligible attempts with rank, is_pb, and what came before each: the attempt just before it and the best of all before it.
+def focused(status: DataFrame) -> DataFrame:
+    """Every attempt with what the route's ranked attempts say of it: rank, is_pb, previous, the best before it, target, deltas.
 
-    Before means an earlier finish (then arming, then id).  The comparison target is the
-    route's best, or for the best itself the best before it.
+    Before means an earlier finish (then arming, then id); an attempt that isn't eligible
+    stands at its arming.  The comparison target is the route's best, or for the best itself
+    the best before it.  Rank and deltas of an attempt that isn't eligible are null.
     """
-    e = status.filter("eligible").drop("eligible", "reason")
-    best = Window.partitionBy("route_id").orderBy(*BEST)
-    time = Window.partitionBy("route_id").orderBy("finished_at", "armed_at_ms", "attempt_id")
-    earlier = time.rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumns({"rank": F.row_number().over(best), "best_id": F.first("attempt_id").over(best), "best_ms": F.first("official_ms").over(best), "previous_id": F.lag("attempt_id").over(time), "previous_ms": F.lag("official_ms").over(time), "pb_before": F.min(F.struct(*BEST)).over(earlier)})
-    is_pb = F.col("rank") == 1
-    target = F.when(is_pb, F.col("pb_before.attempt_id")).otherwise(F.col("best_id"))
-    versus = F.when(is_pb, F.col("pb_before.official_ms")).otherwise(F.col("best_ms"))
-    return e.withColumns({"is_pb": is_pb, "target_id": target, "delta_pb_ms": F.col("official_ms") - versus, "delta_previous_ms": F.col("official_ms") - F.col("previous_ms"), "pb_before_id": F.col("pb_before.attempt_id"), "pb_before_ms": F.col("pb_before.official_ms")}).drop("pb_before")
+    e = F.col("eligible")
+    rows = status.withColumn("at", F.coalesce("finished_at", F.col("armed_at_ms").cast("double")))
+    run = F.when(e, F.struct(*BEST))
+    # Eligible ones in their order of rank; then all in order of time, with what lies before each.
+    by_rank = [F.col(c).asc() for c in BEST]
+    places = with_earlier(dealt(rows.filter(e).select("route_id", *BEST), ["route_id"], by_rank, "by-rank"), ["route_id"], by_rank, {"before": ("count", F.lit(1))})
+    best = rows.filter(e).groupBy("route_id").agg(F.min(F.struct(*BEST)).alias("best"))
+    by_time = [F.col(c).asc() for c in ("at", "armed_at_ms", "attempt_id")]
+    latest = F.when(e, F.struct("at", "armed_at_ms", "attempt_id", "official_ms"))
+    timed = with_earlier(dealt(rows, ["route_id"], by_time, "by-time"), ["route_id"], by_time, {"pb_before": ("min", run), "previous": ("max", latest)})
+    f = timed.join(places.select("attempt_id", (F.col("before") + 1).cast("int").alias("rank")), "attempt_id", "left").join(best, "route_id", "left")
+    is_pb = F.coalesce(F.col("best.attempt_id") == F.col("attempt_id"), F.lit(False))
+    f = f.withColumns({"is_pb": is_pb, "best_id": F.col("best.attempt_id"), "best_ms": F.col("best.official_ms"), "previous_id": F.col("previous.attempt_id"), "previous_ms": F.col("previous.official_ms"), "pb_before_id": F.col("pb_before.attempt_id"), "pb_before_ms": F.col("pb_before.official_ms")})
+    versus = F.when(F.col("is_pb"), F.col("pb_before_ms")).otherwise(F.col("best_ms"))
+    f = f.withColumns({"target_id": F.when(F.col("is_pb"), F.col("pb_before_id")).otherwise(F.col("best_id")), "delta_pb_ms": F.col("official_ms") - versus, "delta_previous_ms": F.col("official_ms") - F.col("previous_ms")})
+    return f.drop("at", "best", "previous", "pb_before")
+
+
+def ranked(focus: DataFrame) -> DataFrame:
+    """The eligible ones of focused()."""
+    return focus.filter("eligible").drop("eligible", "reason")
 
 
 def route_summary(status: DataFrame, courses: DataFrame, segments: DataFrame) -> DataFrame:
@@ -79,16 +93,29 @@ def segment_deltas(segments: DataFrame, ranked_attempts: DataFrame) -> DataFrame
     when = ranked_attempts.select("attempt_id", "target_id", "finished_at", "armed_at_ms")
     other = segments.select(F.col("attempt_id").alias("target_id"), "seg", F.col("duration_ms").alias("target_ms"))
     rows = segments.join(when, "attempt_id").join(other, ["target_id", "seg"], "left").join(gold_segments(segments).select("route_id", "seg", "gold_ms"), ["route_id", "seg"])
-    earlier = Window.partitionBy("route_id", "seg").orderBy("finished_at", "armed_at_ms", "attempt_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("gold_before", F.min("duration_ms").over(earlier))
+    order = [F.col(c).asc() for c in ("finished_at", "armed_at_ms", "attempt_id")]
+    rows = with_earlier(dealt(rows, ["route_id", "seg"], order, "segments-by-time"), ["route_id", "seg"], order, {"gold_before": ("min", F.col("duration_ms"))})
     new = (F.col("duration_ms") == F.col("gold_ms")) & (F.col("gold_before").isNull() | (F.col("duration_ms") < F.col("gold_before")))
     first = F.col("gold_before").isNull() & F.col("duration_ms").isNotNull()
     return rows.select("attempt_id", "route_id", "seg", "segment_id", "duration_ms", "target_ms", (F.col("duration_ms") - F.col("target_ms")).alias("delta_ms"), F.coalesce(new, F.lit(False)).alias("is_new_gold"), first.alias("is_first"))
 
 
+def focus_segments(focus: DataFrame, segments: DataFrame, courses: DataFrame) -> DataFrame:
+    """attempt_id, seg, segment_id, duration_ms, target_ms, delta_ms, gold_ms of every attempt and segment of its course; an attempt that isn't eligible has no durations of its own."""
+    ends = interior_checkpoints(courses).select("route_id", "cp_order", F.col("checkpoint_id").alias("mark"))
+    marks = courses.select("route_id", F.lit(0).alias("cp_order"), F.lit("start").alias("mark")).unionByName(ends).unionByName(courses.select("route_id", F.lit(1 << 30).alias("cp_order"), F.lit("finish").alias("mark")))
+    order = Window.partitionBy("route_id").orderBy("cp_order")
+    specs = marks.withColumns({"seg": F.row_number().over(order), "to": F.lead("mark").over(order)}).filter("to is not null").select("route_id", "seg", F.concat("mark", F.lit("->"), "to").alias("segment_id"))
+    own = segments.select("attempt_id", "seg", "duration_ms")
+    other = segments.select(F.col("attempt_id").alias("target_id"), "seg", F.col("duration_ms").alias("target_ms"))
+    rows = focus.select("attempt_id", "route_id", "target_id").join(specs, "route_id").join(own, ["attempt_id", "seg"], "left").join(other, ["target_id", "seg"], "left").join(gold_segments(segments).select("route_id", "seg", "gold_ms"), ["route_id", "seg"], "left")
+    return rows.select("attempt_id", "seg", "segment_id", "duration_ms", "target_ms", (F.col("duration_ms") - F.col("target_ms")).alias("delta_ms"), "gold_ms")
+
+
 def history(status: DataFrame, ranked_attempts: DataFrame) -> DataFrame:
     """Attempts worth showing, latest first by place (from 1), with rank where eligible."""
     shown = status.filter(F.col("eligible") | ((F.col("lifecycle") == "completed") & F.col("reason").isin(*SHOWN_REASONS)))
     rows = shown.join(ranked_attempts.select("attempt_id", "rank", "is_pb"), "attempt_id", "left").withColumn("shown_at", F.coalesce("finished_at", "recorded_finished_at_ms", F.col("armed_at_ms").cast("double")))
-    latest = Window.partitionBy("route_id").orderBy(F.desc("shown_at"), F.desc("armed_at_ms"), F.desc("attempt_id"))
-    return rows.select("route_id", "attempt_id", F.row_number().over(latest).alias("place"), "rank", F.coalesce("is_pb", F.lit(False)).alias("is_pb"), "eligible", "reason", "official_ms")
+    latest = [F.desc("shown_at"), F.desc("armed_at_ms"), F.desc("attempt_id")]
+    rows = with_earlier(dealt(rows, ["route_id"], latest, "by-latest"), ["route_id"], latest, {"later": ("count", F.lit(1))})
+    return rows.select("route_id", "attempt_id", (F.col("later") + 1).cast("int").alias("place"), "rank", F.coalesce("is_pb", F.lit(False)).alias("is_pb"), "eligible", "reason", "official_ms")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import haversine
+from .matching import _meters
+from .streams import in_order
 
 
 def derive_routes(samples: DataFrame) -> DataFrame:
@@ -15,30 +20,39 @@ def derive_routes(samples: DataFrame) -> DataFrame:
     Poor fixes go; the path lies between the first and the last three moving samples in a
     row, thinned to steps of six metres from the last point kept.
     """
-    good = samples.filter(F.col("accuracy").isNull() | (F.col("accuracy") <= K.ROUTE_ACCURACY_M))
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    good = samples.filter(finite("latitude") & finite("longitude") & (F.col("accuracy").isNull() | (F.col("accuracy") <= K.ROUTE_ACCURACY_M)))
     order = Window.partitionBy("session_id").orderBy("recorded_at_ms", "id")
     step = haversine(F.lag("latitude").over(order), F.lag("longitude").over(order), F.col("latitude"), F.col("longitude"))
     rows = good.withColumn("i", F.row_number().over(order)).withColumn("moving", F.when(F.col("speed").isNotNull(), F.col("speed") >= K.MOVING_MPS).otherwise(F.coalesce(step >= K.STEP_M, F.lit(False))))
     run = F.col("moving") & F.lead("moving", 1).over(order) & F.lead("moving", 2).over(order)
     rows = rows.withColumn("run", F.coalesce(run, F.lit(False)))
     ends = rows.groupBy("session_id").agg(F.count("*").alias("n_good"), F.min(F.when(F.col("run"), F.col("i"))).alias("first"), (F.max(F.when(F.col("run"), F.col("i"))) + K.SUSTAINED - 1).alias("last"))
-    point = F.struct("i", "latitude", "longitude", "speed")
-    kept = rows.join(ends, "session_id").filter(F.col("i").between(F.col("first"), F.col("last"))).groupBy("session_id").agg(F.sort_array(F.collect_list(point)).alias("trace"))
-    spot = "array<struct<latitude:double,longitude:double>>"
+    trimmed = rows.join(ends, "session_id").filter(F.col("i").between(F.col("first"), F.col("last"))).select("session_id", "i", "latitude", "longitude", "speed")
 
-    def thin(path: Column, x: Column) -> Column:
-        here = F.array(F.struct(x["latitude"].alias("latitude"), x["longitude"].alias("longitude")))
-        back = F.element_at(path, -1)
-        far = haversine(back["latitude"], back["longitude"], x["latitude"], x["longitude"]) >= K.STEP_M
-        goes = x["speed"].isNull() | (x["speed"] >= K.MOVING_MPS)
-        return F.when(F.size(path) == 0, here).when(goes & far, F.concat(path, here)).otherwise(path)
+    def thin(key: tuple, slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = None  # the last point kept
+        for part in slices:
+            kept = []
+            for n, (lat, lon, speed) in enumerate(zip(*(part.column(c).to_pylist() for c in ("latitude", "longitude", "speed")), strict=True)):
+                if back is None or ((speed is None or speed >= K.MOVING_MPS) and float(_meters(*back, lat, lon)) >= K.STEP_M):
+                    back = (lat, lon)
+                    kept.append(n)
+            yield part.select(["session_id", "i", "latitude", "longitude"]).take(pa.array(kept, pa.int64()))
+
+    kept = in_order(trimmed, ["session_id"], ["i"], thin, "session_id string, i int, latitude double, longitude double")
+    spot = "array<struct<latitude:double,longitude:double>>"
+    paths = kept.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "latitude", "longitude"))), lambda x: F.struct(x["latitude"].alias("latitude"), x["longitude"].alias("longitude"))).alias("path"))
+    corner = F.struct("i", "latitude", "longitude")
+    corners = trimmed.groupBy("session_id").agg(F.min(corner).alias("a"), F.max(corner).alias("b"))
 
     from .matching import with_length
 
-    r = ends.join(kept, "session_id", "left").withColumn("path", F.coalesce(F.aggregate("trace", F.array().cast(spot), thin), F.array().cast(spot)))
-    a, b = F.col("trace")[0], F.element_at("trace", -1)
+    every = samples.select("session_id").distinct()
+    r = every.join(ends, "session_id", "left").join(paths, "session_id", "left").join(corners, "session_id", "left").withColumn("path", F.coalesce("path", F.array().cast(spot)))
+    a, b = F.col("a"), F.col("b")
     apart = haversine(a["latitude"], a["longitude"], b["latitude"], b["longitude"])
-    enough = (F.col("n_good") >= K.LEAST_POINTS) & F.col("first").isNotNull() & (F.col("last") > F.col("first"))
+    enough = (F.coalesce("n_good", F.lit(0)) >= K.LEAST_POINTS) & F.col("first").isNotNull() & (F.col("last") > F.col("first"))
     reason = F.when(~enough, "too_little_movement").when(apart < K.SEPARATION_M, "start_and_finish_too_close").when(F.size("path") < K.LEAST_POINTS, "too_little_movement")
     ok = reason.isNull()
     r = with_length(r.withColumn("reason", reason), "meters")
@@ -62,7 +76,8 @@ def layout_identity(courses: DataFrame) -> DataFrame:
     """route_id, identity: the numbers that timing depends on, as text in thousandths."""
     from .timing import course_numbers
 
-    n = lambda c: F.floor(c * 1000 + 0.5).cast("long").cast("string")
+    n = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), "nan").otherwise(F.format_string("%.3f", c))
     c = courses.join(course_numbers(courses).select("route_id", "trigger_p"), "route_id")
     cps = F.array_join(F.transform(F.sort_array(F.transform("checkpoints", lambda x: F.struct(x["progress_m"].alias("p"), x["id"].alias("id")))), lambda x: F.concat(x["id"], F.lit(":"), n(x["p"]))), ",")
-    return c.select("route_id", F.concat_ws("|", *[F.concat(F.lit(f"{k}="), n(F.col(k))) for k in ("start_p", "finish_p", "start_r", "finish_r", "trigger_p")], F.concat(F.lit("cp="), cps)).alias("identity"))
+    names = {"start": "start_p", "finish": "finish_p", "startR": "start_r", "finishR": "finish_r", "finishTrigger": "trigger_p"}
+    return c.select("route_id", F.concat_ws("|", *[F.concat(F.lit(f"{k}="), n(F.col(v))) for k, v in names.items()], F.concat(F.lit("cp=["), cps, F.lit("]"))).alias("identity"))

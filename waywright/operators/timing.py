@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .matching import projection_near
 
 
 def course_numbers(courses: DataFrame) -> DataFrame:
@@ -102,9 +103,22 @@ def crossings(matched: DataFrame, courses: DataFrame, runs: DataFrame) -> DataFr
     return hit.groupBy("attempt_id", "route_id", "checkpoint_id", "name", "progress_m", "cp_order").agg(F.min(F.struct("seq", "crossed_at")).alias("f")).select("attempt_id", "route_id", "checkpoint_id", "name", "progress_m", "cp_order", F.col("f.crossed_at").alias("crossed_at"))
 
 
-def start_zone_status(matched: DataFrame, courses: DataFrame) -> DataFrame:
-    """attempt_id, status: locating, inside or outside, from each attempt's latest sample."""
-    last = matched.groupBy("attempt_id", "route_id").agg(F.max(F.struct("seq", "quality", "progress_m")).alias("l"))
-    rows = last.join(course_numbers(courses), "route_id")
-    inside = (F.col("start_r") >= 0) & (F.abs(F.col("l.progress_m") - F.col("start_p")) <= F.col("start_r"))
-    return rows.select("attempt_id", F.when(F.col("l.quality") != "accepted", "locating").when(inside, "inside").otherwise("outside").alias("status"))
+def start_zone_status(attempts: DataFrame, matched: DataFrame, courses: DataFrame, runs: DataFrame) -> DataFrame:
+    """attempt_id, status of every attempt, from its latest sample: locating without one or with a poor one, else inside the start zone or outside.
+
+    The sample is matched once more near the last progress accepted while the attempt was open.
+    """
+    last = matched.groupBy("attempt_id").agg(F.max(F.struct("seq", "quality", "latitude", "longitude")).alias("l"))
+    ends = matched.join(runs.select("attempt_id", "end_seq"), "attempt_id").filter((F.col("quality") == "accepted") & (F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))))
+    centre = ends.groupBy("attempt_id").agg(F.max(F.struct("seq", "progress_m")).alias("c"))
+    rows = attempts.select("attempt_id", "route_id").join(last, "attempt_id", "left").join(centre, "attempt_id", "left").join(course_numbers(courses), "route_id")
+    known = F.col("c").isNotNull()
+    asked = rows.select(
+        "route_id", F.struct("attempt_id", F.col("l.quality").alias("quality"), "start_p", "start_r").alias("id"), "l.latitude", "l.longitude", F.coalesce("c.progress_m", "start_p").alias("centre"),
+        F.when(known, K.AHEAD_M).otherwise(K.FIRST_AHEAD_M).alias("ahead"), F.when(known, K.BEHIND_M).otherwise(K.FIRST_BEHIND_M).alias("behind"),
+    )
+    found = projection_near(asked, courses)
+    radius = F.col("id.start_r")
+    inside = (F.col("snap_m") <= K.CORRIDOR_M) & (radius >= 0) & (F.abs(F.col("progress_m") - F.col("id.start_p")) <= radius)
+    usable = F.coalesce(F.col("id.quality") != "poor_accuracy", F.lit(False))
+    return found.select("id.attempt_id", F.when(~usable, "locating").when(F.coalesce(inside, F.lit(False)), "inside").otherwise("outside").alias("status"))

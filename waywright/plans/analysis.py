@@ -39,9 +39,17 @@ class Analysis:
     def status(self) -> DataFrame:
         return staged(ranking.attempt_status(self.attempts, self.runs, self.courses), "status")
 
+    @cached_property
+    def focus(self) -> DataFrame:
+        return staged(ranking.focused(self.status), "focus")
+
     @cached_property
     def ranked(self) -> DataFrame:
-        return staged(ranking.ranked(self.status), "ranked")
+        return ranking.ranked(self.focus)
+
+    @cached_property
+    def focus_segments(self) -> DataFrame:
+        return ranking.focus_segments(self.focus, self.segments, self.courses)
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -61,11 +69,11 @@ class Analysis:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return staged(comparing.wait_clusters(self.waits, self.ranked), "clusters")
+        return staged(comparing.wait_clusters(self.waits, self.focus, self.courses), "clusters")
 
     @cached_property
     def comparison(self) -> DataFrame:
-        return comparing.wait_comparison(self.clusters, self.waits, self.breakdown, self.ranked)
+        return comparing.wait_comparison(self.clusters, self.waits, self.breakdown, self.focus)
 
     @cached_property
     def knots(self) -> DataFrame:
@@ -78,3 +86,11 @@ class Analysis:
     @cached_property
     def ghosts(self) -> DataFrame:
         return ghost.compare(self.knots, self.legs, self.ranked)
+
+    @cached_property
+    def painted(self) -> DataFrame:
+        return ghost.painted_finish(self.knots, self.legs, self.ranked, self.courses)
+
+    @cached_property
+    def ghost_availability(self) -> DataFrame:
+        return ghost.availability(self.focus, self.painted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once, in the folder that spark.checkpoint.dir names, and a scan of it; a temporary folder if that is unset."""
+    """``df`` written once, in the folder that spark.checkpoint.dir names, and a scan of it; a temporary folder if that is unset and all runs on one machine."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="waywright-stages-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"

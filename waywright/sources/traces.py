@@ -14,6 +14,7 @@ from ..functions import constants as K
 from ..functions.geo import ring
 
 SAMPLE_SCHEMA = "id string, session_id string, recorded_at_ms long, latitude double, longitude double, accuracy double, speed double, heading double"
+SAMPLE_COLUMNS = [c.split()[0] for c in SAMPLE_SCHEMA.split(", ")]
 BASE_MS, BASE_LAT, BASE_LON = 1_700_000_000_000, 32.08, 34.78
 POINTS, SPACING_M = 16, 20.0
 
@@ -31,69 +32,117 @@ def clean_fixes(fixes: DataFrame) -> DataFrame:
     return kept.withColumns({"accuracy": least_zero("accuracy"), "speed": least_zero("speed"), "heading": heading})
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SAMPLE_SCHEMA).parquet(path)
-
+def append_samples(samples: DataFrame, sessions: DataFrame, path: str) -> int:
+    """Store the samples of active sessions; a sample whose id is stored already replaces it.  Returns how many the store holds of this call's.
 
-def append_samples(samples: DataFrame, sessions: DataFrame, path: str) -> None:
-    """Append the samples of active sessions; of samples with one id the last recorded stays."""
+    The store is a folder for each call, numbered in order; read_samples() takes an id's last call.
+    Of samples with one id in one call, the last recorded stays.
+    """
+    spark = samples.sparkSession
     active = sessions.filter("is_active").select(F.col("id").alias("session_id"))
     last = Window.partitionBy("id").orderBy(F.desc("recorded_at_ms"), F.desc("session_id"))
     kept = samples.join(active, "session_id", "left_semi").withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-    kept.select(*[c.split()[0] for c in SAMPLE_SCHEMA.split(", ")]).write.mode("append").parquet(path)
+    call = 1 + _last_call(spark, path)
+    kept.select(*SAMPLE_COLUMNS).write.parquet(f"{path}/call={call:09d}")
+    return spark.read.schema(SAMPLE_SCHEMA).parquet(f"{path}/call={call:09d}").count()
+
+
+def _last_call(spark: SparkSession, path: str) -> int:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max((int(n.removeprefix("call=")) for n in names if n.startswith("call=")), default=-1)
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """The samples of a store that append_samples() filled: of each id, what the last call stored."""
+    rows = spark.read.schema(SAMPLE_SCHEMA + ", call int").parquet(path)
+    return rows.groupBy("id").agg(F.max_by(F.struct(*SAMPLE_COLUMNS[1:]), "call").alias("x")).select("id", "x.*")
+
+
+def _fixed(x: str, digits: int) -> Column:
+    """A number with a fixed number of digits after the point, halves away from zero."""
+    return F.format_string(f"%.{digits}f", F.col(x))
 
 
 def sample_line(samples: DataFrame) -> DataFrame:
-    """(id, line): a sample as text, in UTC."""
-    at = F.date_format(F.timestamp_millis("recorded_at_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    acc = F.coalesce(F.format_string("acc %.1fm", "accuracy"), F.lit("acc n/a"))
-    speed = F.coalesce(F.format_string("spd %.1fm/s", "speed"), F.lit("spd n/a"))
-    return samples.select("id", F.concat_ws(" ", at, F.format_string("%.6f,%.6f", "latitude", "longitude"), F.when(F.col("accuracy").isNull(), "acc n/a").otherwise(acc), F.when(F.col("speed").isNull(), "spd n/a").otherwise(speed)).alias("line"))
+    """(id, line): a sample as text: time in UTC, place, accuracy, speed, heading."""
+    at = F.date_format(F.to_utc_timestamp(F.timestamp_millis("recorded_at_ms"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    or_none = lambda c, text, none: F.when(F.col(c).isNull(), none).otherwise(text)
+    accuracy = or_none("accuracy", F.concat(F.lit("±"), _fixed("accuracy", 1), F.lit("m")), "acc n/a")
+    speed = or_none("speed", F.concat(_fixed("speed", 1), F.lit("m/s")), "spd n/a")
+    heading = or_none("heading", F.concat(_fixed("heading", 0), F.lit("°")), "hdg n/a")
+    return samples.select("id", F.concat_ws("  ", at, F.concat_ws(", ", _fixed("latitude", 6), _fixed("longitude", 6)), accuracy, speed, heading).alias("line"))
 
 
-def course_geojson(courses: DataFrame) -> DataFrame:
-    """(route_id, geojson): the path as a line and the zones as polygons, a feature collection each."""
+def course_geojson(courses: DataFrame, waits: DataFrame | None = None, selected: str | None = None) -> DataFrame:
+    """(route_id, geojson): a feature collection of each course: path, zones and their centres, checkpoints and, if given, located waits.
+
+    ``waits``: route_id, wait_id, latitude, longitude; the one whose id is ``selected`` says so.
+    """
+    from ..operators.matching import points_at
+
     first, last = F.col("path")[0], F.element_at("path", -1)
     point = lambda p: F.array(p["longitude"], p["latitude"])
+    spot = lambda p: F.struct(F.lit("Point").alias("type"), point(p).alias("coordinates"))
     line = F.struct(F.lit("LineString").alias("type"), F.transform("path", point).alias("coordinates"))
     zone = lambda p, r: F.struct(F.lit("Polygon").alias("type"), F.array(ring(p["latitude"], p["longitude"], F.col(r))).alias("coordinates"))
-    feature = lambda kind, g: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("kind")).alias("properties"), g.alias("geometry")))
-    parts = F.concat_ws(",", feature("path", line), feature("start", zone(first, "start_r")), feature("finish", zone(last, "finish_r")))
-    return courses.select("route_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), parts, F.lit("]}")).alias("geojson"))
+
+    def feature(kind: str, geometry: Column, **more: Column) -> Column:
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("kind"), *[c.alias(n) for n, c in more.items()]).alias("properties"), geometry.alias("geometry")))
+
+    marks = courses.select("route_id", F.explode("checkpoints").alias("c")).select("route_id", F.col("c").alias("id"), F.col("c.progress_m").alias("progress_m"))
+    at = points_at(marks, courses).select("route_id", "progress_m", "id", F.struct("latitude", "longitude").alias("p"))
+    at = at.select("route_id", F.struct("progress_m", "id.id", feature("checkpoint", spot(F.col("p")), id=F.col("id.id"), name=F.col("id.name")).alias("json")).alias("x"))
+    listed = at.groupBy("route_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["json"]).alias("marks"))
+    rows = courses.join(listed, "route_id", "left")
+    if waits is not None:
+        w = waits.filter("latitude is not null").select("route_id", F.struct("wait_id", feature("wait", spot(F.struct("latitude", "longitude")), id=F.col("wait_id"), selected=F.when(F.col("wait_id") == F.lit(selected), "yes").otherwise("no")).alias("json")).alias("x"))
+        rows = rows.join(w.groupBy("route_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["json"]).alias("waits")), "route_id", "left")
+    none = F.array().cast("array<string>")
+    parts = [F.array(feature("path", line), feature("start-zone", zone(first, "start_r")), feature("start", spot(first)), feature("finish-zone", zone(last, "finish_r")), feature("finish", spot(last))), F.coalesce("marks", none)]
+    parts += [F.coalesce("waits", none)] * (waits is not None)
+    return rows.select("route_id", F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.concat(*parts), ","), F.lit("]}")).alias("geojson"))
 
 
 def synthetic_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces from events: attempt_id, session_id, route_id, id, recorded_at_ms, latitude, longitude, accuracy, speed, heading.
 
     Ordered by time and event id within a user, each event is a step north: none for an
-    error, else 4 to 12 m; a second passes, or 6 to 15.9 s at an error.
+    error, else 4 to 12 m; a second passes, or 6 to 15.9 s at an error.  Some users begin
+    further on, some step back at views, and some stay 120 m east of the course for a while.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
-    stop = F.col("event_type") == "error"
+    stop, user = F.col("event_type") == "error", F.col("user_id")
     rows = events.filter("user_id is not null").select("event_id", "user_id", "ts", "event_type", F.coalesce(k, F.lit(0)).alias("k"))
-    rows = rows.withColumns({"step": F.when(stop, 0.0).otherwise(4.0 + F.col("k") % 9), "dt": F.when(stop, 6000 + 100 * F.col("k")).otherwise(1000).cast("long")})
-    run = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"at": F.sum("dt").over(run), "along": F.greatest(F.lit(0.0), F.sum("step").over(run) - 4.0)})
-    user = F.col("user_id").cast("string")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = rows.withColumn("n", F.row_number().over(order))
+    away = ((user % 7 == 3) & F.col("n").between(12, 21)) | ((user % 7 == 5) & F.col("n").between(12, 56))
+    step = F.when(away | stop, 0.0).when((user % 13 == 4) & (F.col("event_type") == "view"), -5.0).otherwise(4.0 + F.col("k") % 9)
+    rows = rows.withColumns({"away": away, "step": step, "dt": F.when(stop, 6000 + 100 * F.col("k")).otherwise(1000).cast("long")})
+    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin = F.when(user % 11 == 2, 12.0).when(user % 11 == 6, 45.0).otherwise(0.0)
+    rows = rows.withColumns({"at": F.sum("dt").over(run), "along": F.greatest(F.lit(0.0), F.sum("step").over(run) - 4.0 + begin)})
+    name = user.cast("string")
     return rows.select(
-        user.alias("attempt_id"), user.alias("session_id"), (F.col("user_id") % 5).cast("string").alias("route_id"), F.col("event_id").cast("string").alias("id"),
-        (F.lit(BASE_MS) + F.col("user_id") * 10_000_000 + F.col("at")).cast("long").alias("recorded_at_ms"),
-        (F.lit(BASE_LAT) + F.col("along") / K.METERS_PER_DEGREE).alias("latitude"), F.lit(BASE_LON).alias("longitude"),
-        F.when(F.col("k") == 99, 60.0).otherwise(3.0 + F.col("k") % 30).alias("accuracy"),
-        F.when(F.col("event_type") != "signup", F.col("step") * 1000.0 / F.col("dt")).alias("speed"), F.lit(0.0).alias("heading"),
+        name.alias("attempt_id"), name.alias("session_id"), (user % 5).cast("string").alias("route_id"), F.col("event_id").cast("string").alias("id"),
+        (F.lit(BASE_MS) + user * 10_000_000 + F.col("at")).cast("long").alias("recorded_at_ms"),
+        (F.lit(BASE_LAT) + F.col("along") / K.METERS_PER_DEGREE).alias("latitude"), F.when(F.col("away"), F.lit(BASE_LON + 0.00127)).otherwise(F.lit(BASE_LON)).alias("longitude"),
+        F.when(F.col("k") == 99, 60.0).when(F.col("k") != 98, 3.0 + F.col("k") % 30).alias("accuracy"),
+        F.when(F.col("event_type") != "signup", F.abs("step") * 1000.0 / F.col("dt")).alias("speed"), F.when(F.col("k") != 97, F.col("k") * 3.5).alias("heading"),
     )
 
 
 def synthetic_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A straight northward course of 300 m for each region: route_id, path, radii, checkpoints, start and finish progress."""
+    """A straight northward course of 300 m for each region: route_id, path, radii, checkpoints, start and finish progress; the last one starts at 40 m."""
     from ..operators.matching import with_length
 
     step = SPACING_M / K.METERS_PER_DEGREE
     point = lambda i: F.struct((F.lit(BASE_LAT) + i * F.lit(step)).alias("latitude"), F.lit(BASE_LON).alias("longitude"))
     marks = F.array(*[F.struct(F.lit(f"cp{i}").alias("id"), F.lit(f"Checkpoint {i}").alias("name"), F.lit(100.0 * i).alias("progress_m")) for i in (1, 2)])
     regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("string").alias("route_id"))
-    plain = regions.select("route_id", F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), point).alias("path"), F.lit(K.ZONE_RADIUS_M).alias("start_r"), F.lit(K.ZONE_RADIUS_M).alias("finish_r"), marks.alias("checkpoints"), F.lit(0.0).alias("start_p"))
+    plain = regions.select("route_id", F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), point).alias("path"), F.lit(K.ZONE_RADIUS_M).alias("start_r"), F.lit(K.ZONE_RADIUS_M).alias("finish_r"), marks.alias("checkpoints"), F.when(F.col("route_id") == "4", 40.0).otherwise(0.0).alias("start_p"))
     return with_length(plain, "finish_p")
 
 
