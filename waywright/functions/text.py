@@ -106,3 +106,27 @@ def unranked_warning(lifecycle: Column, validity: Column, analysed: Column) -> C
 def waiting_share(waiting_ms: Column, official_ms: Column) -> Column:
     """Waiting as a share of official time, in percent."""
     return percent(F.when(official_ms > 0, waiting_ms / official_ms).otherwise(0.0))
+
+
+def history_meta(eligible: Column, official_ms: Column, is_pb: Column, rank: Column) -> Column:
+    """What a row of the history says: its time, and whether it is the best or which it is."""
+    time = elapsed(official_ms)
+    mark = F.when(is_pb, "PB").when(rank.isNotNull(), ordinal(rank))
+    return F.when(~eligible | official_ms.isNull(), "Unavailable").otherwise(F.concat_ws(" · ", time, mark))
+
+
+def delta_tone(delta_ms: Column) -> Column:
+    return F.when(delta_ms < 0, "faster").when(delta_ms > 0, "slower").otherwise("neutral")
+
+
+def comparison_tone(delta_ms: Column) -> Column:
+    return F.when(delta_ms > 0, "more").when(delta_ms < 0, "less").otherwise("wait")
+
+
+def stop_count(n: Column) -> Column:
+    return F.when(n == 1, "1 stop").otherwise(F.concat(n.cast("string"), F.lit(" stops")))
+
+
+def new_id() -> Column:
+    """A random id for each row; write the rows before they are used twice."""
+    return F.uuid()

@@ -57,6 +57,39 @@ def attempts_of(attempts: DataFrame, route_id: str) -> DataFrame:
     return attempts.filter(F.col("route_id") == route_id).orderBy(F.desc("armed_at_ms"), F.desc("attempt_id"))
 
 
+def updated(table: DataFrame, changes: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
+    """The table with ``columns``, in terms of the changes' own, set where a change has the row's key; of changes with one key, the first by its columns counts."""
+    new = changes.select(key, F.struct(*[c.alias(n) for n, c in columns.items()]).alias("_new")).groupBy(key).agg(F.min("_new").alias("_new"))
+    return table.join(new, key, "left").withColumns({n: F.when(F.col("_new").isNotNull(), F.col(f"_new.{n}")).otherwise(F.col(n)) for n in columns}).select(table.columns)
+
+
+def start_session(sessions: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sessions plus the first wanted one (id, started_at_ms, purpose), if none is active."""
+    if sessions.filter("is_active").limit(1).count():
+        return sessions
+    one = wanted.orderBy("started_at_ms", "id").limit(1)
+    new = one.withColumns({"is_active": F.lit(True), "capture_outcome": F.lit("active"), "review_disposition": F.lit("pending")})
+    return sessions.unionByName(new.select([c for c in sessions.columns if c in new.columns]), allowMissingColumns=True)
+
+
+def complete_sessions(sessions: DataFrame, ended: DataFrame) -> DataFrame:
+    """Sessions after some ended: (id, stopped_at_ms, capture_outcome, review_disposition)."""
+    names = ("stopped_at_ms", "capture_outcome", "review_disposition")
+    return updated(sessions, ended, "id", {"is_active": F.lit(False), **{c: F.col(c) for c in names}})
+
+
+def decide_reviews(sessions: DataFrame, decided: DataFrame) -> DataFrame:
+    """Sessions after decisions: (id, review_disposition)."""
+    return updated(sessions, decided, "id", {"review_disposition": F.col("review_disposition")})
+
+
+def close_legacy(sessions: DataFrame, now_ms: int) -> DataFrame:
+    """Sessions as an upgrade leaves them: those still active are stopped, of unknown outcome and discarded."""
+    was = F.col("is_active")
+    new = {"stopped_at_ms": F.coalesce("stopped_at_ms", F.lit(now_ms)), "purpose": F.lit("legacy"), "capture_outcome": F.lit("unknown"), "review_disposition": F.lit("discarded")}
+    return sessions.withColumns({c: F.when(was, v).otherwise(F.col(c)) for c, v in new.items()}).withColumn("is_active", F.lit(False))
+
+
 def with_crossings(attempts: DataFrame, crossings: DataFrame) -> DataFrame:
     """Attempts with their crossings as an array, by time and then progress."""
     x = F.struct("crossed_at", "progress_m", "checkpoint_id", "name")
@@ -109,11 +142,10 @@ def finalize_attempts(attempts: DataFrame, sessions: DataFrame, crossings: DataF
     finished and saved, a cancelled one's as cancelled, any other's as interrupted, both discarded.
     """
     after, marks = write_attempts(attempts, crossings, ended.select(attempts.columns), new_crossings)
-    stop = ended.select(F.col("session_id").alias("id"), F.col("stopped_at_ms").alias("_at"), F.when(F.col("lifecycle") == "completed", "finished").when(F.col("lifecycle") == "cancelled", "cancelled").otherwise("interrupted").alias("_outcome")).dropDuplicates(["id"])
-    s = sessions.join(stop, "id", "left")
-    new = {"is_active": F.lit(False), "stopped_at_ms": F.col("_at"), "capture_outcome": F.col("_outcome"), "review_disposition": F.when(F.col("_outcome") == "finished", "saved").otherwise("discarded")}
-    s = s.withColumns({c: F.when(F.col("_outcome").isNotNull(), v).otherwise(F.col(c)) for c, v in new.items()}).select(sessions.columns)
-    return {"attempts": after, "sessions": s, "crossings": marks}
+    life = F.col("lifecycle")
+    outcome = F.when(life == "completed", "finished").when(life == "cancelled", "cancelled").otherwise("interrupted")
+    stop = ended.select(F.col("session_id").alias("id"), "stopped_at_ms", outcome.alias("capture_outcome"), F.when(life == "completed", "saved").otherwise("discarded").alias("review_disposition"))
+    return {"attempts": after, "sessions": complete_sessions(sessions, stop), "crossings": marks}
 
 
 def acknowledge_results(attempts: DataFrame, seen: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import comparing, ghost, matching, movement, ranking, timing
 from ..sources.staging import staged
@@ -94,3 +95,14 @@ class Analysis:
     @cached_property
     def ghost_availability(self) -> DataFrame:
         return ghost.availability(self.focus, self.painted)
+
+    @cached_property
+    def report(self) -> DataFrame:
+        """Every attempt as the focus, in one row: rank, deltas, its segments, waits, the places of its comparison, and both comparisons' outcome."""
+        listed = lambda rows, first, name, *rest: rows.groupBy("attempt_id").agg(F.sort_array(F.collect_list(F.struct(first, *rest))).alias(name))
+        whole = lambda rows, name: rows.select("attempt_id", F.struct(*[c for c in rows.columns if c != "attempt_id"]).alias(name))
+        gold = ranking.segment_deltas(self.segments, self.ranked).select("attempt_id", "seg", "is_new_gold")
+        segments = self.focus_segments.join(gold, ["attempt_id", "seg"], "left").withColumn("is_new_gold", F.coalesce("is_new_gold", F.lit(False)))
+        out = self.focus.join(listed(segments, "seg", "segments", "segment_id", "duration_ms", "target_ms", "delta_ms", "gold_ms", "is_new_gold"), "attempt_id", "left")
+        out = out.join(listed(self.waits, "start_ms", "waits", "wait_id", "duration_ms", "progress_m"), "attempt_id", "left").join(listed(self.clusters, "cluster", "places", "location_id", "delta_ms", "match_state", "shown"), "attempt_id", "left")
+        return out.join(whole(self.comparison, "waiting"), "attempt_id", "left").join(whole(self.ghost_availability, "ghost"), "attempt_id", "left")

@@ -110,6 +110,23 @@ def q_session_state(spark, d):
     )
 
 
+def q_session_changes(spark, d):
+    """Sessions after one that can't start, after some end, after decisions, and after an upgrade."""
+    s = _sessions(spark, d)
+    k = F.col("id").cast("long")
+    wanted = s.limit(1).select(F.lit("0").alias("id"), F.lit(1).cast("long").alias("started_at_ms"), F.lit("attempt").alias("purpose"))
+    tables = {
+        "refused": sessions.start_session(s, wanted), "started": sessions.start_session(s.withColumn("is_active", F.lit(False)), wanted),
+        "ended": sessions.complete_sessions(s, s.filter(k % 14 == 0).select("id", F.lit(5).cast("long").alias("stopped_at_ms"), F.lit("finished").alias("capture_outcome"), F.lit("saved").alias("review_disposition"))),
+        "decided": sessions.decide_reviews(s, s.filter(k % 6 == 1).select("id", F.lit("discarded").alias("review_disposition"))), "upgraded": sessions.close_legacy(s, 7),
+    }
+    out = None
+    for kind, rows in tables.items():
+        rows = rows.select(F.lit(kind).alias("kind"), "id", "is_active", "purpose", "capture_outcome", "review_disposition", "stopped_at_ms")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def q_session_samples(spark, d):
     s = traces.synthetic_samples(spark, d)
     return sessions.samples_of(s, "3").select("id", "recorded_at_ms", milli(F.col("latitude")).alias("latitude"))
@@ -192,6 +209,13 @@ def q_focus_segments(spark, d):
     return analysis(spark, d).focus_segments.select("attempt_id", "seg", "segment_id", *[milli(F.col(f"{c}_ms")).alias(f"{c}_us") for c in ("duration", "target", "delta", "gold")])
 
 
+def q_report(spark, d):
+    r = analysis(spark, d).report
+    n = lambda c: F.greatest(F.lit(0), F.coalesce(F.size(c), F.lit(0)))
+    golds = F.size(F.filter("segments", lambda x: x["is_new_gold"]))
+    return r.select("attempt_id", "rank", n("segments").alias("segments"), golds.alias("golds"), n("waits").alias("waits"), n("places").alias("places"), text.stop_count(n("waits")).alias("stops"), F.col("waiting.reason").alias("waiting_reason"), F.col("ghost.reason").alias("ghost_reason"), text.delta_tone(F.col("delta_pb_ms")).alias("tone"))
+
+
 def q_route_summary(spark, d):
     a = analysis(spark, d)
     return ranking.route_summary(a.status, a.courses, a.segments).select("route_id", F.col("ranked").cast("long").alias("ranked"), "pb_id", milli(F.col("pb_ms")).alias("pb_us"), "last_id", milli(F.col("sum_of_best_ms")).alias("sum_of_best_us"))
@@ -208,7 +232,8 @@ def q_segment_deltas(spark, d):
 
 def q_history(spark, d):
     a = analysis(spark, d)
-    return ranking.history(a.status, a.ranked).select("route_id", "attempt_id", "place", "rank", "is_pb", "eligible", "reason")
+    meta = text.history_meta(F.col("eligible"), F.col("official_ms"), F.col("is_pb"), F.col("rank"))
+    return ranking.history(a.status, a.ranked).select("route_id", "attempt_id", "place", "rank", "is_pb", "eligible", "reason", meta.alias("meta"))
 
 
 def q_move_intervals(spark, d):

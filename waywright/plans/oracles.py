@@ -300,7 +300,8 @@ ORACLES: dict[str, str] = {
     "q_segments": f"{BASE}, {CROSSED}, {SEGMENT_TIMES} SELECT attempt_id, seg, segment_id, {milli('duration')} AS duration_us FROM sd",
     "q_segment_deltas": f"""{BASE}, {RANKED}, {CROSSED}, {SEGMENT_TIMES}, gd AS (SELECT *, min(duration) OVER (PARTITION BY sd.route_id, seg) AS gold, min(duration) OVER (PARTITION BY sd.route_id, seg ORDER BY finished, armed, sd.attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, rt.target_id AS tid FROM sd JOIN rt ON rt.attempt_id = sd.attempt_id)
         SELECT gd.attempt_id, gd.seg, {milli("gd.duration - o.duration")} AS delta_us, coalesce(gd.duration = gold AND (before IS NULL OR gd.duration < before), false) AS is_new_gold FROM gd LEFT JOIN sd o ON o.attempt_id = gd.tid AND o.seg = gd.seg""",
-    "q_history": f"""{BASE}, {RANKED} SELECT sx.route_id, sx.attempt_id, CAST(row_number() OVER (PARTITION BY sx.route_id ORDER BY CASE WHEN reason IS NULL THEN sx.finished ELSE sx.armed END DESC, sx.armed DESC, sx.attempt_id DESC) AS INTEGER) AS place, CAST(rank AS INTEGER) AS rank, coalesce(is_pb, false) AS is_pb, reason IS NULL AS eligible, reason
+    "q_history": f"""{BASE}, {RANKED} SELECT sx.route_id, sx.attempt_id, CAST(row_number() OVER (PARTITION BY sx.route_id ORDER BY CASE WHEN reason IS NULL THEN sx.finished ELSE sx.armed END DESC, sx.armed DESC, sx.attempt_id DESC) AS INTEGER) AS place, CAST(rank AS INTEGER) AS rank, coalesce(is_pb, false) AS is_pb, reason IS NULL AS eligible, reason,
+        CASE WHEN reason IS NOT NULL THEN 'Unavailable' ELSE (SELECT {_ELAPSED} FROM (SELECT CAST(floor((sx.finished - sx.started) / 1000) AS BIGINT) AS s)) || ' · ' || CASE WHEN is_pb THEN 'PB' ELSE rank || CASE WHEN rank % 100 BETWEEN 11 AND 13 THEN 'th' WHEN rank % 10 = 1 THEN 'st' WHEN rank % 10 = 2 THEN 'nd' WHEN rank % 10 = 3 THEN 'rd' ELSE 'th' END END END AS meta
         FROM sx LEFT JOIN (SELECT attempt_id, rank, is_pb FROM rt) r ON r.attempt_id = sx.attempt_id""",
     "q_move_intervals": f"{MOVED} SELECT attempt_id, n, label, {milli('end_ms - start_ms')} AS duration_us FROM iv",
     "q_move_breakdown": f"{MOVED} SELECT attempt_id, {milli('official')} AS official_us, {milli('moving')} AS moving_us, {milli('waiting')} AS waiting_us, {milli('unknown')} AS unknown_us, trust, abs(moving + waiting + unknown - official) <= 1 AS reconciles, trust <> 'unavailable' AS displayable, CAST(floor(waiting / official * 100 + 0.5) AS BIGINT) || '%' AS waiting_share FROM mv",
@@ -324,6 +325,15 @@ ORACLES: dict[str, str] = {
     "q_ghost_near": f"{GHOSTS} SELECT DISTINCT attempt_id, source, {milli('p')} AS progress_mm, {milli('current_ms')} AS current_us, {milli('reference_ms')} AS reference_us FROM gk WHERE abs(p - 150) <= 5",
     "q_ghost_reasons": f"""{GHOSTS}, gr AS (SELECT f.attempt_id, f.target_id, f.official, CASE WHEN f.reason IS NOT NULL THEN 'current_not_eligible' WHEN f.target_id IS NULL THEN 'missing_comparison_target' END AS why, o.official AS theirs FROM fa f LEFT JOIN el o ON o.attempt_id = f.target_id)
         SELECT g.attempt_id, target_id, why AS reason, {_cases("why", UNAVAILABLE_GHOST)} AS says, {milli("CASE WHEN why IS NULL THEN official - theirs END")} AS trigger_delta_us, {milli("p0.painted")} AS painted_us, {milli("CASE WHEN why IS NULL THEN p1.painted END")} AS reference_painted_us FROM gr g LEFT JOIN pf p0 ON p0.attempt_id = g.attempt_id LEFT JOIN pf p1 ON p1.attempt_id = g.target_id""",
+    "q_report": f"""{COMPARED}, {CROSSED}, {SEGMENT_TIMES}, gd AS (SELECT sd.attempt_id, duration = min(duration) OVER (PARTITION BY sd.route_id, seg) AS best, duration < coalesce(min(duration) OVER (PARTITION BY sd.route_id, seg ORDER BY finished, armed, sd.attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e18) AS better FROM sd JOIN el USING (attempt_id)),
+        rp AS (SELECT f.attempt_id, CAST(rt.rank AS INTEGER) AS rank, 3 AS segments, CAST((SELECT count(*) FROM gd WHERE gd.attempt_id = f.attempt_id AND best AND better) AS INTEGER) AS golds, CAST((SELECT count(*) FROM we WHERE we.attempt_id = f.attempt_id) AS INTEGER) AS waits, CAST((SELECT count(*) FROM wr WHERE wr.attempt_id = f.attempt_id) AS INTEGER) AS places, {_REASON_WAIT} AS waiting_reason,
+        CASE WHEN f.reason IS NOT NULL THEN 'current_not_eligible' WHEN f.target_id IS NULL THEN 'missing_comparison_target' END AS ghost_reason, CASE WHEN f.delta_pb < 0 THEN 'faster' WHEN f.delta_pb > 0 THEN 'slower' ELSE 'neutral' END AS tone FROM fa f LEFT JOIN rt USING (attempt_id) LEFT JOIN mv m0 ON m0.attempt_id = f.attempt_id LEFT JOIN mv m1 ON m1.attempt_id = f.target_id)
+        SELECT *, CASE waits WHEN 1 THEN '1 stop' ELSE waits || ' stops' END AS stops FROM rp""",
+    "q_session_changes": f"""WITH {SESSIONS}, k AS (SELECT *, CAST(id AS BIGINT) AS n FROM se) SELECT 'refused' AS kind, id, is_active, purpose, outcome AS capture_outcome, disposition AS review_disposition, stopped_at_ms FROM k
+        UNION ALL SELECT 'started', id, false, purpose, outcome, disposition, stopped_at_ms FROM k UNION ALL SELECT 'started', '0', true, 'attempt', 'active', 'pending', NULL
+        UNION ALL SELECT 'ended', id, is_active AND n % 14 <> 0, purpose, CASE n % 14 WHEN 0 THEN 'finished' ELSE outcome END, CASE n % 14 WHEN 0 THEN 'saved' ELSE disposition END, CASE n % 14 WHEN 0 THEN 5 ELSE stopped_at_ms END FROM k
+        UNION ALL SELECT 'decided', id, is_active, purpose, outcome, CASE n % 6 WHEN 1 THEN 'discarded' ELSE disposition END, stopped_at_ms FROM k
+        UNION ALL SELECT 'upgraded', id, false, CASE WHEN is_active THEN 'legacy' ELSE purpose END, CASE WHEN is_active THEN 'unknown' ELSE outcome END, CASE WHEN is_active THEN 'discarded' ELSE disposition END, CASE WHEN is_active THEN coalesce(stopped_at_ms, 7) ELSE stopped_at_ms END FROM k""",
     "q_route_geometry": f"""WITH RECURSIVE {SAMPLES}, gs AS (SELECT *, row_number() OVER (PARTITION BY attempt_id ORDER BY t, id) AS i FROM sam WHERE acc IS NULL OR acc <= 25), gm AS (SELECT *, CASE WHEN speed IS NOT NULL THEN speed >= 0.8 ELSE coalesce({hav("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")} >= 6, false) END AS mov FROM gs WINDOW w AS (PARTITION BY attempt_id ORDER BY i)),
         gb AS (SELECT attempt_id, min(i) AS a, max(i) + 2 AS b FROM (SELECT *, mov AND lead(mov, 1) OVER w AND lead(mov, 2) OVER w AS run FROM gm WINDOW w AS (PARTITION BY attempt_id ORDER BY i)) WHERE run GROUP BY attempt_id),
         gt AS (SELECT gm.*, i - a AS k FROM gm JOIN gb USING (attempt_id) WHERE i BETWEEN a AND b), gf AS (SELECT attempt_id, k, lat, lon, true AS kept, 0.0::DOUBLE AS far, 1 AS pts FROM gt WHERE k = 0 UNION ALL

@@ -32,15 +32,15 @@ def clean_fixes(fixes: DataFrame) -> DataFrame:
     return kept.withColumns({"accuracy": least_zero("accuracy"), "speed": least_zero("speed"), "heading": heading})
 
 
-def append_samples(samples: DataFrame, sessions: DataFrame, path: str) -> int:
+def append_samples(samples: DataFrame, sessions: DataFrame, path: str, arrival: str = "recorded_at_ms") -> int:
     """Store the samples of active sessions; a sample whose id is stored already replaces it.  Returns how many the store holds of this call's.
 
     The store is a folder for each call, numbered in order; read_samples() takes an id's last call.
-    Of samples with one id in one call, the last recorded stays.
+    Of samples with one id in one call, the last by ``arrival`` stays.
     """
     spark = samples.sparkSession
     active = sessions.filter("is_active").select(F.col("id").alias("session_id"))
-    last = Window.partitionBy("id").orderBy(F.desc("recorded_at_ms"), F.desc("session_id"))
+    last = Window.partitionBy("id").orderBy(F.desc(arrival), F.desc("session_id"))
     kept = samples.join(active, "session_id", "left_semi").withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
     call = 1 + _last_call(spark, path)
     kept.select(*SAMPLE_COLUMNS).write.parquet(f"{path}/call={call:09d}")

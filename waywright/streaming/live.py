@@ -64,7 +64,7 @@ def live_attempts(
         last = mine.groupBy("attempt_id", "id").agg(F.max_by(F.struct(*[c for c in mine.columns if c not in ("attempt_id", "id", "batch", "n", "bucket")]), "batch").alias("x"))
         samples = last.select("attempt_id", "id", "x.*")
         matched = staged(matching.match_samples(samples, courses), "live-matched")
-        runs = timing.replay(matched, courses)
+        runs = staged(timing.replay(matched, courses), "live-runs")
         zones = timing.start_zone_status(runs, matched, courses, runs).withColumnRenamed("status", "start_zone")
         state = runs.join(zones, "attempt_id").withColumn("start_zone", F.when(F.col("lifecycle") == "armed", F.col("start_zone")).otherwise("locating"))
         state.withColumns({"batch": F.lit(number).cast("long"), "bucket": _bucket()}).write.mode("overwrite").partitionBy("bucket").parquet(f"{states}/n={number:09d}")
