@@ -312,9 +312,8 @@ def q_ghost_reasons(spark, d):
 
 
 def q_ghost_order(spark, d):
-    """The knots of all comparisons in their order, with places; its rows are q_ghost_delta's before they are rounded."""
     a = analysis(spark, d)
-    return ghost.ordered(a.ghosts, a.courses, a.ranked)
+    return ghost.ordered(a.ghosts, a.courses, a.ranked).select("attempt_id", "place", "source", milli(F.col("progress_m")).alias("progress_mm"), milli(F.col("current_ms")).alias("current_us"), e7("latitude").alias("lat_e7"))
 
 
 def q_route_geometry(spark, d):
@@ -335,9 +334,15 @@ def q_layouts(spark, d):
 
 
 def q_course_geojson(spark, d):
+    """The features of each course's GeoJSON, read back: number (0 for waits), kind, type, how many points, the first one's latitude."""
     a = analysis(spark, d)
-    waits = a.waits.join(a.focus.select("attempt_id", "is_pb"), "attempt_id").filter("is_pb").select("route_id", "wait_id", "latitude", "longitude")
-    return traces.course_geojson(a.courses, waits)
+    waits = a.waits.join(a.ranked.filter("is_pb").select("attempt_id"), "attempt_id").select("route_id", "wait_id", "latitude", "longitude")
+    schema = "struct<features:array<struct<properties:struct<kind:string>,geometry:struct<type:string,coordinates:string>>>>"
+    rows = traces.course_geojson(a.courses, waits).select("route_id", F.posexplode(F.from_json("geojson", schema)["features"]).alias("n", "f")).select("route_id", "n", "f.properties.kind", "f.geometry.type", "f.geometry.coordinates")
+    read = lambda kind: F.from_json("coordinates", kind)
+    line = F.when(F.col("type") == "Point", F.array(read("array<double>"))).when(F.col("type") == "LineString", read("array<array<double>>")).otherwise(read("array<array<array<double>>>")[0])
+    rows = rows.withColumn("line", line)
+    return rows.select("route_id", F.when(F.col("kind") == "wait", 0).otherwise(F.col("n") + 1).alias("n"), "kind", "type", F.size("line").alias("points"), e7(F.col("line")[0][1]).alias("lat_e7"))
 
 
 def q_format(spark, d):

@@ -323,6 +323,11 @@ ORACLES: dict[str, str] = {
     "q_painted_finish": f"{GHOSTS} SELECT attempt_id, {milli('painted')} AS painted_us FROM pf",
     "q_ghost_delta": f"{GHOSTS} SELECT DISTINCT attempt_id, source, {milli('p')} AS progress_mm, {milli('current_ms')} AS current_us, {milli('reference_ms')} AS reference_us, {milli('CASE WHEN good THEN current_ms - reference_ms END')} AS delta_us, good AND current_ms IS NOT NULL AND reference_ms IS NOT NULL AS good FROM gk",
     "q_ghost_near": f"{GHOSTS} SELECT DISTINCT attempt_id, source, {milli('p')} AS progress_mm, {milli('current_ms')} AS current_us, {milli('reference_ms')} AS reference_us FROM gk WHERE abs(p - 150) <= 5",
+    "q_ghost_order": f"""{GHOSTS}, go AS (SELECT attempt_id, source, min(p) AS p, current_ms, reference_ms, ok FROM (SELECT *, good AND current_ms IS NOT NULL AND reference_ms IS NOT NULL AS ok FROM gk) GROUP BY attempt_id, source, round(p, 3), current_ms, reference_ms, ok)
+        SELECT attempt_id, CAST(row_number() OVER (PARTITION BY attempt_id ORDER BY coalesce(current_ms, 9007199254740991), p, coalesce(reference_ms, 9007199254740991), source) AS INTEGER) AS place, source, {milli("p")} AS progress_mm, {milli("current_ms")} AS current_us, CAST(floor({place_at("p")} * 1e7::DOUBLE + 0.5) AS BIGINT) AS lat_e7 FROM go""",
+    "q_course_geojson": f"""{WAITED}, {RANKED}, ge AS (SELECT route_id, n, kind, type, points, lat FROM co, (VALUES (1, 'path', 'LineString', 16, 0), (2, 'start-zone', 'Polygon', 33, 0), (3, 'start', 'Point', 1, 0), (4, 'finish-zone', 'Polygon', 33, 15), (5, 'finish', 'Point', 1, 15)) v(n, kind, type, points, i) JOIN pt ON pt.i = v.i
+          UNION ALL SELECT route_id, 5 + k, 'checkpoint', 'Point', 1, {place_at("100.0::DOUBLE * k")} FROM co, range(1, 3) x(k) UNION ALL SELECT we.route_id, 0, 'wait', 'Point', 1, {place_at("we.p")} FROM we JOIN rt USING (attempt_id) WHERE rt.is_pb AND we.p IS NOT NULL)
+        SELECT route_id, CAST(n AS INTEGER) AS n, kind, type, points, CAST(floor(lat * 1e7::DOUBLE + 0.5) AS BIGINT) AS lat_e7 FROM ge""",
     "q_ghost_reasons": f"""{GHOSTS}, gr AS (SELECT f.attempt_id, f.target_id, f.official, CASE WHEN f.reason IS NOT NULL THEN 'current_not_eligible' WHEN f.target_id IS NULL THEN 'missing_comparison_target' END AS why, o.official AS theirs FROM fa f LEFT JOIN el o ON o.attempt_id = f.target_id)
         SELECT g.attempt_id, target_id, why AS reason, {_cases("why", UNAVAILABLE_GHOST)} AS says, {milli("CASE WHEN why IS NULL THEN official - theirs END")} AS trigger_delta_us, {milli("p0.painted")} AS painted_us, {milli("CASE WHEN why IS NULL THEN p1.painted END")} AS reference_painted_us FROM gr g LEFT JOIN pf p0 ON p0.attempt_id = g.attempt_id LEFT JOIN pf p1 ON p1.attempt_id = g.target_id""",
     "q_report": f"""{COMPARED}, {CROSSED}, {SEGMENT_TIMES}, gd AS (SELECT sd.attempt_id, duration = min(duration) OVER (PARTITION BY sd.route_id, seg) AS best, duration < coalesce(min(duration) OVER (PARTITION BY sd.route_id, seg ORDER BY finished, armed, sd.attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e18) AS better FROM sd JOIN el USING (attempt_id)),
