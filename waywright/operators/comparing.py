@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import haversine, plain
+from ..sources.staging import staged
 from .matching import points_at
 
 
@@ -63,7 +64,7 @@ def wait_clusters(waits: DataFrame, focus: DataFrame, courses: DataFrame) -> Dat
         first = pdf.iloc[0]
         return pd.DataFrame([(first.attempt_id, first.target_id, first.route_id, *r) for r in rows], columns=[c.split()[0] for c in schema.split(", ")])
 
-    c = members.groupBy("attempt_id", "stretch").applyInPandas(group, schema).withColumn("delta_ms", F.col("current_ms") - F.col("reference_ms"))
+    c = staged(members.groupBy("attempt_id", "stretch").applyInPandas(group, schema), "wait-places").withColumn("delta_ms", F.col("current_ms") - F.col("reference_ms"))
     c = c.withColumn("match_state", F.when((F.col("current_ms") > 0) & (F.col("reference_ms") > 0), "matched").when(F.col("current_ms") > 0, "current-only").otherwise("reference-only"))
     big = F.abs("delta_ms") >= K.SHOWN_MS
     order = Window.partitionBy("attempt_id", big).orderBy(F.desc(F.abs("delta_ms")), "progress_m", "location_id")

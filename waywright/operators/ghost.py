@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..sources.staging import staged
 from .matching import points_at
 from .timing import course_numbers, crossing_time
 
@@ -153,7 +154,7 @@ def ordered(compared: DataFrame, courses: DataFrame, ranked: DataFrame) -> DataF
     """compare()'s knots with place (from 1: by current time, unknown last, progress, reference time, source) and where on the course they lie."""
     far = F.lit(float(2**53 - 1))
     order = Window.partitionBy("attempt_id").orderBy(F.coalesce("current_ms", far), "progress_m", F.coalesce("reference_ms", far), "source")
-    rows = compared.withColumn("place", F.row_number().over(order)).join(ranked.select("attempt_id", "route_id"), "attempt_id")
+    rows = staged(compared.withColumn("place", F.row_number().over(order)).join(ranked.select("attempt_id", "route_id"), "attempt_id"), "ghost-order")
     at = points_at(rows.select("route_id", F.struct("attempt_id", "place").alias("id"), "progress_m"), courses).select("id.attempt_id", "id.place", "latitude", "longitude")
     return rows.join(at, ["attempt_id", "place"], "left").drop("route_id")
 

@@ -238,9 +238,11 @@ class _Follower(_Geometry):
                 self.last = float(p[w])
 
 
-def match_samples(samples: DataFrame, courses: DataFrame) -> DataFrame:
+def match_samples(samples: DataFrame, courses: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
     """Each attempt's samples, in order of time and id, matched to its course one after another.
 
+    ``attempts`` names the (attempt_id, route_id) of the samples, if a table of them is at hand.
+
     Where a sample may lie depends on the last one accepted, so a trace is gone through in
     order, by numpy; it streams through its task in slices, after a row that holds its course,
     and only the last accepted progress is remembered.  Returns attempt_id, route_id, seq
@@ -249,7 +251,7 @@ def match_samples(samples: DataFrame, courses: DataFrame) -> DataFrame:
     """
     nothing = lambda t: F.lit(None).cast(t)
     path = courses.select("route_id", F.transform("path", lambda p: p["latitude"]).alias("lats"), F.transform("path", lambda p: p["longitude"]).alias("lons"), "start_p")
-    heads = samples.select("attempt_id", "route_id").distinct().join(path, "route_id")
+    heads = (samples if attempts is None else attempts).select("attempt_id", "route_id").distinct().join(path, "route_id")
     names = ["attempt_id", "route_id", "side", "t", "id", "latitude", "longitude", "accuracy", "speed", "lats", "lons", "start_p"]
     heads = heads.withColumns({"side": F.lit(0), "t": nothing("long"), "id": nothing("string"), **{c: nothing("double") for c in ("latitude", "longitude", "accuracy", "speed")}}).select(names)
     rows = samples.withColumns({"side": F.lit(1), "t": F.col("recorded_at_ms"), "lats": nothing("array<double>"), "lons": nothing("array<double>"), "start_p": nothing("double")}).select(names)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import haversine, plain
+from ..sources.staging import staged
 from .matching import points_at
 from .streams import in_order
 
@@ -134,6 +135,7 @@ def wait_events(labelled: DataFrame, runs: DataFrame, courses: DataFrame) -> Dat
     start = F.greatest(F.lit(0.0), F.col("s") - F.col("started_at"))
     rows = rows.select("attempt_id", "route_id", start.alias("start_ms"), F.greatest(start, F.col("e") - F.col("started_at")).alias("end_ms"), F.col("d").alias("duration_ms"), "progress_m")
     rows = rows.withColumn("wait_id", F.concat_ws(":", F.lit("wait"), plain(F.col("start_ms")), plain(F.col("end_ms"))))
+    rows = staged(rows, "wait-folds")  # read for places and for the join
     marks = rows.filter("progress_m is not null").select("route_id", F.struct("attempt_id", "wait_id").alias("id"), "progress_m")
     at = points_at(marks, courses).select("id.attempt_id", "id.wait_id", "latitude", "longitude")
     return rows.join(at, ["attempt_id", "wait_id"], "left").withColumn("located", F.col("latitude").isNotNull())

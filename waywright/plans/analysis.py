@@ -26,7 +26,7 @@ class Analysis:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return staged(matching.match_samples(self.samples, self.courses), "matched")
+        return staged(matching.match_samples(self.samples, self.courses, self.attempts), "matched")
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -58,7 +58,7 @@ class Analysis:
 
     @cached_property
     def intervals(self) -> DataFrame:
-        return staged(movement.intervals(matching.match_samples(matching.usable_samples(self.samples), self.courses), self.ranked), "intervals")
+        return staged(movement.intervals(matching.match_samples(matching.usable_samples(self.samples), self.courses, self.attempts), self.ranked), "intervals")
 
     @cached_property
     def breakdown(self) -> DataFrame:

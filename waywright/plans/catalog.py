@@ -11,6 +11,7 @@ from ..functions import labels, text
 from ..functions.geo import milli
 from ..operators import comparing, ghost, matching, movement, ranking, routes, sessions, timing
 from ..sources import traces
+from ..sources.staging import staged
 from . import oracles
 from .analysis import Analysis
 
@@ -21,8 +22,8 @@ def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
     """The analysis of a folder's tables; its staged tables are shared by the queries of one application, until the events change."""
     key = (spark.sparkContext.applicationId, sf_dir, _state(spark, f"{sf_dir}/events.parquet"))
     if key not in _kept:
-        samples = traces.synthetic_samples(spark, sf_dir)
-        _kept[key] = Analysis(samples, traces.synthetic_courses(spark, sf_dir), traces.synthetic_attempts(samples))
+        samples = staged(traces.synthetic_samples(spark, sf_dir), "samples")
+        _kept[key] = Analysis(samples, traces.synthetic_courses(spark, sf_dir), staged(traces.synthetic_attempts(samples), "attempts"))
     return _kept[key]
 
 
