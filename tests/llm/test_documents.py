@@ -92,6 +92,22 @@ def test_token_files_take_added_tokens_as_the_library_does(spark, changed):
         start += len(ids)
 
 
+def test_token_files_spread_an_id_of_many_rows(spark):
+    """Two thirds of the rows have one id, half of these one text; ranges cut them, and the files still go by id."""
+    with open(P.path("byte_bpe_50k.json")) as f:
+        spec = f.read()
+    rows = [(7, "same words" if i % 2 else f"words {i}") for i in range(4000)] + [(i, f"other {i}") for i in range(2000)]
+    folder = Scratch(spark, "t").path("hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would go to one task
+    try:
+        parts = tokenfiles.write_token_files(docs(spark, rows).repartition(8), folder, spec, P.PATTERN, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = tokenfiles.read_token_files(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r[0] for r in rows) and max(p["n_docs"] for p in parts) < 0.6 * len(rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def test_token_files_hard_cases(spark):
     with open(P.path("byte_bpe_50k.json")) as f:
         spec = f.read()
@@ -244,7 +260,7 @@ def test_secrets_battery_tests_lower_case_keys(spark):
     words = ["".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(3000)]
     long = ["".join(r.choice(parts) for _ in range(16)) for _ in range(3000)]
     planted = {i: "".join(r.choices(string.ascii_lowercase, k=40)) for i in range(0, 1500, 10)}
-    planted |= {i: t.capitalize() for i, t in planted.items() if i % 20 == 0} | {i: "".join(r.choices(string.ascii_letters + string.digits, k=40)) for i in range(5, 1500, 100)}
+    planted |= {i: t.capitalize() for i, t in planted.items() if i % 20 == 0} | {i: "".join(r.choices(string.ascii_letters + string.digits, k=40)) for i in range(5, 1500, 10)}
     rows = [(i, " ".join([*r.choices(words, k=80), planted.get(i, ""), *r.choices(long, k=2), *r.choices(words, k=60)])) for i in range(1500)]
     d = docs(spark, rows)
     limits = secrets.calibrate(d)

@@ -65,7 +65,8 @@ def _encoder(tokenizer_json: str, pattern: str, width: str) -> TextEncoder:
 def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, pattern: str, end_id: int | None = None) -> list[dict]:
     """Encode every whole text and write ids in ascending ``doc_id`` order; returns the manifest.
 
-    Rows are range-partitioned and sorted by ``doc_id`` (nulls first, equal ids by text).
+    Rows are range-partitioned and sorted by ``doc_id`` (nulls first, equal ids by a hash of their
+    text), so that an id of many rows spreads over tasks.
     Each task writes ``<name>.ids`` (flat unsigned integers, 16 bits wide if the vocabulary
     allows, else 32), ``<name>.off`` (64-bit offsets, one more than documents) and
     ``<name>.doc`` (64-bit document ids; a mask byte each for null ids in ``<name>.nul``).
@@ -111,7 +112,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_json: str, pattern
             yield pa.RecordBatch.from_pydict(dict(zip(names, ([task.partitionId()], [name], [width], [n_docs], [n_tokens]), strict=True)))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges may cut between rows of one id, and between rows that are alike in all.
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     parts = sorted((r.asDict() for r in rows.mapInArrow(run, schema).collect()), key=lambda r: r["part"])
     base = 0
     for p in parts:
