@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chroma, kdshard, mixing, neardup, secrets, tokenfiles, topk, toxicity
+from . import bpe, chat, chroma, collocation, kdshard, kmeans, langid, mixing, neardup, secrets, tokenfiles, topk, toxicity
 from .scratch import Scratch
 
 
@@ -91,6 +91,20 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_windows")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_superminhash": op2_superminhash,
@@ -102,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chroma": op8_chroma,
     "op9_toxicity": op9_toxicity,
     "op10_kd_shards": op10_kd_shards,
+    "op11_langid": op11_langid,
+    "op12_centroids": op12_centroids,
+    "op13_collocations": op13_collocations,
 }
 
 OP3_SQL = """
@@ -146,4 +163,47 @@ WITH rows_ AS (
 SELECT doc_id, domain, lang, source, tokens AS n_tokens, CAST(whole + CASE WHEN before < more THEN 1 ELSE 0 END AS BIGINT) AS mix_epochs FROM c WHERE whole > 0 OR before < more
 """
 
-ORACLES: dict[str, str] = {"op3_voronoi_topk": OP3_SQL, "op5_mixing": OP5_SQL}
+
+
+def _kmeans_sql(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Each round as two views: vectors with their nearest centroid, and the centroids' means rounded down."""
+    parts = [f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS cluster, v FROM kept QUALIFY cluster < {k})"""]
+    nearest = """SELECT i, vec_id, kept.v, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (
+    SELECT i, vec_id, kept.v, cluster, CAST(list_sum(list_transform(list_zip(kept.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM kept CROSS JOIN {c} c) kept GROUP BY ALL"""
+    for j in range(rounds):
+        parts.append(f""", a{j} AS MATERIALIZED ({nearest.format(c=f"c{j}")}),
+  u{j} AS (SELECT cluster, p, CAST(sum(v[p]) AS HUGEINT) AS s, count(*) AS n FROM a{j}, range(1, {dim + 1}) r(p) GROUP BY ALL),
+  m{j} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS v FROM u{j} GROUP BY cluster),
+  c{j + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{j} c LEFT JOIN m{j} m USING (cluster))""")
+    parts.append(f""", final AS (SELECT vec_id, cluster, distance FROM ({nearest.format(c=f"c{rounds}")}))
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM final JOIN c{rounds} c USING (cluster)
+""")
+    return "".join(parts)
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), words AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+  grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM words, range(1, 4) s(size) WHERE len(w) >= size
+), f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL),
+  n AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+  c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+  cuts AS (SELECT c.lang, c.phrase, c.size, c.a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest FROM c, range(1, 3) t(k) WHERE k < c.size),
+  s AS (SELECT cuts.*, l.a AS l, r.a AS r, CAST(CAST(1000000 AS HUGEINT) * cuts.a * cuts.a // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = cuts.first AND l.size = k JOIN f r ON r.lang = cuts.lang AND r.phrase = cuts.rest AND r.size = cuts.size - k),
+  lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+  held AS (SELECT lang, part AS phrase, max(a) AS held FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE size = 3) GROUP BY ALL),
+  kept AS (SELECT lowest.* FROM lowest LEFT JOIN held ON held.lang = lowest.lang AND held.phrase = lowest.phrase AND lowest.size = 2 WHERE held IS NULL OR 100 * held < 50 * a),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op3_voronoi_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op12_centroids": _kmeans_sql(), "op13_collocations": OP13_SQL}
