@@ -85,13 +85,7 @@ def projection_near(points: DataFrame, courses: DataFrame) -> DataFrame:
     """
 
     def near(g: _Geometry, x: dict[str, np.ndarray]) -> list[np.ndarray]:
-        progress, snap, _, _ = g.project(x["latitude"], x["longitude"])
-        centre = x["centre"][:, None]
-        inside = (g.s1[None] >= centre - x["behind"][:, None]) & (g.s0[None] <= centre + x["ahead"][:, None])
-        cost = np.where(inside, snap + K.PROGRESS_COST * np.abs(progress - centre) + K.BACKWARD_COST_M * (progress < centre), np.inf)
-        best = np.where(cost == cost.min(axis=1, keepdims=True), progress, -np.inf).argmax(axis=1)
-        at = np.arange(len(snap)), best
-        return [np.where(inside[at], v[at], np.nan) for v in (progress, snap)]
+        return list(g.near(*(x[c] for c in ("latitude", "longitude", "centre", "ahead", "behind"))))
 
     return _on_course(points, courses, ["latitude", "longitude", "centre", "ahead", "behind"], near, "progress_m double, snap_m double")
 
@@ -187,6 +181,15 @@ class _Geometry:
         lat, lon = a_lat + ey * share / K.METERS_PER_DEGREE, a_lon + ex * share / east
         return self.s0[lo:hi] + share * self.length[lo:hi], _meters(lat, lon, y[:, None], x[:, None]), lat, lon
 
+    def near(self, y: np.ndarray, x: np.ndarray, centre: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Progress and distance on the best segment between ``behind`` and ``ahead`` of a centre; not a number where there is none."""
+        progress, snap, _, _ = self.project(y, x)
+        inside = (self.s1[None] >= (centre - behind)[:, None]) & (self.s0[None] <= (centre + ahead)[:, None])
+        cost = np.where(inside, snap + K.PROGRESS_COST * np.abs(progress - centre[:, None]) + K.BACKWARD_COST_M * (progress < centre[:, None]), np.inf)
+        best = np.where(cost == cost.min(axis=1, keepdims=True), progress, -np.inf).argmax(axis=1)
+        at = np.arange(len(snap)), best
+        return tuple(np.where(inside[at], v[at], np.nan) for v in (progress, snap))
+
     def point(self, on: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Latitude and longitude at shares of segments."""
         a_lat, a_lon, b_lat, b_lon = (e[on] for e in self.ends)
