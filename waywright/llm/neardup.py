@@ -117,8 +117,8 @@ def identity_of(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
 
 
 def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS, tag: Column | None = None, identity_bits: int = 64) -> DataFrame:
-    """doc_id, tag, n_shingles, vertex and proof (identity of the shingle set; null for an empty one), keys (one a band), sig (16 bits a slot)."""
-    schema = "doc_id long, tag long, n_shingles long, vertex long, proof long, keys array<long>, sig binary"
+    """doc_id, tag, said (a hash of the text), n_shingles, vertex and proof (identity of the shingle set; null for an empty one), keys (one a band), sig (16 bits a slot)."""
+    schema = "doc_id long, tag long, said long, n_shingles long, vertex long, proof long, keys array<long>, sig binary"
     slots = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,7 @@ def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS, ta
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 with without_collector():
-                    sets = [shingle_set(t, width) for t in part.column(2).to_pylist()]
+                    sets = [shingle_set(t, width) for t in part.column(3).to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = superminhash([sets[i] for i in full], slots)
                 keys, low = band_keys(sig, bands, rows), (_mix(sig) & np.uint64(0xFFFF)).astype("<u2")
@@ -138,12 +138,13 @@ def sketch(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS, ta
                     own_keys[i], own_sig[i] = keys[n], low[n].tobytes()
                     vertex[i], proof[i] = identity_of(sets[i], identity_bits)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(vertex, pa.int64()), pa.array(proof, pa.int64()), pa.array(own_keys, pa.list_(pa.int64())), pa.array(own_sig, pa.binary())],
-                    names=["doc_id", "tag", "n_shingles", "vertex", "proof", "keys", "sig"],
+                    [part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(vertex, pa.int64()), pa.array(proof, pa.int64()), pa.array(own_keys, pa.list_(pa.int64())), pa.array(own_sig, pa.binary())],
+                    names=["doc_id", "tag", "said", "n_shingles", "vertex", "proof", "keys", "sig"],
                 )
 
     tag = F.lit(None) if tag is None else tag
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag.cast("long").alias("tag"), F.xxhash64(text).alias("said"), text.alias("text")).mapInArrow(run, schema)
 
 
 def _told_apart(own: DataFrame, scratch: Scratch) -> DataFrame:
@@ -158,12 +159,17 @@ def _told_apart(own: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """vertex, members (the full shingle set) of each row whose text has this set (an id may stand for several texts)."""
+    """vertex, members (the full shingle set) of each row whose text has this set; of rows of one vertex in a row, the first alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
+                vertex = part.column(0).to_pylist()
+                new = [v != w for v, w in zip(vertex, [before, *vertex], strict=False)]
+                before = vertex[-1]
+                part = part.filter(pa.array(new, pa.bool_()))
                 with without_collector():
                     sets = [shingle_set(t, width).view(np.int64) for t in part.column(2).to_pylist()]
                 own = [p == identity_of(s)[1] for p, s in zip(part.column(1).to_pylist(), sets, strict=True)]
@@ -294,11 +300,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
     # Full sets of the vertices that share a bucket, from one text each.
     active = members.select("vertex").distinct()
-    first = linked.groupBy("vertex").agg(F.min("doc_id").alias("doc_id"), F.min("proof").alias("proof"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
-    one = scratch.cut(first.join(active, "vertex"), "active")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # A merge join at every size: what it moves then grows in proportion.
-    sets = scratch.cut(_full_sets(texts.join(one.select("doc_id", "vertex", "proof").hint("merge"), "doc_id"), width), "sets")
+    first = linked.groupBy("vertex").agg(F.min(F.struct("doc_id", "said")).alias("x"), F.min("proof").alias("proof"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    one = scratch.cut(first.join(active, "vertex").select("vertex", "x.*", "proof", "n_shingles", "sig"), "active")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("said", F.xxhash64("text"))
+    # By id and text, so that rows of one id meet their own set alone; a merge join at every size, which brings rows that repeat one after another.
+    sets = scratch.cut(_full_sets(texts.join(one.select("doc_id", "said", "vertex", "proof").hint("merge"), ["doc_id", "said"]), width), "sets")
 
     # Each vertex against its smallest hub.
     to_hub = members.groupBy(F.col("vertex").alias("a")).agg(F.min("hub").alias("b")).filter("a != b")
