@@ -54,14 +54,14 @@ def features(word: str) -> list[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
-    """About ``rows`` labelled rows, chosen by a hash of their ids; all, if there are no more."""
+    """About ``rows`` labelled documents, chosen by a hash of id and text; all, if there are no more.  Rows that repeat both count once."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, rows / max(1, known.count()))
-    chosen = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) < int(share * (1 << 30))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.filter(~held_out(F.col("doc_id")) & chosen)
-    return scratch.cut(texts.join(known.filter(chosen), "doc_id"), "sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(~held_out(F.col("doc_id"))).withColumn("said", F.xxhash64("text"))
+    there = texts.select("doc_id", "said").join(known, "doc_id", "left_semi").groupBy("doc_id", "said").agg(F.lit(1).alias("one"))
+    share = min(1.0, rows / max(1, there.count()))
+    chosen = F.pmod(F.xxhash64("doc_id", "said"), F.lit(1 << 30)) < int(share * (1 << 30))
+    return scratch.cut(texts.filter(chosen).join(known, "doc_id").groupBy("doc_id", "said").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), "sample")
 
 
 def _counted(sample: DataFrame) -> DataFrame:
@@ -154,8 +154,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     scores 0; with labels of one kind only, it scores their share.
 
     A null text counts as empty.  An id labelled more than once is toxic if any of its labels
-    says so; labels and ids that are null teach nothing.  Documents that repeat an id are all
-    read.  Other columns of either table, whatever their names, are ignored.
+    says so; labels and ids that are null teach nothing.  Rows that repeat an id and its text
+    teach once, and the bound holds however many rows an id has.  Other columns of either
+    table, whatever their names, are ignored.
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = _sample(docs, labels, rows, scratch)
