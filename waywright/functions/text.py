@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from . import constants as K
 from . import labels
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with up to six digits after the point, as its exact binary value rounds; of two that are as near, the one farther from zero.
+
+    What lies behind the point is taken apart into two whole numbers of 40 bits, so nothing is
+    lost from 2^-80 on; smaller parts are nowhere near a half of any digit asked for.
+    """
+    size, ten, half = F.abs(x.cast("double")), 10**digits, 1 << 39
+    whole = F.floor(size)
+    high = F.floor((size - whole) * F.lit(2.0**40))
+    low = F.floor(((size - whole) * F.lit(2.0**40) - high) * F.lit(2.0**40))
+    scaled = high * ten + F.shiftright(low * ten, 40)
+    digit = F.shiftright(scaled, 40) + (scaled.bitwiseAND(F.lit((1 << 40) - 1)) >= half).cast("long")
+    shown = (whole + (digit == ten).cast("long")).cast("string")
+    if digits:
+        shown = F.concat(shown, F.lit("."), F.lpad((digit % ten).cast("string"), digits, "0"))
+    return F.when(F.isnan(x.cast("double")) | (size >= F.lit(2.0**62)), x.cast("string")).otherwise(F.concat(F.when(x < 0, "-").otherwise(""), shown))
+
+
 def elapsed(ms: Column) -> Column:
     """m:ss, or h:mm:ss from an hour on; negatives count as zero."""
     s = F.greatest(F.lit(0), F.floor(ms / 1000)).cast("long")
@@ -33,7 +51,7 @@ def percent(share: Column) -> Column:
 
 def distance(meters: Column) -> Column:
     """Whole metres, or kilometres with one decimal from 1000 m on."""
-    return F.when(meters >= 1000, F.concat(F.format_string("%.1f", meters / 1000), F.lit(" km"))).otherwise(F.concat(F.floor(meters + 0.5).cast("long").cast("string"), F.lit(" m")))
+    return F.when(meters >= 1000, F.concat(fixed(meters / 1000, 1), F.lit(" km"))).otherwise(F.concat(F.floor(meters + 0.5).cast("long").cast("string"), F.lit(" m")))
 
 
 def wait_duration(ms: Column) -> Column:
@@ -94,8 +112,17 @@ def fix_health(age_ms: Column, stale_ms: int = K.STALE_MS) -> Column:
 
 
 def radius_input(text: Column) -> Column:
-    """The number in a zone radius as typed, a comma allowed for the point; null for anything else."""
-    return F.trim(F.regexp_replace(text, "^([^,]*),", "$1.")).try_cast("double")
+    """The number in a zone radius as typed, a comma allowed for the point; null for anything else.
+
+    Decimal numbers with or without an exponent, whole numbers in base 16, 8 or 2 after their
+    prefix, and Infinity; letters or signs around these make it no number.
+    """
+    typed = F.regexp_replace(F.regexp_replace(text, "(?U)^[\\s\uFEFF]+|[\\s\uFEFF]+$", ""), "^([^,]*),", "$1.")
+    based = [(16, "^0[xX][0-9a-fA-F]{1,12}$"), (8, "^0[oO][0-7]{1,16}$"), (2, "^0[bB][01]{1,48}$")]
+    out = F.when(typed.rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?Infinity$"), typed.try_cast("double"))
+    for base, pattern in based:
+        out = out.when(typed.rlike(pattern), F.conv(F.substring(typed, F.lit(3), F.length(typed)), base, 10).try_cast("double"))
+    return out
 
 
 def unranked_warning(lifecycle: Column, validity: Column, analysed: Column) -> Column:

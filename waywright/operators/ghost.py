@@ -16,8 +16,8 @@ from ..sources.staging import staged
 from .matching import points_at
 from .timing import course_numbers, crossing_time
 
-#: Widths of the buckets of progress and of time in which what may meet is joined.
-BUCKET_M, BUCKET_MS = 50.0, 30_000.0
+#: Width of the buckets of progress in which what may meet is joined.
+BUCKET_M = 50.0
 
 
 def knots(matched: DataFrame, ranked: DataFrame, courses: DataFrame) -> DataFrame:
@@ -43,14 +43,27 @@ def legs(knots_of: DataFrame, labelled: DataFrame) -> DataFrame:
     order = Window.partitionBy("attempt_id").orderBy("n")
     nxt = {f"{c}1": F.lead(c).over(order) for c in ("elapsed_ms", "progress_m", "at_ms")}
     rows = knots_of.withColumns(nxt).filter("at_ms1 is not null").select("attempt_id", "n", F.col("elapsed_ms").alias("e0"), F.col("elapsed_ms1").alias("e1"), F.col("progress_m").alias("p0"), F.col("progress_m1").alias("p1"), F.col("at_ms").alias("t0"), F.col("at_ms1").alias("t1"))
-    # Legs meet intervals in buckets of time; a pair may meet in several, which the aggregate below doesn't mind.
-    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET_MS), F.floor(F.greatest(a, b) / BUCKET_MS))).alias("bucket")
-    i = labelled.select("attempt_id", "label", "start_ms", "end_ms", bucket("start_ms", "end_ms"))
-    over = rows.select("attempt_id", "n", "t0", "t1", bucket("t0", "t1")).join(i, ["attempt_id", "bucket"]).filter((F.col("end_ms") > F.col("t0")) & (F.col("start_ms") < F.col("t1")))
-    seen = over.groupBy("attempt_id", "n").agg(F.min(F.col("label") != "unknown").alias("clear"), F.min(F.col("label") == "waiting").alias("waits"))
+    # Intervals that overlap a leg: those that begin before its end, less those that end by its start.  Both are counts
+    # so far in one order of all times, where ends come before the starts of legs, and the ends of legs before starts.
+    kinds = {"any": F.lit(1), "unknown": (F.col("label") == "unknown").cast("int"), "other": (F.col("label") != "waiting").cast("int")}
+    zero = [F.lit(0).alias(k) for k in kinds]
+    found = labelled.select("attempt_id", "start_ms", "end_ms", *[c.alias(k) for k, c in kinds.items()])
+    marks = [
+        found.select("attempt_id", F.col("end_ms").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("int").alias("n"), *kinds),
+        rows.select("attempt_id", F.col("t0").alias("at"), F.lit(1).alias("turn"), "n", *zero),
+        rows.select("attempt_id", F.col("t1").alias("at"), F.lit(2).alias("turn"), "n", *zero),
+        found.select("attempt_id", F.col("start_ms").alias("at"), F.lit(3).alias("turn"), F.lit(None).cast("int").alias("n"), *kinds),
+    ]
+    line = marks[0].unionByName(marks[1]).unionByName(marks[2]).unionByName(marks[3])
+    so_far = Window.partitionBy("attempt_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = lambda k, turn: F.sum(F.when(F.col("turn") == turn, F.col(k)).otherwise(0)).over(so_far)
+    line = line.select("attempt_id", "turn", "n", *[F.when(F.col("turn") == 1, -past(k, 0)).otherwise(past(k, 3)).alias(k) for k in kinds])
+    over = line.filter("n is not null").groupBy("attempt_id", "n").agg(*[F.sum(k).alias(k) for k in kinds])
+    seen = over.select("attempt_id", "n", (F.col("any") > 0).alias("met"), (F.col("unknown") == 0).alias("clear"), (F.col("other") == 0).alias("waits"))
     moment = F.col("t1") <= F.col("t0")
-    rows = rows.join(seen, ["attempt_id", "n"], "left")
-    return rows.withColumns({"good": moment | F.coalesce("clear", F.lit(False)), "stall": ~moment & F.coalesce(F.col("clear") & F.col("waits"), F.lit(False))}).drop("clear", "waits")
+    rows = rows.join(seen, ["attempt_id", "n"])
+    clear = F.col("met") & F.col("clear")
+    return rows.withColumns({"good": moment | clear, "stall": ~moment & clear & F.col("waits")}).drop("met", "clear", "waits")
 
 
 def stalls(legs_of: DataFrame) -> DataFrame:
@@ -121,6 +134,22 @@ def paired(asked: DataFrame, pieces: DataFrame) -> DataFrame:
     return asked.join(found.select(*keys, "got"), keys, "left").withColumns({"other_ms": F.col("got.at"), "good": F.coalesce("got.good", F.lit(False))}).drop("got")
 
 
+def _in_stalls(inner: DataFrame, runs: DataFrame) -> DataFrame:
+    """Knots with in_stall: whether their time and progress lie in a stall.
+
+    Stalls take time and follow one another, so a knot's time lies in the last that has begun
+    by then, or at the end of the one before it.
+    """
+    order = Window.partitionBy("attempt_id").orderBy("at", "turn")
+    own = F.struct(F.col("e1").alias("e1"), "lo", "hi")
+    begun = runs.select("attempt_id", F.col("e0").alias("at"), F.lit(0).alias("turn"), F.struct(own.alias("now"), F.lag(own).over(Window.partitionBy("attempt_id").orderBy("e0")).alias("before")).alias("stall"))
+    asked = inner.select("attempt_id", F.col("elapsed_ms").alias("at"), F.lit(1).alias("turn"), "n", "progress_m", "elapsed_ms")
+    line = begun.unionByName(asked, allowMissingColumns=True).withColumn("stall", F.last("stall", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    within = lambda s: (F.col("elapsed_ms") <= F.col(f"{s}.e1")) & (F.col("progress_m") + K.GHOST_M >= F.col(f"{s}.lo")) & (F.col("progress_m") - K.GHOST_M <= F.col(f"{s}.hi"))
+    held = F.coalesce(within("stall.now"), F.lit(False)) | F.coalesce(within("stall.before"), F.lit(False))
+    return line.filter("turn = 1").select("attempt_id", "n", "progress_m", "elapsed_ms", held.alias("in_stall"))
+
+
 def compare(knots_of: DataFrame, legs_of: DataFrame, ranked: DataFrame) -> DataFrame:
     """attempt_id, target_id, source, progress_m, current_ms, reference_ms, delta_ms (null unless both times are trustworthy), good.
 
@@ -129,11 +158,7 @@ def compare(knots_of: DataFrame, legs_of: DataFrame, ranked: DataFrame) -> DataF
     """
     runs = stalls(legs_of)
     pieces = _pieces(legs_of, runs)
-    inside = (F.col("elapsed_ms") >= F.col("s0")) & (F.col("elapsed_ms") <= F.col("s1")) & (F.col("progress_m") + K.GHOST_M >= F.col("lo")) & (F.col("progress_m") - K.GHOST_M <= F.col("hi"))
-    inner = knots_of.filter("kind = 'sample'").select("attempt_id", "n", "progress_m", "elapsed_ms")
-    held = runs.select("attempt_id", F.col("e0").alias("s0"), F.col("e1").alias("s1"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("e0") / BUCKET_MS), F.floor(F.col("e1") / BUCKET_MS))).alias("bucket"))
-    stalled = inner.withColumn("bucket", F.floor(F.col("elapsed_ms") / BUCKET_MS)).join(held, ["attempt_id", "bucket"]).filter(inside).select("attempt_id", "n").distinct().withColumn("in_stall", F.lit(True))
-    inner = inner.join(stalled, ["attempt_id", "n"], "left").withColumn("in_stall", F.coalesce("in_stall", F.lit(False)))
+    inner = _in_stalls(knots_of.filter("kind = 'sample'").select("attempt_id", "n", "progress_m", "elapsed_ms"), runs)
     pairs = ranked.filter("target_id is not null").select("attempt_id", "target_id", "official_ms")
     mine = pairs.join(inner, "attempt_id").select("attempt_id", F.col("target_id").alias("owner"), F.lit("current").alias("source"), "n", "progress_m", "elapsed_ms", "in_stall")
     theirs = pairs.join(inner.withColumnRenamed("attempt_id", "target_id"), "target_id").select("attempt_id", F.col("attempt_id").alias("owner"), F.lit("reference").alias("source"), "n", "progress_m", "elapsed_ms", "in_stall")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import haversine
+from ..functions.text import fixed
 from .matching import _meters
 from .streams import in_order
 
@@ -76,7 +77,7 @@ def layout_identity(courses: DataFrame) -> DataFrame:
     """route_id, identity: the numbers that timing depends on, as text in thousandths."""
     from .timing import course_numbers
 
-    n = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), "nan").otherwise(F.format_string("%.3f", c))
+    n = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), "nan").otherwise(fixed(c, 3))
     c = courses.join(course_numbers(courses).select("route_id", "trigger_p"), "route_id")
     cps = F.array_join(F.transform(F.sort_array(F.transform("checkpoints", lambda x: F.struct(x["progress_m"].alias("p"), x["id"].alias("id")))), lambda x: F.concat(x["id"], F.lit(":"), n(x["p"]))), ",")
     names = {"start": "start_p", "finish": "finish_p", "startR": "start_r", "finishR": "finish_r", "finishTrigger": "trigger_p"}

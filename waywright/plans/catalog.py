@@ -324,14 +324,14 @@ def q_route_geometry(spark, d):
 
 def q_layouts(spark, d):
     """Problems and identities of made-up layouts, a third of them faulty."""
-    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
-    k = F.col("k")
+    n = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("c"))
+    c, k = F.col("c"), F.col("c") % 25
     mark = lambda i, name, p: F.struct(F.lit(i).alias("id"), name.alias("name"), p.cast("double").alias("progress_m"))
-    c = n.select(
-        k.cast("string").alias("route_id"), (5.0 * k).alias("start_p"), (100.0 + 7 * k).alias("finish_p"), F.when(k % 6 == 0, 5.0).when(k % 6 == 1, float("nan")).otherwise(30.0).alias("start_r"), F.when(k % 7 == 3, 251.0).otherwise(20.0).alias("finish_r"),
-        F.array(mark("b", F.when(k % 8 == 2, "  ").otherwise("B"), F.lit(90.0)), mark("a", F.lit("A"), 60.5 + k)).alias("checkpoints"),
+    made = n.select(
+        c.cast("string").alias("route_id"), (5.0 * k + 0.0625).alias("start_p"), (100.0 + 7 * k + (c % 1000) / 1e4).alias("finish_p"), F.when(c % 6 == 0, 5.0).when(c % 6 == 1, float("nan")).otherwise(30.0).alias("start_r"), F.when(c % 7 == 3, 251.0).otherwise(20.0).alias("finish_r"),
+        F.array(mark("b", F.when(c % 8 == 2, "  ").otherwise("B"), F.lit(90.0)), mark("a", F.lit("A"), 60.5 + k)).alias("checkpoints"),
     )
-    return routes.layout_problem(c).join(routes.layout_identity(c), "route_id")
+    return routes.layout_problem(made).join(routes.layout_identity(made), "route_id")
 
 
 def q_course_geojson(spark, d):
@@ -352,11 +352,11 @@ def q_format(spark, d):
     of = lambda names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
     mode = of(("scooter", "bike", "run", "walk", "skate"))
     at, shown = F.lit(traces.BASE_MS) + k * 98765, F.when(k % 9 != 0, k % 200 * 1000)
-    typed = F.when(k % 4 == 0, " 12,5 ").when(k % 4 == 1, "8").when(k % 4 == 2, k.cast("string")).otherwise("ten")
+    typed = F.when(k % 6 == 0, " 12,5 ").when(k % 6 == 1, "8").when(k % 6 == 2, k.cast("string")).when(k % 6 == 3, "ten").when(k % 6 == 4, "30f").otherwise("1.6e2")
     return o.select(
         "k", text.elapsed(k * 997 - 5000).alias("elapsed"), text.signed_delta((k % 9000 - 4500) * 1000).alias("delta"), text.ordinal(k).alias("ordinal"), text.rank_among(k, k + 3).alias("among"), text.percent((k % 1500) / 1000.0).alias("share"),
         text.wait_duration(k * 10).alias("wait"), text.wait_delta((k % 5000 - 2500) * 7).alias("wait_delta"), text.time_of_day(at).alias("clock"), text.attempt_stamp(at).alias("stamp"), text.fix_age(k * 1300 - 50_000 - (k * 1300 - 50_000) % 100).alias("age"),
-        text.fix_health(shown).alias("health"), text.into_route((k % 3000 - F.when(k % 3000 >= 1000, k % 100).otherwise(0)).cast("double")).alias("into_route"), text.mode_label(mode).alias("mode"), text.mode_icon(mode).alias("icon"),
+        text.fix_health(shown).alias("health"), text.into_route((k % 9000).cast("double")).alias("into_route"), text.mode_label(mode).alias("mode"), text.mode_icon(mode).alias("icon"),
         text.named(of(("missing_start_coverage", "missing_telemetry", "replay_incomplete", "not_valid", "not_completed", "none")), labels.UNRANKED).alias("says"), text.endpoint_label(of(("start", "finish", "checkpoint")), F.lit("Bridge")).alias("endpoint"),
         text.radius_input(typed).alias("radius"), text.unranked_warning(of(("armed", "active", "completed", "cancelled", "abandoned")), F.when(k % 3 == 0, "unranked").otherwise("valid"), k % 2 == 0).alias("warns"),
     )

@@ -38,6 +38,12 @@ SEGMENTS = f"""
     FROM (SELECT CAST(r_regionkey AS VARCHAR) AS route_id, CASE WHEN r_regionkey = 4 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END AS start_p, (SELECT max(s1) FROM sg) AS finish_p FROM region))"""
 
 
+def fixed(x: str, digits: int) -> str:
+    """A number with so many digits after the point: printf rounds exactly, but exact halves to even digits; these get a little more."""
+    half = f"({x}) * {2 ** (digits + 1)} = floor(({x}) * {2 ** (digits + 1)}) AND abs({x}) * 1e{digits} - floor(abs({x}) * 1e{digits}) = 0.5"
+    return f"CASE WHEN {half} THEN printf('%.{digits}f', ({x}) + sign({x}) * 2e-{digits + 1}) ELSE printf('%.{digits}f', {x}) END"
+
+
 def projected(source: str, lat: str, lon: str) -> str:
     """Every row of ``source`` on every segment: share, progress p and distance d."""
     ex, ey = f"((blon - alon) * ({D} * cos(radians(alat))))", f"((blat - alat) * {D})"
@@ -268,8 +274,8 @@ ORACLES: dict[str, str] = {
         SELECT id, CASE WHEN outcome = 'interrupted' THEN 'interrupted' WHEN is_active AND outcome = 'active' THEN 'tracking' ELSE 'idle' END AS status, CASE outcome WHEN 'finished' THEN CASE WHEN stopped_at_ms IS NOT NULL THEN greatest(0, stopped_at_ms - started_at_ms) END WHEN 'interrupted' THEN CASE WHEN last_t IS NOT NULL THEN greatest(0, last_t - started_at_ms) END END AS review_ms, points,
         CASE WHEN last_t IS NULL THEN 'waiting_for_first_fix' WHEN 1700000500000 - last_t >= 120000 THEN 'stale' ELSE 'healthy' END AS health, greatest(0, 1700000500000 - started_at_ms) AS elapsed_ms FROM la""",
     "q_session_samples": f"WITH {SAMPLES} SELECT id, t AS recorded_at_ms, {milli('lat')} AS latitude FROM sam WHERE attempt_id = '3'",
-    "q_sample_lines": f"""WITH {SAMPLES} SELECT id, strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(t % 1000 AS VARCHAR), 3, '0') || 'Z  ' || printf('%.6f', lat) || ', ' || printf('%.6f', lon) || '  ' || coalesce('±' || printf('%.1f', acc) || 'm', 'acc n/a') || '  '
-        || coalesce(printf('%.1f', floor(speed * 10 + 0.5) / 10) || 'm/s', 'spd n/a') || '  ' || coalesce(CAST(CAST(floor(heading + 0.5) AS BIGINT) AS VARCHAR) || '°', 'hdg n/a') AS line FROM sam""",
+    "q_sample_lines": f"""WITH {SAMPLES} SELECT id, strftime(make_timestamp(t * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(t % 1000 AS VARCHAR), 3, '0') || 'Z  ' || {fixed('lat', 6)} || ', ' || {fixed('lon', 6)} || '  ' || coalesce('±' || {fixed('acc', 1)} || 'm', 'acc n/a') || '  '
+        || coalesce({fixed('speed', 1)} || 'm/s', 'spd n/a') || '  ' || coalesce(CAST(CAST(floor(heading + 0.5) AS BIGINT) AS VARCHAR) || '°', 'hdg n/a') AS line FROM sam""",
     "q_path_length": f"WITH RECURSIVE {SEGMENTS} SELECT route_id, {milli('finish_p')} AS length_mm FROM co",
     "q_project_nearest": f"""WITH RECURSIVE {SAMPLES}, {SEGMENTS}, q AS (SELECT attempt_id || ':' || id AS id, lat, lon + (event_id % 7) * 0.0001::DOUBLE AS lon FROM sam), a AS (SELECT * FROM {projected("q", "lat", "lon")}), b AS (SELECT *, min(d) OVER (PARTITION BY id) AS least_d FROM a)
         SELECT id, {milli("min(p)")} AS progress_mm, {milli("arg_min(d, p)")} AS snap_mm FROM b WHERE d <= least_d + 0.5 GROUP BY id""",
@@ -346,19 +352,19 @@ ORACLES: dict[str, str] = {
         ge AS (SELECT attempt_id, arg_max(far, k) AS far, arg_max(pts, k) AS pts FROM gf GROUP BY attempt_id), gx AS (SELECT attempt_id, arg_min(lat, k) AS alat, arg_min(lon, k) AS alon, arg_max(lat, k) AS blat, arg_max(lon, k) AS blon, max(k) AS n FROM gt GROUP BY attempt_id),
         gy AS (SELECT s.attempt_id, CASE WHEN coalesce(q.n_good, 0) < 3 OR gx.n IS NULL OR gx.n = 0 THEN 'too_little_movement' WHEN {hav("alat", "alon", "blat", "blon")} < 10 THEN 'start_and_finish_too_close' WHEN pts < 3 THEN 'too_little_movement' END AS reason, pts, far, alat, blat FROM (SELECT DISTINCT attempt_id FROM sam) s LEFT JOIN (SELECT attempt_id, count(*) AS n_good FROM gs GROUP BY 1) q USING (attempt_id) LEFT JOIN gx USING (attempt_id) LEFT JOIN ge USING (attempt_id))
         SELECT attempt_id AS session_id, reason IS NULL AS saveable, reason, CASE WHEN reason IS NULL THEN CAST(pts AS INTEGER) END AS points, {milli("CASE WHEN reason IS NULL THEN far END")} AS distance_mm, CAST(floor(CASE WHEN reason IS NULL THEN alat END * 1e7::DOUBLE + 0.5) AS BIGINT) AS start_e7, CAST(floor(CASE WHEN reason IS NULL THEN blat END * 1e7::DOUBLE + 0.5) AS BIGINT) AS finish_e7 FROM gy""",
-    "q_layouts": """WITH x AS (SELECT CAST(n_nationkey AS VARCHAR) AS route_id, 5.0::DOUBLE * n_nationkey AS start_p, 100.0::DOUBLE + 7 * n_nationkey AS finish_p, CASE n_nationkey % 6 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 'nan'::DOUBLE ELSE 30.0::DOUBLE END AS start_r, CASE n_nationkey % 7 WHEN 3 THEN 251.0::DOUBLE ELSE 20.0::DOUBLE END AS finish_r,
-          [struct_pack(p := 90.0::DOUBLE, id := 'b', name := CASE n_nationkey % 8 WHEN 2 THEN '  ' ELSE 'B' END), struct_pack(p := 60.5::DOUBLE + n_nationkey, id := 'a', name := 'A')] AS c FROM nation),
+    "q_layouts": f"""WITH x AS (SELECT CAST(c_custkey AS VARCHAR) AS route_id, 5.0::DOUBLE * (c_custkey % 25) + 0.0625 AS start_p, 100.0::DOUBLE + 7 * (c_custkey % 25) + (c_custkey % 1000) / 1e4::DOUBLE AS finish_p, CASE c_custkey % 6 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 'nan'::DOUBLE ELSE 30.0::DOUBLE END AS start_r, CASE c_custkey % 7 WHEN 3 THEN 251.0::DOUBLE ELSE 20.0::DOUBLE END AS finish_r,
+          [struct_pack(p := 90.0::DOUBLE, id := 'b', name := CASE c_custkey % 8 WHEN 2 THEN '  ' ELSE 'B' END), struct_pack(p := 60.5::DOUBLE + c_custkey % 25, id := 'a', name := 'A')] AS c FROM customer),
         y AS (SELECT *, list_sort(c) AS o, greatest(start_p, finish_p - least(greatest(0.0::DOUBLE, finish_r), greatest(0.0::DOUBLE, greatest(0.0::DOUBLE, finish_p - start_p) - 10))) AS trigger_p FROM x)
         SELECT route_id, CASE WHEN isnan(start_r) OR NOT start_r BETWEEN 8 AND 250 THEN 'start_radius' WHEN NOT finish_r BETWEEN 8 AND 250 THEN 'finish_radius' WHEN len(list_filter(c, lambda z: trim(z.name) = '')) > 0 THEN 'checkpoint_name' WHEN o[1].p - start_p < 10 OR o[2].p - o[1].p < 10 OR finish_p - o[2].p < 10 THEN 'markers_too_close' END AS problem,
-        'start=' || printf('%.3f', start_p) || '|finish=' || printf('%.3f', finish_p) || '|startR=' || CASE WHEN isnan(start_r) THEN 'nan' ELSE printf('%.3f', start_r) END || '|finishR=' || printf('%.3f', finish_r) || '|finishTrigger=' || printf('%.3f', trigger_p) || '|cp=[' || o[1].id || ':' || printf('%.3f', o[1].p) || ',' || o[2].id || ':' || printf('%.3f', o[2].p) || ']' AS identity FROM y""",
+        'start=' || {fixed('start_p', 3)} || '|finish=' || {fixed('finish_p', 3)} || '|startR=' || CASE WHEN isnan(start_r) THEN 'nan' ELSE {fixed('start_r', 3)} END || '|finishR=' || {fixed('finish_r', 3)} || '|finishTrigger=' || {fixed('trigger_p', 3)} || '|cp=[' || o[1].id || ':' || {fixed('o[1].p', 3)} || ',' || o[2].id || ':' || {fixed('o[2].p', 3)} || ']' AS identity FROM y""",
     "q_format": f"""WITH o AS (SELECT o_orderkey AS k FROM orders), a AS (SELECT k, greatest(0, (k * 997 - 5000) // 1000) AS s, (k % 9000 - 4500) AS dl, (k % 5000 - 2500) * 7 AS wd, CAST(greatest(0, floor((k * 1300 - 50000 - (k * 1300 - 50000) % 100) / 1000)) AS BIGINT) AS age, make_timestamp((1700000000000 + k * 98765) * 1000) AS tm, CASE WHEN k % 9 = 0 THEN NULL ELSE k % 200 * 1000 END AS fix FROM o)
         SELECT k, {_ELAPSED} AS elapsed, CASE WHEN dl = 0 THEN '0:00' ELSE CASE WHEN dl < 0 THEN '-' ELSE '+' END || (SELECT {_ELAPSED} FROM (SELECT abs(dl) AS s)) END AS delta,
         k || CASE WHEN k % 100 BETWEEN 11 AND 13 THEN 'th' WHEN k % 10 = 1 THEN 'st' WHEN k % 10 = 2 THEN 'nd' WHEN k % 10 = 3 THEN 'rd' ELSE 'th' END AS ordinal, k || CASE WHEN k % 100 BETWEEN 11 AND 13 THEN 'th' WHEN k % 10 = 1 THEN 'st' WHEN k % 10 = 2 THEN 'nd' WHEN k % 10 = 3 THEN 'rd' ELSE 'th' END || ' fastest of ' || (k + 3) AS among,
         CAST(floor(CAST(k % 1500 AS DOUBLE) / 1000 * 100 + 0.5) AS BIGINT) || '%' AS share, (k * 10 // 1000) || 's' AS wait, CASE WHEN floor(abs(wd)::DOUBLE / 1000 + 0.5) = 0 THEN '0s' ELSE CASE WHEN wd < 0 THEN '-' ELSE '+' END || CAST(floor(abs(wd)::DOUBLE / 1000 + 0.5) AS BIGINT) || 's' END AS wait_delta,
         hour(tm) || strftime(tm, ':%M:%S') AS clock, strftime(tm, '%Y-%m-%d ') || hour(tm) || strftime(tm, ':%M:%S') AS stamp, CASE WHEN age < 60 THEN age || 's ago' ELSE (age // 60) || 'm ' || (age % 60) || 's ago' END AS age, CASE WHEN fix IS NULL THEN 'waiting_for_first_fix' WHEN fix >= 120000 THEN 'stale' ELSE 'healthy' END AS health,
-        CASE WHEN k % 3000 >= 1000 THEN (k % 3000 // 100 // 10) || '.' || (k % 3000 // 100 % 10) || ' km' ELSE (k % 3000) || ' m' END || ' into route' AS into_route,
+        CASE WHEN k % 9000 >= 1000 THEN {fixed("(k % 9000)::DOUBLE / 1000", 1)} || ' km' ELSE (k % 9000) || ' m' END || ' into route' AS into_route,
         {_cases("['scooter', 'bike', 'run', 'walk', 'skate'][k % 5 + 1]", MODES, "'skate'")} AS mode, {_cases("['scooter', 'bike', 'run', 'walk', 'skate'][k % 5 + 1]", MODE_ICONS, "''")} AS icon, {_cases("['missing_start_coverage', 'missing_telemetry', 'replay_incomplete', 'not_valid', 'not_completed', 'none'][k % 6 + 1]", UNRANKED)} AS says,
-        CASE k % 3 WHEN 0 THEN 'Start' WHEN 1 THEN 'Finish' ELSE 'Bridge' END AS endpoint, CASE k % 4 WHEN 0 THEN 12.5::DOUBLE WHEN 1 THEN 8.0::DOUBLE WHEN 2 THEN CAST(k AS DOUBLE) END AS radius, k % 5 = 2 AND k % 3 = 0 AND k % 2 = 1 AS warns FROM a""",
+        CASE k % 3 WHEN 0 THEN 'Start' WHEN 1 THEN 'Finish' ELSE 'Bridge' END AS endpoint, CASE k % 6 WHEN 0 THEN 12.5::DOUBLE WHEN 1 THEN 8.0::DOUBLE WHEN 2 THEN CAST(k AS DOUBLE) WHEN 5 THEN 160.0::DOUBLE END AS radius, k % 5 = 2 AND k % 3 = 0 AND k % 2 = 1 AS warns FROM a""",
     "q_attempt_lookups": f"""WITH {STORED} (SELECT 'open' AS kind, attempt_id, armed_at_ms FROM sto WHERE lifecycle IN ('armed', 'active') ORDER BY armed_at_ms DESC LIMIT 1) UNION ALL (SELECT 'result', attempt_id, armed_at_ms FROM sto WHERE NOT acknowledged AND lifecycle NOT IN ('armed', 'active') ORDER BY armed_at_ms DESC LIMIT 1)
         UNION ALL SELECT 'of_id', attempt_id, armed_at_ms FROM sto WHERE attempt_id = '7' UNION ALL SELECT 'of_session', attempt_id, armed_at_ms FROM sto WHERE session_id = '10' UNION ALL SELECT 'of_route', attempt_id, armed_at_ms FROM sto WHERE route_id = '3'""",
     "q_attempt_crossings": f"WITH {STORED} SELECT sto.attempt_id, coalesce(string_agg(checkpoint_id, ',' ORDER BY crossed_at, progress_m, checkpoint_id), '') AS crossings FROM sto LEFT JOIN ck USING (attempt_id) GROUP BY sto.attempt_id",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import ring
+from ..functions.text import fixed
 
 SAMPLE_SCHEMA = "id string, session_id string, recorded_at_ms long, latitude double, longitude double, accuracy double, speed double, heading double"
 SAMPLE_COLUMNS = [c.split()[0] for c in SAMPLE_SCHEMA.split(", ")]
@@ -60,19 +61,14 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by(F.struct(*SAMPLE_COLUMNS[1:]), "call").alias("x")).select("id", "x.*")
 
 
-def _fixed(x: str, digits: int) -> Column:
-    """A number with a fixed number of digits after the point, halves away from zero."""
-    return F.format_string(f"%.{digits}f", F.col(x))
-
-
 def sample_line(samples: DataFrame) -> DataFrame:
     """(id, line): a sample as text: time in UTC, place, accuracy, speed, heading."""
     at = F.date_format(F.to_utc_timestamp(F.timestamp_millis("recorded_at_ms"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     or_none = lambda c, text, none: F.when(F.col(c).isNull(), none).otherwise(text)
-    accuracy = or_none("accuracy", F.concat(F.lit("±"), _fixed("accuracy", 1), F.lit("m")), "acc n/a")
-    speed = or_none("speed", F.concat(_fixed("speed", 1), F.lit("m/s")), "spd n/a")
-    heading = or_none("heading", F.concat(_fixed("heading", 0), F.lit("°")), "hdg n/a")
-    return samples.select("id", F.concat_ws("  ", at, F.concat_ws(", ", _fixed("latitude", 6), _fixed("longitude", 6)), accuracy, speed, heading).alias("line"))
+    accuracy = or_none("accuracy", F.concat(F.lit("±"), fixed(F.col("accuracy"), 1), F.lit("m")), "acc n/a")
+    speed = or_none("speed", F.concat(fixed(F.col("speed"), 1), F.lit("m/s")), "spd n/a")
+    heading = or_none("heading", F.concat(fixed(F.col("heading"), 0), F.lit("°")), "hdg n/a")
+    return samples.select("id", F.concat_ws("  ", at, F.concat_ws(", ", fixed(F.col("latitude"), 6), fixed(F.col("longitude"), 6)), accuracy, speed, heading).alias("line"))
 
 
 def course_geojson(courses: DataFrame, waits: DataFrame | None = None, selected: str | None = None) -> DataFrame:
