@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.trips import course, samples, steady, trace
 from waywright.functions import text
-from waywright.operators import ghost
+from waywright.operators import comparing, ghost
 from waywright.plans.analysis import Analysis
 from waywright.sources import traces
 
@@ -70,3 +70,36 @@ def test_distances_and_radii_as_typed(spark):
     typed = {"30f": None, "30d": None, " 12,5 ": 12.5, "1,2,3": None, "1e2": 100.0, ".5": 0.5, "5.": 5.0, ".": None, "": None, "  ": None, "0x1F": 31.0, "0b101": 5.0, "0o17": 15.0, "-3": -3.0, "+4": 4.0, "Infinity": float("inf"), "inf": None, "NaN": None, "1_0": None, "\t7\n": 7.0, "-0x1": None, "1 2": None}
     rows = spark.createDataFrame([(t,) for t in typed], "t string").select("t", text.radius_input(F.col("t")).alias("r")).collect()
     assert {x.t: x.r for x in rows} == typed
+
+
+def plain_clusters(at, keys):
+    """All pairs, until none may merge."""
+    groups = [[i] for i in range(len(at))]
+    while True:
+        pairs = []
+        for a in range(len(groups)):
+            for b in range(a + 1, len(groups)):
+                union = groups[a] + groups[b]
+                low, high = min(at[i] for i in union), max(at[i] for i in union)
+                if high - low <= 40.0:
+                    gap = abs(sum(at[i] for i in groups[a]) / len(groups[a]) - sum(at[i] for i in groups[b]) / len(groups[b]))
+                    pairs.append((gap, low, high, ";".join(sorted(keys[i] for i in union)), a, b))
+        if not pairs:
+            return groups
+        *_, a, b = min(pairs)
+        groups = [g for i, g in enumerate(groups) if i not in (a, b)] + [groups[a] + groups[b]]
+
+
+def test_clusters_equal_all_pairs_and_many_waits_are_quick():
+    import time
+
+    r = random.Random(9)
+    for _ in range(300):
+        n = r.randrange(1, 14)
+        at = [float(r.choice([r.randrange(0, 200, 10), r.randrange(0, 200), round(r.uniform(0, 200), 2)])) for _ in range(n)]
+        keys = [f"k{i:02d}" for i in range(n)]
+        assert sorted(map(sorted, comparing._clusters(at))) == sorted(map(sorted, plain_clusters(at, keys))), at
+    began = time.time()
+    assert len(comparing._clusters([10.0 * i for i in range(20_000)])) >= 4_000
+    assert sum(map(len, comparing._clusters([r.uniform(0, 39) for _ in range(20_000)]))) == 20_000
+    assert time.time() - began < 10

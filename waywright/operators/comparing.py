@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,28 +14,54 @@ from ..sources.staging import staged
 from .matching import points_at
 
 
-def _clusters(at: list[float], keys: list[str]) -> list[list[int]]:
+def _clusters(at: list[float]) -> list[list[int]]:
     """Complete linkage along a line: the closest means first, as long as a cluster spans no more than the radius.
 
-    Equal distances go by the union's ends and then by its members' keys, in the members' order.
+    Equal distances go by the union's ends.  Of clusters on a line, the two with the closest means
+    are neighbours, so a heap holds the pairs of neighbours only.  Waits at one place are one
+    cluster from the start: their distance is the least there is, and the radius allows it.
     """
-    groups = [[i] for i in range(len(at))]
-    while True:
-        best = None
-        for a in range(len(groups)):
-            for b in range(a + 1, len(groups)):
-                union = groups[a] + groups[b]
-                low, high = min(at[i] for i in union), max(at[i] for i in union)
-                if high - low <= K.CLUSTER_M:
-                    gap = abs(sum(at[i] for i in groups[a]) / len(groups[a]) - sum(at[i] for i in groups[b]) / len(groups[b]))
-                    rank = (gap, low, high, ";".join(keys[i] for i in sorted(union)))
-                    if best is None or rank < best[0]:
-                        best = (rank, a, b)
-        if best is None:
-            return groups
-        _, a, b = best
-        union = groups[a] + groups[b]
-        groups = [g for i, g in enumerate(groups) if i not in (a, b)] + [union]
+    groups: dict[float, list[int]] = {}
+    for i, p in enumerate(at):
+        groups.setdefault(p, []).append(i)
+    places = sorted(groups)
+    members: list[list[int] | None] = [groups[p] for p in places]
+    total = [sum(at[i] for i in m) for m in members]
+    low, high = list(places), list(places)
+    turn = [m[0] if len(m) == 1 else len(at) + k for k, m in enumerate(members)]  # of two, the one of which there has been longer comes first
+    before, after = list(range(-1, len(places) - 1)), [*range(1, len(places)), -1]
+    made, heap = len(at) + len(places), []
+
+    def offer(a: int, b: int) -> None:
+        if a >= 0 and b >= 0 and high[b] - low[a] <= K.CLUSTER_M:
+            heapq.heappush(heap, (abs(total[a] / len(members[a]) - total[b] / len(members[b])), low[a], high[b], a, b))
+
+    for k in range(len(places) - 1):
+        offer(k, k + 1)
+    while heap:
+        *_, a, b = heapq.heappop(heap)
+        if members[a] is None or members[b] is None:
+            continue
+        first, second = (a, b) if turn[a] < turn[b] else (b, a)
+        union, mass = members[first] + members[second], total[first]
+        for i in members[second]:  # one after another, as rounding depends on the order
+            mass += at[i]
+        members.append(union)
+        total.append(mass)
+        low.append(low[a])
+        high.append(high[b])
+        turn.append(made)
+        before.append(before[a])
+        after.append(after[b])
+        own, made = len(members) - 1, made + 1
+        members[a] = members[b] = None
+        if before[own] >= 0:
+            after[before[own]] = own
+        if after[own] >= 0:
+            before[after[own]] = own
+        offer(before[own], own)
+        offer(own, after[own])
+    return [m for m in members if m is not None]
 
 
 def wait_clusters(waits: DataFrame, focus: DataFrame, courses: DataFrame) -> DataFrame:
@@ -41,7 +69,7 @@ def wait_clusters(waits: DataFrame, focus: DataFrame, courses: DataFrame) -> Dat
 
     Located waits of each eligible attempt and of its target are clustered by place.  Waits
     farther apart than the radius never share a cluster, so those between two such gaps are
-    clustered on their own; a place's waits in two trips are few.
+    clustered on their own, in little more time than it takes to sort them.
     """
     pairs = focus.filter("eligible and target_id is not null").select("attempt_id", "target_id", "route_id")
     w = waits.filter("located").select("attempt_id", "wait_id", "start_ms", "duration_ms", "progress_m")
@@ -57,7 +85,7 @@ def wait_clusters(waits: DataFrame, focus: DataFrame, courses: DataFrame) -> Dat
         pdf = pdf.sort_values(["side", "start_ms", "wait_id"])
         at, ms, side, ids, keys = (pdf[c].tolist() for c in ("progress_m", "duration_ms", "side", "wait_id", "key"))
         rows = []
-        for g in _clusters(at, keys):
+        for g in _clusters(at):
             g = sorted(g)  # members in order of side, start and id
             own = [[i for i in g if side[i] == s] for s in (0, 1)]
             rows.append(("wait-cmp:" + ";".join(keys[i] for i in g), sum(at[i] for i in g) / len(g), *(sum((ms[i] for i in x), 0.0) for x in own), max(at[i] for i in g) - min(at[i] for i in g), len(g), *([ids[i] for i in x] for x in own)))
