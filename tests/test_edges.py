@@ -1,14 +1,16 @@
 """Far times, exact decimals, typed numbers, clashing columns."""
 
+import math
 import random
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.trips import course, samples, steady, trace
 from waywright.functions import text
-from waywright.operators import comparing, ghost
+from waywright.operators import comparing, ghost, matching
 from waywright.plans.analysis import Analysis
 from waywright.sources import traces
 
@@ -103,3 +105,39 @@ def test_clusters_equal_all_pairs_and_many_waits_are_quick():
     assert len(comparing._clusters([10.0 * i for i in range(20_000)])) >= 4_000
     assert sum(map(len, comparing._clusters([r.uniform(0, 39) for _ in range(20_000)]))) == 20_000
     assert time.time() - began < 10
+
+
+def winding(n, seed=1):
+    """A path that bends, crosses itself and goes back along what it came."""
+    r = random.Random(seed)
+    lat, lon, out, turn = 32.08, 34.78, [], 0.0
+    for _ in range(n):
+        out.append((lat, lon))
+        turn += r.uniform(-0.6, 0.6)
+        lat, lon = lat + 8e-5 * math.cos(turn), lon + 9e-5 * math.sin(turn)
+    return out + out[-n // 4 :: -1][: n // 5]
+
+
+def test_segment_index_equals_all_segments():
+    """Every point against every segment, ties within half a metre and windows included; the index looks at few."""
+    for n in (2, 30, 40, 1500, 8400):
+        path = winding(n)
+        g = matching._Geometry(*map(np.array, zip(*path, strict=True)))
+        r = np.random.default_rng(n)
+        picked = np.array(path)[r.integers(0, len(path), 120)]
+        y, x = (picked + r.normal(0, 2e-4, picked.shape)).T
+        progress, snap, lat, lon = g.project(y, x)
+        tied = snap <= snap.min(axis=1, keepdims=True) + 0.5
+        at = np.arange(len(y)), np.where(tied, progress, np.inf).argmin(axis=1)
+        for got, want in zip(g.nearest(y, x), (progress, snap, lat, lon), strict=True):
+            assert (got == want[at]).all()
+        if n > 8000:
+            assert g.looked / len(y) < 200
+        centre = r.uniform(-50, float(g.s1[-1]) + 150, len(y))
+        ahead, behind = np.full(len(y), 90.0), np.full(len(y), 25.0)
+        inside = (g.s1[None] >= centre[:, None] - 25) & (g.s0[None] <= centre[:, None] + 90)
+        cost = np.where(inside, snap + 0.3 * np.abs(progress - centre[:, None]) + 8.0 * (progress < centre[:, None]), np.inf)
+        best = np.where(cost == cost.min(axis=1, keepdims=True), progress, -np.inf).argmax(axis=1)
+        at = np.arange(len(y)), best
+        for got, want in zip(g.near(y, x, centre, ahead, behind), (progress, snap), strict=True):
+            assert np.array_equal(got, np.where(inside[at], want[at], np.nan), equal_nan=True)

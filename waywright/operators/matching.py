@@ -16,6 +16,8 @@ from .streams import in_order
 
 #: Samples times segments that are projected at a time, and samples where a course has many segments.
 MOST_CELLS, FEW = 200_000, 32
+#: Neighbouring segments, or boxes of them, that one box holds, and what a bound on distances is too large by, at most.
+FAN, SLACK_M = 32, 1e-3
 #: Places in which a course meets its points.
 SALTS = 16
 
@@ -54,7 +56,7 @@ def _on_course(points: DataFrame, courses: DataFrame, needs: list[str], work: Ca
                 part = part.slice(1)
             if geometry is None:
                 continue
-            step = max(1, MOST_CELLS // max(1, len(geometry.s0)))
+            step = max(1, MOST_CELLS // max(1, min(len(geometry.s0), 4 * FAN)))
             for at in range(0, part.num_rows, step):
                 some = part.slice(at, step)
                 found = work(geometry, {c: some.column(c).to_numpy(zero_copy_only=False).astype(float) for c in needs})
@@ -70,10 +72,7 @@ def nearest_projection(points: DataFrame, courses: DataFrame) -> DataFrame:
     """
 
     def nearest(g: _Geometry, x: dict[str, np.ndarray]) -> list[np.ndarray]:
-        progress, snap, lat, lon = g.project(x["latitude"], x["longitude"])
-        tied = snap <= snap.min(axis=1, keepdims=True) + K.TIE_M
-        at = np.arange(len(snap)), np.where(tied, progress, np.inf).argmin(axis=1)
-        return [progress[at], snap[at], lat[at], lon[at]]
+        return list(g.nearest(x["latitude"], x["longitude"]))
 
     return _on_course(points, courses, ["latitude", "longitude"], nearest, "progress_m double, snap_m double, snap_lat double, snap_lon double")
 
@@ -169,6 +168,8 @@ class _Geometry:
         self.length = _meters(*self.ends)
         self.s1 = np.cumsum(self.length)
         self.s0 = np.concatenate([[0.0], self.s1[:-1]]) if len(self.s1) else self.s1
+        self._boxes: list[np.ndarray] | None = None
+        self.looked = 0  # at so many segments, for so many points
 
     def project(self, y: np.ndarray, x: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, ...]:
         """Progress, distance, latitude and longitude of points on the segments from ``lo`` to ``hi``; a row a point."""
@@ -181,14 +182,95 @@ class _Geometry:
         lat, lon = a_lat + ey * share / K.METERS_PER_DEGREE, a_lon + ex * share / east
         return self.s0[lo:hi] + share * self.length[lo:hi], _meters(lat, lon, y[:, None], x[:, None]), lat, lon
 
+    def pairs(self, on: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """As project(), of each point on one segment."""
+        a_lat, a_lon, b_lat, b_lon = (e[on] for e in self.ends)
+        east = K.METERS_PER_DEGREE * np.cos(np.radians(a_lat))
+        ex, ey = (b_lon - a_lon) * east, (b_lat - a_lat) * K.METERS_PER_DEGREE
+        px, py = (x - a_lon) * east, (y - a_lat) * K.METERS_PER_DEGREE
+        square = ex * ex + ey * ey
+        share = np.clip(np.divide(px * ex + py * ey, square, out=np.zeros_like(px), where=square > 0), 0.0, 1.0)
+        lat, lon = a_lat + ey * share / K.METERS_PER_DEGREE, a_lon + ex * share / east
+        return self.s0[on] + share * self.length[on], _meters(lat, lon, y, x), lat, lon
+
+    def boxes(self) -> list[np.ndarray]:
+        """Levels of boxes (south, north, west, east): of segments, of FAN of these, and so on up to a level of no more than FAN."""
+        if self._boxes is None:
+            a_lat, a_lon, b_lat, b_lon = self.ends
+            levels = [np.stack([np.minimum(a_lat, b_lat), np.maximum(a_lat, b_lat), np.minimum(a_lon, b_lon), np.maximum(a_lon, b_lon)])]
+            while levels[-1].shape[1] > FAN:
+                cuts = np.arange(0, levels[-1].shape[1], FAN)
+                levels.append(np.stack([f.reduceat(row, cuts) for f, row in zip((np.minimum, np.maximum) * 2, levels[-1], strict=True)]))
+            self._boxes = levels
+        return self._boxes
+
+    @staticmethod
+    def _least(box: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A distance that nothing in a point's box falls short of."""
+        south, north, west, east = box
+        up = np.maximum(0.0, np.maximum(south - y, y - north))
+        over = np.maximum(0.0, np.maximum(west - x, x - east))
+        over = np.where(np.maximum(np.abs(x - west), np.abs(x - east)) > 180, 0.0, over)  # the shorter way may lead round the other side
+        flat = np.cos(np.radians(np.minimum(90.0, np.maximum(np.abs(south), np.abs(north)))))
+        h = np.sin(np.radians(up) / 2) ** 2 + np.cos(np.radians(y)) * flat * np.sin(np.radians(over) / 2) ** 2
+        return 2 * K.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(np.maximum(0.0, h)))) - SLACK_M
+
+    def _children(self, level: int, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The boxes of a level within boxes of the one above, and to which of these each belongs."""
+        n = np.minimum(FAN, self.boxes()[level].shape[1] - box * FAN)
+        owner = np.repeat(np.arange(len(box)), n)
+        return box[owner] * FAN + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), owner
+
+    def nearest(self, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Progress, distance, latitude and longitude of each point's place on the path: of all segments within half a metre of the nearest, the earliest along the course.
+
+        The box nearest to a point leads down to one segment, whose distance bounds the nearest;
+        then boxes that come within the bound and half a metre are opened, level by level.
+        """
+        lost = np.isnan(y) | np.isnan(x)
+        if lost.any():  # a point without a place has none on the path
+            found = self.nearest(np.where(lost, self.ends[0][0], y), np.where(lost, self.ends[1][0], x))
+            return tuple(np.where(lost, np.nan, v) for v in found)
+        levels, n = self.boxes(), len(y)
+        every = np.arange(n)
+        box = np.stack([self._least(levels[-1][:, [k]], y, x) for k in range(levels[-1].shape[1])]).argmin(axis=0)
+        for level in range(len(levels) - 2, -1, -1):
+            below, owner = self._children(level, box)
+            order = np.lexsort([self._least(levels[level][:, below], y[owner], x[owner]), owner])
+            box = below[order[np.searchsorted(owner, every)]]
+        bound = self.pairs(box, y, x)[1] + K.TIE_M
+        self.looked += n
+        top = levels[-1].shape[1]
+        owner, box = np.repeat(every, top), np.tile(np.arange(top), n)
+        for level in range(len(levels) - 1, -1, -1):
+            near = self._least(levels[level][:, box], y[owner], x[owner]) <= bound[owner]
+            owner, box = owner[near], box[near]
+            if level:
+                box, of = self._children(level - 1, box)
+                owner = owner[of]
+        self.looked += len(box)
+        progress, snap, lat, lon = self.pairs(box, y[owner], x[owner])
+        cuts = np.searchsorted(owner, every)
+        tied = snap <= np.minimum.reduceat(snap, cuts)[owner] + K.TIE_M
+        order = np.lexsort([np.where(tied, progress, np.inf), owner])
+        at = order[cuts]
+        return progress[at], snap[at], lat[at], lon[at]
+
     def near(self, y: np.ndarray, x: np.ndarray, centre: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Progress and distance on the best segment between ``behind`` and ``ahead`` of a centre; not a number where there is none."""
-        progress, snap, _, _ = self.project(y, x)
-        inside = (self.s1[None] >= (centre - behind)[:, None]) & (self.s0[None] <= (centre + ahead)[:, None])
-        cost = np.where(inside, snap + K.PROGRESS_COST * np.abs(progress - centre[:, None]) + K.BACKWARD_COST_M * (progress < centre[:, None]), np.inf)
-        best = np.where(cost == cost.min(axis=1, keepdims=True), progress, -np.inf).argmax(axis=1)
-        at = np.arange(len(snap)), best
-        return tuple(np.where(inside[at], v[at], np.nan) for v in (progress, snap))
+        """Progress and distance on the best segment between ``behind`` and ``ahead`` of a centre, of those alone; not a number where there is none."""
+        lo, hi = np.searchsorted(self.s1, centre - behind), np.searchsorted(self.s0, centre + ahead, "right")
+        n = np.where(np.isnan(centre), 0, np.maximum(0, hi - lo))
+        owner = np.repeat(np.arange(len(y)), n)
+        on = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + lo[owner]
+        self.looked += len(on)
+        progress, snap, _, _ = self.pairs(on, y[owner], x[owner])
+        cost = snap + K.PROGRESS_COST * np.abs(progress - centre[owner]) + K.BACKWARD_COST_M * (progress < centre[owner])
+        order = np.lexsort([-progress, cost, owner])  # ties to the later place
+        some = np.flatnonzero(n)
+        at = order[np.searchsorted(owner, some)]
+        out = np.full(len(y), np.nan), np.full(len(y), np.nan)
+        out[0][some], out[1][some] = progress[at], snap[at]
+        return out
 
     def point(self, on: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Latitude and longitude at shares of segments."""
