@@ -66,13 +66,19 @@ def patches(embedding: np.ndarray, flat: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.as_strided(x, (n, WIDEST * EMBEDDED), (x.strides[0], x.strides[1])))
 
 
-def pooled(model: Model, flat: np.ndarray) -> np.ndarray:
-    """Each window's greatest response of every filter; ``flat`` holds whole windows and WIDEST - 1 bytes beyond."""
+def pooled(model: Model, flat: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """Each window's greatest response of every filter; ``flat`` holds whole windows and WIDEST - 1 bytes beyond.
+
+    In ``last`` windows, whose last WIDEST - 1 bytes are empty, filters don't look on into the next window.
+    """
     n = (len(flat) - WIDEST + 1) // WINDOW
     out = np.empty((n, model.filters.shape[1]), np.float32)
     for at in range(0, n, TILE):
         part = flat[at * WINDOW : min(n, at + TILE) * WINDOW + WIDEST - 1]
-        out[at : at + TILE] = (patches(model.embedding, part) @ model.filters).reshape(-1, WINDOW, out.shape[1]).max(axis=1)
+        response = (patches(model.embedding, part) @ model.filters).reshape(-1, WINDOW, out.shape[1])
+        if last is not None:
+            response[last[at : at + TILE], 1 - WIDEST :] = 0
+        out[at : at + TILE] = response.max(axis=1)
     return out
 
 
@@ -182,7 +188,9 @@ def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
     size = np.array([len(t) for t in texts])
     own = np.repeat(np.arange(len(texts)), counts)
     weight = np.clip(size[own] - (np.arange(starts[-1]) - starts[own]) * WINDOW, 0, WINDOW)
-    shares = languages(model, pooled(model, flat)) * weight[:, None]
+    last = np.zeros(starts[-1], bool)
+    last[starts[1:] - 1] = True
+    shares = languages(model, pooled(model, flat, last)) * weight[:, None]
     return np.add.reduceat(shares, starts[:-1], axis=0)
 
 
