@@ -42,7 +42,7 @@ def first_centroids(quantized: DataFrame, k: int, seed: int) -> np.ndarray:
     """The units of the k vectors whose ids have the smallest hashes; ids that repeat go by their units, rows without an id come last."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")).cast("binary"), 256)
     rows = quantized.filter("units is not null").select(key.alias("key"), "units").orderBy(F.col("key").asc_nulls_last(), "units").limit(k).collect()
-    return np.array([r.units for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.units for r in rows], np.int64)
 
 
 class Assigner:
