@@ -215,3 +215,19 @@ def test_a_batch_counts_once(spark, tmp_path):
     assert store.commit({"a": rows(spark, "a", ("x", 1))}, stream="q", batch=0) == 0
     assert store.commit({"a": rows(spark, "a", ("x", 2))}, stream="q", batch=0) == 0
     assert store.read("a").first().v == 1
+
+
+def test_stored_samples_of_many_calls(spark, tmp_path):
+    """Few segments after many calls; a session is read from its bucket; the last call's values count."""
+    from waywright.sources import traces
+
+    path, active = str(tmp_path / "s"), spark.createDataFrame([("a", True), ("b", True), ("c", False)], "id string, is_active boolean")
+    raw = lambda k: spark.createDataFrame([(s, f"{s}{i}", 1000 * i, 32.0, 34.0, -1.0, float(k), 10.0) for s in "abc" for i in range(k, k + 3)] + [("a", f"bad{k}", 0, 32.0, 34.0, 1.0, 1.0, 1.0)], "session_id string, id string, recorded_at_ms long, latitude double, longitude double, accuracy double, speed double, heading double")
+    for k in range(1, 18):
+        assert traces.record_fixes(raw(k), active, path) == 6
+    store = traces.sample_store(spark, path)
+    assert len(store.manifest()["tables"]["samples"]) <= 1 + 7 + 2
+    got = traces.read_samples(spark, path, ["a"]).collect()
+    assert {r.id: r.speed for r in got} == {f"a{i}": float(min(i, 17)) for i in range(1, 20)} and all(r.accuracy is None for r in got)
+    assert traces.read_samples(spark, path).count() == 38 == traces.read_samples(spark, path, spark.createDataFrame([("a",), ("b",), ("c",)], "s string")).count()
+    assert all("_bucket=" in f for f in traces.read_samples(spark, path, ["a"]).inputFiles())

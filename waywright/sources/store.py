@@ -1,6 +1,6 @@
 """Keyed tables that change together.
 
-A table is a list of segments, each a folder of Parquet files by bucket, sorted by key.  Later
+A table is a list of segments, each a folder of sorted Parquet files by bucket.  Later
 segments override earlier ones key by key, and may say that a key is gone; reading merges
 them.  Which segments make up which tables is written in a manifest, one file a change,
 numbered, written after all data and moved into place in one step.  Readers begin with the
@@ -30,12 +30,13 @@ class Conflict(Exception):
 
 @dataclass(frozen=True)
 class Table:
-    """Columns, the key among them, and the column by whose hash rows lie in buckets."""
+    """Columns, the key among them, the column by whose hash rows lie in buckets, and the order within a bucket, if it isn't the key's."""
 
     schema: str
     key: tuple[str, ...]
     by: str
     buckets: int = 16
+    order: tuple[str, ...] = ()
 
     @property
     def columns(self) -> list[str]:
@@ -111,11 +112,11 @@ class Store:
     # Writing.
 
     def _write(self, name: str, rows: DataFrame) -> str:
-        """A segment's folder: a file for each bucket, sorted by key."""
+        """A segment's folder: a file for each bucket, sorted."""
         t = self.tables[name]
         folder = f"data/{name}/{uuid.uuid4().hex}"
         placed = rows.withColumn("_bucket", _bucket(F.col(t.by), t.buckets))
-        placed.repartition(F.col("_bucket")).sortWithinPartitions("_bucket", *t.key).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        placed.repartition(F.col("_bucket")).sortWithinPartitions("_bucket", *(t.order or t.key)).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         return folder
 
     def commit(self, changes: dict[str, DataFrame], gone: dict[str, DataFrame] | None = None, stream: str | None = None, batch: int | None = None) -> int:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.geo import ring
 from ..functions.text import fixed
+from .staging import staged
+from .store import Store, Table
 
 SAMPLE_SCHEMA = "id string, session_id string, recorded_at_ms long, latitude double, longitude double, accuracy double, speed double, heading double"
 SAMPLE_COLUMNS = [c.split()[0] for c in SAMPLE_SCHEMA.split(", ")]
@@ -33,32 +35,40 @@ def clean_fixes(fixes: DataFrame) -> DataFrame:
     return kept.withColumns({"accuracy": least_zero("accuracy"), "speed": least_zero("speed"), "heading": heading})
 
 
+#: Samples lie in buckets by their session, in order of time.
+SAMPLES = Table(SAMPLE_SCHEMA, ("id",), "session_id", 64, ("session_id", "recorded_at_ms", "id"))
+
+
+def sample_store(spark: SparkSession, path: str) -> Store:
+    return Store(spark, path, {"samples": SAMPLES})
+
+
 def append_samples(samples: DataFrame, sessions: DataFrame, path: str, arrival: str = "recorded_at_ms") -> int:
-    """Store the samples of active sessions; a sample whose id is stored already replaces it.  Returns how many the store holds of this call's.
+    """Store the samples of active sessions; a sample whose id is stored already replaces it.  Returns how many different ones this call stored.
 
-    The store is a folder for each call, numbered in order; read_samples() takes an id's last call.
-    Of samples with one id in one call, the last by ``arrival`` stays.
+    Of samples with one id in one call, the last by ``arrival`` stays.  An id belongs to one
+    session.  Calls add up to few files, however many there are; see Store.
     """
-    spark = samples.sparkSession
     active = sessions.filter("is_active").select(F.col("id").alias("session_id"))
     last = Window.partitionBy("id").orderBy(F.desc(arrival), F.desc("session_id"))
-    kept = samples.join(active, "session_id", "left_semi").withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
-    call = 1 + _last_call(spark, path)
-    kept.select(*SAMPLE_COLUMNS).write.parquet(f"{path}/call={call:09d}")
-    return spark.read.schema(SAMPLE_SCHEMA).parquet(f"{path}/call={call:09d}").count()
+    kept = staged(samples.join(active, "session_id", "left_semi").withColumn("_n", F.row_number().over(last)).filter("_n = 1").select(*SAMPLE_COLUMNS), "samples")
+    n = kept.count()
+    if n:
+        sample_store(samples.sparkSession, path).commit({"samples": kept})
+    return n
 
 
-def _last_call(spark: SparkSession, path: str) -> int:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
-    return max((int(n.removeprefix("call=")) for n in names if n.startswith("call=")), default=-1)
+def record_fixes(fixes: DataFrame, sessions: DataFrame, path: str) -> int:
+    """Store raw fixes (session_id, id and their values) of active sessions as samples; returns how many of them could be read as such."""
+    active = sessions.filter("is_active").select(F.col("id").alias("session_id"))
+    parsed = staged(clean_fixes(fixes).join(active, "session_id", "left_semi"), "fixes")
+    append_samples(parsed, sessions, path)
+    return parsed.count()
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """The samples of a store that append_samples() filled: of each id, what the last call stored."""
-    rows = spark.read.schema(SAMPLE_SCHEMA + ", call int").parquet(path)
-    return rows.groupBy("id").agg(F.max_by(F.struct(*SAMPLE_COLUMNS[1:]), "call").alias("x")).select("id", "x.*")
+def read_samples(spark: SparkSession, path: str, sessions: list[str] | DataFrame | None = None) -> DataFrame:
+    """The samples that append_samples() stored, or those of some sessions, of which only their buckets are read."""
+    return sample_store(spark, path).read("samples", of=sessions)
 
 
 def sample_line(samples: DataFrame) -> DataFrame:
