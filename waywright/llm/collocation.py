@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,6 @@ MOST_COUNTED, MOST_HELD = 300_000, 1 << 19
 A_BLOCK = 1 << 20
 #: Words a bucket, about, and occurrences of a word from which its fragments are dealt over several buckets.
 A_BUCKET, A_PART = 1 << 18, 1 << 17
-#: Candidates that one task ranks, about, before the best of all are ranked.
-A_RANKING = 1 << 20
 #: A byte that UTF-8 never holds stands for a piece's end.
 END = b"\xff"
 FREE, CUTS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -363,12 +362,12 @@ def scored(found: DataFrame, longest: int, percent: int) -> DataFrame:
     """Candidates that no longer one stands for, with l, r and score of their lowest cut."""
     inside = [(start, n) for n in range(2, longest) for start in range(longest - n + 1)]
     part = lambda start, n: F.struct(F.lit(start * longest + n).alias("place"), F.array_join(F.slice("words", start + 1, n), " ").alias("part"))
-    parts = F.array_compact(F.array(*[F.when((start + n <= F.size("words")) & (F.size("words") > n), part(start, n)) for start, n in inside]))
+    short = found.filter(F.size("words") == 2).select("lang", F.struct("phrase", "counts", "a").alias("whole"), F.lit(None).cast("map<int,bigint>").alias("f"))
+    parts = F.array_compact(F.array(F.lit(None).cast("struct<place:int,part:string>"), *[F.when((start + n <= F.size("words")) & (F.size("words") > n), part(start, n)) for start, n in inside]))
     split = found.filter(F.size("words") > 2).select("lang", F.struct("phrase", "counts", "a").alias("whole"), F.explode(parts).alias("p"))
     split = split.join(found.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f")), (split.lang == found.lang) & (F.col("p.part") == F.col("part"))).select(split.lang, "whole", "p.place", "part", "f")
     long = split.groupBy("lang", "whole").agg(F.map_from_entries(F.collect_list(F.struct("place", "f"))).alias("f"))  # a few a phrase
     held = split.groupBy("lang", F.col("part").alias("phrase")).agg(F.max("whole.a").alias("held"))
-    short = found.filter(F.size("words") == 2).select("lang", F.struct("phrase", "counts", "a").alias("whole"), F.lit(None).cast("map<int,bigint>").alias("f"))
     every = short.union(long).select("lang", "whole.*", "f")
     size, million = F.size("counts"), F.lit(1_000_000).cast("decimal(7,0)")
     whole = lambda c: c.cast("decimal(14,0)")  # noqa: E731  (products of three then fit 38 digits)
@@ -386,7 +385,7 @@ def scored(found: DataFrame, longest: int, percent: int) -> DataFrame:
 
 
 def best(scores: DataFrame, top: int, tasks: int) -> DataFrame:
-    """Each language's first ``top``: of every part of its phrases first, then of what these leave."""
+    """Each language's first ``top``: of every of ``tasks`` parts of its phrases first, then of what these leave."""
     order = [F.desc("score"), F.desc("a"), "phrase"]
     part = F.pmod(F.xxhash64("phrase"), F.lit(tasks))
     first = scores.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
@@ -412,6 +411,7 @@ def collocations(
     scratch = Scratch(docs.sparkSession, "collocation")
     counts = scratch.cut(word_counts(docs), "counts")
     found = candidates(docs, counts, longest, least, scratch, most_numbered, longest_numbered)
-    chosen = scratch.cut(best(scored(found, longest, percent), top, 1 + found.count() // A_RANKING), "best")
+    # As many parts as make both rankings about alike in size.
+    chosen = scratch.cut(best(scored(found, longest, percent), top, 1 + isqrt(4 * found.count() // top)), "best")
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     return chosen.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
