@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.trips import course, samples, steady, trace
 from waywright.functions import text
-from waywright.operators import comparing, ghost, matching
+from waywright.operators import comparing, ghost, matching, occupancy
 from waywright.plans.analysis import Analysis
 from waywright.sources import traces
 
@@ -141,3 +141,80 @@ def test_segment_index_equals_all_segments():
         at = np.arange(len(y)), best
         for got, want in zip(g.near(y, x, centre, ahead, behind), (progress, snap), strict=True):
             assert np.array_equal(got, np.where(inside[at], want[at], np.nan), equal_nan=True)
+
+
+def plain_time(pieces, p, q, in_stall):
+    """When a run was at a progress, from all its stretches that reach it."""
+    near = [x for x in pieces if x[5] - 0.05 <= p <= x[6] + 0.05]
+    holds = []
+    for _, e0, e1, *_, good in sorted((x for x in near if x[0] == "hold"), key=lambda x: (x[1], x[2], x[7])):
+        if holds and good == holds[-1][2] and e0 <= holds[-1][1] + 0.5:
+            holds[-1] = (holds[-1][0], max(e1, holds[-1][1]), good)
+        else:
+            holds.append((e0, e1, good))
+    moments = lambda *kinds: [(abs(q - e), e, good) for k, e0, e1, p0, p1, _, _, good in near if k in kinds for e in (e0 + min(1.0, max(0.0, (p - p0) / (p1 - p0))) * (e1 - e0),)]
+    inside = [h for h in holds if h[0] <= q <= h[1]]
+    if inside:
+        return q, any(h[2] for h in inside)
+    clamped, arrivals = [[(abs(q - at(h)), at(h), h[2]) for h in holds] for at in (lambda h: min(h[1], max(h[0], q)), lambda h: h[0])]
+    found = (clamped, moments("up", "down")) if in_stall else (moments("up"), arrivals, moments("down"))
+    return next((min(x)[1:] for x in found if x), None)
+
+
+def wander(r, n, still=0.4):
+    """A run's stretches one after another: holds (some wide), ways up and down, moments without length, gaps in trust."""
+    t, p, out = 0.0, 0.0, []
+    for _ in range(n):
+        dt = r.choice([0.0, 0.3, 1000.0, 1000.0, 2000.0])
+        if r.random() < still:
+            step = r.choice([0.0, 0.05, 0.02])
+            wide = r.choice([0.0, 0.0, 1.5])
+            out.append(("hold", t, t + dt, p, p + step, p - wide, p + step + wide, r.random() < 0.8))
+        else:
+            step = r.choice([-4.0, -0.1, 0.1, 3.0, 5.0, 5.0])
+            out.append(("up" if step > 0 else "down", t, t + dt, p, p + step, min(p, p + step), max(p, p + step), r.random() < 0.8))
+        t, p = t + dt, p + step
+    return out
+
+
+def test_times_at_a_progress_equal_all_stretches():
+    r = random.Random(17)
+    for n in (0, 1, 2, 5, 30, 120):
+        for _ in range(30):
+            pieces = wander(r, n)
+            run = occupancy.Occupancy(sorted(pieces, key=lambda x: (x[1], x[2])))
+            times = [0.0, 500.0] + [x[k] for x in pieces for k in (1, 2)]
+            spots = [0.0, 3.3] + [x[k] for x in pieces for k in (3, 4)]
+            for _ in range(60):
+                p, q, still = r.choice(spots) + r.choice([0.0, 0.0, 0.04, -1.3]), r.choice(times) + r.choice([0.0, 0.0, 250.0]), r.random() < 0.5
+                assert run.at(p, q, still) == plain_time(pieces, p, q, still), (pieces, p, q, still)
+
+
+def test_hours_in_one_stretch_are_answered_in_little_more_than_linear_time():
+    import time
+
+    r = random.Random(3)
+    took = []
+    for n in (20_000, 80_000):
+        t, p, pieces = 0.0, 10.0, []
+        for i in range(n):
+            to = min(60.0, max(0.0, p + r.uniform(-2, 2)))
+            flat = i % 5 == 0
+            to = p if flat else to
+            pieces.append(("hold" if flat else "up" if to > p else "down", t, t + 1000, p, to, min(p, to), max(p, to), True))
+            t, p = t + 1000, to
+        run = occupancy.Occupancy(pieces)
+        began = time.time()
+        for _ in range(5_000):
+            run.at(r.uniform(0, 60), r.uniform(0, t), r.random() < 0.5)
+        took.append(time.time() - began)
+    assert took[1] < 2.5 * took[0] + 0.5 and took[1] < 10
+
+
+def test_a_run_of_whom_much_is_asked_answers_in_many_tasks(spark):
+    r = random.Random(5)
+    pieces = wander(r, 200)
+    rows = spark.createDataFrame([("o", *x) for x in pieces], "owner string, kind string, e0 double, e1 double, p0 double, p1 double, lo double, hi double, good boolean")
+    asked = [("a", "o", "current", n, r.uniform(0, 100), float(r.randrange(100_000)), n % 2 == 0) for n in range(500)] + [("a", "nobody", "current", 1, 1.0, 1.0, False)]
+    got = ghost.paired(spark.createDataFrame(asked, "attempt_id string, owner string, source string, n int, progress_m double, elapsed_ms double, in_stall boolean"), rows, a_task=60).collect()
+    assert {(x.owner, x.n): (x.other_ms, x.good) for x in got} == {(o, n): plain_time(pieces if o == "o" else [], p, q, still) or (None, False) for _, o, _, n, p, q, still in asked}

@@ -2,22 +2,27 @@
 
 A run's knots are its accepted samples between start and finish.  Stretches without
 movement hold a progress for a while, so a progress has not one time but several: holds
-(intervals) and passages upwards or downwards (instants).  A knot of one run is paired with
-the other's holds and passages at its progress by a join on buckets of progress.
+(intervals) and passages upwards or downwards (instants).  What a run was asked for streams
+past its own stretches, which are searched by time and progress.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..sources.staging import staged
 from .matching import points_at
+from .occupancy import Occupancy
+from .streams import in_order
 from .timing import course_numbers, crossing_time
 
-#: Width of the buckets of progress in which what may meet is joined.
-BUCKET_M = 50.0
+#: Questions to one run that a task answers, about.
+A_TASK = 100_000
 
 
 def knots(matched: DataFrame, ranked: DataFrame, courses: DataFrame) -> DataFrame:
@@ -84,54 +89,47 @@ def painted_finish(knots_of: DataFrame, legs_of: DataFrame, ranked: DataFrame, c
 
 
 def _pieces(legs_of: DataFrame, stalls_of: DataFrame) -> DataFrame:
-    """What holds or passes each bucket of progress: owner, kind (hold, up, down), e0, e1, p0, p1, lo, hi, good, bucket."""
+    """A run's stretches: owner, kind (hold, up, down), e0, e1, p0, p1, lo, hi, good."""
     flat = F.abs(F.col("p1") - F.col("p0")) <= K.GHOST_M
     kind = F.when(flat, "hold").when(F.col("p1") > F.col("p0"), "up").otherwise("down")
     moving = legs_of.filter("not stall").select("attempt_id", kind.alias("kind"), "e0", "e1", "p0", "p1", F.least("p0", "p1").alias("lo"), F.greatest("p0", "p1").alias("hi"), "good")
     held = stalls_of.select("attempt_id", F.lit("hold").alias("kind"), "e0", "e1", F.col("lo").alias("p0"), F.col("hi").alias("p1"), "lo", "hi", F.lit(True).alias("good"))
-    spread = F.sequence(F.floor((F.col("lo") - 2 * K.GHOST_M) / BUCKET_M), F.floor((F.col("hi") + 2 * K.GHOST_M) / BUCKET_M))
-    return moving.unionByName(held).withColumnRenamed("attempt_id", "owner").withColumn("bucket", F.explode(spread))
-
-
-def _merged(holds: Column) -> Column:
-    """Holds in order, with those of one coverage that touch (to half a millisecond) made one."""
-    kind = "array<struct<e0:double,e1:double,good:boolean>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (x["good"] == last["good"]) & (x["e0"] <= last["e1"] + 0.5)
-        longer = F.struct(last["e0"].alias("e0"), F.greatest(last["e1"], x["e1"]).alias("e1"), last["good"].alias("good"))
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.sort_array(holds), F.array().cast(kind), step)
-
-
-def _nearest(array: Column, distance, at) -> Column:
-    """struct(gap, at, good) of the nearest element; earlier ones win ties; null if there is none."""
-    return F.array_min(F.transform(array, lambda x: F.struct(distance(x).alias("gap"), at(x).alias("at"), x["good"].alias("good"))))
-
-
-def paired(asked: DataFrame, pieces: DataFrame) -> DataFrame:
-    """asked (attempt_id, owner, source, n, progress_m, elapsed_ms, in_stall) with other_ms and good, the owner's time at that progress."""
-    q = F.col("elapsed_ms")
-    a = asked.withColumn("bucket", F.floor(F.col("progress_m") / BUCKET_M))
-    near = (F.col("progress_m") + K.GHOST_M >= F.col("lo")) & (F.col("progress_m") - K.GHOST_M <= F.col("hi"))
-    j = a.join(pieces, ["owner", "bucket"]).filter(near)
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("progress_m") - F.col("p0")) / (F.col("p1") - F.col("p0"))))
-    moment = F.struct((F.col("e0") + share * (F.col("e1") - F.col("e0"))).alias("e"), "good")
-    keys = ["attempt_id", "owner", "source", "n"]
-    pick = lambda k, what: F.collect_list(F.when(F.col("kind") == k, what))
-    found = j.groupBy(*keys, "elapsed_ms", "in_stall").agg(_merged(pick("hold", F.struct("e0", "e1", "good"))).alias("holds"), pick("up", moment).alias("ups"), pick("down", moment).alias("downs"))
-    inside = F.filter("holds", lambda h: (q >= h["e0"]) & (q <= h["e1"]))
-    clamp = lambda h: F.least(h["e1"], F.greatest(h["e0"], q))
-    by_clamp = _nearest(F.col("holds"), lambda h: F.abs(q - clamp(h)), clamp)
-    by_arrival = _nearest(F.col("holds"), lambda h: F.abs(q - h["e0"]), lambda h: h["e0"])
-    passing = lambda c: _nearest(c, lambda m: F.abs(q - m["e"]), lambda m: m["e"])
-    held = F.struct(F.lit(0.0).alias("gap"), q.alias("at"), F.exists(inside, lambda h: h["good"]).alias("good"))
-    still = F.coalesce(by_clamp, passing(F.concat("ups", "downs")))
-    moving = F.coalesce(passing(F.col("ups")), by_arrival, passing(F.col("downs")))
-    found = found.withColumn("got", F.when(F.size(inside) > 0, held).when(F.col("in_stall"), still).otherwise(moving))
-    return asked.join(found.select(*keys, "got"), keys, "left").withColumns({"other_ms": F.col("got.at"), "good": F.coalesce("got.good", F.lit(False))}).drop("got")
+    return moving.unionByName(held).withColumnRenamed("attempt_id", "owner")
+
+
+ASKED = ("attempt_id string", "source string", "n int", "progress_m double", "elapsed_ms double", "in_stall boolean")
+PIECE = ("kind string", "e0 double", "e1 double", "p0 double", "p1 double", "lo double", "hi double", "good boolean")
+
+
+def paired(asked: DataFrame, pieces: DataFrame, a_task: int = A_TASK) -> DataFrame:
+    """asked (attempt_id, owner, source, n, progress_m, elapsed_ms, in_stall) with other_ms and good, the owner's time at that progress.
+
+    An owner's stretches are read in order of time and indexed; what is asked of it streams past
+    them.  An owner of whom much is asked, as of a route's best, has its stretches in as many
+    tasks as ``a_task`` questions each make.
+    """
+    salts = asked.groupBy("owner").agg((1 + F.floor(F.count("*") / a_task)).cast("int").alias("salts"))
+    null = lambda fields: [F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in fields]
+    names = lambda fields: [f.split()[0] for f in fields]
+    heads = pieces.join(salts, "owner").select("owner", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), *null(ASKED), *names(PIECE))
+    rows = asked.join(salts, "owner").select("owner", F.pmod(F.xxhash64("attempt_id", "source", "n"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("side"), *names(ASKED), *null(PIECE))
+
+    def each(key: tuple, slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        run = None
+        for part in slices:
+            heads = sum(x == 0 for x in part.column("side").to_pylist())
+            held += zip(*(part.slice(0, heads).column(c).to_pylist() for c in names(PIECE)), strict=True)
+            part = part.slice(heads)
+            if not part.num_rows:
+                continue
+            if run is None:
+                run, held = Occupancy(held), []
+            found = [run.at(p, q, still) or (None, False) for p, q, still in zip(*(part.column(c).to_pylist() for c in ("progress_m", "elapsed_ms", "in_stall")), strict=True)]
+            columns = [part.column("owner"), *(part.column(c) for c in names(ASKED)), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["owner", *names(ASKED), "other_ms", "good"])
+
+    return in_order(heads.unionByName(rows), ["owner", "salt"], ["side", "e0", "e1"], each, ", ".join(["owner string", *ASKED, "other_ms double", "good boolean"]))
 
 
 def _in_stalls(inner: DataFrame, runs: DataFrame) -> DataFrame:
