@@ -218,3 +218,28 @@ def test_a_run_of_whom_much_is_asked_answers_in_many_tasks(spark):
     asked = [("a", "o", "current", n, r.uniform(0, 100), float(r.randrange(100_000)), n % 2 == 0) for n in range(500)] + [("a", "nobody", "current", 1, 1.0, 1.0, False)]
     got = ghost.paired(spark.createDataFrame(asked, "attempt_id string, owner string, source string, n int, progress_m double, elapsed_ms double, in_stall boolean"), rows, a_task=60).collect()
     assert {(x.owner, x.n): (x.other_ms, x.good) for x in got} == {(o, n): plain_time(pieces if o == "o" else [], p, q, still) or (None, False) for _, o, _, n, p, q, still in asked}
+
+
+def test_long_traces_in_parts_equal_one_walk(spark):
+    """Detours, retraced ways, crossings of the path, poor fixes and jumps: parts of a hundred samples, joined, are the whole walk."""
+    r = random.Random(21)
+    path = winding(700, 4)
+    g = matching._Geometry(*map(np.array, zip(*path, strict=True)))
+    length, rows = float(g.s1[-1]), []
+    for a, n in (("a", 1500), ("b", 750), ("c", 60), ("lost", 400)):
+        p, off = 0.0, 0
+        for i in range(n):
+            p = min(length, max(0.0, p + r.choice([5.0, 6.0, 4.0, -3.0, 0.0] if i % 400 < 300 else [-5.0, -6.0, 2.0])))
+            off = off - 1 if off else (60 if r.random() < 0.004 else 0)
+            on = int(min(np.searchsorted(g.s1, p), len(g.s1) - 1))
+            lat, lon = g.point(np.array([on]), np.array([(p - g.s0[on]) / g.length[on]]))
+            away = 0.05 if a == "lost" else 0.001 * (off > 0)
+            rows.append((a, a, "r", f"{i:05d}", 1_700_000_000_000 + 1000 * (i // 2 if i % 50 == 1 else i), float(lat[0]) + r.gauss(0, 5e-5) + away, float(lon[0]) + r.gauss(0, 5e-5), r.choice([5.0, 5.0, None, 60.0]), None))
+    from tests.trips import SAMPLE
+
+    s, c = spark.createDataFrame(rows, SAMPLE), course(spark, path=path)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    whole = key(matching.match_samples(s, c))
+    assert key(matching.match_samples(s.repartition(5), c, part=100)) == whole
+    assert {x[10] for x in whole} >= {"accepted", "off_course", "poor_accuracy"}
+    assert key(matching.match_samples(s, c.limit(0), part=100)) == []

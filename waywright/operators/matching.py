@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import extent, haversine
+from ..sources.staging import staged
 from .streams import in_order
 
 #: Samples times segments that are projected at a time, and samples where a course has many segments.
 MOST_CELLS, FEW = 200_000, 32
 #: Neighbouring segments, or boxes of them, that one box holds, and what a bound on distances is too large by, at most.
 FAN, SLACK_M = 32, 1e-3
+#: Samples of a trace up to which one task walks it; longer ones are walked in parts of as many.
+A_PART = 100_000
+MATCHED = "attempt_id string, route_id string, seq int, t long, latitude double, longitude double, accuracy double, speed double, progress_m double, snap_m double, quality string, advancing boolean"
 #: Places in which a course meets its points.
 SALTS = 16
 
@@ -323,25 +327,35 @@ class _Follower(_Geometry):
                 self.last = float(p[w])
 
 
-def match_samples(samples: DataFrame, courses: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+def match_samples(samples: DataFrame, courses: DataFrame, attempts: DataFrame | None = None, part: int = A_PART) -> DataFrame:
     """Each attempt's samples, in order of time and id, matched to its course one after another.
 
     ``attempts`` names the (attempt_id, route_id) of the samples, if a table of them is at hand.
 
     Where a sample may lie depends on the last one accepted, so a trace is gone through in
     order, by numpy; it streams through its task in slices, after a row that holds its course,
-    and only the last accepted progress is remembered.  Returns attempt_id, route_id, seq
+    and only the last accepted progress is remembered.  A trace of more than ``part`` samples
+    is walked in parts at the same time, see longtrace.  Returns attempt_id, route_id, seq
     (from 0), t, latitude, longitude, accuracy, speed, progress_m, snap_m, quality, advancing.
     An attempt whose course has no point gets quality out_of_window.
     """
     nothing = lambda t: F.lit(None).cast(t)
     path = courses.select("route_id", F.transform("path", lambda p: p["latitude"]).alias("lats"), F.transform("path", lambda p: p["longitude"]).alias("lons"), "start_p")
     heads = (samples if attempts is None else attempts).select("attempt_id", "route_id").distinct().join(path, "route_id")
+    keys = ["attempt_id", "route_id"]
+    sizes = samples.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > part).select(*keys)
+    long = None
+    if sizes.limit(1).count():
+        from .longtrace import match_long
+
+        sizes = staged(sizes, "match-long")
+        mine = samples.join(sizes, keys, "left_semi").join(heads.select(*keys), keys, "left_semi")
+        long = match_long(mine.select(*keys, "id", F.col("recorded_at_ms").alias("t"), "latitude", "longitude", "accuracy", "speed"), path, part)
+        samples, heads = (rows.join(sizes, keys, "left_anti") for rows in (samples, heads))
     names = ["attempt_id", "route_id", "side", "t", "id", "latitude", "longitude", "accuracy", "speed", "lats", "lons", "start_p"]
     heads = heads.withColumns({"side": F.lit(0), "t": nothing("long"), "id": nothing("string"), **{c: nothing("double") for c in ("latitude", "longitude", "accuracy", "speed")}}).select(names)
     rows = samples.withColumns({"side": F.lit(1), "t": F.col("recorded_at_ms"), "lats": nothing("array<double>"), "lons": nothing("array<double>"), "start_p": nothing("double")}).select(names)
-    schema = "attempt_id string, route_id string, seq int, t long, latitude double, longitude double, accuracy double, speed double, progress_m double, snap_m double, quality string, advancing boolean"
-    out_names = [c.split()[0] for c in schema.split(", ")]
+    out_names = [c.split()[0] for c in MATCHED.split(", ")]
 
     def follow(key: tuple, slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         follower, seq = None, 0
@@ -359,7 +373,8 @@ def match_samples(samples: DataFrame, courses: DataFrame, attempts: DataFrame |
             )
             seq += n
 
-    return in_order(heads.unionByName(rows), ["attempt_id", "route_id"], ["side", "t", "id"], follow, schema)
+    short = in_order(heads.unionByName(rows), keys, ["side", "t", "id"], follow, MATCHED)
+    return short if long is None else short.unionByName(long)
 
 
 def usable_samples(samples: DataFrame) -> DataFrame:
