@@ -17,18 +17,33 @@ from .streams import in_order
 FIX = ("latitude", "longitude", "accuracy", "speed", "progress_m", "matched")
 
 
-def _bound(fixes: DataFrame, runs: DataFrame, at: str, place: int) -> DataFrame:
-    """The fix at an attempt's ``at``: one within half a millisecond, else between the two around it, if these aren't too far apart."""
-    f = fixes.join(runs.select("attempt_id", F.col(at).alias("at")), "attempt_id")
+def _points(fixes: DataFrame, runs: DataFrame) -> DataFrame:
+    """attempt_id, place (0 start, 1 between, 2 finish), t and FIX: the fixes of each run's official time, and those at its start and finish.
+
+    At a bound stands a fix within half a millisecond, else what lies between the two around it,
+    if these aren't too far apart.  Bounds are put in line with the fixes, ahead of one of the
+    same time, so that each finds its neighbours in the line; times of fixes rise.
+    """
     fix = F.struct(F.col("t").cast("double").alias("t"), *FIX)
-    exact = F.min(F.when(F.abs(F.col("t") - F.col("at")) <= 0.5, fix))
-    f = f.groupBy("attempt_id", "at").agg(exact.alias("e"), F.max(F.when(F.col("t") < F.col("at"), fix)).alias("l"), F.min(F.when(F.col("t") > F.col("at"), fix)).alias("r"))
-    share = (F.col("at") - F.col("l.t")) / (F.col("r.t") - F.col("l.t"))
+    ends = runs.select("attempt_id", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.col("started_at").alias("t")), F.struct(F.lit(2).alias("place"), F.col("finished_at").alias("t")))).alias("x"))
+    line = fixes.select("attempt_id", F.col("t").cast("double").alias("t"), F.lit(1).alias("turn"), F.lit(1).alias("place"), fix.alias("fix"))
+    line = line.unionByName(ends.select("attempt_id", "x.t", F.lit(0).alias("turn"), "x.place"), allowMissingColumns=True)
+    order = Window.partitionBy("attempt_id").orderBy("t", "turn", "place")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Between two fixes stand two bounds at most.
+    near = {"l": F.coalesce(F.lag("fix", 1).over(order), F.lag("fix", 2).over(order)), "r": F.coalesce(F.lead("fix", 1).over(order), F.lead("fix", 2).over(order))}
+    start = F.max(F.when(F.col("place") == 0, F.col("t"))).over(so_far)
+    line = line.withColumns({**near, "start": start, "over": F.max((F.col("place") == 2).cast("int")).over(so_far)})
+    inner = line.filter("place = 1 and over = 0 and t > start").select("attempt_id", "place", "t", *[F.col(f"fix.{c}").alias(c) for c in FIX])
+
+    e = F.when(F.abs(F.col("t") - F.col("l.t")) <= 0.5, F.col("l")).when(F.abs(F.col("r.t") - F.col("t")) <= 0.5, F.col("r"))
+    share = (F.col("t") - F.col("l.t")) / (F.col("r.t") - F.col("l.t"))
     between = lambda c: F.col(f"l.{c}") + share * (F.col(f"r.{c}") - F.col(f"l.{c}"))
     both = F.col("l").isNotNull() & F.col("r").isNotNull() & (F.col("r.t") - F.col("l.t") <= K.GAP_MS)
     mixed = {**{c: between(c) for c in ("latitude", "longitude", "speed", "progress_m")}, "accuracy": F.greatest("l.accuracy", "r.accuracy"), "matched": F.col("l.matched") & F.col("r.matched")}
     mixed["matched"] = mixed["matched"] & mixed["progress_m"].isNotNull()
-    return f.filter(F.col("e").isNotNull() | both).select("attempt_id", F.lit(place).alias("place"), F.col("at").alias("t"), *[F.when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(mixed[c]).alias(c) for c in FIX])
+    bounds = line.filter("place <> 1").withColumn("e", e).filter(F.col("e").isNotNull() | both)
+    return inner.unionByName(bounds.select("attempt_id", "place", "t", *[F.when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(mixed[c]).alias(c) for c in FIX]))
 
 
 def intervals(usable: DataFrame, runs: DataFrame) -> DataFrame:
@@ -40,8 +55,7 @@ def intervals(usable: DataFrame, runs: DataFrame) -> DataFrame:
     """
     fixes = usable.select("attempt_id", "t", "latitude", "longitude", "accuracy", "speed", "progress_m", (F.col("quality") == "accepted").alias("matched"))
     runs = runs.filter("finished_at > started_at").select("attempt_id", "started_at", "finished_at")
-    inner = fixes.join(runs, "attempt_id").filter((F.col("t") > F.col("started_at")) & (F.col("t") < F.col("finished_at"))).select("attempt_id", F.lit(1).alias("place"), F.col("t").cast("double").alias("t"), *FIX)
-    points = _bound(fixes, runs, "started_at", 0).unionByName(inner).unionByName(_bound(fixes, runs, "finished_at", 2))
+    points = _points(fixes, runs)
 
     order = Window.partitionBy("attempt_id").orderBy("place", "t")
     ends = [F.lead(c).over(order).alias(f"to_{c}") for c in ("t", *FIX)]
