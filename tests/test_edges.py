@@ -243,3 +243,16 @@ def test_long_traces_in_parts_equal_one_walk(spark):
     assert key(matching.match_samples(s.repartition(5), c, part=100)) == whole
     assert {x[10] for x in whole} >= {"accepted", "off_course", "poor_accuracy"}
     assert key(matching.match_samples(s, c.limit(0), part=100)) == []
+
+
+def test_extra_columns_of_any_name_change_nothing(spark):
+    """Samples, courses and attempts with columns that carry names used inside: every derived table is as without them."""
+    names = "p prev_p prev_t start_p finish_p trigger_p validity lifecycle seq t side lats quality progress_m n part label started_at finished_at official_ms eligible reason least_p rank at best replayed salt path place".split()
+    s = samples(spark, trace("a", steady()), trace("b", [(i, 5.0 * min(i, 80 if i < 100 else i - 20)) for i in range(182)], 3000))
+    c = course(spark, marks=[("m", 400)])
+    extra = lambda df: df.withColumns({x: F.lit("x") for x in names if x not in df.columns})
+    plain = Analysis(s, c, traces.synthetic_attempts(s))
+    other = Analysis(extra(s), extra(c), extra(traces.synthetic_attempts(s)))
+    for table in ("matched", "runs", "crossings", "status", "focus", "segments", "intervals", "waits", "comparison", "legs", "ghosts", "report"):
+        a, b = getattr(plain, table), getattr(other, table)
+        assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())), table

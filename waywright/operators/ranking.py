@@ -14,8 +14,13 @@ BEST = ("official_ms", "started_at", "armed_at_ms", "attempt_id")
 
 
 def attempt_status(attempts: DataFrame, runs: DataFrame, courses: DataFrame) -> DataFrame:
-    """Every attempt with eligible, reason (null if eligible), started_at, finished_at, official_ms; recorded times are not trusted."""
-    a = attempts.join(runs.drop("route_id").withColumnRenamed("lifecycle", "replayed"), "attempt_id", "left").join(courses.select("route_id", "start_p"), "route_id")
+    """Every attempt with eligible, reason (null if eligible), started_at, finished_at, official_ms; recorded times are not trusted.
+
+    Attempts without a replay lack telemetry.  Other columns of the tables, whatever their names, are ignored.
+    """
+    own = attempts.select("attempt_id", "route_id", "armed_at_ms", "recorded_finished_at_ms", "lifecycle")
+    replayed = runs.select("attempt_id", F.col("lifecycle").alias("replayed"), "validity", "started_at", "finished_at", "least_p")
+    a = own.join(replayed, "attempt_id", "left").join(courses.select("route_id", "start_p"), "route_id")
     threshold = F.when(F.col("start_p") <= K.START_NOISE_M, K.START_NOISE_M).otherwise(F.col("start_p"))
     reason = (
         F.when(F.col("lifecycle") != "completed", "not_completed").when(F.col("replayed").isNull(), "missing_telemetry").when(F.col("replayed") != "completed", "replay_incomplete")

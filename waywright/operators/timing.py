@@ -38,8 +38,11 @@ def crossing_time(line: Column, p0: Column = None, t0: Column = None, p1: Column
 def replay(matched: DataFrame, courses: DataFrame) -> DataFrame:
     """One row an attempt: lifecycle, validity, started_at, finished_at, end_seq and least_p (of accepted samples up to it).
 
-    Samples with equal times count as one moment in the departure window.
+    Samples with equal times count as one moment in the departure window.  Attempts whose route
+    has no course are left out; samples without an attempt are one attempt without an id.  Other
+    columns of either table, whatever their names, are ignored.
     """
+    matched = matched.select("attempt_id", "route_id", "seq", "t", "progress_m", "quality")
     rows = matched.join(course_numbers(courses), "route_id").withColumns({"p": F.col("progress_m"), "ok": F.col("quality") == "accepted", "off": F.col("quality").isin("off_course", "out_of_window")})
     every = Window.partitionBy("attempt_id").orderBy("seq")
     upto = every.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -95,7 +98,7 @@ def replay(matched: DataFrame, courses: DataFrame) -> DataFrame:
 def crossings(matched: DataFrame, courses: DataFrame, runs: DataFrame) -> DataFrame:
     """attempt_id, checkpoint_id, name, progress_m, cp_order, crossed_at: the first crossing of each checkpoint not before the start."""
     order = Window.partitionBy("attempt_id").orderBy("seq")
-    acc = matched.filter("quality = 'accepted'").withColumns({"p": F.col("progress_m"), "prev_p": F.lag("progress_m").over(order), "prev_t": F.lag("t").over(order)}).drop("progress_m", "route_id")
+    acc = matched.filter("quality = 'accepted'").select("attempt_id", "seq", "t", "progress_m").withColumns({"p": F.col("progress_m"), "prev_p": F.lag("progress_m").over(order), "prev_t": F.lag("t").over(order)}).drop("progress_m")
     live = runs.filter("started_at is not null").select("attempt_id", "route_id", "started_at", "end_seq")
     pairs = acc.join(live, "attempt_id").filter(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq")))
     hit = pairs.join(interior_checkpoints(courses), "route_id").filter((F.col("prev_p") < F.col("progress_m")) & (F.col("p") >= F.col("progress_m")))
@@ -109,7 +112,7 @@ def start_zone_status(attempts: DataFrame, matched: DataFrame, courses: DataFram
     The sample is matched once more near the last progress accepted while the attempt was open.
     """
     last = matched.groupBy("attempt_id").agg(F.max(F.struct("seq", "quality", "latitude", "longitude")).alias("l"))
-    ends = matched.join(runs.select("attempt_id", "end_seq"), "attempt_id").filter((F.col("quality") == "accepted") & (F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))))
+    ends = matched.select("attempt_id", "seq", "quality", "progress_m").join(runs.select("attempt_id", "end_seq"), "attempt_id").filter((F.col("quality") == "accepted") & (F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))))
     centre = ends.groupBy("attempt_id").agg(F.max(F.struct("seq", "progress_m")).alias("c"))
     rows = attempts.select("attempt_id", "route_id").join(last, "attempt_id", "left").join(centre, "attempt_id", "left").join(course_numbers(courses), "route_id")
     known = F.col("c").isNotNull()
