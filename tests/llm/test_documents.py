@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import uuid
 import zlib
 from collections import Counter
 
@@ -275,12 +276,82 @@ def test_secrets_battery_tests_lower_case_keys(spark):
 
 
 def test_secrets_levels_of_ordinary_text():
+    """Levels of many pieces at once, in each family's alphabet, are those of single tokens."""
     r = random.Random(12)
+    alphabets = {26: string.ascii_lowercase, 36: string.ascii_lowercase + string.digits, 52: string.ascii_letters, 62: string.ascii_letters + string.digits}
     for n in secrets.JOINED:
-        texts = ["".join(r.choices(string.ascii_lowercase[: r.choice([8, 26])], k=n)) for _ in range(200)] + ["a" * n, "z" * n]
-        texts = [t for t in texts if secrets.encoding_of(t)[0] == "lower"]
-        assert secrets.levels(np.array([list(t.encode()) for t in texts], np.uint8) - 97).tolist() == [secrets.level(t) for t in texts]
-    assert bytes(secrets.joined_words("Some words, (not) these2 BUT a ..these. éa\n" + "x" * 20) + 97) == b"somewordsthese"
+        for sizes, most in (((26, 36), 26), ((52, 62), 52)):
+            texts = ["".join(r.choices(alphabets[most][: r.choice([8, most])], k=n)) for _ in range(100)] + ["a" * n, alphabets[most][-1] * n]
+            got = secrets.levels(np.array([[alphabets[most].index(c) for c in t] for t in texts], np.uint8), sizes)
+            for size, found in zip(sizes, got, strict=True):
+                for t, lev in zip(texts, found.tolist(), strict=True):
+                    assert lev == min(secrets.MOST_BIN, int(-8 * math.log10(p)) if (p := battery(t, alphabets[size])) > 0 else secrets.MOST_BIN), (t, size)
+    words = secrets.WORD.findall("Some words, (not) these2 BUT a ..these. éa\n" + "x" * 20)
+    joined = secrets.joined_words(words)
+    assert bytes(joined + 97) == b"somewordsthese" and "".join(string.ascii_letters[i] for i in secrets.in_capitals(words, joined)) == "SomeWordsThese"
+
+
+def battery(token, alphabet):
+    """The battery's p value in a given alphabet, by plain formulas."""
+    at, n, size = [alphabet.index(c) for c in token], len(token), len(alphabet)
+    chi = sum(at.count(c) ** 2 for c in set(at)) * size / n - n
+    tests = [max(1e-300, math.erfc((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n) / math.sqrt(2)) / 2)]
+    high = [2 * x >= size for x in at]
+    ones = sum(high)
+    if 0 < ones < n:
+        mean = 1 + 2 * ones * (n - ones) / n
+        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+        tests.append(math.erfc(abs(1 + sum(a != b for a, b in zip(high, high[1:])) - mean) / spread / math.sqrt(2)))
+    else:
+        tests.append(2.0 ** (1 - n))
+    middle = sum(at) / n
+    power = sum((x - middle) ** 2 for x in at)
+    lag = sum((a - middle) * (b - middle) for a, b in zip(at, at[1:])) / power if power else 1.0
+    tests.append(math.erfc(abs(lag + 1 / n) * math.sqrt(n) / math.sqrt(2)))
+    x = -sum(math.log(max(p, 1e-300)) for p in tests)
+    return min(1.0, math.exp(-x) * (1 + x + x * x / 2)) if x < 700 else 0.0
+
+
+KEYS = {
+    "base62 of 40": lambda r: "".join(r.choices(string.ascii_letters + string.digits, k=40)), "base62 of 24": lambda r: "".join(r.choices(string.ascii_letters + string.digits, k=24)),
+    "base64": lambda r: base64.b64encode(r.randbytes(32)).decode(), "HEX": lambda r: r.randbytes(16).hex().upper(), "base32": lambda r: base64.b32encode(r.randbytes(25)).decode(),
+    "prefixed": lambda r: "sk_live_" + "".join(r.choices(string.ascii_letters + string.digits, k=32)), "decimal of 30": lambda r: "".join(r.choices(string.digits, k=30)),
+    "UUID": lambda r: str(uuid.UUID(bytes=r.randbytes(16))), "base36 of 24": lambda r: "".join(r.choices(string.ascii_lowercase + string.digits, k=24)),
+}
+
+
+def test_secrets_of_every_form_in_the_given_documents(spark):
+    """Keys of nine forms and ten times as many long names, planted in the driver's documents: most keys are found, and few names."""
+    r = random.Random(7)
+    parts = "get set user account information connection manager service request response handler default configuration initial value update delete insert remove create build parse render message event".split()
+    shapes = [lambda w: w[0] + "".join(map(str.capitalize, w[1:])), "_".join, "/".join, lambda w: "-".join(w) + str(r.randint(1, 99)), lambda w: "".join(map(str.capitalize, w)) + str(r.randint(1, 9999))]
+    planted = [(form, make(r)) for form, make in KEYS.items() for _ in range(40)] + [("name", r.choice(shapes)(r.choices(parts, k=r.randint(3, 6)))) for _ in range(400)]
+    r.shuffle(planted)
+    texts = [x.text or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for n, (_, token) in enumerate(planted):
+        texts[n % len(texts)] += f" {token} end"
+    d = docs(spark, list(enumerate(texts)))
+    limits = secrets.calibrate(d)
+    found = {i: [(int(a), int(b)) for kind, a, b in (s.split(":") for s in x.spans.split(",") if s)] for i, x in ((x.doc_id, x) for x in secrets.scan(d, limits).collect())}
+    hits = Counter(form for n, (form, token) in enumerate(planted) for at in [texts[n % len(texts)].index(f" {token} end") + 1] if any(a <= at and b >= at + len(token.rstrip("=")) for a, b in found[n % len(texts)]))
+    for form in KEYS:
+        assert hits[form] >= (0.7 if "24" in form else 0.85) * 40, (form, hits)
+    assert sum(hits[f] for f in KEYS) >= 0.88 * 40 * len(KEYS) and hits["name"] <= 0.05 * 400
+    # The spans are those of a plain walk over tokens with the same limits.
+    for i, text in enumerate(texts[:400]):
+        base = base_secrets(text)
+        want = [(a, b) for a, _, b in base]
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            if not any(a < m.end() and b > m.start() for a, _, b in base):
+                body = m.group().rstrip("=")
+                groups = [g for g in re.split("[-_]+", body) if g]
+                tried = [body] + [g for g in groups if 16 <= len(g) < len(body)]
+                if "-" in body or "_" in body:
+                    whole = "".join(groups)
+                    tried = [whole] if len(whole) >= 24 and any(set(whole) <= set(s) for s in (string.digits, string.digits + "abcdef", string.digits + "ABCDEF")) else tried
+                if any((w := secrets.judged(u))[1] <= limits.get(w[0], -1) for u in tried):
+                    want.append((m.start(), m.end()))
+        assert sorted(found[i]) == sorted(want), i
 
 
 def test_secrets_copies_of_a_text_are_one_evidence(spark):

@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and a battery of randomness tests under false-discovery control.
 
-The battery asks of every long token whether its characters look drawn at random from the
-encoding that it seems to use: a chi-squared test of uniformity, a runs test around the
-alphabet's middle and a serial-correlation test, joined by Fisher's method into one p value.
-How often ordinary text reaches such a value depends on its length, so tokens are judged in
-strata of length against ordinary text of that length, joined words of every document, and a
-stratum's findings are limited by the Benjamini-Hochberg rule.  Tokens that may be words,
-letters in one case, have strata of their own, so that many long words don't hide other tokens.
+The battery asks of every long token, and of long groups in it, whether its characters look
+drawn at random from the encoding that it seems to use: a chi-squared test of uniformity, a
+runs test around the alphabet's middle and a serial-correlation test, joined by Fisher's method
+into one p value.  How often ordinary text reaches such a value depends on its length and on
+how it is written, so tokens are judged in strata of length and family of encodings, against
+ordinary text of that length in that family: the joined words of every document, in lower case
+or with capitals as in mixed-case names.  A stratum's findings are limited by the
+Benjamini-Hochberg rule.  Whole numbers in base 10 or 16 have no ordinary text; from 24 digits
+on the battery alone judges them, at the rate of discovery.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+GROUPS = re.compile(r"[-_]+")
+LEAST_GROUP, LEAST_NUMBER = 16, 24
 # Encodings, the smallest first; a token is taken to use the first that has all its characters.
 ENCODINGS = (
     ("decimal", digits),
@@ -55,15 +59,22 @@ DISCOVERY = 0.05
 #: Lengths of the pieces of joined words, one a stratum, and how much ordinary text a stratum needs of its own.
 JOINED = (16, 23, 32, 46, 64, 91, 128)
 LEAST_ORDINARY = 200
-#: Counts of a text: kinds are tokens (0, or 1 if they may be words) and ordinary text.
-ORDINARY = 2
+#: Lengths of joined words with capitals; longer tokens are judged by the longest, as longer words pass for random less often.
+CAPITALS = (16, 23, 32)
+# Families of encodings: letters in one case, these with digits, letters in both cases, these with digits or signs, and whole numbers.
+LOWER, ALNUM, LETTERS, MIXED, NUMBER = range(5)
+FAMILY = {"decimal": NUMBER, "hex": NUMBER, "HEX": NUMBER, "lower": LOWER, "upper": LOWER, "base32": ALNUM, "base36": ALNUM, "BASE36": ALNUM, "letters": LETTERS}
+#: Alphabets in which ordinary text is counted, by family.
+WRITTEN = {LOWER: 26, ALNUM: 36, LETTERS: 52, MIXED: 62}
+#: Kinds of a text's counts: tokens by family, and beyond this ordinary text by family.
+ORDINARY = 8
 COUNTS = np.dtype([("stratum", "u1"), ("kind", "u1"), ("level", "u1"), ("n", "<u4")])
 WORD = re.compile(r"(?<!\S)[.,;:!?]*([A-Za-z][a-z]{1,18})[.,;:!?]*(?!\S)")
 BLOCK = 1 << 20  # letters at a time
 SLICE = 256
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
-Stratum = tuple[int, bool]  # of length, and whether its tokens may be words
+Stratum = tuple[int, int]  # of length, and family
 
 
 def base_spans(text: str) -> list[Span]:
@@ -132,15 +143,24 @@ def stratum(n: int) -> int:
     return int(2 * math.log2(n))
 
 
-def _is_word(token: str) -> bool:
-    """Letters in one case, a capital at the start allowed: what ordinary words look like."""
-    return token.isalpha() and token[1:].islower()
+def judged(unit: str) -> tuple[Stratum, int]:
+    """A unit's stratum and level; letters are in one case if a capital stands at the start alone."""
+    unit = unit.rstrip("=")
+    if unit.isalpha() and (unit[1:].islower() or unit.isupper()):
+        unit = unit.lower()
+    return (stratum(max(1, len(unit))), FAMILY.get(encoding_of(unit)[0], MIXED)), level(unit)
 
 
-def judged(token: str) -> tuple[Stratum, int]:
-    """A token's stratum and level; a capital at the start of letters in lower case doesn't count."""
-    word = _is_word(token.rstrip("="))
-    return (stratum(len(token)), word), level(token.lower() if word else token)
+def units(token: str) -> list[str]:
+    """What of a token is tested: itself and its long groups, or all groups as one where they make a whole number."""
+    body = token.rstrip("=")
+    if "-" not in body and "_" not in body:
+        return [body]
+    groups = [g for g in GROUPS.split(body) if g]
+    whole = "".join(groups)
+    if len(whole) >= LEAST_NUMBER and FAMILY.get(encoding_of(whole)[0]) == NUMBER:
+        return [whole]
+    return [body, *(g for g in groups if LEAST_GROUP <= len(g) < len(body))]
 
 
 def _tokens(text: str, spans: list[Span]) -> Iterator[re.Match]:
@@ -157,15 +177,22 @@ def _tokens(text: str, spans: list[Span]) -> Iterator[re.Match]:
             yield m
 
 
-def joined_words(text: str) -> np.ndarray:
-    """The letters of a text's short words, joined, from 0 for a."""
-    return np.frombuffer("".join(WORD.findall(text)).lower().encode(), np.uint8) - ord("a")
+def joined_words(words: list[str]) -> np.ndarray:
+    """The letters of words, joined, from 0 for a, in lower case."""
+    return np.frombuffer("".join(words).lower().encode(), np.uint8) - ord("a")
+
+
+def in_capitals(words: list[str], joined: np.ndarray) -> np.ndarray:
+    """Joined words with each word's first letter a capital, from 26 on: how mixed-case names are written."""
+    at = joined.copy()
+    at[np.cumsum([0, *map(len, words)], dtype=np.int64)[:-1]] += 26
+    return at
 
 
 @functools.cache
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithms of the p values of n letters: of uniformity by the sum of squared counts, of runs by how many are high and change."""
-    z = (np.arange(n * n + 1) * 26 / n - n - 25) / math.sqrt(50 * (n - 1) / n)
+def _tables(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the p values of n characters: of uniformity by the sum of squared counts, of runs by how many are high and change."""
+    z = (np.arange(n * n + 1) * size / n - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
     even = np.log([max(1e-300, math.erfc(x / math.sqrt(2)) / 2) for x in z.tolist()])
     runs = np.full((n + 1, n), math.log(2.0 ** (1 - n)))
     for ones in range(1, n):
@@ -175,41 +202,51 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return even, runs
 
 
-def levels(at: np.ndarray) -> np.ndarray:
-    """``level`` of each row of a matrix of lower-case letters, from 0 for a."""
+def levels(at: np.ndarray, sizes: tuple[int, ...] = (26,)) -> list[np.ndarray]:
+    """``level`` of each row of a matrix of characters, as places in alphabets of these sizes."""
     k, n = at.shape
-    even, runs = _tables(n)
-    counts = np.bincount((at + np.arange(k, dtype=np.int32)[:, None] * 26).ravel(), minlength=26 * k).reshape(k, 26).astype(np.int32)
-    high = at >= 13
-    x = even[np.einsum("ij,ij->i", counts, counts)] + runs[high.sum(1), (high[:, 1:] != high[:, :-1]).sum(1)]
+    most = min(sizes)
+    counts = np.bincount((at + np.arange(k, dtype=np.int32)[:, None] * most).ravel(), minlength=most * k).reshape(k, most).astype(np.int32)
+    squares = np.einsum("ij,ij->i", counts, counts)
     wide = at.astype(np.float32)  # sums of integers under 2 ** 24 are exact
     total, own, next_ = wide.sum(1).astype(float), np.einsum("ij,ij->i", wide, wide).astype(float), np.einsum("ij,ij->i", wide[:, 1:], wide[:, :-1]).astype(float)
     middle, power = total / n, own - total * total / n
     lag = next_ - middle * (2 * total - at[:, 0] - at[:, -1]) + (n - 1) * middle * middle
     lag = np.where(n * own > total * total, lag / np.where(power > 0, power, 1), 1.0)
     z = np.abs(lag + 1 / n) * math.sqrt(n / 2)
-    x = -(x + np.log([max(1e-300, math.erfc(v)) for v in z.tolist()]))
-    p = np.minimum(1.0, np.exp(-x) * (1 + x + x * x / 2))
-    return np.where(p > 0, np.minimum(MOST_BIN, -BINS_A_DECADE * np.log10(np.maximum(p, 1e-320))), MOST_BIN).astype(np.int64)
-
-
-def ordinary(texts: list[np.ndarray]) -> Iterator[tuple[int, Counter]]:
-    """For each length in JOINED, how many pieces of that length of each text's joined words have each level: the key is the text's place and the level."""
-    for n in JOINED:
-        seen: Counter = Counter()
-        cut = [x[: len(x) // n * n].reshape(-1, n) for x in texts]
-        owner = np.repeat(np.arange(len(texts)), [len(x) for x in cut])
-        rows = np.concatenate(cut) if cut else np.zeros((0, n), np.uint8)
-        for a in range(0, len(rows), max(1, BLOCK // n)):
-            b = a + max(1, BLOCK // n)
-            keys, found = np.unique(owner[a:b] * (MOST_BIN + 1) + levels(rows[a:b]), return_counts=True)
-            for key, k in zip(keys.tolist(), found.tolist(), strict=True):
-                seen[key] += k
-        yield n, seen
+    serial = np.log([max(1e-300, math.erfc(v)) for v in z.tolist()])
+    out = []
+    for size in sizes:
+        even, runs = _tables(n, size)
+        high = 2 * at >= size
+        x = -(even[squares] + runs[high.sum(1), (high[:, 1:] != high[:, :-1]).sum(1)] + serial)
+        p = np.minimum(1.0, np.exp(-x) * (1 + x + x * x / 2))
+        out.append(np.where(p > 0, np.minimum(MOST_BIN, -BINS_A_DECADE * np.log10(np.maximum(p, 1e-320))), MOST_BIN).astype(np.int64))
+    return out
+
+
+def ordinary(texts: list[str]) -> Iterator[tuple[int, int, Counter]]:
+    """For each length in JOINED or CAPITALS and family, how many pieces of that length of each text's joined words have each level: the key is the text's place and the level."""
+    words = [WORD.findall(t) for t in texts]
+    plain = list(map(joined_words, words))
+    for families, lengths, joined in (((LOWER, ALNUM), JOINED, plain), ((LETTERS, MIXED), CAPITALS, list(map(in_capitals, words, plain)))):
+        for n in lengths:
+            seen: list[Counter] = [Counter() for _ in families]
+            cut = [x[: len(x) // n * n].reshape(-1, n) for x in joined]
+            owner = np.repeat(np.arange(len(joined)), [len(x) for x in cut])
+            rows = np.concatenate(cut) if cut else np.zeros((0, n), np.uint8)
+            for a in range(0, len(rows), max(1, BLOCK // n)):
+                b = a + max(1, BLOCK // n)
+                for count, got in zip(seen, levels(rows[a:b], tuple(WRITTEN[f] for f in families)), strict=True):
+                    keys, found = np.unique(owner[a:b] * (MOST_BIN + 1) + got, return_counts=True)
+                    for key, k in zip(keys.tolist(), found.tolist(), strict=True):
+                        count[key] += k
+            for family, count in zip(families, seen, strict=True):
+                yield n, family, count
 
 
 def calibrate(docs: DataFrame, discovery: float = DISCOVERY) -> dict[Stratum, int]:
-    """For each stratum with findings, the largest level that counts as random.
+    """For each stratum with findings, the largest level that counts as random; for whole numbers, the level of the rate of discovery.
 
     One pass over all whole texts counts ordinary text and tokens by stratum and level.  Each
     text gives one row of counts, and copies of a text count once: they are no evidence of
@@ -225,11 +262,11 @@ def calibrate(docs: DataFrame, discovery: float = DISCOVERY) -> dict[Stratum, in
                 texts = [t for t in dict.fromkeys(batch.column(0).slice(at, SLICE).to_pylist()) if t]
                 counts: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
                 for text, own in zip(texts, counts, strict=True):
-                    count = Counter(judged(m.group()) for m in _tokens(text, base_spans(text)))
-                    own += [(s, int(word), lev, k) for ((s, word), lev), k in count.items()]
-                for n, seen in ordinary([joined_words(t) for t in texts]):
+                    count = Counter(judged(unit) for m in _tokens(text, base_spans(text)) for unit in units(m.group()))
+                    own += [(s, family, lev, k) for ((s, family), lev), k in count.items()]
+                for n, family, seen in ordinary(texts):
                     for key, k in seen.items():
-                        counts[key // (MOST_BIN + 1)].append((stratum(n), ORDINARY, key % (MOST_BIN + 1), k))
+                        counts[key // (MOST_BIN + 1)].append((stratum(n), ORDINARY + family, key % (MOST_BIN + 1), k))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()), pa.array([np.array(own, COUNTS).tobytes() for own in counts], pa.binary())],
                     names=["text", "counts"],
@@ -258,23 +295,30 @@ def limits_of(counts: list[tuple[int, int, int, int]], discovery: float) -> dict
     for s, kind, lev, n in counts:
         table.setdefault((s, kind), Counter())[lev] += n
     limits = {}
-    for s, kind in sorted(k for k in table if k[1] != ORDINARY):
-        tokens, null = table[s, kind], Counter()
-        for t in sorted((t for t, other in table if other == ORDINARY and t <= s), reverse=True):
-            null += table[t, ORDINARY]
+    for s, family in sorted(k for k in table if k[1] < ORDINARY):
+        if family == NUMBER:
+            if s >= stratum(LEAST_NUMBER):
+                limits[s, family] = int(-BINS_A_DECADE * math.log10(discovery))
+            continue
+        tokens, null = table[s, family], Counter()
+        for t in sorted((t for t, other in table if other == ORDINARY + family and t <= s), reverse=True):
+            null += table[t, ORDINARY + family]
             if null.total() >= LEAST_ORDINARY:
                 break
         reached = of_null = 0
         for b in range(MOST_BIN + 1):
             reached, of_null = reached + tokens[b], of_null + null[b]
             if (1 + of_null) / (1 + null.total()) <= discovery * reached / tokens.total():
-                limits[s, bool(kind)] = b
+                limits[s, family] = b
     return limits
 
 
 def _accepted(token: str, limits: dict[Stratum, int]) -> bool:
-    where = stratum(len(token)), _is_word(token.rstrip("="))
-    return where in limits and judged(token)[1] <= limits[where]
+    for unit in units(token):
+        where, found = judged(unit)
+        if where in limits and found <= limits[where]:
+            return True
+    return False
 
 
 def find(text: str | None, limits: dict[Stratum, int]) -> list[Span]:
