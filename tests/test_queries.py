@@ -56,3 +56,14 @@ def test_changed_tables_are_analysed_anew(spark, tmp_path):
     n = catalog.QUERIES["q_match"](spark, str(tmp_path)).count()
     spark.read.parquet(f"{DATA}/events.parquet").filter("event_id % 2 = 0").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
     assert 0 < catalog.QUERIES["q_match"](spark, str(tmp_path)).count() < n
+
+
+def test_winding_traces_reach_what_straight_ones_can_t(spark):
+    """No segment in the window, attempts without telemetry, equal times, and places that the path passes twice."""
+    from waywright.sources import traces
+
+    d = "/root/testdata/sf0.01"
+    assert {r[0] for r in catalog.QUERIES["q_winding_match"](spark, d).select("quality").distinct().collect()} == {"accepted", "off_course", "out_of_window", "poor_accuracy"}
+    assert {r[0] for r in catalog.QUERIES["q_winding_status"](spark, d).select("reason").distinct().collect()} >= {"missing_telemetry", "replay_incomplete"}
+    s = traces.winding_samples(spark, d)
+    assert s.groupBy("attempt_id", "recorded_at_ms").count().filter("count > 1").limit(1).count() == 1

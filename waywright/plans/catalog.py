@@ -174,6 +174,29 @@ def q_preview(spark, d):
     return p.select("route_id", "kind", milli(F.col("x")).alias("x_milli"), milli(F.col("y")).alias("y_milli"), milli(F.col("diameter")).alias("diameter_milli"))
 
 
+def q_winding_project(spark, d):
+    """Nearest places on a path that bends, crosses itself and goes back along itself."""
+    points = traces.winding_samples(spark, d).select("route_id", F.concat_ws(":", "attempt_id", "id").alias("id"), "latitude", "longitude")
+    p = matching.nearest_projection(points, traces.winding_courses(spark, d))
+    return p.select("id", milli(F.col("progress_m")).alias("progress_mm"), milli(F.col("snap_m")).alias("snap_mm"), e7("snap_lat").alias("lat_e7"), e7("snap_lon").alias("lon_e7"))
+
+
+def q_winding_match(spark, d):
+    """Samples matched one after another to the winding path; of the course that starts beyond its end, none lies in the window."""
+    m = matching.match_samples(traces.winding_samples(spark, d), traces.winding_courses(spark, d))
+    return m.select("attempt_id", "seq", "quality", milli(F.col("progress_m")).alias("progress_mm"), milli(F.col("snap_m")).alias("snap_mm"), "advancing")
+
+
+def q_winding_status(spark, d):
+    """Which attempts on the winding path count, and why not; attempts without samples lack telemetry, those on no route are left out."""
+    s, c = traces.winding_samples(spark, d), traces.winding_courses(spark, d)
+    k = F.col("n_nationkey").cast("long")
+    bare = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("bare"), k.cast("string")).alias("attempt_id"), (k % 5).cast("string").alias("route_id"), k.alias("armed_at_ms"), F.lit("completed").alias("lifecycle"), F.lit(None).cast("double").alias("recorded_finished_at_ms"))
+    attempts = traces.synthetic_attempts(s).unionByName(bare)
+    status = ranking.attempt_status(attempts, timing.replay(staged(matching.match_samples(s, c), "winding"), c), c)
+    return status.select("attempt_id", "route_id", "eligible", "reason", milli(F.col("started_at")).alias("started_us"), milli(F.col("finished_at")).alias("finished_us"))
+
+
 def q_match(spark, d):
     return analysis(spark, d).matched.select("attempt_id", "seq", "quality", milli(F.col("progress_m")).alias("progress_mm"), milli(F.col("snap_m")).alias("snap_mm"), "advancing")
 

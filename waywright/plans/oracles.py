@@ -146,6 +146,24 @@ SEGMENT_TIMES = """
 
 BASE = f"WITH RECURSIVE {SAMPLES}, {SEGMENTS}, {matched('m', 'sam')}, {TIMING}"
 
+# A path that bends, crosses its beginning and goes back along the way it came, and traces along it.
+WINDING = f"""
+  xy AS (SELECT CAST(range AS INTEGER) AS i, CASE WHEN range <= 10 THEN range WHEN range <= 15 THEN 10 WHEN range <= 25 THEN 25 - range WHEN range <= 32 THEN range - 25 ELSE 39 - range END AS x,
+    CASE WHEN range <= 10 THEN 0 WHEN range <= 15 THEN range - 10 WHEN range <= 25 THEN 5 WHEN range <= 32 THEN 30 - range ELSE range - 34 END AS y FROM range(41)),
+  way AS (SELECT i, 32.08::DOUBLE + y * (20.0::DOUBLE / {D}) AS lat, 34.78::DOUBLE + x * (20.0::DOUBLE / ({D} * 0.85::DOUBLE)) AS lon FROM xy),
+  pt AS (SELECT * FROM way WHERE i <= 39),
+  {SEGMENTS[SEGMENTS.index("sl AS"):SEGMENTS.index("co AS")]}
+  co AS (SELECT *, greatest(start_p, finish_p - least(30.0::DOUBLE, greatest(0.0::DOUBLE, greatest(0.0::DOUBLE, finish_p - start_p) - 10))) AS trigger_p
+    FROM (SELECT CAST(r_regionkey AS VARCHAR) AS route_id, CASE r_regionkey WHEN 3 THEN 40.0::DOUBLE WHEN 4 THEN 5000.0::DOUBLE ELSE 0.0::DOUBLE END AS start_p, (SELECT max(s1) FROM sg) AS finish_p FROM region)),
+  ev AS (SELECT event_id, user_id, coalesce(CAST(nullif(regexp_extract(props, '"k": *([0-9]+)', 1), '') AS INTEGER), 0) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL),
+  fr AS (SELECT *, least(38.99::DOUBLE, (6.0::DOUBLE * (n - 1) + k % 4) / 20.0::DOUBLE) AS f FROM ev),
+  sam AS (SELECT CAST(user_id AS VARCHAR) AS attempt_id, CASE WHEN user_id % 11 = 7 THEN 'nowhere' ELSE CAST(user_id % 5 AS VARCHAR) END AS route_id, CAST(event_id AS VARCHAR) AS id, event_id,
+    1700000000000 + user_id * 10000000 + 1000 * (n - CASE WHEN n % 4 = 1 THEN 1 ELSE 0 END) AS t,
+    a.lat + (b.lat - a.lat) * (f - a.i) + CASE WHEN user_id % 6 = 5 AND n > 20 THEN 0.002::DOUBLE ELSE 0.0::DOUBLE END + (event_id % 7 - 3) * 0.00001::DOUBLE AS lat,
+    a.lon + (b.lon - a.lon) * (f - a.i) + (event_id % 5 - 2) * 0.00002::DOUBLE AS lon, CASE WHEN k = 99 THEN 60.0::DOUBLE WHEN k <> 98 THEN 3.0::DOUBLE + k % 30 END AS acc
+    FROM fr JOIN way a ON a.i = CAST(floor(f) AS INTEGER) JOIN way b ON b.i = a.i + 1)"""
+_BENT = f"WITH RECURSIVE {WINDING}, {matched('m', 'sam')}"
+
 _FIX = "lat := lat, lon := lon, acc := acc, speed := speed, p := p, ok := quality = 'accepted'"
 
 
@@ -289,6 +307,12 @@ ORACLES: dict[str, str] = {
     "q_preview": f"""WITH RECURSIVE {SEGMENTS}, r AS (SELECT i, 30 / {D} AS n, lat, lon FROM pt WHERE i IN (0, 15)), z AS (SELECT 'path' AS kind, lat, lon FROM pt UNION ALL SELECT CASE i WHEN 0 THEN 'start' ELSE 'finish' END, lat, lon FROM r UNION ALL SELECT CASE i WHEN 0 THEN 'start' ELSE 'finish' END || '-extent', lat + a * n, lon + b * n / cos(radians(lat)) FROM r, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(a, b)
         UNION ALL SELECT 'checkpoint', {place_at("100.0::DOUBLE * k")}, 34.78::DOUBLE FROM range(1, 3) x(k)), b AS (SELECT min(lat) AS s, max(lat) AS n, min(lon) AS w, max(lon) AS e FROM z)
         SELECT route_id, kind, {milli("(lon - w) / greatest(e - w, 0.0001) * 100")} AS x_milli, {milli("(1 - (lat - s) / greatest(n - s, 0.0001)) * 100")} AS y_milli, {milli(f"CASE WHEN kind IN ('start', 'finish') THEN greatest(4.0::DOUBLE, least(80.0::DOUBLE, 60 / {D} / greatest(n - s, 0.0001) * 100)) END")} AS diameter_milli FROM co, z, b""",
+    "q_winding_project": f"""WITH RECURSIVE {WINDING}, q AS (SELECT attempt_id || ':' || id AS id, sam.lat, sam.lon FROM sam JOIN co USING (route_id)), a AS (SELECT * FROM {projected("q", "lat", "lon")}), b AS (SELECT *, min(d) OVER (PARTITION BY id) AS least_d FROM a),
+        c AS (SELECT id, min(struct_pack(p := p, d := d, lat := alat + (blat - alat) * {D} * share / {D}, lon := alon + (blon - alon) * ({D} * cos(radians(alat))) * share / ({D} * cos(radians(alat))))) AS x FROM b WHERE d <= least_d + 0.5 GROUP BY id)
+        SELECT id, {milli("x.p")} AS progress_mm, {milli("x.d")} AS snap_mm, CAST(floor(x.lat * 1e7::DOUBLE + 0.5) AS BIGINT) AS lat_e7, CAST(floor(x.lon * 1e7::DOUBLE + 0.5) AS BIGINT) AS lon_e7 FROM c""",
+    "q_winding_match": f"{_BENT} SELECT attempt_id, CAST(seq AS INTEGER) AS seq, quality, {milli('p')} AS progress_mm, {milli('d')} AS snap_mm, advancing FROM m",
+    "q_winding_status": f"""{_BENT}, {TIMING} SELECT attempt_id, route_id, reason IS NULL AS eligible, reason, {milli('CASE WHEN reason IS NULL THEN started END')} AS started_us, {milli('CASE WHEN reason IS NULL THEN finished END')} AS finished_us FROM sx
+        UNION ALL SELECT 'bare' || n_nationkey, CAST(n_nationkey % 5 AS VARCHAR), false, 'missing_telemetry', NULL, NULL FROM nation""",
     "q_match": f"{BASE} SELECT attempt_id, CAST(seq AS INTEGER) AS seq, quality, {milli('p')} AS progress_mm, {milli('d')} AS snap_mm, advancing FROM m",
     "q_attempt_status": f"{BASE} SELECT attempt_id, route_id, replayed, validity, reason IS NULL AS eligible, reason, {milli('CASE WHEN reason IS NULL THEN started END')} AS started_us, {milli('CASE WHEN reason IS NULL THEN finished END')} AS finished_us FROM sx",
     "q_replay": f"{BASE} SELECT attempt_id, replayed AS lifecycle, validity, {milli('started')} AS started_us, {milli('finished')} AS finished_us FROM rn",

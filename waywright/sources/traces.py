@@ -152,6 +152,49 @@ def synthetic_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_length(plain, "finish_p")
 
 
+WINDING = 39  # the last point's place on the winding path
+
+
+def _winding(i: Column) -> tuple[Column, Column]:
+    """Steps eastwards and northwards of a point of the winding path: it bends, crosses its beginning, and goes back along the way it came."""
+    x = F.when(i <= 10, i).when(i <= 15, 10).when(i <= 25, 25 - i).when(i <= 32, i - 25).otherwise(39 - i)
+    y = F.when(i <= 10, 0).when(i <= 15, i - 10).when(i <= 25, 5).when(i <= 32, 30 - i).otherwise(i - 34)
+    north = F.lit(BASE_LAT) + y * F.lit(SPACING_M / K.METERS_PER_DEGREE)
+    return north, F.lit(BASE_LON) + x * F.lit(SPACING_M / (K.METERS_PER_DEGREE * 0.85))
+
+
+def winding_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winding path for each region: one starts at 40 m, one beyond the path's end, so that no sample lies near where it might begin."""
+    from ..operators.matching import with_length
+
+    place = lambda i: F.struct(_winding(i)[0].alias("latitude"), _winding(i)[1].alias("longitude"))
+    none = F.array().cast("array<struct<id:string,name:string,progress_m:double>>")
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("string").alias("route_id"))
+    start = F.when(F.col("route_id") == "3", 40.0).when(F.col("route_id") == "4", 5000.0).otherwise(0.0)
+    rows = regions.select("route_id", F.transform(F.sequence(F.lit(0), F.lit(WINDING)), place).alias("path"), F.lit(K.ZONE_RADIUS_M).alias("start_r"), F.lit(K.ZONE_RADIUS_M).alias("finish_r"), none.alias("checkpoints"), start.alias("start_p"))
+    return with_length(rows, "finish_p")
+
+
+def winding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traces from events along the winding path, about six metres an event, beside it by up to some metres.
+
+    Every fourth event has the time of the one before it, some users leave the path for good,
+    and some are on a route that doesn't exist.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id is not null")
+    k, user, n, event = F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)), F.col("user_id"), F.col("n"), F.col("event_id")
+    rows = events.select("event_id", "user_id", k.alias("k"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))
+    rows = rows.withColumn("f", F.least(F.lit(WINDING - 0.01), (6.0 * (n - 1) + F.col("k") % 4) / 20.0)).withColumn("i", F.floor("f").cast("int"))
+    (a, b), (c, d), part = _winding(F.col("i")), _winding(F.col("i") + 1), F.col("f") - F.col("i")
+    off = F.when((user % 6 == 5) & (n > 20), 0.002).otherwise(0.0)
+    return rows.select(
+        user.cast("string").alias("attempt_id"), user.cast("string").alias("session_id"), F.when(user % 11 == 7, "nowhere").otherwise((user % 5).cast("string")).alias("route_id"), event.cast("string").alias("id"),
+        (F.lit(BASE_MS) + user * 10_000_000 + 1000 * (n - F.when(n % 4 == 1, 1).otherwise(0))).cast("long").alias("recorded_at_ms"),
+        (a + (c - a) * part + off + (event % 7 - 3) * 0.00001).alias("latitude"), (b + (d - b) * part + (event % 5 - 2) * 0.00002).alias("longitude"),
+        F.when(F.col("k") == 99, 60.0).when(F.col("k") != 98, 3.0 + F.col("k") % 30).alias("accuracy"), F.lit(None).cast("double").alias("speed"), F.lit(None).cast("double").alias("heading"),
+    )
+
+
 def synthetic_attempts(samples: DataFrame) -> DataFrame:
     """attempt_id, route_id, lifecycle, armed_at_ms and the recorded finish: one completed attempt a trace."""
     return samples.groupBy("attempt_id", "route_id").agg((F.min("recorded_at_ms") - 1000).alias("armed_at_ms")).withColumns({"lifecycle": F.lit("completed"), "recorded_finished_at_ms": F.lit(None).cast("double")})
