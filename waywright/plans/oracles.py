@@ -316,6 +316,10 @@ ORACLES: dict[str, str] = {
     "q_match": f"{BASE} SELECT attempt_id, CAST(seq AS INTEGER) AS seq, quality, {milli('p')} AS progress_mm, {milli('d')} AS snap_mm, advancing FROM m",
     "q_attempt_status": f"{BASE} SELECT attempt_id, route_id, replayed, validity, reason IS NULL AS eligible, reason, {milli('CASE WHEN reason IS NULL THEN started END')} AS started_us, {milli('CASE WHEN reason IS NULL THEN finished END')} AS finished_us FROM sx",
     "q_replay": f"{BASE} SELECT attempt_id, replayed AS lifecycle, validity, {milli('started')} AS started_us, {milli('finished')} AS finished_us FROM rn",
+    "q_live": f"""{BASE}, {CROSSED} SELECT 'attempt' AS kind, attempt_id, replayed AS a, validity AS b, {milli('started')} AS first_us, {milli('finished')} AS last_us FROM rn
+        UNION ALL SELECT 'session', attempt_id, CASE replayed WHEN 'completed' THEN 'finished' WHEN 'abandoned' THEN 'interrupted' ELSE 'active' END, CASE replayed WHEN 'completed' THEN 'saved' WHEN 'abandoned' THEN 'discarded' ELSE 'pending' END,
+          CASE WHEN replayed IN ('completed', 'abandoned') THEN 1 END, CASE WHEN replayed IN ('completed', 'abandoned') THEN NULL ELSE 0 END FROM rn
+        UNION ALL SELECT 'crossing', attempt_id, checkpoint_id, attempt_id || ':' || checkpoint_id, {milli('crossed')}, NULL FROM cr""",
     "q_start_zone": f"""{BASE}, la AS (SELECT attempt_id, max(seq) AS seq FROM m GROUP BY attempt_id), lb AS (SELECT i.attempt_id, i.acc, i.start_p, i.cand, rn.acc[-1].p AS c FROM la JOIN m_i i USING (attempt_id, seq) JOIN rn USING (attempt_id)),
         lc AS (SELECT *, list_sort(list_transform(list_filter(cand, lambda x: x.s1 >= coalesce(c - 25, start_p - 50) AND x.s0 <= coalesce(c + 90, start_p + 70)), lambda x: struct_pack(cost := x.d + 0.3::DOUBLE * abs(x.p - coalesce(c, start_p)) + CASE WHEN x.p < coalesce(c, start_p) THEN 8 ELSE 0 END, np := -x.p, p := x.p, d := x.d)))[1] AS b FROM lb)
         SELECT attempt_id, CASE WHEN acc > 45 THEN 'locating' WHEN b.d <= 35 AND abs(b.p - start_p) <= 30 THEN 'inside' ELSE 'outside' END AS status FROM lc""",

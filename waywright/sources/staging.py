@@ -7,12 +7,18 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once, in the folder that spark.checkpoint.dir names, and a scan of it; a temporary folder if that is unset and all runs on one machine."""
-    spark = df.sparkSession
+    path = staging_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staging_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, not yet made, that executors share; what is in it goes when the session ends."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
@@ -20,9 +26,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         top = "file://" + tempfile.mkdtemp(prefix="waywright-stages-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/stage-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
     atexit.register(_gone, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _gone(spark, path: str) -> None:

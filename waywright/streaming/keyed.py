@@ -393,10 +393,12 @@ def settle(store: Store, states: DataFrame, now_ms: int, stream: str | None = No
     return store.commit(changes, gone={"crossings": old.select("attempt_id", "checkpoint_id")}, stream=stream, batch=batch)
 
 
-def keep_live(fixes: DataFrame, courses: DataFrame, store: Store, checkpoint: str, name: str = "live", every: str | None = None, clock=None, **more) -> StreamingQuery:
+def keep_live(fixes: DataFrame, courses: DataFrame, store: Store, checkpoint: str, name: str = "live", every: str | None = None, clock=None, partitions: int | None = None, **more) -> StreamingQuery:
     """Run live_runs() and settle() each batch's rows; a batch that runs again changes nothing.
 
-    ``clock`` gives the time in milliseconds at which sessions stop, by default the machine's.
+    ``clock`` gives the time in milliseconds at which sessions stop, by default the machine's;
+    ``partitions``, over how many places the state is dealt for as long as the checkpoint
+    lasts, by default as many as the session's shuffles have.
     """
     import time
 
@@ -405,15 +407,22 @@ def keep_live(fixes: DataFrame, courses: DataFrame, store: Store, checkpoint: st
     def each(batch: DataFrame, number: int) -> None:
         settle(store, staged(batch, "live-batch"), tell(), name, number)
 
-    return begun(live_runs(fixes, courses, **more), each, checkpoint, every)
+    return begun(live_runs(fixes, courses, **more), each, checkpoint, every, partitions)
 
 
-def begun(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+def begun(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, partitions: int | None = None) -> StreamingQuery:
     """Start a stream of live_runs(): batches come ``every`` so often, so that timers run out, or only as long as there is input."""
+    conf, shuffles = rows.sparkSession.conf, "spark.sql.shuffle.partitions"
     # A state with timers asks for batches without end; what is to stop by itself makes none without input.
-    rows.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true" if every else "false")
+    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true" if every else "false")
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return rows.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    usual = conf.get(shuffles)
+    try:  # a query keeps the settings that it starts with
+        if partitions is not None:
+            conf.set(shuffles, str(partitions))
+        return rows.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    finally:
+        conf.set(shuffles, usual)
 
 
 def abandon(store: Store, attempt_ids: DataFrame, now_ms: int) -> int:
