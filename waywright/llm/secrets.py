@@ -225,24 +225,41 @@ def levels(at: np.ndarray, sizes: tuple[int, ...] = (26,)) -> list[np.ndarray]:
     return out
 
 
-def ordinary(texts: list[str]) -> Iterator[tuple[int, int, Counter]]:
-    """For each length in JOINED or CAPITALS and family, how many pieces of that length of each text's joined words have each level: the key is the text's place and the level."""
+def ordinary(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For each length in JOINED or CAPITALS and family, how many pieces of that length of each text's joined words have each level: keys (the text's place and the level) and counts."""
     words = [WORD.findall(t) for t in texts]
     plain = list(map(joined_words, words))
     for families, lengths, joined in (((LOWER, ALNUM), JOINED, plain), ((LETTERS, MIXED), CAPITALS, list(map(in_capitals, words, plain)))):
         for n in lengths:
-            seen: list[Counter] = [Counter() for _ in families]
+            seen = np.zeros((len(families), len(texts) * (MOST_BIN + 1)), np.int64)
             cut = [x[: len(x) // n * n].reshape(-1, n) for x in joined]
             owner = np.repeat(np.arange(len(joined)), [len(x) for x in cut])
             rows = np.concatenate(cut) if cut else np.zeros((0, n), np.uint8)
             for a in range(0, len(rows), max(1, BLOCK // n)):
                 b = a + max(1, BLOCK // n)
                 for count, got in zip(seen, levels(rows[a:b], tuple(WRITTEN[f] for f in families)), strict=True):
-                    keys, found = np.unique(owner[a:b] * (MOST_BIN + 1) + got, return_counts=True)
-                    for key, k in zip(keys.tolist(), found.tolist(), strict=True):
-                        count[key] += k
+                    count += np.bincount(owner[a:b] * (MOST_BIN + 1) + got, minlength=len(count))
             for family, count in zip(families, seen, strict=True):
-                yield n, family, count
+                keys = np.flatnonzero(count)
+                yield n, family, keys, count[keys]
+
+
+def _counts(texts: list[str]) -> list[bytes]:
+    """Each text's tokens and ordinary text, as COUNTS."""
+    own, parts = [], []
+    for i, text in enumerate(texts):
+        count = Counter(judged(unit) for m in _tokens(text, base_spans(text)) for unit in units(m.group()))
+        own += [(i, s, family, lev, k) for ((s, family), lev), k in count.items()]
+    fields = [np.array(c, np.int64) for c in zip(*own, strict=True)] or [np.zeros(0, np.int64)] * 5
+    for n, family, keys, k in ordinary(texts):
+        parts.append([keys // (MOST_BIN + 1), np.full(len(keys), stratum(n)), np.full(len(keys), ORDINARY + family), keys % (MOST_BIN + 1), k])
+    owner, *values = (np.concatenate(x) for x in zip(fields, *parts, strict=True))
+    order = np.argsort(owner, kind="stable")
+    table = np.empty(len(owner), COUNTS)
+    for name, v in zip(COUNTS.names, values, strict=True):
+        table[name] = v[order]
+    cuts = np.searchsorted(owner[order], np.arange(len(texts) + 1)).tolist()
+    return [table[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def calibrate(docs: DataFrame, discovery: float = DISCOVERY) -> dict[Stratum, int]:
@@ -260,28 +277,18 @@ def calibrate(docs: DataFrame, discovery: float = DISCOVERY) -> dict[Stratum, in
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 texts = [t for t in dict.fromkeys(batch.column(0).slice(at, SLICE).to_pylist()) if t]
-                counts: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-                for text, own in zip(texts, counts, strict=True):
-                    count = Counter(judged(unit) for m in _tokens(text, base_spans(text)) for unit in units(m.group()))
-                    own += [(s, family, lev, k) for ((s, family), lev), k in count.items()]
-                for n, family, seen in ordinary(texts):
-                    for key, k in seen.items():
-                        counts[key // (MOST_BIN + 1)].append((stratum(n), ORDINARY + family, key % (MOST_BIN + 1), k))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()), pa.array([np.array(own, COUNTS).tobytes() for own in counts], pa.binary())],
+                    [pa.array([hashlib.sha256(t.encode()).digest()[:16] for t in texts], pa.binary()), pa.array(_counts(texts), pa.binary())],
                     names=["text", "counts"],
                 )
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
+        sums = np.zeros(1 << 19)  # whole numbers, exact up to 2 ** 53
         for batch in batches:
-            for s, kind, lev, n in np.frombuffer(b"".join(batch.column(0).to_pylist()), COUNTS).tolist():
-                count[s, kind, lev] += n
-        keys = list(count)
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array([k[i] for k in keys], pa.int32()) for i in range(3)), pa.array([count[k] for k in keys], pa.int64())],
-            names=["stratum", "kind", "level", "n"],
-        )
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), COUNTS)
+            sums += np.bincount((x["stratum"].astype(np.int64) << 12) | (x["kind"].astype(np.int64) << 8) | x["level"], x["n"], minlength=len(sums))
+        keys = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([*(pa.array(((keys >> shift) & most).astype(np.int32)) for shift, most in ((12, 127), (8, 15), (0, 255))), pa.array(sums[keys].astype(np.int64))], names=["stratum", "kind", "level", "n"])
 
     seen = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text binary, counts binary")
     once = seen.groupBy("text").agg(F.first("counts").alias("counts")).select("counts")  # equal for equal texts
