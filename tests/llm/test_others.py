@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waywright.llm import chat, chroma, components, queries, topk
 from waywright.llm.scratch import Scratch
+from waywright.llm.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -225,7 +226,65 @@ def test_chroma_matches_takes_of_a_steady_sound(spark):
     steady = {0: [7] * 60, 1: [9] * 3 + [7] * 70, 50: [3] * 30, 51: [3] * 31, 100: [5] * 20 + [6] * 20 + [5] * 20}
     rows = [(i, bytearray(np.array(p, "<u4").tobytes()), i) for i, p in steady.items()]
     got = {(x.query_id, x.match_id, x.offset_frames, x.frames, x.bit_errors) for x in chroma.align(spark.createDataFrame(rows, "rec_id long, print binary, same long"), most_errors=0.01).collect()}
-    assert got == {(0, 1, -3, 60, 0)}  # 30 frames alike are too few hits
+    assert got == {(0, 1, -3, 60, 0), (50, 51, 0, 30, 0)}  # a short steady sound needs as many hits as it can have
+
+
+def plain_alignment(prints, least_hits=4, every=50):
+    """All pairs at all offsets that any run gives, by plain loops."""
+    def weigh(v, n):
+        return 1 if v == chroma.SILENT else 1 + n // chroma.LOOK
+
+    runs = {}
+    for i, p in prints.items():
+        starts = [0, *(np.flatnonzero(p[1:] != p[:-1]) + 1).tolist()]
+        runs[i] = [(int(p[a]), a, weigh(int(p[a]), b - a)) for a, b in zip(starts, [*starts[1:], len(p)], strict=True)]
+    out = set()
+    for q in [i for i in prints if i % every == 0]:
+        places = {}
+        for v, at, n in runs[q]:
+            places.setdefault(v, []).append((at, n))
+        for d in [i for i in prints if i != q]:
+            hits = {}
+            for v, other, m in runs[d]:
+                for at, n in places.get(v, ()):
+                    hits[at - other] = hits.get(at - other, 0) + min(n, m)
+            need = min(least_hits, 1 + min(len(prints[q]), len(prints[d])) // chroma.LOOK)
+            good = []
+            for offset, k in hits.items():
+                frames, errors = chroma._bits(prints[q], prints[d], offset)
+                if k >= need and frames >= 16 and errors <= 0.2 * 32 * frames:
+                    good.append((k, -abs(offset), -offset, frames, errors))
+            if good:
+                k, _, offset, frames, errors = max(good)
+                out.add((q, d, -offset, k, frames, errors))
+    return out
+
+
+def test_chroma_values_that_all_share_lose_no_match(spark):
+    """Every recording begins with the same short runs, then repeats few values; leaving out common runs changes nothing."""
+    r = np.random.default_rng(9)
+    lead = [chroma.SILENT] * 40 + [11] * 8 + [12] * 20
+    prints = {}
+    for i in range(60):
+        base = r.integers(0, 4, 30) if i < 30 else np.roll(prints[(i - 30) * 50][68:98], i % 3)
+        prints[i * 50 if i < 30 else i * 50 + 1] = np.array([*lead, *base, *r.integers(0, 2**32, 12)][: 40 + i * 2 if i % 7 == 3 else None], np.uint32)
+    rows = [(i, bytearray(p.astype("<u4").tobytes()), i) for i, p in prints.items()]
+    table = spark.createDataFrame(rows, "rec_id long, print binary, same long")
+    want = plain_alignment(prints)
+    assert len(want) > 100
+    for shared in (10**9, 40, 3, 0):
+        got = {(x.query_id, x.match_id, x.offset_frames, x.hits, x.frames, x.bit_errors) for x in chroma.align(table, shared=shared).collect()}
+        assert got == want, shared
+
+
+def test_chroma_values_that_all_share_are_not_paired(spark, tmp_path):
+    """400 recordings that share a short beginning and nothing else: its runs pair none of them."""
+    r = np.random.default_rng(10)
+    rows = [(i, np.array([chroma.SILENT] * 90 + [5] * 10, "<u4").tobytes() + r.integers(0, 2**32, 60, dtype=np.uint32).tobytes(), 4, int(i % 50 == 0)) for i in range(400)]
+    reps = spark.createDataFrame([(i, a, n, bytearray(p)) for i, p, n, a in rows], "same long, asked int, need int, print binary")
+    scratch = Scratch(spark, "shared-test")
+    assert chroma._candidates(scratch, reps, 4, 100).count() == 0
+    assert chroma._candidates(scratch, reps, 4, 10**9).count() == 0  # two hits are too few, but all pairs were made
 
 
 def test_chroma_hard_cases(spark):

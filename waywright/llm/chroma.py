@@ -15,7 +15,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -142,53 +142,112 @@ def _bits(print_a: np.ndarray, print_b: np.ndarray, offset: int) -> tuple[int, i
     return n, int(np.bitwise_count(a[:n] ^ b[:n]).sum())
 
 
-def align(prints: DataFrame, every: int = 50, least_hits: int = 4, most_errors: float = 0.2, least_frames: int = 16) -> DataFrame:
-    """Recordings that match each query: those whose id is divisible by ``every``, against all.
+#: What packed silence is, by the filters' rule for equal areas.
+SILENT = int("01" * 16, 2)
 
-    Returns query_id, match_id (the smallest id of a class of equal fingerprints, the query's
-    own class included if it has others), copies (rows in that class), offset_frames (by how
-    much the match starts later), hits, frames and bit_errors.  Runs of equal integers that begin
-    alike give hits at an offset: one, and one more for each LOOK frames that both last.  A pair
-    is a match at an offset with ``least_hits`` hits or more if at least ``least_frames`` frames
-    overlap there and at most ``most_errors`` of their bits differ; of several such offsets the
-    one with most hits counts, then the one nearest to zero, then the smaller.  Empty fingerprints and null ids match nothing.  An empty table gives no rows.
+
+def _runs(v: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal integers begin in prints laid end to end, and how much each can weigh as a hit: one, and one more for each LOOK frames that sound."""
+    new = np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]])
+    new[starts] = True  # no print is empty
+    at = np.flatnonzero(new)
+    return at, np.where(v[at] == SILENT, 1, 1 + np.diff(np.append(at, len(v))) // LOOK)
+
+
+def _hits(a: np.ndarray, b: np.ndarray, offset: int) -> int:
+    """Hits at an offset: the lighter of two equal runs that begin there, summed."""
+    (at_a, weight_a), (at_b, weight_b) = (_runs(x, np.zeros(1, int)) for x in (a, b))
+    _, i, j = np.intersect1d(at_a - offset, at_b, assume_unique=True, return_indices=True)
+    return int(np.minimum(weight_a[i], weight_b[j])[a[at_a[i]] == b[at_b[j]]].sum())
+
+
+def _candidates(scratch: Scratch, reps: DataFrame, least_hits: int, shared: int) -> DataFrame:
+    """q, d and offset of every pair, d being any class and q one that is asked for, that may have the hits it needs.
+
+    A value in more than ``shared`` runs would pair all of them.  Of such runs each recording
+    leaves out those it can do without: with runs in one order for all, commonest first, those
+    at the front that weigh less than the hits needed.  Two recordings that share enough hits
+    at an offset share one that neither leaves out, the last of them in that order, so that no
+    pair is lost.  What a pair needs is the lesser of both needs; a recording has a row for each
+    need there is, and joins by both.
     """
-    scratch = Scratch(prints.sparkSession, "chroma")
-    prints = scratch.cut(prints, "prints")
-    full = prints.filter("rec_id is not null and length(print) > 0")
-    classes = scratch.cut(full.groupBy("same").agg(F.min("rec_id").alias("rep"), F.count("*").alias("copies"), F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked")), "classes")
-    reps = scratch.cut(full.join(classes, (full.same == classes.same) & (full.rec_id == classes.rep)).select(full.same, "rec_id", "copies", "asked", "print").dropDuplicates(["same"]), "reps")
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each run of equal packed integers: its value, its first place and how long it is."""
+        """Each run: its value, its first place and its weight."""
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                prints = [np.frombuffer(raw, "<u4") for raw in part.column(2).to_pylist()]
+                prints = [np.frombuffer(raw, "<u4") for raw in part.column(3).to_pylist()]
                 v = np.concatenate([*prints, np.zeros(0, "<u4")])
                 starts = np.cumsum([0, *map(len, prints)])
-                new = np.concatenate([np.ones(min(1, len(v)), bool), v[1:] != v[:-1]])
-                new[starts[:-1]] = True  # no print is empty
-                new = np.flatnonzero(new)
+                new, weight = _runs(v, starts[:-1])
                 owner = np.searchsorted(starts, new, "right") - 1
-                length = np.diff(np.append(new, len(v)))
-                columns = [part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], v[new].astype(np.int64), (new - starts[owner]).astype(np.int32), length.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["same", "asked", "value", "place", "length"])
+                columns = [part.column(i).to_numpy()[owner] for i in range(3)]
+                columns += [v[new].astype(np.int64), (new - starts[owner]).astype(np.int32), weight.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["same", "asked", "need", "value", "place", "weight"])
+
+    schema = "same long, asked int, need int, value long, place int, weight int"
+    posts = scratch.cut(reps.select("same", "asked", "need", "print").mapInArrow(post, schema), "posts")
+    common = scratch.cut(posts.groupBy("value").count().filter(F.col("count") > shared), "common")
+    order = Window.partitionBy("same").orderBy(F.desc("count"), "value", "place")
+    ranked = posts.join(common, "value").withColumn("so_far", F.sum("weight").over(order))
+    rare = posts.join(common, "value", "left_anti").withColumn("so_far", F.lit(None).cast("long"))
+    needs = sorted(r.need for r in reps.select("need").distinct().collect())  # at most least_hits values
+    kept = F.col("so_far").isNull() | (F.col("so_far") >= F.least("need", "other"))
+    rows = rare.unionByName(ranked.drop("count")).withColumn("other", F.explode(F.array(*map(F.lit, needs)) if needs else F.array().cast("array<int>")))
+    runs = scratch.cut(rows.filter(kept).select("same", "asked", "need", "other", "value", "place", "weight", F.col("so_far").isNotNull().alias("common")), "runs")
+    loose = ranked.select("same").distinct()  # recordings that may leave out a run
+    q = runs.filter("asked = 1").select(F.col("same").alias("q"), "value", "need", "other", F.col("place").alias("q_place"), F.col("weight").alias("q_weight"))
+    d = runs.select(F.col("same").alias("d"), "value", F.col("need").alias("other"), F.col("other").alias("need"), F.col("place").alias("d_place"), F.col("weight").alias("d_weight"))
+    met = q.join(d, ["value", "need", "other"]).filter("q <> d")
+    seen = met.groupBy("q", "d", "need", "other", (F.col("q_place") - F.col("d_place")).alias("offset")).agg(F.sum(F.least("q_weight", "d_weight")).alias("seen"))
+    least = F.least("need", "other")
+    enough = seen.filter(F.col("seen") >= least).select("q", "d", "offset")
+    few = seen.filter(F.col("seen") < least)
+    both = few.join(loose.withColumnRenamed("same", "q"), "q", "left_semi").join(loose.withColumnRenamed("same", "d"), "d", "left_semi")
+    return enough.unionByName(both.select("q", "d", "offset"))
+
+
+def align(prints: DataFrame, every: int = 50, least_hits: int = 4, most_errors: float = 0.2, least_frames: int = 16, shared: int = 1_000) -> DataFrame:
+    """Recordings that match each query: those whose id is divisible by ``every``, against all.
 
-    posts = scratch.cut(reps.select("same", "asked", "print").mapInArrow(post, "same long, asked int, value long, place int, length int"), "posts")
-    q = posts.filter("asked = 1").select(F.col("same").alias("q"), "value", F.col("place").alias("q_place"), F.col("length").alias("q_length"))
-    d = posts.select(F.col("same").alias("d"), "value", F.col("place").alias("d_place"), F.col("length").alias("d_length"))
-    weight = 1 + F.floor(F.least("q_length", "d_length") / LOOK)
-    hits = q.join(d, "value").filter("q <> d").groupBy("q", "d", (F.col("q_place") - F.col("d_place")).alias("offset")).agg(F.sum(weight).alias("hits")).filter(F.col("hits") >= least_hits)
-    pairs = hits.join(reps.select(F.col("same").alias("q"), F.col("print").alias("q_print")), "q").join(reps.select(F.col("same").alias("d"), F.col("print").alias("d_print")), "d")
+    Returns query_id, match_id (the smallest id of a class of equal fingerprints, the query's
+    own class included if it has others), copies (rows in that class), offset_frames (by how
+    much the match starts later), hits, frames and bit_errors.  Runs of equal integers that begin
+    alike give hits at an offset: one, and one more for each LOOK frames that both last; silence
+    gives one however long.  A pair is a match at an offset with ``least_hits`` hits or more, or
+    with as many as a steady sound of the shorter one's length has, if at least ``least_frames``
+    frames overlap there and at most ``most_errors`` of their bits differ; of several such
+    offsets the one with most hits counts, then the one nearest to zero, then the smaller.
+    ``shared`` is the number of runs from which on a value is joined with care; it changes no
+    result.  Empty fingerprints and null ids match nothing.  An empty table gives no rows.
+    """
+    scratch = Scratch(prints.sparkSession, "chroma")
+    prints = scratch.cut(prints, "prints")
+    full = prints.filter("rec_id is not null and length(print) > 0")
+    asked = F.max((F.col("rec_id") % every == 0).cast("int")).alias("asked")
+    classes = scratch.cut(full.groupBy("same").agg(F.min("rec_id").alias("rep"), F.count("*").alias("copies"), asked), "classes")
+    frames = F.floor(F.length("print") / 4)
+    need = F.least(F.lit(least_hits), 1 + F.floor(frames / LOOK)).cast("int").alias("need")
+    own_class = full.join(classes, (full.same == classes.same) & (full.rec_id == classes.rep))
+    reps = scratch.cut(own_class.select(full.same, "rec_id", "copies", "asked", need, "print").dropDuplicates(["same"]), "reps")
+    found = _candidates(scratch, reps.filter(frames >= least_frames), least_hits, shared)
+    sides = [reps.select(F.col("same").alias(x), F.col("print").alias(f"{x}_print"), F.col("need").alias(f"{x}_need")) for x in ("q", "d")]
+    pairs = found.join(sides[0], "q").join(sides[1], "d")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [_bits(np.frombuffer(r["q_print"], "<u4"), np.frombuffer(r["d_print"], "<u4"), r["offset"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["q", "d", "offset", "hits", "frames", "bit_errors"])
-
-    compared = pairs.select("q", "d", "offset", "hits", "q_print", "d_print").mapInArrow(compare, "q long, d long, offset int, hits long, frames long, bit_errors long")
-    compared = compared.filter((F.col("frames") >= least_frames) & (F.col("bit_errors") <= most_errors * 32 * F.col("frames")))
+            got = []
+            for r in batch.to_pylist():
+                a, b = np.frombuffer(r["q_print"], "<u4"), np.frombuffer(r["d_print"], "<u4")
+                got.append((_hits(a, b, r["offset"]), *_bits(a, b, r["offset"])))
+            made = [pa.array([g[i] for g in got], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made], names=["q", "d", "offset", "least", "hits", "frames", "bit_errors"])
+
+    pairs = pairs.select("q", "d", "offset", F.least("q_need", "d_need").alias("least"), "q_print", "d_print")
+    compared = pairs.mapInArrow(compare, "q long, d long, offset int, least int, hits long, frames long, bit_errors long")
+    close = (F.col("frames") >= least_frames) & (F.col("bit_errors") <= most_errors * 32 * F.col("frames"))
+    compared = compared.filter((F.col("hits") >= F.col("least")) & close)
     best = F.max(F.struct("hits", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("sign"), "frames", "bit_errors")).alias("b")
     compared = compared.groupBy("q", "d").agg(best).select("q", "d", (-F.col("b.sign")).alias("offset"), "b.hits", "b.frames", "b.bit_errors")
     own = reps.filter("asked = 1 and copies > 1").select(F.col("same").alias("q"), F.col("same").alias("d"), F.lit(0).alias("offset"), (F.length("print") / 4).cast("long").alias("hits"), (F.length("print") / 4).cast("long").alias("frames"), F.lit(0).cast("long").alias("bit_errors"))
