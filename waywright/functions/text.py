@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from . import constants as K
 from . import labels
 
+
+def in_locale(c: Column | str) -> Column:
+    """A text that compares as readers order it: letters before accents before case, by the root collation; texts it holds for equal want the plain text beside it."""
+    return F.collate(F.col(c) if isinstance(c, str) else c, "UNICODE")
+
+
 def fixed(x: Column, digits: int) -> Column:
     """A number with up to six digits after the point, as its exact binary value rounds; of two that are as near, the one farther from zero.
 

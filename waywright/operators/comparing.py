@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import haversine, plain
+from ..functions.text import in_locale
 from ..sources.staging import staged
 from .matching import points_at
 
@@ -79,10 +80,12 @@ def wait_clusters(waits: DataFrame, focus: DataFrame, courses: DataFrame) -> Dat
     line = Window.partitionBy("attempt_id").orderBy("progress_m", "key")
     apart = F.coalesce(F.col("progress_m") - F.lag("progress_m").over(line) > K.CLUSTER_M, F.lit(False))
     members = members.withColumn("apart", apart).withColumn("stretch", F.sum(F.col("apart").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    in_order = Window.partitionBy("attempt_id", "stretch").orderBy("side", "start_ms", in_locale("wait_id"), "wait_id")
+    members = members.withColumn("nth", F.row_number().over(in_order))
     schema = "attempt_id string, target_id string, route_id string, location_id string, progress_m double, current_ms double, reference_ms double, span_m double, members int, current_ids array<string>, reference_ids array<string>"
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "start_ms", "wait_id"])
+        pdf = pdf.sort_values("nth")
         at, ms, side, ids, keys = (pdf[c].tolist() for c in ("progress_m", "duration_ms", "side", "wait_id", "key"))
         rows = []
         for g in _clusters(at):
@@ -95,8 +98,8 @@ def wait_clusters(waits: DataFrame, focus: DataFrame, courses: DataFrame) -> Dat
     c = staged(members.groupBy("attempt_id", "stretch").applyInPandas(group, schema), "wait-places").withColumn("delta_ms", F.col("current_ms") - F.col("reference_ms"))
     c = c.withColumn("match_state", F.when((F.col("current_ms") > 0) & (F.col("reference_ms") > 0), "matched").when(F.col("current_ms") > 0, "current-only").otherwise("reference-only"))
     big = F.abs("delta_ms") >= K.SHOWN_MS
-    order = Window.partitionBy("attempt_id", big).orderBy(F.desc(F.abs("delta_ms")), "progress_m", "location_id")
-    c = c.withColumns({"shown": big & (F.row_number().over(order) <= K.SHOWN_ROWS), "cluster": F.row_number().over(Window.partitionBy("attempt_id").orderBy("progress_m", "location_id")) - 1})
+    order = Window.partitionBy("attempt_id", big).orderBy(F.desc(F.abs("delta_ms")), "progress_m", in_locale("location_id"), "location_id")
+    c = c.withColumns({"shown": big & (F.row_number().over(order) <= K.SHOWN_ROWS), "cluster": F.row_number().over(Window.partitionBy("attempt_id").orderBy("progress_m", in_locale("location_id"), "location_id")) - 1})
     marks = c.select("route_id", F.struct("attempt_id", "location_id").alias("id"), "progress_m")
     at = points_at(marks, courses).select("id.attempt_id", "id.location_id", "latitude", "longitude")
     return c.join(at, ["attempt_id", "location_id"], "left")

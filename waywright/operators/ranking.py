@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.text import in_locale
 from .prefix import dealt, with_earlier
 from .timing import interior_checkpoints
 
 SHOWN_REASONS = ("missing_start_coverage", "replay_incomplete", "missing_telemetry", "not_valid")
-BEST = ("official_ms", "started_at", "armed_at_ms", "attempt_id")
+
+
+def _latest() -> list[Column]:
+    """What tells attempts of one time apart; ids as readers order them."""
+    return [F.col("armed_at_ms"), in_locale("attempt_id").alias("_in_locale"), F.col("attempt_id")]
+
+
+def _best() -> list[Column]:
+    return [F.col("official_ms"), F.col("started_at"), *_latest()]
 
 
 def attempt_status(attempts: DataFrame, runs: DataFrame, courses: DataFrame) -> DataFrame:
@@ -40,13 +49,13 @@ def focused(status: DataFrame) -> DataFrame:
     """
     e = F.col("eligible")
     rows = status.withColumn("at", F.coalesce("finished_at", F.col("armed_at_ms").cast("double")))
-    run = F.when(e, F.struct(*BEST))
+    run = F.when(e, F.struct(*_best()))
     # Eligible ones in their order of rank; then all in order of time, with what lies before each.
-    by_rank = [F.col(c).asc() for c in BEST]
-    places = with_earlier(dealt(rows.filter(e).select("route_id", *BEST), ["route_id"], by_rank, "by-rank"), ["route_id"], by_rank, {"before": ("count", F.lit(1))})
-    best = rows.filter(e).groupBy("route_id").agg(F.min(F.struct(*BEST)).alias("best"))
-    by_time = [F.col(c).asc() for c in ("at", "armed_at_ms", "attempt_id")]
-    latest = F.when(e, F.struct("at", "armed_at_ms", "attempt_id", "official_ms"))
+    by_rank = [c.asc() for c in _best()]
+    places = with_earlier(dealt(rows.filter(e).select("route_id", "official_ms", "started_at", "armed_at_ms", "attempt_id"), ["route_id"], by_rank, "by-rank"), ["route_id"], by_rank, {"before": ("count", F.lit(1))})
+    best = rows.filter(e).groupBy("route_id").agg(F.min(F.struct(*_best())).alias("best"))
+    by_time = [F.col("at").asc(), *[c.asc() for c in _latest()]]
+    latest = F.when(e, F.struct("at", *_latest(), "official_ms"))
     timed = with_earlier(dealt(rows, ["route_id"], by_time, "by-time"), ["route_id"], by_time, {"pb_before": ("min", run), "previous": ("max", latest)})
     f = timed.join(places.select("attempt_id", (F.col("before") + 1).cast("int").alias("rank")), "attempt_id", "left").join(best, "route_id", "left")
     is_pb = F.coalesce(F.col("best.attempt_id") == F.col("attempt_id"), F.lit(False))
@@ -64,8 +73,8 @@ def ranked(focus: DataFrame) -> DataFrame:
 def route_summary(status: DataFrame, courses: DataFrame, segments: DataFrame) -> DataFrame:
     """Each route's number of ranked attempts, best, latest and sum of best segments (null unless every segment has a best)."""
     e = status.filter("eligible")
-    latest = F.max(F.struct("finished_at", "armed_at_ms", "attempt_id", "official_ms"))
-    s = e.groupBy("route_id").agg(F.count("*").alias("ranked"), F.min(F.struct(*BEST)).alias("b"), latest.alias("l"))
+    latest = F.max(F.struct("finished_at", *_latest(), "official_ms"))
+    s = e.groupBy("route_id").agg(F.count("*").alias("ranked"), F.min(F.struct(*_best())).alias("b"), latest.alias("l"))
     s = s.select("route_id", "ranked", F.col("b.attempt_id").alias("pb_id"), F.col("b.official_ms").alias("pb_ms"), F.col("l.attempt_id").alias("last_id"), F.col("l.official_ms").alias("last_ms"))
     total = gold_segments(segments).groupBy("route_id").agg(F.when(F.count("gold_ms") == F.count("*"), F.sum("gold_ms")).alias("sum_of_best_ms"))
     return courses.select("route_id").join(s, "route_id", "left").join(total, "route_id", "left").withColumn("ranked", F.coalesce("ranked", F.lit(0)))
@@ -98,7 +107,7 @@ def segment_deltas(segments: DataFrame, ranked_attempts: DataFrame) -> DataFrame
     when = ranked_attempts.select("attempt_id", "target_id", "finished_at", "armed_at_ms")
     other = segments.select(F.col("attempt_id").alias("target_id"), "seg", F.col("duration_ms").alias("target_ms"))
     rows = segments.join(when, "attempt_id").join(other, ["target_id", "seg"], "left").join(gold_segments(segments).select("route_id", "seg", "gold_ms"), ["route_id", "seg"])
-    order = [F.col(c).asc() for c in ("finished_at", "armed_at_ms", "attempt_id")]
+    order = [F.col("finished_at").asc(), *[c.asc() for c in _latest()]]
     rows = with_earlier(dealt(rows, ["route_id", "seg"], order, "segments-by-time"), ["route_id", "seg"], order, {"gold_before": ("min", F.col("duration_ms"))})
     new = (F.col("duration_ms") == F.col("gold_ms")) & (F.col("gold_before").isNull() | (F.col("duration_ms") < F.col("gold_before")))
     first = F.col("gold_before").isNull() & F.col("duration_ms").isNotNull()
@@ -121,6 +130,6 @@ def history(status: DataFrame, ranked_attempts: DataFrame) -> DataFrame:
     """Attempts worth showing, latest first by place (from 1), with rank where eligible."""
     shown = status.filter(F.col("eligible") | ((F.col("lifecycle") == "completed") & F.col("reason").isin(*SHOWN_REASONS)))
     rows = shown.join(ranked_attempts.select("attempt_id", "rank", "is_pb"), "attempt_id", "left").withColumn("shown_at", F.coalesce("finished_at", "recorded_finished_at_ms", F.col("armed_at_ms").cast("double")))
-    latest = [F.desc("shown_at"), F.desc("armed_at_ms"), F.desc("attempt_id")]
+    latest = [F.desc("shown_at"), *[c.desc() for c in _latest()]]
     rows = with_earlier(dealt(rows, ["route_id"], latest, "by-latest"), ["route_id"], latest, {"later": ("count", F.lit(1))})
     return rows.select("route_id", "attempt_id", (F.col("later") + 1).cast("int").alias("place"), "rank", F.coalesce("is_pb", F.lit(False)).alias("is_pb"), "eligible", "reason", "official_ms")

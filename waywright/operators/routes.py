@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.geo import haversine
-from ..functions.text import fixed
+from ..functions.text import fixed, in_locale
 from .matching import _meters
 from .streams import in_order
 
@@ -79,6 +79,6 @@ def layout_identity(courses: DataFrame) -> DataFrame:
 
     n = lambda c: F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), "nan").otherwise(fixed(c, 3))
     c = courses.join(course_numbers(courses).select("route_id", "trigger_p"), "route_id")
-    cps = F.array_join(F.transform(F.sort_array(F.transform("checkpoints", lambda x: F.struct(x["progress_m"].alias("p"), x["id"].alias("id")))), lambda x: F.concat(x["id"], F.lit(":"), n(x["p"]))), ",")
+    cps = F.array_join(F.transform(F.sort_array(F.transform("checkpoints", lambda x: F.struct(x["progress_m"].alias("p"), in_locale(x["id"]).alias("in_locale"), x["id"].alias("id")))), lambda x: F.concat(x["id"], F.lit(":"), n(x["p"]))), ",")
     names = {"start": "start_p", "finish": "finish_p", "startR": "start_r", "finishR": "finish_r", "finishTrigger": "trigger_p"}
     return c.select("route_id", F.concat_ws("|", *[F.concat(F.lit(f"{k}="), n(F.col(v))) for k, v in names.items()], F.concat(F.lit("cp=["), cps, F.lit("]"))).alias("identity"))

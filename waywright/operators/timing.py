@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.text import in_locale
 from .matching import projection_near
 
 
@@ -25,7 +26,7 @@ def interior_checkpoints(courses: DataFrame) -> DataFrame:
     """route_id, checkpoint_id, name, progress_m, cp_order (from 1) of checkpoints between start and finish."""
     cps = courses.select("route_id", "start_p", "finish_p", F.explode("checkpoints").alias("c")).select("route_id", "start_p", "finish_p", F.col("c.id").alias("checkpoint_id"), "c.name", "c.progress_m")
     cps = cps.filter((F.col("progress_m") > F.col("start_p")) & (F.col("progress_m") < F.col("finish_p")))
-    return cps.select("route_id", "checkpoint_id", "name", "progress_m", F.row_number().over(Window.partitionBy("route_id").orderBy("progress_m", "checkpoint_id")).alias("cp_order"))
+    return cps.select("route_id", "checkpoint_id", "name", "progress_m", F.row_number().over(Window.partitionBy("route_id").orderBy("progress_m", in_locale("checkpoint_id"), "checkpoint_id")).alias("cp_order"))
 
 
 def crossing_time(line: Column, p0: Column = None, t0: Column = None, p1: Column = None, t1: Column = None) -> Column:

@@ -326,6 +326,15 @@ ORACLES: dict[str, str] = {
     "q_crossings": f"{BASE}, {CROSSED} SELECT attempt_id, checkpoint_id, {milli('crossed')} AS crossed_us FROM cr",
     "q_rank_pb": f"{BASE}, {RANKED} SELECT route_id, attempt_id, {milli('official')} AS official_us, CAST(rank AS INTEGER) AS rank, is_pb, target_id, {milli('delta_pb')} AS delta_pb_us, {milli('official - previous')} AS delta_previous_us, pb.i AS pb_before_id FROM rt",
     "q_focus": f"{BASE}, {RANKED}, {FOCUS} SELECT f.attempt_id, f.reason, CAST(rt.rank AS INTEGER) AS rank, f.is_pb, f.previous_id, {milli('f.delta_previous')} AS delta_previous_us, {milli('f.pb_before')} AS pb_before_us, f.target_id, {milli('f.delta_pb')} AS delta_pb_us FROM fa f LEFT JOIN rt USING (attempt_id)",
+    "q_focus_named": """WITH k AS (SELECT CAST(o_orderkey AS BIGINT) AS k, o_custkey FROM orders),
+        a AS (SELECT ['e', 'E', 'é', 'É', 'z', 'Z', 'a', 'ä'][1 + k % 8] || '-' || CAST(k // 8 AS VARCHAR) AS attempt_id, CAST(o_custkey % 5 AS VARCHAR) AS route_id, k % 3 * 1000 AS armed, k % 6 <> 5 AS eligible, k % 4 * 1000 + 60000 AS official FROM k),
+        r AS (SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY route_id, eligible ORDER BY official, armed, attempt_id COLLATE en, attempt_id) END AS rank,
+          row_number() OVER (PARTITION BY route_id ORDER BY CASE WHEN eligible THEN armed + 500 + official ELSE armed END, armed, attempt_id COLLATE en, attempt_id) AS place FROM a),
+        w AS (SELECT *, min(rank) OVER before AS pb_rank, max(CASE WHEN eligible THEN place END) OVER before AS previous FROM r
+          WINDOW before AS (PARTITION BY route_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT w.route_id, w.attempt_id, CAST(w.rank AS INTEGER) AS rank, coalesce(w.rank = 1, false) AS is_pb, p.attempt_id AS previous_id, b.attempt_id AS pb_before_id,
+          CASE WHEN w.rank = 1 THEN b.attempt_id ELSE g.attempt_id END AS target_id
+        FROM w LEFT JOIN r p ON p.route_id = w.route_id AND p.place = w.previous LEFT JOIN r b ON b.route_id = w.route_id AND b.rank = w.pb_rank LEFT JOIN r g ON g.route_id = w.route_id AND g.rank = 1""",
     "q_focus_segments": f"""{BASE}, {RANKED}, {FOCUS}, {CROSSED}, {SEGMENT_TIMES}, gd AS (SELECT route_id, seg, min(duration) AS gold FROM sd GROUP BY ALL), sp0 AS (SELECT route_id, CAST(row_number() OVER w AS INTEGER) AS seg, mark || '->' || lead(mark) OVER w AS segment_id, lead(mark) OVER w AS nm FROM (SELECT route_id, 0 AS o, 'start' AS mark FROM co UNION ALL SELECT route_id, cp_order, checkpoint_id FROM co, cp WHERE mark > start_p AND mark < finish_p UNION ALL SELECT route_id, 99, 'finish' FROM co) WINDOW w AS (PARTITION BY route_id ORDER BY o))
         SELECT f.attempt_id, s.seg, s.segment_id, {milli("a.duration")} AS duration_us, {milli("b.duration")} AS target_us, {milli("a.duration - b.duration")} AS delta_us, {milli("gold")} AS gold_us FROM fa f JOIN sp0 s ON s.route_id = f.route_id AND s.nm IS NOT NULL LEFT JOIN sd a ON a.attempt_id = f.attempt_id AND a.seg = s.seg LEFT JOIN sd b ON b.attempt_id = f.target_id AND b.seg = s.seg LEFT JOIN gd ON gd.route_id = f.route_id AND gd.seg = s.seg""",
     "q_route_summary": f"""{BASE}, {CROSSED}, {SEGMENT_TIMES}, go AS (SELECT route_id, seg, min(duration) AS gold FROM sd GROUP BY ALL), sb AS (SELECT route_id, CASE WHEN count(gold) = count(*) THEN list_reduce(list(gold ORDER BY seg), lambda a, x: a + x) END AS best FROM go GROUP BY route_id),
