@@ -256,3 +256,14 @@ def test_extra_columns_of_any_name_change_nothing(spark):
     for table in ("matched", "runs", "crossings", "status", "focus", "segments", "intervals", "waits", "comparison", "legs", "ghosts", "report"):
         a, b = getattr(plain, table), getattr(other, table)
         assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())), table
+
+
+def test_ids_of_checkpoints_go_by_locale(spark):
+    """Checkpoints at one place come in readers' order, whatever their case; layouts and crossings agree on it."""
+    from waywright.operators import routes, timing
+
+    c = course(spark, marks=[("Z", 200), ("é", 200), ("a", 200), ("E", 200)])
+    found = timing.interior_checkpoints(c).orderBy("cp_order").collect()
+    assert [r.checkpoint_id for r in found] == ["a", "E", "é", "Z"]
+    identity = routes.layout_identity(c).first().identity
+    assert [x.split(":")[0] for x in identity.split("cp=[")[1].split(",")] == ["a", "E", "é", "Z"]

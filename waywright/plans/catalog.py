@@ -381,18 +381,70 @@ def q_route_geometry(spark, d):
     return r.select("session_id", "saveable", "reason", F.size("path").alias("points"), milli(F.col("distance_m")).alias("distance_mm"), e7("start_zone.latitude").alias("start_e7"), e7("finish_zone.latitude").alias("finish_e7"))
 
 
-def q_layouts(spark, d):
-    """Problems and identities of made-up layouts, a third of them faulty."""
+def _layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Made-up layouts, a third of them faulty."""
     n = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("c"))
     c, k = F.col("c"), F.col("c") % 25
     mark = lambda i, name, p: F.struct(F.lit(i).alias("id"), name.alias("name"), p.cast("double").alias("progress_m"))
-    made = n.select(
+    return n.select(
         c.cast("string").alias("route_id"), (5.0 * k + 0.0625).alias("start_p"), (100.0 + 7 * k + (c % 1000) / 1e4).alias("finish_p"), F.when(c % 6 == 0, 5.0).when(c % 6 == 1, float("nan")).otherwise(30.0).alias("start_r"), F.when(c % 7 == 3, 251.0).otherwise(20.0).alias("finish_r"),
         F.array(mark("b", F.when(c % 8 == 2, "  ").otherwise("B"), F.lit(90.0)), mark("a", F.lit("A"), 60.5 + k)).alias("checkpoints"),
     )
+
+
+def q_layouts(spark, d):
+    """Problems and identities of made-up layouts."""
+    made = _layouts(spark, d)
     return routes.layout_problem(made).join(routes.layout_identity(made), "route_id")
 
 
+def q_arming(spark, d):
+    """Why runs on made-up layouts can't be armed: while a session records, while one is undecided, while an attempt is open, and with nothing in the way."""
+    c = F.col("route_id").cast("long")
+    made = _layouts(spark, d)
+    courses = made.withColumn("path", F.array_repeat(F.struct(F.lit(1.0).alias("latitude"), F.lit(2.0).alias("longitude")), (c % 4).cast("int")))
+    still = _sessions(spark, d).withColumn("is_active", F.lit(False))
+    decided = still.withColumn("review_disposition", F.lit("saved"))
+    a = _attempts(spark, d)
+    ended = a.withColumn("lifecycle", F.lit("completed"))
+    times = {"recording": (_sessions(spark, d), a), "undecided": (still, a), "open": (decided, a), "free": (decided, ended)}
+    out = None
+    for kind, (s, t) in times.items():
+        rows = sessions.arming_problem(courses, routes.layout_problem(made), s, t).select(F.lit(kind).alias("kind"), "route_id", "reason")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+def q_saved_routes(spark, d):
+    """Undecided recordings saved as routes, under names of which some are blank; one that is stored already isn't stored again."""
+    derived = routes.derive_routes(traces.synthetic_samples(spark, d))
+    k = F.col("c_custkey").cast("long")
+    own = {"session_id": k.cast("string"), "route_id": F.concat(F.lit("n"), k.cast("string")), "name": F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit("  Way "), k.cast("string"), F.lit(" "))), "transportation_mode": F.lit("bike"), "created_at_ms": k}
+    names = spark.read.parquet(f"{d}/customer.parquet").select(*[c.alias(n) for n, c in own.items()])
+    s = _sessions(spark, d).withColumns({"purpose": F.lit("route_creation"), "capture_outcome": F.when(F.col("id").cast("long") % 7 == 0, "cancelled").otherwise("finished")})
+    saved = sessions.saved_routes(derived, s, names)
+    there = saved.filter(F.col("source_recording_id").cast("long") % 3 == 0).withColumns({"route_id": F.concat(F.lit("old"), "route_id"), "name": F.lit("Old")})
+    after = sessions.create_routes(there, saved)
+    return after.select("route_id", "name", "source_recording_id", F.size("path").alias("points"), milli(F.col("finish_p")).alias("finish_mm"), e7("start_zone.latitude").alias("start_e7"))
+
+
+def q_route_lookup(spark, d):
+    """One route with its suppliers as points."""
+    n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("route_id"))
+    points = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").cast("string").alias("route_id"), F.col("s_suppkey").cast("int").alias("seq"), F.col("s_suppkey").cast("double").alias("latitude"), F.lit(0.0).alias("longitude"))
+    none = n.filter("false").select("route_id", F.lit("").alias("id"), F.lit("").alias("name"), F.lit(0.0).alias("progress_m"))
+    return sessions.routes_with_children(sessions.route_of(n, "3"), points, none).select("route_id", F.coalesce(F.array_size("path"), F.lit(0)).cast("long").alias("points"), F.size("checkpoints").alias("checkpoints"))
+
+
+def q_tones(spark, d):
+    """What colours and counts say beside a time, for each order."""
+    k = F.col("o_orderkey").cast("long")
+    delta = F.when(k % 11 != 0, (k % 7 - 3) * 500)
+    official = F.when(k % 13 != 0, k % 9000 * 1000)
+    meta = text.history_meta(k % 5 != 0, official, k % 4 == 0, F.when(k % 3 != 0, k % 120 + 1))
+    return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("k"), text.delta_tone(delta).alias("tone"), text.comparison_tone(delta).alias("waits"), text.stop_count(k % 4).alias("stops"), meta.alias("meta"))
+
+
 def q_course_geojson(spark, d):
     """The features of each course's GeoJSON, read back: number (0 for waits), kind, type, how many points, the first one's latitude."""
     a = analysis(spark, d)
@@ -458,8 +510,8 @@ def q_routes(spark, d):
     """Nations as routes with suppliers as points and parts as checkpoints, in the order of each."""
     n = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("route_id"))
     points = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_nationkey").cast("string").alias("route_id"), F.col("s_suppkey").cast("int").alias("seq"), F.col("s_suppkey").cast("double").alias("latitude"), F.lit(0.0).alias("longitude"))
-    parts = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey < 200")
-    marks = parts.select((F.col("p_partkey") % 25).cast("string").alias("route_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("x").alias("name"), (F.col("p_retailprice") * 1e6 + F.col("p_partkey")).cast("double").alias("progress_m"))
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    marks = parts.select((F.col("p_partkey") % 25).cast("string").alias("route_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("x").alias("name"), (F.col("p_retailprice") * 1e9 + F.col("p_partkey")).cast("double").alias("progress_m"))
     r = sessions.routes_with_children(n, points, marks)
     return r.select("route_id", F.greatest(F.lit(0), F.coalesce(F.size("path"), F.lit(0))).cast("long").alias("points"), F.array_join(F.transform(F.coalesce("path", F.array().cast("array<struct<latitude:double,longitude:double>>")), lambda p: p["latitude"].cast("long").cast("string")), ",").alias("sequence"), F.array_join(F.transform("checkpoints", lambda x: x["id"]), ",").alias("checkpoints"))
 

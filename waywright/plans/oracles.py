@@ -411,10 +411,26 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'crossing', attempt_id, true, checkpoint_id, CAST(CAST(crossed_at AS BIGINT) AS VARCHAR) FROM ck WHERE attempt_id NOT IN (SELECT attempt_id FROM fin JOIN st USING (session_id)) UNION ALL SELECT 'crossing', attempt_id, true, 'new', '1' FROM fin JOIN st USING (session_id)""",
     "q_acknowledge": f"WITH {STORED} SELECT attempt_id, acknowledged OR CAST(attempt_id AS BIGINT) % 6 = 0 AS result_acknowledged FROM sto",
     "q_routes": """SELECT CAST(n_nationkey AS VARCHAR) AS route_id, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS points, coalesce((SELECT string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), '') AS sequence,
-        coalesce((SELECT string_agg('p' || p_partkey, ',' ORDER BY p_retailprice, p_partkey) FROM part WHERE p_partkey % 25 = n_nationkey AND p_partkey < 200), '') AS checkpoints FROM nation""",
+        coalesce((SELECT string_agg('p' || p_partkey, ',' ORDER BY p_retailprice, p_partkey) FROM part WHERE p_partkey % 25 = n_nationkey), '') AS checkpoints FROM nation""",
     "q_create_routes": """WITH r AS (SELECT CAST(n_nationkey AS VARCHAR) AS route_id, CASE WHEN n_nationkey % 8 <> 0 THEN CAST(n_nationkey % 10 AS VARCHAR) END AS rec FROM nation WHERE n_nationkey < 12), w AS (SELECT 'w' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS route_id, CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey % 20 AS VARCHAR) END AS rec FROM nation)
         SELECT * FROM r UNION ALL SELECT min(route_id), rec FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rec IS NOT DISTINCT FROM w.rec) GROUP BY rec""",
     "q_replace_layouts": """WITH r AS (SELECT n_nationkey AS k, CAST(n_nationkey AS VARCHAR) AS route_id, CASE WHEN n_nationkey % 3 = 0 THEN 20.0::DOUBLE ELSE 30.0::DOUBLE END AS start_r, CASE WHEN n_nationkey % 3 = 0 THEN 7.0::DOUBLE ELSE 0.0::DOUBLE END AS start_p FROM nation)
         SELECT 'route' AS kind, route_id, CAST(start_r AS VARCHAR) AS a, CAST(start_p AS VARCHAR) AS b FROM r UNION ALL SELECT 'checkpoint', route_id, CASE WHEN k % 3 = 0 THEN 'new' ELSE 'old' END, 'c' FROM r""",
     "q_delete_routes": """SELECT 'route' AS kind, CAST(n_nationkey AS VARCHAR) AS id FROM nation WHERE n_nationkey % 4 <> 1 UNION ALL SELECT 'point', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_nationkey % 4 <> 1""",
 }
+
+_layouts, _geometry = ORACLES["q_layouts"], ORACLES["q_route_geometry"]
+ORACLES |= {
+    "q_arming": f"""WITH l AS ({_layouts}), t AS (SELECT unnest(['recording', 'undecided', 'open', 'free']) AS kind)
+        SELECT kind, route_id, coalesce(problem, CASE WHEN CAST(route_id AS BIGINT) % 4 < 2 THEN 'bad_course' END,
+          CASE kind WHEN 'recording' THEN 'recording' WHEN 'undecided' THEN 'pending_route' WHEN 'open' THEN 'open_attempt' END) AS reason FROM l, t""",
+    "q_saved_routes": f"""SELECT CASE WHEN k % 3 = 0 THEN 'oldn' ELSE 'n' END || k AS route_id, CASE WHEN k % 3 = 0 THEN 'Old' ELSE 'Way ' || k END AS name,
+        session_id AS source_recording_id, points, distance_mm AS finish_mm, start_e7
+        FROM ({_geometry}) g JOIN (SELECT c_custkey AS k FROM customer) c ON CAST(k AS VARCHAR) = session_id WHERE saveable AND k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0""",
+    "q_route_lookup": "SELECT '3' AS route_id, count(*) AS points, CAST(0 AS INTEGER) AS checkpoints FROM supplier WHERE s_nationkey = 3",
+    "q_tones": f"""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 <> 0 THEN (o_orderkey % 7 - 3) * 500 END AS delta, o_orderkey % 9000 AS s, o_orderkey % 120 + 1 AS n FROM orders),
+        b AS (SELECT *, n || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS place FROM a)
+        SELECT k, CASE WHEN delta < 0 THEN 'faster' WHEN delta > 0 THEN 'slower' ELSE 'neutral' END AS tone, CASE WHEN delta > 0 THEN 'more' WHEN delta < 0 THEN 'less' ELSE 'wait' END AS waits,
+        CASE WHEN k % 4 = 1 THEN '1 stop' ELSE (k % 4) || ' stops' END AS stops,
+        CASE WHEN k % 5 = 0 OR k % 13 = 0 THEN 'Unavailable' ELSE {_ELAPSED} || CASE WHEN k % 4 = 0 THEN ' · PB' WHEN k % 3 <> 0 THEN ' · ' || place ELSE '' END END AS meta FROM b""",
+}
