@@ -131,7 +131,10 @@ def wait_events(labelled: DataFrame, runs: DataFrame, courses: DataFrame) -> Dat
             for s, e, p, q in zip(*(part.column(c).to_pylist() for c in ("start_ms", "end_ms", "start_p", "end_p")), strict=True):
                 known = [x for x in (p, q) if x is not None]
                 if now is not None and 0 <= s - now[1] <= K.MERGE_GAP_MS and (now[4] == 0 and not known or now[4] > 0 and bool(known) and abs(sum(known) / len(known) - now[3] / now[4]) <= K.MERGE_PROGRESS_M):
-                    now = [now[0], e, now[2] + (e - s), now[3] + sum(known), now[4] + len(known)]
+                    total = now[3]
+                    for x in known:  # one after another, as rounding depends on the order
+                        total += x
+                    now = [now[0], e, now[2] + (e - s), total, now[4] + len(known)]
                 else:
                     done += [now] if now else []
                     now = [s, e, e - s, sum(known, 0.0), len(known)]
