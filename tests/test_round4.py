@@ -17,3 +17,18 @@ def test_a_wait_s_place_is_the_sum_of_its_places_in_order(spark):
     runs = spark.createDataFrame([("a", "r", 0.0)], "attempt_id string, route_id string, started_at double")
     assert ((p[0] + p[1]) + p[2]) + p[3] != (p[0] + p[1]) + (p[2] + p[3])
     assert movement.wait_events(labelled, runs, course(spark)).first().progress_m == (((p[0] + p[1]) + p[2]) + p[3]) / 4
+
+
+def test_geometry_has_the_same_bits_on_every_machine():
+    """Lengths by the C library's functions, in the order of the formula; a place is its segment's beginning and a share of the way."""
+    r = np.random.default_rng(3)
+    lat, lon = 32.0 + r.uniform(0, 0.01, 300), 34.0 + r.uniform(0, 0.01, 300)
+    g = matching._Geometry(lat, lon)
+
+    def length(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) * math.sin(math.radians(d - b) / 2)
+        return 2 * K.EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
+
+    assert g.length.tolist() == [length(*x) for x in zip(lat[:-1], lon[:-1], lat[1:], lon[1:], strict=True)]
+    on, share = np.arange(299), r.uniform(0, 1, 299)
+    assert g.point(on, share)[0].tolist() == [lat[i] + (lat[i + 1] - lat[i]) * share[i] for i in range(299)]

@@ -162,6 +162,11 @@ def _meters(lat1, lon1, lat2, lon2) -> np.ndarray:
     return 2 * K.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
 
 
+def _each(f: Callable[[float], float], x: np.ndarray) -> np.ndarray:
+    """A function of the C library: numpy's own differ in the last bit from machine to machine, and with it which of two equal distances is less."""
+    return np.array([f(v) if math.isfinite(v) else math.nan for v in x.tolist()], float)
+
+
 class _Geometry:
     """A path's segments: their ends, lengths, and progress at both ends."""
 
@@ -169,7 +174,11 @@ class _Geometry:
         if len(lat) == 1:  # a point is a segment without length
             lat, lon = np.repeat(lat, 2), np.repeat(lon, 2)
         self.ends = lat[:-1], lon[:-1], lat[1:], lon[1:]
-        self.length = _meters(*self.ends)
+        a_lat, a_lon, b_lat, b_lon = self.ends
+        up, over = _each(math.sin, np.radians(b_lat - a_lat) / 2), _each(math.sin, np.radians(b_lon - a_lon) / 2)
+        flat = _each(math.cos, np.radians(a_lat))
+        self.east = K.METERS_PER_DEGREE * flat
+        self.length = 2 * K.EARTH_RADIUS_M * _each(math.asin, np.minimum(1.0, np.sqrt(up * up + flat * _each(math.cos, np.radians(b_lat)) * over * over)))
         self.s1 = np.cumsum(self.length)
         self.s0 = np.concatenate([[0.0], self.s1[:-1]]) if len(self.s1) else self.s1
         self._boxes: list[np.ndarray] | None = None
@@ -178,7 +187,7 @@ class _Geometry:
     def project(self, y: np.ndarray, x: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, ...]:
         """Progress, distance, latitude and longitude of points on the segments from ``lo`` to ``hi``; a row a point."""
         a_lat, a_lon, b_lat, b_lon = (e[lo:hi] for e in self.ends)
-        east = K.METERS_PER_DEGREE * np.cos(np.radians(a_lat))
+        east = self.east[lo:hi]
         ex, ey = (b_lon - a_lon) * east, (b_lat - a_lat) * K.METERS_PER_DEGREE
         px, py = (x[:, None] - a_lon) * east, (y[:, None] - a_lat) * K.METERS_PER_DEGREE
         square = ex * ex + ey * ey
@@ -189,7 +198,7 @@ class _Geometry:
     def pairs(self, on: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """As project(), of each point on one segment."""
         a_lat, a_lon, b_lat, b_lon = (e[on] for e in self.ends)
-        east = K.METERS_PER_DEGREE * np.cos(np.radians(a_lat))
+        east = self.east[on]
         ex, ey = (b_lon - a_lon) * east, (b_lat - a_lat) * K.METERS_PER_DEGREE
         px, py = (x - a_lon) * east, (y - a_lat) * K.METERS_PER_DEGREE
         square = ex * ex + ey * ey
@@ -279,8 +288,7 @@ class _Geometry:
     def point(self, on: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Latitude and longitude at shares of segments."""
         a_lat, a_lon, b_lat, b_lon = (e[on] for e in self.ends)
-        east = K.METERS_PER_DEGREE * np.cos(np.radians(a_lat))
-        return a_lat + (b_lat - a_lat) * K.METERS_PER_DEGREE * share / K.METERS_PER_DEGREE, a_lon + (b_lon - a_lon) * east * share / east
+        return a_lat + (b_lat - a_lat) * share, a_lon + (b_lon - a_lon) * share
 
 
 class _Follower(_Geometry):
