@@ -32,3 +32,22 @@ def test_geometry_has_the_same_bits_on_every_machine():
     assert g.length.tolist() == [length(*x) for x in zip(lat[:-1], lon[:-1], lat[1:], lon[1:], strict=True)]
     on, share = np.arange(299), r.uniform(0, 1, 299)
     assert g.point(on, share)[0].tolist() == [lat[i] + (lat[i + 1] - lat[i]) * share[i] for i in range(299)]
+
+
+def test_a_cluster_s_sum_is_that_of_its_two_parts():
+    """Of a cluster that two clusters make, and amounts besides places; equal places go by their keys."""
+    at = [0.1, 0.2, 8.3, 8.7]
+    (first, last, total, amount), = comparing._linked(at, [1.0, 2.0, 4.0, 8.0])
+    assert (first, last, amount) == (0, 3, 15.0) and total == (0.1 + 0.2) + (8.3 + 8.7)
+    assert comparing._clusters([5.0, 5.0, 5.0], ["c", "a", "b"]) == [[1, 2, 0]]
+    assert comparing._clusters([]) == []
+
+
+def test_waits_are_clustered_in_no_group_of_their_own(spark):
+    """Stretches of a comparison stream past in order along the course; none is handed to Python alone."""
+    waits = [(a, f"w{i}", 10_000.0 * i, 5_000.0, 100.0 * i + (7.0 if a == "b" else 0.0), True) for a in "ab" for i in range(1, 6)]
+    w = spark.createDataFrame(waits, "attempt_id string, wait_id string, start_ms double, duration_ms double, progress_m double, located boolean")
+    focus = spark.createDataFrame([("a", "b", "r", True), ("b", None, "r", True)], "attempt_id string, target_id string, route_id string, eligible boolean")
+    found = comparing.wait_clusters(w, focus, course(spark)).orderBy("cluster").collect()
+    assert [(c.attempt_id, c.members, c.current_ids, c.reference_ids, c.current_ms, c.reference_ms, c.progress_m, c.span_m) for c in found] == [("a", 2, [f"w{i}"], [f"w{i}"], 5_000.0, 5_000.0, 100.0 * i + 3.5, 7.0) for i in range(1, 6)]
+    assert found[0].location_id == "wait-cmp:0|10000|w1;1|10000|w1"

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,89 +14,103 @@ from ..functions.geo import haversine, plain
 from ..functions.text import in_locale
 from ..sources.staging import staged
 from .matching import points_at
+from .streams import in_order
 
 
-def _clusters(at: list[float]) -> list[list[int]]:
-    """Complete linkage along a line: the closest means first, as long as a cluster spans no more than the radius.
+def _linked(at: list[float], *amounts: list[float]) -> list[tuple]:
+    """Complete linkage of places in order along a line: the closest means first, as long as a cluster spans no more than the radius.
 
-    Equal distances go by the union's ends.  Of clusters on a line, the two with the closest means
-    are neighbours, so a heap holds the pairs of neighbours only.  Waits at one place are one
-    cluster from the start: their distance is the least there is, and the radius allows it.
+    Returns first and last place, the sum of both's and all places between, and the sums of
+    ``amounts``.  Equal distances go by the union's ends, then by its first place.  Of clusters
+    on a line, the two with the closest means are neighbours, so a heap holds the pairs of
+    neighbours only.  A union's sums are those of its two parts added up, as rounding, and with
+    it which of two equal distances is less, depends on the order.
     """
-    groups: dict[float, list[int]] = {}
-    for i, p in enumerate(at):
-        groups.setdefault(p, []).append(i)
-    places = sorted(groups)
-    members: list[list[int] | None] = [groups[p] for p in places]
-    total = [sum(at[i] for i in m) for m in members]
-    low, high = list(places), list(places)
-    turn = [m[0] if len(m) == 1 else len(at) + k for k, m in enumerate(members)]  # of two, the one of which there has been longer comes first
-    before, after = list(range(-1, len(places) - 1)), [*range(1, len(places)), -1]
-    made, heap = len(at) + len(places), []
+    n = len(at)
+    first, last = list(range(n)), list(range(n))
+    sums = list(zip(at, *amounts, strict=True))
+    before, after, gone = list(range(-1, n - 1)), [*range(1, n), -1], [False] * n
+    heap: list[tuple] = []
 
     def offer(a: int, b: int) -> None:
-        if a >= 0 and b >= 0 and high[b] - low[a] <= K.CLUSTER_M:
-            heapq.heappush(heap, (abs(total[a] / len(members[a]) - total[b] / len(members[b])), low[a], high[b], a, b))
+        if a >= 0 and b >= 0 and at[last[b]] - at[first[a]] <= K.CLUSTER_M:
+            mean = [sums[x][0] / (last[x] - first[x] + 1) for x in (a, b)]
+            heapq.heappush(heap, (abs(mean[0] - mean[1]), at[first[a]], at[last[b]], first[a], a, b))
 
-    for k in range(len(places) - 1):
+    for k in range(n - 1):
         offer(k, k + 1)
     while heap:
         *_, a, b = heapq.heappop(heap)
-        if members[a] is None or members[b] is None:
+        if gone[a] or gone[b]:
             continue
-        first, second = (a, b) if turn[a] < turn[b] else (b, a)
-        union, mass = members[first] + members[second], total[first]
-        for i in members[second]:  # one after another, as rounding depends on the order
-            mass += at[i]
-        members.append(union)
-        total.append(mass)
-        low.append(low[a])
-        high.append(high[b])
-        turn.append(made)
+        own = len(first)
+        first.append(first[a])
+        last.append(last[b])
+        sums.append(tuple(x + y for x, y in zip(sums[a], sums[b], strict=True)))
         before.append(before[a])
         after.append(after[b])
-        own, made = len(members) - 1, made + 1
-        members[a] = members[b] = None
+        gone.append(False)
+        gone[a] = gone[b] = True
         if before[own] >= 0:
             after[before[own]] = own
         if after[own] >= 0:
             before[after[own]] = own
         offer(before[own], own)
         offer(own, after[own])
-    return [m for m in members if m is not None]
+    return [(first[k], last[k], *sums[k]) for k in range(len(first)) if not gone[k]]
+
+
+def _clusters(at: list[float], keys: list[str] | None = None) -> list[list[int]]:
+    """_linked() of places in any order, as lists of them; equal places go by their keys, or as they stand."""
+    line = sorted(range(len(at)), key=lambda i: (at[i], keys[i] if keys else i))
+    return [line[a : b + 1] for a, b, _ in _linked([at[i] for i in line])]
 
 
 def wait_clusters(waits: DataFrame, focus: DataFrame, courses: DataFrame) -> DataFrame:
     """attempt_id, target_id, location_id, cluster, progress_m, latitude, longitude, current_ms, reference_ms, delta_ms, match_state, span_m, members, the waits' ids on either side, shown.
 
-    Located waits of each eligible attempt and of its target are clustered by place.  Waits
-    farther apart than the radius never share a cluster, so those between two such gaps are
-    clustered on their own, in little more time than it takes to sort them.
+    Located waits of each eligible attempt and of its target are clustered by place.  They stream
+    past in order along the course; waits farther apart than the radius never share a cluster, so
+    those between two such gaps are clustered on their own, and only they are remembered.
     """
     pairs = focus.filter("eligible and target_id is not null").select("attempt_id", "target_id", "route_id")
     w = waits.filter("located").select("attempt_id", "wait_id", "start_ms", "duration_ms", "progress_m")
     mine = pairs.join(w, "attempt_id").withColumn("side", F.lit(0))
     theirs = pairs.join(w.withColumnRenamed("attempt_id", "target_id"), "target_id").withColumn("side", F.lit(1))
     members = mine.unionByName(theirs).withColumn("key", F.concat_ws("|", F.col("side").cast("string"), plain(F.col("start_ms")), "wait_id"))
-    line = Window.partitionBy("attempt_id").orderBy("progress_m", "key")
-    apart = F.coalesce(F.col("progress_m") - F.lag("progress_m").over(line) > K.CLUSTER_M, F.lit(False))
-    members = members.withColumn("apart", apart).withColumn("stretch", F.sum(F.col("apart").cast("int")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    in_order = Window.partitionBy("attempt_id", "stretch").orderBy("side", "start_ms", in_locale("wait_id"), "wait_id")
-    members = members.withColumn("nth", F.row_number().over(in_order))
+    ids = Window.partitionBy("attempt_id").orderBy("side", "start_ms", in_locale("wait_id"), "wait_id")
+    members = members.withColumn("nth", F.row_number().over(ids)).select("attempt_id", "target_id", "route_id", "nth", "side", "progress_m", "duration_ms", "wait_id", "key")
     schema = "attempt_id string, target_id string, route_id string, location_id string, progress_m double, current_ms double, reference_ms double, span_m double, members int, current_ids array<string>, reference_ids array<string>"
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("nth")
-        at, ms, side, ids, keys = (pdf[c].tolist() for c in ("progress_m", "duration_ms", "side", "wait_id", "key"))
-        rows = []
-        for g in _clusters(at):
-            g = sorted(g)  # members in order of side, start and id
-            own = [[i for i in g if side[i] == s] for s in (0, 1)]
-            rows.append(("wait-cmp:" + ";".join(keys[i] for i in g), sum(at[i] for i in g) / len(g), *(sum((ms[i] for i in x), 0.0) for x in own), max(at[i] for i in g) - min(at[i] for i in g), len(g), *([ids[i] for i in x] for x in own)))
-        first = pdf.iloc[0]
-        return pd.DataFrame([(first.attempt_id, first.target_id, first.route_id, *r) for r in rows], columns=[c.split()[0] for c in schema.split(", ")])
-
-    c = staged(members.groupBy("attempt_id", "stretch").applyInPandas(group, schema), "wait-places").withColumn("delta_ms", F.col("current_ms") - F.col("reference_ms"))
+    names, texts = [c.split()[0] for c in schema.split(", ")], pa.list_(pa.string())
+    types = [pa.string()] * 4 + [pa.float64()] * 4 + [pa.int32(), texts, texts]
+
+    def places(near: list[tuple]) -> Iterator[tuple]:
+        nth, side, at, ms, ids, keys = zip(*near, strict=True)
+        own = [[m if s == k else 0.0 for m, s in zip(ms, side, strict=True)] for k in (0, 1)]
+        for a, b, total, *sums in _linked(at, *own):
+            g = sorted(range(a, b + 1), key=lambda i: nth[i])  # members in order of side, start and id
+            yield "wait-cmp:" + ";".join(keys[i] for i in g), total / len(g), *sums, at[b] - at[a], len(g), *([ids[i] for i in g if side[i] == k] for k in (0, 1))
+
+    def group(key: tuple, slices: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: list[tuple] = []  # waits, each no farther from the one before than the radius
+        whose = ()
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*((*whose, *r) for r in rows), strict=True), types, strict=True)], names=names)
+
+        for part in slices:
+            whose = tuple(part.column(c)[0].as_py() for c in names[:3])
+            done: list[tuple] = []
+            for row in zip(*(part.column(c).to_pylist() for c in ("nth", "side", "progress_m", "duration_ms", "wait_id", "key")), strict=True):
+                if near and row[2] - near[-1][2] > K.CLUSTER_M:
+                    done += places(near)
+                    near = []
+                near.append(row)
+            if done:
+                yield out(done)
+        yield out(list(places(near)))
+
+    c = staged(in_order(members, ["attempt_id"], ["progress_m", "nth"], group, schema), "wait-places").withColumn("delta_ms", F.col("current_ms") - F.col("reference_ms"))
     c = c.withColumn("match_state", F.when((F.col("current_ms") > 0) & (F.col("reference_ms") > 0), "matched").when(F.col("current_ms") > 0, "current-only").otherwise("reference-only"))
     big = F.abs("delta_ms") >= K.SHOWN_MS
     order = Window.partitionBy("attempt_id", big).orderBy(F.desc(F.abs("delta_ms")), "progress_m", in_locale("location_id"), "location_id")
