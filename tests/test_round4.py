@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tests.trips import course
+from tests.trips import course, samples, steady, trace
 from waywright.functions import constants as K
-from waywright.operators import comparing, matching, movement
+from waywright.operators import comparing, matching, movement, timing
 
 
 def test_a_wait_s_place_is_the_sum_of_its_places_in_order(spark):
@@ -51,3 +52,18 @@ def test_waits_are_clustered_in_no_group_of_their_own(spark):
     found = comparing.wait_clusters(w, focus, course(spark)).orderBy("cluster").collect()
     assert [(c.attempt_id, c.members, c.current_ids, c.reference_ids, c.current_ms, c.reference_ms, c.progress_m, c.span_m) for c in found] == [("a", 2, [f"w{i}"], [f"w{i}"], 5_000.0, 5_000.0, 100.0 * i + 3.5, 7.0) for i in range(1, 6)]
     assert found[0].location_id == "wait-cmp:0|10000|w1;1|10000|w1"
+
+
+def test_a_task_of_the_replay_sorts_its_rows_once(spark):
+    """All that is asked of a run goes by one order; each sort beside another holds its own pages, however few the rows."""
+    c = course(spark)
+    m = matching.match_samples(samples(spark, trace("a", steady())), c)
+    final = timing.replay(m.localCheckpoint(), c)._jdf.queryExecution().executedPlan().toString()
+    assert final.count("Sort [attempt_id") == 1 and final.count("hashpartitioning(attempt_id") == 1
+
+
+def test_runs_without_an_attempt_or_a_course_stay_armed(spark):
+    c = course(spark)
+    m = matching.match_samples(samples(spark, trace("a", steady())), c)
+    odd = m.withColumn("attempt_id", F.lit(None).cast("string")).unionByName(m.withColumns({"attempt_id": F.lit("b"), "route_id": F.lit("none")}))
+    assert {(r.attempt_id, r.lifecycle, r.started_at) for r in timing.replay(odd, c).collect()} == {(None, "armed", None), ("b", "armed", None)}

@@ -43,56 +43,63 @@ def replay(matched: DataFrame, courses: DataFrame) -> DataFrame:
     has no course are left out; samples without an attempt are one attempt without an id.  Other
     columns of either table, whatever their names, are ignored.
     """
-    matched = matched.select("attempt_id", "route_id", "seq", "t", "progress_m", "quality")
-    rows = matched.join(course_numbers(courses), "route_id").withColumns({"p": F.col("progress_m"), "ok": F.col("quality") == "accepted", "off": F.col("quality").isin("off_course", "out_of_window")})
-    every = Window.partitionBy("attempt_id").orderBy("seq")
-    upto = every.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"before_t": F.lag("t").over(every), "island": F.sum(F.col("ok").cast("int")).over(upto)})
-    acc = rows.filter("ok").withColumns({"prev_t": F.lag("t").over(every), "prev_p": F.lag("p").over(every), "next_t": F.lead("t").over(every), "next_p": F.lead("p").over(every)})
+    numbers = course_numbers(courses)
+    rows = matched.select("attempt_id", "route_id", "seq", "t", F.col("progress_m").alias("p"), "quality").join(numbers, "route_id", "left")
+    known = F.col("start_p").isNotNull() & F.col("attempt_id").isNotNull()
+    rows = rows.withColumns({"ok": known & (F.col("quality") == "accepted"), "off": known & F.col("quality").isin("off_course", "out_of_window")}).drop("quality")
+    # Times rise with seq, so that all windows go by one order, and a task sorts its rows once.
+    every = Window.partitionBy("attempt_id").orderBy("t", "seq")
+    upto, before = (every.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    recent = Window.partitionBy("attempt_id").orderBy("t").rangeBetween(-K.DEPARTURE_MS, 0)
+    whole = Window.partitionBy("attempt_id")
+    of_ok, of_off = (lambda c: F.when(F.col("ok"), c)), (lambda c: F.when(F.col("off"), c))
+    rows = rows.withColumns({"prev": F.last(of_ok(F.struct("seq", "t", "p")), True).over(before), "before_t": F.lag("t").over(every), "was_off": F.last(F.when(F.col("ok"), False).when(F.col("off"), True), True).over(before)})
+    rows = rows.withColumns({"prev_seq": F.col("prev.seq"), "prev_t": F.col("prev.t"), "prev_p": F.col("prev.p")}).drop("prev")
 
     late = F.col("start_p") > K.START_NOISE_M
-    recent = Window.partitionBy("attempt_id").orderBy("t").rangeBetween(-K.DEPARTURE_MS, 0)
-    acc = acc.withColumns({
-        "early": F.max(F.col("p") < F.col("start_p") - K.PRE_START_M).over(upto),
-        "n_recent": F.count("*").over(recent), "first_p": F.first("p").over(recent),
-        "in_zone": F.max((F.col("start_r") >= 0) & (F.abs(F.col("p") - F.col("start_p")) <= F.col("start_r"))).over(recent),
-        "line_t": F.when((F.col("prev_p") < F.col("start_p")) & (F.col("p") >= F.col("start_p")), crossing_time(F.col("start_p"))),
-        "finish_t": F.when((F.col("prev_p") < F.col("finish_p")) & (F.col("p") >= F.col("finish_p")), crossing_time(F.col("finish_p"))),
-        "trigger_t": F.when((F.col("prev_p") < F.col("trigger_p")) & (F.col("p") >= F.col("trigger_p")), crossing_time(F.col("trigger_p"))),
+    crosses = lambda line: F.when(F.col("ok") & (F.col("prev_p") < F.col(line)) & (F.col("p") >= F.col(line)), crossing_time(F.col(line)))
+    rows = rows.withColumns({
+        "early": F.max(of_ok(F.col("p") < F.col("start_p") - K.PRE_START_M)).over(upto),
+        "n_recent": F.count(of_ok(F.lit(1))).over(recent), "first_p": F.first(of_ok(F.col("p")), True).over(recent),
+        "in_zone": F.max(of_ok((F.col("start_r") >= 0) & (F.abs(F.col("p") - F.col("start_p")) <= F.col("start_r")))).over(recent),
+        "line_t": crosses("start_p"), "finish_t": crosses("finish_p"), "trigger_t": crosses("trigger_p"), "since": F.last(F.when(F.col("off") & ~F.coalesce("was_off", F.lit(False)), F.col("t")), True).over(upto),
     })
-    departs = (F.col("n_recent") >= K.DEPARTURE_SAMPLES) & (F.col("p") - F.col("first_p") >= K.DEPARTURE_M) & (F.col("p") >= F.col("start_p")) & F.col("in_zone") & (~late | F.col("early"))
-    acc = acc.withColumns({"promote_seq": F.min(F.when(departs, F.col("seq"))).over(Window.partitionBy("attempt_id")), "end_t": F.coalesce(F.last("finish_t", True).over(upto), F.first("trigger_t", True).over(upto), F.col("t").cast("double"))})
-    acc = acc.withColumn("promote_t", F.max(F.when(F.col("seq") == F.col("promote_seq"), F.col("t"))).over(Window.partitionBy("attempt_id")))
+    departs = F.col("ok") & (F.col("n_recent") >= K.DEPARTURE_SAMPLES) & (F.col("p") - F.col("first_p") >= K.DEPARTURE_M) & (F.col("p") >= F.col("start_p")) & F.col("in_zone") & (~late | F.col("early"))
+    end_t = F.coalesce(F.last("finish_t", True).over(upto), F.first("trigger_t", True).over(upto), F.col("t").cast("double"))
+    rows = rows.withColumns({"end_t": end_t, "departs": departs}).drop("early", "n_recent", "first_p", "in_zone", "finish_t", "trigger_t", "was_off")
+    leaves = F.when(F.col("departs"), F.col("seq"))
+    rows = rows.withColumns({"promote_seq": F.min(leaves).over(whole), "promote_t": F.min_by("t", leaves).over(whole), "promote_p": F.min_by("p", leaves).over(whole)})
 
     # The start: the last crossing of the line not followed by a return, else the departure itself.
-    reset = F.max(F.when((F.col("p") < F.col("start_p") - K.HYSTERESIS_M) & (F.col("seq") <= F.col("promote_seq")), F.col("seq")))
-    crossed = F.max(F.when(F.col("line_t").isNotNull() & (F.col("seq") <= F.col("promote_seq")), F.struct("seq", "line_t")))
-    inside = (F.col("seq") <= F.col("promote_seq")) & (F.col("t") >= F.col("promote_t") - K.DEPARTURE_MS)
-    at = F.max(F.when(inside & (F.col("p") <= K.START_NOISE_M), F.struct("seq", "t", "p", "next_t", "next_p")))
-    starts = acc.filter("promote_seq is not null").groupBy("attempt_id", "promote_seq").agg(reset.alias("reset"), crossed.alias("crossed"), at.alias("at"), F.min(F.when(inside, F.struct("seq", "t"))).alias("first"), F.first(late).alias("late"))
-    anchored = F.when(F.col("at.seq") < F.col("promote_seq"), crossing_time(F.least(F.lit(K.START_NOISE_M), F.col("at.next_p")), F.col("at.p"), F.col("at.t"), F.col("at.next_p"), F.col("at.next_t"))).otherwise(F.col("first.t").cast("double"))
-    by_line = F.when(F.col("late") & (F.col("reset").isNull() | (F.col("crossed.seq") > F.col("reset"))), F.col("crossed.line_t"))
-    starts = starts.select("attempt_id", "promote_seq", F.coalesce(by_line, anchored).alias("started_at"))
+    begun = F.col("ok") & (F.col("seq") <= F.col("promote_seq"))
+    inside = lambda t: begun & (t >= F.col("promote_t") - K.DEPARTURE_MS)
+    left = F.when(inside(F.col("prev_t")) & (F.col("prev_p") <= K.START_NOISE_M), F.col("prev_seq"))
+    anchor = crossing_time(F.least(F.lit(K.START_NOISE_M), F.col("p")))
+    on_line = F.when(begun & F.col("line_t").isNotNull(), F.col("seq"))
+    rows = rows.withColumns({
+        "reset": F.max(F.when(begun & (F.col("p") < F.col("start_p") - K.HYSTERESIS_M), F.col("seq"))).over(whole), "crossed": F.max(on_line).over(whole), "crossed_t": F.max_by("line_t", on_line).over(whole),
+        "anchor": F.max_by(anchor, left).over(whole), "first_t": F.min_by("t", F.when(inside(F.col("t")), F.col("seq"))).over(whole),
+    })
+    anchored = F.coalesce(F.when(F.col("promote_p") > K.START_NOISE_M, F.col("anchor")), F.col("first_t").cast("double"))
+    by_line = F.when(late & (F.col("reset").isNull() | (F.col("crossed") > F.col("reset"))), F.col("crossed_t"))
+    rows = rows.withColumn("started_at", F.when(F.col("promote_seq").isNotNull(), F.coalesce(by_line, anchored))).drop("promote_t", "promote_p", "prev_seq", "prev_t", "prev_p", "line_t", "reset", "crossed", "crossed_t", "anchor", "first_t", "departs")
 
     # The end: finished, or too long off the course.
-    done = acc.drop("promote_seq").join(starts, "attempt_id").filter((F.col("seq") >= F.col("promote_seq")) & (F.col("p") >= F.col("trigger_p")) & (F.col("end_t") >= F.col("started_at")))
-    done = done.groupBy("attempt_id").agg(F.min(F.struct("seq", "end_t")).alias("f")).select("attempt_id", F.col("f.seq").alias("finish_seq"), F.col("f.end_t").alias("end_t"))
-    off = rows.filter("off").join(starts, "attempt_id").filter(F.col("seq") > F.col("promote_seq"))
-    stretch = Window.partitionBy("attempt_id", "island")
-    off = off.withColumns({"since": F.first("t").over(stretch.orderBy("seq")), "lost": F.greatest(F.lit(0), F.col("t") - F.col("before_t"))}).withColumn("total", F.sum("lost").over(upto))
-    gone = off.filter(F.col("t") - F.col("since") >= K.ABANDON_MS).groupBy("attempt_id").agg(F.min("seq").alias("gone_seq"))
-    ends = matched.select("attempt_id", "route_id").distinct().join(starts, "attempt_id", "left").join(done, "attempt_id", "left").join(gone, "attempt_id", "left")
+    lost = F.when(F.col("off") & (F.col("seq") > F.col("promote_seq")), F.greatest(F.lit(0), F.col("t") - F.col("before_t")))
+    done = F.when(F.col("ok") & (F.col("seq") >= F.col("promote_seq")) & (F.col("p") >= F.col("trigger_p")) & (F.col("end_t") >= F.col("started_at")), F.col("seq"))
+    gone = F.when(F.col("off") & (F.col("seq") > F.col("promote_seq")) & (F.col("t") - F.col("since") >= K.ABANDON_MS), F.col("seq"))
+    rows = rows.withColumns({"total": F.sum(lost).over(upto), "finish_seq": F.min(done).over(whole), "finish_t": F.min_by("end_t", done).over(whole), "gone_seq": F.min(gone).over(whole)})
     finished = F.col("finish_seq").isNotNull() & (F.col("gone_seq").isNull() | (F.col("finish_seq") < F.col("gone_seq")))
-    ends = ends.withColumns({"finished": finished, "end_seq": F.when(finished, F.col("finish_seq")).otherwise(F.col("gone_seq"))})
-    strayed = off.join(ends.select("attempt_id", "end_seq"), "attempt_id").filter(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))).groupBy("attempt_id").agg(F.max("total").alias("strayed"))
-    least = acc.join(ends.select("attempt_id", "end_seq"), "attempt_id").filter(F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))).groupBy("attempt_id").agg(F.min("p").alias("least_p"))
+    rows = rows.withColumn("finished", finished).withColumn("end_seq", F.when(F.col("finished"), F.col("finish_seq")).otherwise(F.col("gone_seq")))
+    counts = F.col("end_seq").isNull() | (F.col("seq") <= F.col("end_seq"))
+    rows = rows.withColumns({"strayed": F.max(F.when(F.col("off") & counts, F.col("total"))).over(whole), "least_p": F.min(F.when(F.col("ok") & counts, F.col("p"))).over(whole)})
+    out = rows.groupBy("attempt_id", "route_id").agg(*[F.max(c).alias(c) for c in ("finished", "gone_seq", "promote_seq", "strayed", "started_at", "finish_t", "end_seq", "least_p")])
     bad = F.coalesce(F.col("strayed") >= K.DEVIATION_MS, F.lit(False))
-    out = ends.join(strayed, "attempt_id", "left").join(least, "attempt_id", "left")
     return out.select(
         "attempt_id", "route_id",
         F.when(F.col("finished"), "completed").when(F.col("gone_seq").isNotNull(), "abandoned").when(F.col("promote_seq").isNotNull(), "active").otherwise("armed").alias("lifecycle"),
         F.when(F.col("finished"), F.when(bad, "unranked").otherwise("valid")).when(F.col("gone_seq").isNotNull() | bad, "unranked").otherwise("pending").alias("validity"),
-        "started_at", F.when(F.col("finished"), F.col("end_t")).alias("finished_at"), "promote_seq", "end_seq", "least_p",
+        "started_at", F.when(F.col("finished"), F.col("finish_t")).alias("finished_at"), "promote_seq", "end_seq", "least_p",
     )
 
 
