@@ -3,11 +3,15 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.trips import course, samples, steady, trace
 from waywright.functions import constants as K
-from waywright.operators import comparing, matching, movement, timing
+from waywright.operators import comparing, matching, movement, streams, timing
+from waywright.plans import analysis
+from waywright.sources import traces
+from waywright.sources.staging import staged
 
 
 def test_a_wait_s_place_is_the_sum_of_its_places_in_order(spark):
@@ -67,3 +71,22 @@ def test_runs_without_an_attempt_or_a_course_stay_armed(spark):
     m = matching.match_samples(samples(spark, trace("a", steady())), c)
     odd = m.withColumn("attempt_id", F.lit(None).cast("string")).unionByName(m.withColumns({"attempt_id": F.lit("b"), "route_id": F.lit("none")}))
     assert {(r.attempt_id, r.lifecycle, r.started_at) for r in timing.replay(odd, c).collect()} == {(None, "armed", None), ("b", "armed", None)}
+
+
+def test_usable_samples_are_matched_once(spark, monkeypatch):
+    """The matcher's rows are read by several parts of the intervals' plan, which reads them as a table."""
+    kept = []
+    monkeypatch.setattr(analysis, "staged", lambda df, name: kept.append(name) or staged(df, name))
+    monkeypatch.setattr(movement, "staged", lambda df, name: kept.append(name) or staged(df, name))
+    s = samples(spark, trace("a", steady()))
+    an = analysis.Analysis(s, course(spark), traces.synthetic_attempts(s))
+    assert an.intervals.count() > 100 and kept.index("usable-matched") < kept.index("points") < kept.index("intervals")
+
+
+def test_small_batches_are_joined():
+    """In order, up to a slice each; batches of another schema stay apart."""
+    one = [pa.RecordBatch.from_pydict({"x": pa.array([i], pa.int64())}) for i in range(5_000)]
+    other = pa.RecordBatch.from_pydict({"y": pa.array(["z"])})
+    found = list(streams._joined(iter([*one, other])))
+    assert [b.num_rows for b in found] == [streams.SLICE, 5_000 - streams.SLICE, 1]
+    assert [x for b in found[:2] for x in b.column("x").to_pylist()] == list(range(5_000)) and list(streams._joined(iter([]))) == []

@@ -34,16 +34,16 @@ def _points(fixes: DataFrame, runs: DataFrame) -> DataFrame:
     near = {"l": F.coalesce(F.lag("fix", 1).over(order), F.lag("fix", 2).over(order)), "r": F.coalesce(F.lead("fix", 1).over(order), F.lead("fix", 2).over(order))}
     start = F.max(F.when(F.col("place") == 0, F.col("t"))).over(so_far)
     line = line.withColumns({**near, "start": start, "over": F.max((F.col("place") == 2).cast("int")).over(so_far)})
-    inner = line.filter("place = 1 and over = 0 and t > start").select("attempt_id", "place", "t", *[F.col(f"fix.{c}").alias(c) for c in FIX])
-
     e = F.when(F.abs(F.col("t") - F.col("l.t")) <= 0.5, F.col("l")).when(F.abs(F.col("r.t") - F.col("t")) <= 0.5, F.col("r"))
     share = (F.col("t") - F.col("l.t")) / (F.col("r.t") - F.col("l.t"))
     between = lambda c: F.col(f"l.{c}") + share * (F.col(f"r.{c}") - F.col(f"l.{c}"))
     both = F.col("l").isNotNull() & F.col("r").isNotNull() & (F.col("r.t") - F.col("l.t") <= K.GAP_MS)
     mixed = {**{c: between(c) for c in ("latitude", "longitude", "speed", "progress_m")}, "accuracy": F.greatest("l.accuracy", "r.accuracy"), "matched": F.col("l.matched") & F.col("r.matched")}
     mixed["matched"] = mixed["matched"] & mixed["progress_m"].isNotNull()
-    bounds = line.filter("place <> 1").withColumn("e", e).filter(F.col("e").isNotNull() | both)
-    return inner.unionByName(bounds.select("attempt_id", "place", "t", *[F.when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(mixed[c]).alias(c) for c in FIX]))
+    inner = (F.col("place") == 1) & (F.col("over") == 0) & (F.col("t") > F.col("start"))
+    bound = (F.col("place") != 1) & (F.col("e").isNotNull() | both)
+    value = lambda c: F.when(F.col("place") == 1, F.col(f"fix.{c}")).when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(mixed[c]).alias(c)
+    return line.withColumn("e", e).filter(inner | bound).select("attempt_id", "place", "t", *map(value, FIX))
 
 
 def intervals(usable: DataFrame, runs: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def intervals(usable: DataFrame, runs: DataFrame) -> DataFrame:
     """
     fixes = usable.select("attempt_id", "t", "latitude", "longitude", "accuracy", "speed", "progress_m", (F.col("quality") == "accepted").alias("matched"))
     runs = runs.filter("finished_at > started_at").select("attempt_id", "started_at", "finished_at")
-    points = _points(fixes, runs)
+    points = staged(_points(fixes, runs), "points")  # read for pairs and for what they cover
 
     order = Window.partitionBy("attempt_id").orderBy("place", "t")
     ends = [F.lead(c).over(order).alias(f"to_{c}") for c in ("t", *FIX)]

@@ -24,6 +24,20 @@ def _cut(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.Rec
             yield tuple(c[a] for c in columns), batch.slice(a, b - a)
 
 
+def _joined(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches of one schema as larger ones: each costs Spark about as much as hundreds of rows."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in found:
+        if held and (n + batch.num_rows > SLICE or not batch.schema.equals(held[0].schema)):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+        held.append(batch)
+        n += batch.num_rows
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def in_order(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``work`` on each key's rows in order: it gets the key and the rows' slices, and holds only what it must remember of them."""
 
@@ -35,4 +49,4 @@ def in_order(rows: DataFrame, keys: list[str], order: list[str], work: Callable[
             for _ in rest:  # whatever it left unread
                 pass
 
-    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: _joined(run(batches)), schema)

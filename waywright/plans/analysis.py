@@ -58,7 +58,8 @@ class Analysis:
 
     @cached_property
     def intervals(self) -> DataFrame:
-        return staged(movement.intervals(matching.match_samples(matching.usable_samples(self.samples), self.courses, self.attempts), self.ranked), "intervals")
+        usable = staged(matching.match_samples(matching.usable_samples(self.samples), self.courses, self.attempts), "usable-matched")
+        return staged(movement.intervals(usable, self.ranked), "intervals")
 
     @cached_property
     def breakdown(self) -> DataFrame:
