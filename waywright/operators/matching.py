@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ from .streams import in_order
 
 #: Samples times segments that are projected at a time, and samples where a course has many segments.
 MOST_CELLS, FEW = 200_000, 32
+#: Places of a sample among which plain Python looks for the best.
+A_FEW = 64
 #: Neighbouring segments, or boxes of them, that one box holds, and what a bound on distances is too large by, at most.
 FAN, SLACK_M = 32, 1e-3
 #: Samples of a trace up to which one task walks it; longer ones are walked in parts of as many.
@@ -299,6 +302,7 @@ class _Follower(_Geometry):
         self.start, self.last = start, math.nan
         self.everywhere = len(lat) == 1
         self.most = float(self.length.max()) if len(self.length) else 0.0
+        self.plain = bool(np.isfinite(self.s1).all())  # progress at the ends of segments is in order
 
     def __call__(self, y: np.ndarray, x: np.ndarray, skip: np.ndarray) -> list[tuple[str, float | None, float | None, bool]]:
         out = []
@@ -313,7 +317,22 @@ class _Follower(_Geometry):
             out += self._walk(*self.project(y[part], x[part], lo, hi)[:2], self.s0[lo:hi], self.s1[lo:hi], skip[part])
         return out
 
+    def _best(self, p: np.ndarray, d: np.ndarray, centre: float) -> tuple[float, float]:
+        """Progress and distance of the cheapest place, of equally cheap ones the last; a few places are gone through faster than numpy is called."""
+        if len(p) <= A_FEW:
+            best = at = far = None
+            for own, off in zip(p.tolist(), d.tolist(), strict=True):
+                cost = off + K.PROGRESS_COST * abs(own - centre) + (K.BACKWARD_COST_M if own < centre else 0)
+                if math.isfinite(cost) and (best is None or cost < best or (cost == best and own > at)):
+                    best, at, far = cost, own, off
+            if best is not None:
+                return at, far
+        cost = d + K.PROGRESS_COST * np.abs(p - centre) + K.BACKWARD_COST_M * (p < centre)
+        w = max(np.flatnonzero(cost == cost.min()).tolist(), key=lambda j: p[j])
+        return float(p[w]), float(d[w])
+
     def _walk(self, progress: np.ndarray, snap: np.ndarray, s0: np.ndarray, s1: np.ndarray, skip: np.ndarray) -> Iterator[tuple[str, float | None, float | None, bool]]:
+        ends = s0.tolist(), s1.tolist()
         for i in range(len(progress)):
             if skip[i]:
                 yield "poor_accuracy", None, None, False
@@ -321,18 +340,22 @@ class _Follower(_Geometry):
             first = math.isnan(self.last)
             centre = self.start if first else self.last
             ahead, behind = (K.FIRST_AHEAD_M, K.FIRST_BEHIND_M) if first else (K.AHEAD_M, K.BEHIND_M)
-            near = np.arange(len(s0)) if self.everywhere else np.flatnonzero((s1 >= centre - behind) & (s0 <= centre + ahead))
-            if not len(near):
+            if self.everywhere:
+                near = slice(0, len(s0))
+            elif self.plain:
+                near = slice(bisect_left(ends[1], centre - behind), bisect_right(ends[0], centre + ahead))
+            else:
+                near = np.flatnonzero((s1 >= centre - behind) & (s0 <= centre + ahead))
+            places = progress[i, near]
+            if not len(places):
                 yield "out_of_window", None, None, False
                 continue
-            p, d = progress[i, near], snap[i, near]
-            cost = d + K.PROGRESS_COST * np.abs(p - centre) + K.BACKWARD_COST_M * (p < centre)
-            w = max(np.flatnonzero(cost == cost.min()).tolist(), key=lambda j: p[j])
-            if d[w] > K.CORRIDOR_M:
-                yield "off_course", float(p[w]), float(d[w]), False
+            p, d = self._best(places, snap[i, near], centre)
+            if d > K.CORRIDOR_M:
+                yield "off_course", p, d, False
             else:
-                yield "accepted", float(p[w]), float(d[w]), first or bool(p[w] >= self.last - K.BEHIND_M)
-                self.last = float(p[w])
+                yield "accepted", p, d, first or p >= self.last - K.BEHIND_M
+                self.last = p
 
 
 def match_samples(samples: DataFrame, courses: DataFrame, attempts: DataFrame | None = None, part: int = A_PART) -> DataFrame:

@@ -217,17 +217,17 @@ def q_live(spark, d):
     s, c = traces.synthetic_samples(spark, d), traces.synthetic_courses(spark, d)
     place = Window.partitionBy("attempt_id").orderBy("recorded_at_ms", "id")
     s = staged(s.withColumn("part", F.least(F.lit(2), F.floor(F.row_number().over(place) / 40))), "live-input")
+    of = s.groupBy("attempt_id", "route_id").agg(F.min("recorded_at_ms").alias("armed_at_ms")).withColumn("session_id", F.concat(F.lit("s"), "attempt_id"))
+    places = max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), of.count() // 1000))  # of a thousand attempts each
     folder = staging_folder(spark, "live")
     for part in range(3):
-        s.filter(F.col("part") == part).drop("part", "session_id").repartition(4, "attempt_id").write.mode("append").parquet(f"{folder}/in")
+        s.filter(F.col("part") == part).drop("part", "session_id").repartition(places, "attempt_id").write.mode("append").parquet(f"{folder}/in")
     store = keyed.started(spark, f"{folder}/tables")
-    of = s.groupBy("attempt_id", "route_id").agg(F.min("recorded_at_ms").alias("armed_at_ms")).withColumn("session_id", F.concat(F.lit("s"), "attempt_id"))
     null = F.lit(None)
     attempts = of.withColumns({"lifecycle": F.lit("armed"), "validity": F.lit("pending"), "started_at": null.cast("double"), "finished_at": null.cast("double"), "result_acknowledged": F.lit(False)})
     opened = of.select(F.col("session_id").alias("id"), F.col("armed_at_ms").alias("started_at_ms"), null.cast("long").alias("stopped_at_ms"), F.lit(True).alias("is_active"), F.lit("attempt").alias("purpose"), F.lit("active").alias("capture_outcome"), F.lit("pending").alias("review_disposition"))
     store.commit({"attempts": attempts, "sessions": opened})
-    places = max(4, min(int(spark.conf.get("spark.sql.shuffle.partitions")), of.count() // 1000))  # of a thousand attempts each
-    keyed.keep_live(live.read_fixes(spark, f"{folder}/in", 4), c, store, f"{folder}/checkpoint", clock=lambda: 1, partitions=places).awaitTermination()
+    keyed.keep_live(live.read_fixes(spark, f"{folder}/in", places), c, store, f"{folder}/checkpoint", clock=lambda: 1, partitions=places).awaitTermination()
     us = lambda x: milli(F.col(x))
     rows = store.read("attempts").select(F.lit("attempt").alias("kind"), "attempt_id", F.col("lifecycle").alias("a"), F.col("validity").alias("b"), us("started_at").alias("first_us"), us("finished_at").alias("last_us"))
     rows = rows.union(store.read("sessions").select(F.lit("session"), F.col("id").substr(2, 99), "capture_outcome", "review_disposition", F.col("stopped_at_ms"), F.when(F.col("is_active"), 0).cast("long")))

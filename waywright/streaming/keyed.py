@@ -8,13 +8,15 @@ costs its new samples and those moments, however long the attempt has lasted.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, fields
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -24,7 +26,7 @@ from ..sources.staging import staged
 from ..sources.store import Store, Table
 from ..sources.traces import clean_fixes
 
-#: Points of all courses up to which these are sent to every worker whole; beyond, each sample carries its own.
+#: Points of all courses up to which these are sent to every worker whole; beyond, samples carry their own.  Also how many points of courses a worker remembers.
 MOST_POINTS = 1 << 20
 #: How long samples may come out of order, in milliseconds of their own time.
 LATE_MS = 10_000
@@ -36,6 +38,9 @@ LIVE = (
     f"last_t long, samples long, walked long, crossings {CROSSING}, id string, t long, latitude double, longitude double, accuracy double"
 )
 NAMES = [c.split()[0] for c in LIVE.split(", ")]
+#: The same as one column, which is converted at once.
+ONE = f"x struct<{','.join(c.replace(' ', ':', 1) for c in LIVE.split(', '))}>"
+PACKED = "attempt_id string, route_id string, " + ", ".join(f"{name} array<{kind}>" for name, kind in (c.split() for c in SAMPLE.split(", ")))
 
 
 @dataclass
@@ -199,8 +204,25 @@ def zone_status(run: Run, course: Course, last: tuple | None, geometry: matching
 
 RUN_STATE = (
     "lifecycle string, validity string, started_at double, finished_at double, samples long, last_t long, matched_p double, was_before boolean, off_since long, off_ms double, "
-    "prev_t long, prev_p double, line_at double, trigger_at double, finish_at double, route_id string, seen_t long, top_t long, timer_at long"
+    "prev_t long, prev_p double, line_at double, trigger_at double, finish_at double, recent array<struct<t:long,p:double>>, "
+    "marks array<struct<checkpoint_id:string,name:string,progress_m:double,crossed_at:double>>, "
+    "route_id string, seen_t long, top_t long, heard_at long, timer_at long, held array<struct<id:string,t:long,latitude:double,longitude:double,accuracy:double>>"
 )
+RUN_FIELDS = [f.name for f in fields(Run)]
+SAMPLE_NAMES = [c.split()[0] for c in SAMPLE.split(", ")]
+
+
+@dataclass
+class Kept:
+    """All that is kept of an attempt: one value, since each that is asked for or put costs a call between Python and the store."""
+
+    run: Run = field(default_factory=Run)
+    route: str | None = None
+    seen: int | None = None  # the time that is settled
+    top: int | None = None  # the latest time seen
+    heard: int | None = None  # when, by the clock, samples last came
+    timer: int | None = None  # when the timer that is set runs out
+    held: list[tuple] = field(default_factory=list)
 
 
 class LiveRuns(StatefulProcessor):
@@ -218,110 +240,117 @@ class LiveRuns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", RUN_STATE)
-        self.recent = handle.getListState("recent", "t long, p double")
-        self.marks = handle.getListState("marks", "checkpoint_id string, name string, progress_m double, crossed_at double")
-        self.held = handle.getListState("held", SAMPLE)
-
-    def _loaded(self) -> tuple[Run, str | None, int | None, int | None, int | None]:
-        """The run, its route, the time that is settled, the latest time seen, and the timer."""
-        if not self.run.exists():
-            return Run(), None, None, None, None
-        x = self.run.get()
-        run = Run(*x[:15], recent=[tuple(r) for r in self.recent.get()], marks=[tuple(m) for m in self.marks.get()])
-        return run, *x[15:19]
-
-    def _stored(self, run: Run, route: str | None, seen: int | None, top: int | None, timer: int | None, held: list[tuple]) -> None:
-        names = [f.name for f in fields(run)][:15]
-        self.run.update((*(getattr(run, n) for n in names), route, seen, top, timer))
-        for state, rows in ((self.recent, run.recent), (self.marks, run.marks), (self.held, held)):
-            if rows:
-                state.put(rows)
-            else:
-                state.clear()
-
-    def _timer(self, old: int | None, now: int, run: Run) -> int | None:
-        if old is not None:
-            self.handle.deleteTimer(old)
-        if not run.open:
-            return None
-        self.handle.registerTimer(now + self.stale_ms)
-        return now + self.stale_ms
-
-    def _row(self, key: str, kind: str, **values) -> dict:
-        return dict.fromkeys(NAMES) | {"attempt_id": key, "kind": kind} | values
-
-    def _state(self, key: str, route: str | None, run: Run, zone: str, stale: bool, walked: int) -> dict:
+        self.state = handle.getValueState("run", RUN_STATE)
+        self.row = Row("x")
+        self.followers: dict[str | None, tuple[Course, matching._Follower]] = {}
+        self.points = 0
+
+    def _loaded(self) -> Kept:
+        if not self.state.exists():  # asking for a value that isn't there is logged
+            return Kept()
+        *values, route, seen, top, heard, timer, held = self.state.get()
+        own = dict(zip(RUN_FIELDS, values, strict=True))
+        own["recent"], own["marks"] = ([tuple(x) for x in own[n]] for n in ("recent", "marks"))
+        return Kept(Run(**own), route, seen, top, heard, timer, [tuple(x) for x in held])
+
+    def _store(self, k: Kept) -> None:
+        self.state.update((*(getattr(k.run, n) for n in RUN_FIELDS), k.route, k.seen, k.top, k.heard, k.timer, k.held))
+
+    def _set_timer(self, k: Kept, now: int) -> None:
+        """A timer that runs out later is left as it is: when it does, it is told from ``heard`` whether there was silence."""
+        k.heard = now
+        if k.timer is not None and (k.timer <= now or not k.run.open):
+            self.handle.deleteTimer(k.timer)
+            k.timer = None
+        if k.timer is None and k.run.open:
+            k.timer = now + self.stale_ms
+            self.handle.registerTimer(k.timer)
+
+    def _row(self, key: str, kind: str, **values) -> Row:
+        return self.row({"attempt_id": key, "kind": kind} | values)
+
+    def _state(self, key: str, route: str | None, run: Run, zone: str, stale: bool, walked: int) -> Row:
         marks = [dict(zip(("checkpoint_id", "name", "progress_m", "crossed_at"), m, strict=True)) for m in run.marks] if run.started_at is not None else []
         return self._row(key, "state", route_id=route, lifecycle=run.lifecycle, validity=run.validity, started_at=run.started_at, finished_at=run.finished_at, start_zone=zone, stale=stale, last_t=run.last_t, samples=run.samples, walked=walked, crossings=marks)
 
-    def _frame(self, rows: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=NAMES)
-        for c in ("last_t", "samples", "walked", "t"):
-            out[c] = out[c].astype("Int64")
-        for c in ("started_at", "finished_at", "latitude", "longitude", "accuracy"):
-            out[c] = out[c].astype("float64")
-        out["stale"] = out["stale"].astype("boolean")
-        return out
-
-    def _course(self, route: str | None, rows: pd.DataFrame | None) -> Course | None:
+    def _course(self, route: str | None, text: str | None = None) -> tuple[Course, matching._Follower] | None:
+        """A route's course and what matches to it, made once for all its attempts; ``text``: the course as samples carry it."""
+        if route in self.followers:
+            return self.followers[route]
         if self.courses is not None:
-            return self.courses.get(route)
-        if rows is None or rows["lats"].isna().all():
+            course = self.courses.get(route)
+        else:
+            course = None if text is None else _read_course(json.loads(text))
+        if course is None:
             return None
-        r = rows[rows["lats"].notna()].iloc[0]
-        return Course(list(r.lats), list(r.lons), r.start_p, r.finish_p, r.start_r, r.trigger_p, [(c["checkpoint_id"], c["name"], c["progress_m"]) for c in r.checkpoints])
+        if self.points > MOST_POINTS:
+            self.followers, self.points = {}, 0
+        self.points += len(course.lats)
+        self.followers[route] = course, matching._Follower(np.array(course.lats, float), np.array(course.lons, float), course.start_p)
+        return self.followers[route]
+
+    def _samples(self, rows: list[Row]) -> list[tuple]:
+        return [sample for r in rows for sample in zip(*(r[c] for c in SAMPLE_NAMES), strict=True)]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         attempt = key[0]
-        new = pd.concat(list(rows))
-        run, route, seen, top, timer = self._loaded()
+        k = self._loaded()
+        run = k.run
         if not run.open:
             return  # what comes after the end is dropped
-        route = new["route_id"].iloc[0] if route is None else route
+        packs = list(rows)
+        k.route = packs[0].route_id if k.route is None else k.route
         now = timerValues.getCurrentProcessingTimeInMs()
-        course = self._course(route, new)
-        if course is None:  # the route is gone
-            run.lifecycle, run.validity = "abandoned", "unranked"
-            self._stored(run, route, seen, top, self._timer(timer, now, run), [])
-            yield self._frame([self._state(attempt, route, run, "locating", False, 0)])
+        if self.courses is not None:
+            found = self._course(k.route)
+        else:
+            found = next((self._course(r.route_id, r.course) for r in packs if r.course is not None), None)
+        if found is None:  # the route is gone
+            run.lifecycle, run.validity, k.held = "abandoned", "unranked", []
+            self._set_timer(k, now)
+            self._store(k)
+            yield self._state(attempt, k.route, run, "locating", False, 0)
             return
-        out = []
-        held = {s[0]: tuple(s) for s in self.held.get()}
-        nullable = lambda v: None if v is None or pd.isna(v) else float(v)
-        for x in new.itertuples():
-            sample = (x.id, int(x.t), float(x.latitude), float(x.longitude), nullable(x.accuracy))
-            if seen is not None and sample[1] <= seen:
-                out.append(self._row(attempt, "late", route_id=route, **dict(zip(("id", "t", "latitude", "longitude", "accuracy"), sample, strict=True))))
+        course, follower = found
+        held = {s[0]: s for s in k.held}
+        for sample in self._samples(packs):
+            if k.seen is not None and sample[1] <= k.seen:
+                yield self._row(attempt, "late", route_id=k.route, **dict(zip(SAMPLE_NAMES, sample, strict=True)))
                 continue
             held[sample[0]] = sample
-            top = sample[1] if top is None else max(top, sample[1])
-        waiting = sorted(held.values(), key=lambda s: (s[1], s[0]))
-        settled = [s for s in waiting if s[1] <= top - self.late_ms] if top is not None else []
+            k.top = sample[1] if k.top is None else max(k.top, sample[1])
+        waiting = sorted(held.values(), key=itemgetter(1, 0))
+        settled = [s for s in waiting if s[1] <= k.top - self.late_ms] if k.top is not None else []
         waiting = waiting[len(settled) :]
-        seen = max([x for x in (seen, settled[-1][1] if settled else None, top - self.late_ms if top is not None else None) if x is not None], default=None)
-        follower = matching._Follower(np.array(course.lats, float), np.array(course.lons, float), course.start_p)
+        k.seen = max([x for x in (k.seen, settled[-1][1] if settled else None, k.top - self.late_ms if k.top is not None else None) if x is not None], default=None)
         walk(run, course, settled, follower)
         ahead = run.copy()
         walk(ahead, course, waiting, follower)
         if not ahead.open and not run.open:
             waiting = []
         last = (waiting or settled or [None])[-1]
-        out.append(self._state(attempt, route, ahead, zone_status(ahead, course, last, follower), False, len(settled) + len(waiting)))
-        self._stored(run, route, seen, top, self._timer(timer, now, run), waiting)
-        yield self._frame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        run, route, seen, top, _ = self._loaded()
-        held = sorted((tuple(s) for s in self.held.get()), key=lambda s: (s[1], s[0]))
-        course = self.courses.get(route) if self.courses is not None else None
+        k.held = waiting
+        self._set_timer(k, now)
+        self._store(k)
+        yield self._state(attempt, k.route, ahead, zone_status(ahead, course, last, follower), False, len(settled) + len(waiting))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        k = self._loaded()
+        k.timer = None
+        if k.heard + self.stale_ms > timerValues.getCurrentProcessingTimeInMs():  # samples have come since it was set
+            k.timer = k.heard + self.stale_ms
+            self.handle.registerTimer(k.timer)
+            self._store(k)
+            return
+        found = self._course(k.route) if self.courses is not None else None
         zone = "locating"
-        if course is not None and held:
-            follower = matching._Follower(np.array(course.lats, float), np.array(course.lons, float), course.start_p)
-            walk(run, course, held, follower)
-            zone, seen, held = zone_status(run, course, held[-1], follower), held[-1][1], []
-        self._stored(run, route, seen, top, None, held)
-        yield self._frame([self._state(key[0], route, run, zone, True, 0)])
+        if found is not None and k.held:
+            course, follower = found
+            k.held.sort(key=itemgetter(1, 0))
+            walk(k.run, course, k.held, follower)
+            zone, k.seen, k.held = zone_status(k.run, course, k.held[-1], follower), k.held[-1][1], []
+        self._store(k)
+        yield self._state(key[0], k.route, k.run, zone, True, 0)
 
 
 def _course_rows(courses: DataFrame) -> DataFrame:
@@ -333,6 +362,27 @@ def _course_rows(courses: DataFrame) -> DataFrame:
     return rows.select("route_id", "lats", "lons", "start_p", "finish_p", "start_r", "trigger_p", F.coalesce(F.transform("m", lambda x: F.struct(x["checkpoint_id"].alias("checkpoint_id"), x["name"].alias("name"), x["progress_m"].alias("progress_m"))), none).alias("checkpoints"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The samples of an attempt and route that lie in one Arrow batch, in their order, as one row."""
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        code = np.zeros(batch.num_rows, np.int64)
+        for c in names[:2]:
+            own = batch.column(c).dictionary_encode(null_encoding="encode")
+            code = code * (len(own.dictionary) + 1) + own.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(code[order])) + 1])
+        ordered = batch.take(pa.array(order))
+        lists = [pa.ListArray.from_arrays(pa.array([*cuts, batch.num_rows], pa.int32()), ordered.column(c)) for c in names[2:]]
+        yield pa.RecordBatch.from_arrays([*(ordered.column(c).take(pa.array(cuts)) for c in names[:2]), *lists], names=names)
+
+
+def _read_course(r: dict) -> Course:
+    return Course(r["lats"], r["lons"], r["start_p"], r["finish_p"], r["start_r"], r["trigger_p"], [(c["checkpoint_id"], c["name"], c["progress_m"]) for c in r["checkpoints"]])
+
+
 def live_runs(fixes: DataFrame, courses: DataFrame, late_ms: int = LATE_MS, stale_ms: int = K.STALE_MS, most_points: int = MOST_POINTS) -> DataFrame:
     """The state of every attempt that a batch touches, and samples that came too late, as rows of a stream; see LIVE and LiveRuns.
 
@@ -344,13 +394,16 @@ def live_runs(fixes: DataFrame, courses: DataFrame, late_ms: int = LATE_MS, stal
     # State of several kinds a key, and timers, need this store.
     fixes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _course_rows(courses)
-    samples = clean_fixes(fixes).select("attempt_id", "route_id", "id", F.col("recorded_at_ms").alias("t"), "latitude", "longitude", "accuracy")
+    # A call for each attempt costs by rows and columns, so its samples come together.
+    samples = clean_fixes(fixes).select("attempt_id", "route_id", "id", F.col("recorded_at_ms").alias("t"), "latitude", "longitude", "accuracy").mapInArrow(_packed, PACKED)
     held = None
     if (courses.agg(F.sum(F.size("path"))).first()[0] or 0) <= most_points:
-        held = {r.route_id: Course(list(r.lats), list(r.lons), r.start_p, r.finish_p, r.start_r, r.trigger_p, [(c.checkpoint_id, c.name, c.progress_m) for c in r.checkpoints]) for r in rows.collect()}
+        held = {r.route_id: _read_course(r.asDict(True)) for r in rows.collect()}
     else:
-        samples = samples.join(rows, "route_id", "left")
-    return samples.groupBy("attempt_id").transformWithStateInPandas(LiveRuns(held, late_ms, stale_ms), LIVE, "update", "processingTime")
+        text = F.to_json(F.struct(*[c for c in rows.columns if c != "route_id"]), {"ignoreNullFields": "false"})
+        samples = samples.join(rows.select("route_id", F.when(F.col("lats").isNotNull(), text).alias("course")), "route_id", "left")
+    # Rows, not pandas: a frame for each attempt costs more than what is done with it.
+    return samples.groupBy("attempt_id").transformWithState(LiveRuns(held, late_ms, stale_ms), ONE, "update", "processingTime").select("x.*")
 
 
 #: The tables of a live deployment.  Crossings and samples lie with their attempt and session.
